@@ -5,12 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common as c
 from . import sql
+from .html_blocks import extract
+from .line_dedup import line_dedup
+from .quality_qda import quality
 from .quality_rules import quality_rules
 from .simhash_dedup import near_duplicates
+from .url_filter import url_filter
+
+#: (verdict, host, path) of the url rules, and the hosts that the list blocks elsewhere.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(c.table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
+    return url_filter(c.table(spark, sf_dir, "pages"), rules, listed)
+
+
+def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +47,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality_rules, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_blocks, op6_url_filter, op8_quality_qda, op9_quality_rules, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
