@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as c
 from . import sql
+from . import sentencepiece_fst, token_shards
+from .decontaminate import find_leaks
 from .html_blocks import extract
 from .line_dedup import line_dedup
+from .lm_scoring import lm_score
 from .quality_qda import quality
 from .quality_rules import quality_rules
 from .simhash_dedup import near_duplicates
@@ -28,12 +32,29 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(c.table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(c.table(spark, sf_dir, "documents"), sentencepiece_fst.read_model())
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
     return url_filter(c.table(spark, sf_dir, "pages"), rules, listed)
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{c.shared_dir(spark)}/llm-shards-{uuid.uuid4().hex}"
+    return token_shards.write_shards(c.table(spark, sf_dir, "documents"), folder, sentencepiece_fst.read_model(token_shards.VOCABULARY))
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
@@ -46,8 +67,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(c.table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_line_dedup, op2_html_blocks, op3_lm_scoring, op4_sentencepiece, op5_decontaminate,
+    op6_url_filter, op7_token_shards, op8_quality_qda, op9_quality_rules, op10_simhash_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_html_blocks, op6_url_filter, op8_quality_qda, op9_quality_rules, op10_simhash_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
