@@ -164,6 +164,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes that are equal where both h and row are."""
+    return mix(h + (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k consecutive words from each place on, and the places (in h) that have k words in their row."""
     n = len(h) - k + 1
