@@ -54,7 +54,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     mean = chars / np.maximum(words, 1)
     spread = np.sqrt(np.maximum(sums(length**2) / np.maximum(words, 1) - mean**2, 0))
     h = c.span_hashes(c.LOWER[data], ws, we)
-    own = h ^ c.mix(row.astype(np.uint64) + np.uint64(1))
+    own = c.in_row(h, row)
     order = np.argsort(own, kind="stable")
     s = own[order]
     first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
@@ -67,7 +67,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
     sh, at = c.shingles(h, row, 3)
     covered = np.zeros(len(h), bool)
-    twice = at[c.repeated(sh ^ c.mix(row[at].astype(np.uint64) + np.uint64(1)))]
+    twice = at[c.repeated(c.in_row(sh, row[at]))]
     for j in range(3):
         covered[twice + j] = True
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
@@ -77,7 +77,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     has = full[le] > full[ls]
     ls, le, lrow = ls[has], le[has], lrow[has]
     lines = np.bincount(lrow, minlength=n).astype(float)
-    again = np.bincount(lrow[c.later(c.span_hashes(data, ls, le) ^ c.mix(lrow.astype(np.uint64) + np.uint64(1)))], minlength=n).astype(float)
+    again = np.bincount(lrow[c.later(c.in_row(c.span_hashes(data, ls, le), lrow))], minlength=n).astype(float)
     upper, alpha = total(_UPPER[data]), total(_ALPHA[data])
     columns = (
         np.log1p(words), np.log1p(mean), np.log1p(spread), odds(upper, alpha), odds(total(_DIGIT[data]), chars), odds(total(_SYMBOL[data]), chars),
@@ -168,18 +168,30 @@ def fit(train: DataFrame) -> Model | None:
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """A row per document: doc_id, held_out, score, predicted."""
-    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _fold(x):
+    return F.pmod(F.crc32(x.cast("string").cast("binary")), F.lit(FOLDS))
+
+
+def _training(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (_fold(F.col("doc_id")) != 0))
+    return c.cut(stats.join(marked, "doc_id").select("stats", "label"), "train")
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, stats) of each document, written once."""
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = statistics(*c.flat(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, DIM), pa.int32()), pa.array(x.ravel()))], names=["doc_id", "stats"])
 
-    base = c.cut(c.map_text(df, measure, "doc_id long, stats array<double>"), "stats")
-    fold = lambda x: F.pmod(F.crc32(x.cast("string").cast("binary")), F.lit(FOLDS))
-    marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != 0))
-    model = fit(c.cut(base.join(marked, "doc_id").select("stats", "label"), "train"))
+    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return c.cut(c.map_text(df, measure, "doc_id long, stats array<double>"), "stats")
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """A row per document: doc_id, held_out, score, predicted."""
+    base = measured(docs, id_col, text_col)
+    model = fit(_training(base, labels, id_col, label_col))
 
     def scores(batches):
         for batch in batches:
@@ -188,4 +200,17 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
     out = base.mapInArrow(scores, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, all columns, that the classifier predicts as good. Each row's own text decides, so ids need not be unique."""
+    model = fit(_training(measured(docs, id_col, text_col), labels, id_col, label_col))
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(model.score(statistics(*c.flat(batch.column(at)))) >= THRESHOLD))
+
+    return c.map_text(docs, good, docs.schema, text_col)
