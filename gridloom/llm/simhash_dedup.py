@@ -73,7 +73,7 @@ def fingerprints(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
         starts = [0, *(e + 1 for e in ends)]
         h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
         out[i] = _bits_over_half(h)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), _binaries(out[:, None])], names=["doc_id", "fp", "bits"])
 
 
 # --- buckets -----------------------------------------------------------------------------------------
@@ -94,18 +94,24 @@ def masks(blocks: int, agree: int) -> list[int]:
     return [sum(x) for x in combinations(own, agree)]
 
 
-def pivots(m: int = PIVOTS) -> np.ndarray:
-    return c.mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def pivots(words: int = 1) -> np.ndarray:
+    """The reference fingerprints, a row of 64-bit words each."""
+    return c.mix(np.arange(1, PIVOTS * words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(PIVOTS, words)
 
 
-def links(fp: np.ndarray, key: np.ndarray, radius: int, table: np.ndarray | None = None, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, a row of words each."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
+
+
+def links(fp: np.ndarray, key: np.ndarray, radius: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links inside each run of equal keys (rows are sorted by key, then by the first pivot's distance).
 
     With other, only pairs of rows whose other differs count."""
     n = len(fp)
     parent = np.arange(n)
-    refs = pivots()
-    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8) if table is None else table
+    refs = pivots(fp.shape[1])
+    table = np.stack([distance(fp, r) for r in refs]).astype(np.int16)
     found_a: list[np.ndarray] = []
     found_b: list[np.ndarray] = []
 
@@ -118,22 +124,21 @@ def links(fp: np.ndarray, key: np.ndarray, radius: int, table: np.ndarray | None
     left = np.arange(n - 1)
     step = 1
     while left.size:
+        left = left[left + step < n]
         right = left + step
-        ok = right < n
-        left, right = left[ok], right[ok]
-        ok = (key[left] == key[right]) & (table[right, 0] - table[left, 0] <= radius)  # sorted: beyond this, no later row of the bucket is near
+        ok = (key[left] == key[right]) & (table[0, right] - table[0, left] <= radius)  # sorted: beyond this, no later row of the bucket is near
         left, right = left[ok], right[ok]
         a, b = left, right
         if other is not None:
             ok = other[a] != other[b]
             a, b = a[ok], b[ok]
-        for p in range(1, PIVOTS):
+        for coordinate in table[1:]:
             if not a.size:
                 break
-            ok = np.abs(table[a, p] - table[b, p]) <= radius
+            ok = np.abs(coordinate[a] - coordinate[b]) <= radius
             a, b = a[ok], b[ok]
         if a.size:
-            ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            ok = distance(fp[a], fp[b]) <= radius
             a, b = a[ok], b[ok]
         while a.size:
             ra, rb = root(a), root(b)
@@ -151,8 +156,12 @@ def links(fp: np.ndarray, key: np.ndarray, radius: int, table: np.ndarray | None
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
 
-def _edges(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Each forest's edges, from each member to the smallest fingerprint of its tree."""
+_BUCKET_SCHEMA = "a long, b long, bucket long, chunk int, near int, fp binary"
+_NAMES = ["a", "b", "bucket", "chunk", "near", "fp"]
+
+
+def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each forest's edges, from each member to the smallest node of its tree."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -160,104 +169,113 @@ def _edges(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    s = fp.view(np.int64)
-    for x, y in zip(s[a].tolist(), s[b].tolist(), strict=True):
+    for x, y in zip(node[a].tolist(), node[b].tolist(), strict=True):
         x, y = root(x), root(y)
         if x != y:
             parent[max(x, y)] = min(x, y)
     pairs = [(x, r) for x in parent if (r := root(x)) != x]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], names=["a", "b", "bucket", "chunk", "near"])
+    n = len(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_NAMES)
+
+
+def _matrix(col: pa.Array, words: int) -> np.ndarray:
+    """Fixed-length binaries as rows of 64-bit words."""
+    if not len(col):
+        return np.zeros((0, words), np.uint64)
+    start = np.frombuffer(col.buffers()[1], np.int32)[col.offset]
+    return np.frombuffer(col.buffers()[2], np.uint8)[start : start + 8 * words * len(col)].view(np.uint64).reshape(-1, words)
+
 
+def _binaries(fp: np.ndarray) -> pa.Array:
+    n, words = fp.shape
+    offsets = np.arange(0, 8 * words * (n + 1), 8 * words, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(fp).tobytes())])
 
-_BUCKET_SCHEMA = "a long, b long, bucket long, chunk int, near int"
 
+def _last_start(key: np.ndarray) -> int:
+    return int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
 
-def _bucket_task(radius: int, most: int):
-    """Over rows (bucket, fp, d0) sorted by bucket and d0: edges; a bucket over most rows leaves as rows of numbered chunks instead."""
+
+def _bucket_task(radius: int, words: int, most: int):
+    """Over rows (bucket, node, fp) sorted by bucket and first distance: edges; a bucket over most rows leaves as rows of numbered chunks instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size, big, count = 0, None, 0
+        first = pivots(words)[0]
 
-        def big_rows(k: int, f: np.ndarray, first: int) -> pa.RecordBatch:
-            d = np.bitwise_count(f.view(np.uint64) ^ pivots()[0]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(f), pa.nulls(len(f), pa.int64()), pa.array(np.full(len(f), k)), pa.array(((first + np.arange(len(f))) // most).astype(np.int32)), pa.array(d)], names=["a", "b", "bucket", "chunk", "near"])
+        def big_rows(k: int, node: np.ndarray, f: np.ndarray, start: int) -> pa.RecordBatch:
+            n = len(node)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, k)), pa.array(((start + np.arange(n)) // most).astype(np.int32)), pa.array(distance(f, first)), _binaries(f)], names=_NAMES)
 
-        def solve(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            u = f.view(np.uint64)
-            a, b = links(u, k, radius)
-            return _edges(u, a, b)
+        def solve(k: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = links(f, k, radius)
+            if len(a):
+                yield _edges(node, a, b)
 
         for batch in batches:
-            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            k, node, f = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), words)
             if not len(k):
                 continue
             if big is not None:
                 n = int(np.searchsorted(k != big, True)) if k[0] == big else 0
                 if n:
-                    yield big_rows(big, f[:n], count)
+                    yield big_rows(big, node[:n], f[:n], count)
                     count += n
-                    k, f = k[n:], f[n:]
+                    k, node, f = k[n:], node[n:], f[n:]
                     if not len(k):
                         continue
                 big = None
-            held.append((k, f))
+            held.append((k, node, f))
             size += len(k)
             if size < most:
                 continue
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = int(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[-1])  # where the last, perhaps unfinished bucket begins
-            if at and (out := solve(k[:at], f[:at])).num_rows:
-                yield out
-            k, f = k[at:], f[at:]
+            k, node, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            if at := _last_start(k):  # the last bucket may be unfinished
+                yield from solve(k[:at], node[:at], f[:at])
+            k, node, f = k[at:], node[at:], f[at:]
             if len(k) > most:
                 big, count = int(k[0]), len(k)
-                yield big_rows(big, f, 0)
-                k, f = k[:0], f[:0]
-            held, size = [(k, f)], len(k)
+                yield big_rows(big, node, f, 0)
+                k, node, f = k[:0], node[:0], f[:0]
+            held, size = [(k, node, f)], len(k)
         if size:
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            if (out := solve(k, f)).num_rows:
-                yield out
+            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _chunk_task(radius: int):
-    """Over rows (pair, side, fp) sorted by pair and distance: edges between the two chunks of each pair, or within one."""
+def _chunk_task(radius: int, words: int):
+    """Over rows (pair, side, node, fp) sorted by pair and first distance: edges between the two chunks of each pair, or within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def solve(p: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(p: np.ndarray, s: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             for part in np.split(np.arange(len(p)), np.flatnonzero(p[1:] != p[:-1]) + 1):
-                u, other = f[part].view(np.uint64), s[part]
-                a, b = links(u, p[part], radius, other=other if other.any() and not other.all() else None)
-                if (out := _edges(u, a, b)).num_rows:
-                    yield out
+                other = s[part]
+                a, b = links(f[part], p[part], radius, other if other.any() and not other.all() else None)
+                if len(a):
+                    yield _edges(node[part], a, b)
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            p, s, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = int(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))[-1]) if len(p) else 0
-            if at:
-                yield from solve(p[:at], s[:at], f[:at])
-            held = [(p[at:], s[at:], f[at:])]
+            held.append((*(batch.column(i).to_numpy() for i in range(3)), _matrix(batch.column(3), words)))
+            now = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            if len(now[0]) and (at := _last_start(now[0])):
+                yield from solve(*(x[:at] for x in now))
+                now = tuple(x[at:] for x in now)
+            held = [now]
         if held and len(held[0][0]):
             yield from solve(*held[0])
 
     return run
 
 
-def fingerprint_edges(fps: DataFrame, radius: int, n: int, most: int = MOST) -> DataFrame:
-    """Edges (a, b) that connect what links connect, from distinct fingerprints (column fp)."""
-    first = int(pivots()[0].view(np.int64))
-    all_masks = masks(*scheme(n, radius))
-    signed = [m - (1 << 64) if m >> 63 else m for m in all_masks]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
-    rows = fps.select(F.explode(keys).alias("bucket"), "fp", F.bit_count(F.col("fp").bitwiseXOR(F.lit(first))).alias("d0"))
-    found = rows.repartition("bucket").sortWithinPartitions("bucket", "d0").select("bucket", "fp").mapInArrow(_bucket_task(radius, most), _BUCKET_SCHEMA)
-    found = c.cut(found, "links")
+def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST) -> DataFrame:
+    """Edges (a, b) that connect what links within buckets connect, from rows (bucket, node, fp, d0); d0 is the distance to the first pivot."""
+    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "d0").select("bucket", "node", "fp")
+    c.small_batches(rows.sparkSession)
+    found = c.cut(sorted_rows.mapInArrow(_bucket_task(radius, words, most), _BUCKET_SCHEMA), "links")
     edges = found.filter("b is not null").select("a", "b")
     big = found.filter("b is null")
     if big.isEmpty():
@@ -269,11 +287,80 @@ def fingerprint_edges(fps: DataFrame, radius: int, n: int, most: int = MOST) ->
         F.col("x.bucket").alias("bucket"), F.col("x.chunk").alias("one"), F.col("y.chunk").alias("two"), F.xxhash64("x.bucket", "x.chunk", "y.chunk").alias("pair")
     )
     sides = c.cut(pairs.select("bucket", "pair", F.col("one").alias("chunk"), F.lit(0).alias("side")).union(pairs.filter("one < two").select("bucket", "pair", F.col("two").alias("chunk"), F.lit(1).alias("side"))), "chunks")
-    met = big.select("bucket", "chunk", F.col("a").alias("fp"), "near").join(sides, ["bucket", "chunk"])
-    more = met.repartition("pair").sortWithinPartitions("pair", "near").select("pair", "side", "fp").mapInArrow(_chunk_task(radius), _BUCKET_SCHEMA)
+    met = big.select("bucket", "chunk", F.col("a").alias("node"), "fp", "near").join(sides, ["bucket", "chunk"])
+    more = met.repartition("pair").sortWithinPartitions("pair", "near").select("pair", "side", "node", "fp").mapInArrow(_chunk_task(radius, words), _BUCKET_SCHEMA)
     return edges.union(more.select("a", "b"))
 
 
+def fingerprint_edges(fps: DataFrame, radius: int, n: int, most: int = MOST) -> DataFrame:
+    """Edges that connect what links connect, from distinct 64-bit fingerprints (fp, and as bytes: bits): buckets by agreeing blocks."""
+    first = int(pivots()[0, 0].view(np.int64))
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(*scheme(n, radius))]
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
+    rows = fps.select(F.explode(keys).alias("bucket"), F.col("fp").alias("node"), F.col("bits").alias("fp"), F.bit_count(F.col("fp").bitwiseXOR(F.lit(first))).alias("d0"))
+    return bucket_edges(rows, radius, 1, most)
+
+
+# --- documents of high similarity -----------------------------------------------------------------------
+
+#: For texts that share at least SIMILARITY of their five-word shingles: words of a fingerprint, and the smallest
+#: shingle hashes that are a text's buckets. Two sets with Jaccard similarity J share one of the smallest KEYS but
+#: for about (1 - J) ** KEYS of the cases; their cosine is 2 J / (1 + J), so their fingerprints differ in
+#: acos(cosine) / pi of the bits, give or take a few.
+WORDS, KEYS, SIMILARITY = 8, 8, 0.8
+
+
+def radius_of(similarity: float, words: int = WORDS) -> int:
+    """The expected distance of texts of that similarity, and half a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * words
+    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def sketches(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """(node, fp, d0, keys) of rows (node, text): the fingerprint of the set of shingles, and its smallest hashes."""
+    data, off = c.flat(batch.column(1))
+    ws, we = c.runs(c.SOLID[data], off)
+    row = np.searchsorted(off, ws, "right") - 1
+    h = c.span_hashes(c.LOWER[data], ws, we)
+    s, at = c.shingles(h, row, k)
+    edges = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
+    words = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    salts = c.mix(np.arange(1, WORDS + 1, dtype=np.uint64))
+    fp = np.zeros((batch.num_rows, WORDS), np.uint64)
+    keys: list[list[int]] = []
+    for i in range(batch.num_rows):
+        own = np.unique(s[edges[i] : edges[i + 1]])
+        if not len(own) and words[i + 1] > words[i]:
+            one = h[words[i] : words[i + 1]]
+            own = c.shingles(one, np.zeros(len(one), np.int64), len(one))[0]
+        keys.append(own[:KEYS].view(np.int64).tolist() or [0])
+        for j in range(WORDS if len(own) else 0):
+            fp[i, j] = _bits_over_half(c.mix(own ^ salts[j]))
+    return pa.RecordBatch.from_arrays([batch.column(0), _binaries(fp), pa.array(distance(fp, pivots(WORDS)[0])), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "d0", "keys"])
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each group the row with the least id (then text hash) stays."""
+    taken = {x.lower() for x in docs.columns}
+    node = next(n for n in ("llm_node", *(f"llm_node_{i}" for i in range(99))) if n not in taken)
+    rows = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    texts = rows.select(F.col(node).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    schema = "node long, fp binary, d0 int, keys array<long>"
+    made = c.cut(c.map_text(texts, lambda b: sketches(b, k), schema), "sketches")
+    # equal texts are one node; what they emit is equal too, so any of them will do
+    one = made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("d0").alias("d0"), F.any_value("keys").alias("keys"))
+    buckets = one.select(F.explode("keys").alias("bucket"), "node", "fp", "d0")
+    root = components(bucket_edges(buckets, radius_of(similarity), WORDS, most))
+    names = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("n")).distinct().join(root, F.col("n") == F.col("node"), "left")
+    chosen = names.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("id", "n")).alias("s")).select(F.col("s.id").alias("k1"), F.col("s.n").alias("k2"))
+    chosen = c.cut(chosen, "kept")
+    kept = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("k1")) & (F.col(node) == F.col("k2")), "left_semi")
+    if made.count() > names.count():  # equal rows, of which one stays
+        kept = kept.dropDuplicates([id_col, node])
+    return kept.drop(node)
+
+
 # --- components ---------------------------------------------------------------------------------------
 
 
@@ -304,9 +391,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, most: int = MOST) -> DataFrame:
     """A row per document: doc_id, fingerprint (16 hex digits), component_id, the least id of its component."""
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    base = c.cut(c.map_text(df, lambda b: fingerprints(b, k), "doc_id long, fp long"), "fingerprints")
-    own = c.cut(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(fingerprint_edges(own.select("fp"), radius, own.count(), most))
+    base = c.cut(c.map_text(df, lambda b: fingerprints(b, k), "doc_id long, fp long, bits binary"), "fingerprints")
+    own = c.cut(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("bits").alias("bits")), "distinct")
+    root = components(fingerprint_edges(own.select("fp", "bits"), radius, own.count(), most))
     groups = own.join(root, own["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     of = c.cut(groups.join(least, "root").select("fp", "component_id"), "groups")
