@@ -49,9 +49,10 @@ def row_cut(df: DataFrame, what: str, key: str = "rid") -> DataFrame:
     return cut(df.withColumn(key, F.monotonically_increasing_id()), what)
 
 
-def text_rows(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """Only the columns an operator works on, by their own names, whatever else the table has."""
-    return df.select(*(F.col(f"`{c}`") for c in (*keep, text)))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, whatever its extra columns are called."""
+    taken = {x.lower() for x in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"llm_{name}" + f"_{i}" * (i > 0)) not in taken) for name in names]
 
 
 # --- Arrow and bytes -----------------------------------------------------------------------------------

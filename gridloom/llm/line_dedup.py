@@ -72,16 +72,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from pyspark.sql import types as T
 
     docs = docs.drop(*RESULTS)
-    taken = {x.lower() for x in docs.columns}
-    key, hashed, cover = (next(n for n in (b, *(f"{b}_{i}" for i in range(99))) if n not in taken) for b in ("llm_id", "llm_hash", "llm_covered"))
+    key, hashed, cover, k1, k2 = c.fresh(docs, "id", "hash", "covered", "k1", "k2")
     rows = docs.withColumns({key: F.col(f"`{id_col}`"), hashed: F.xxhash64(F.col(f"`{text_col}`"))})
     kind = docs.schema[id_col].dataType.simpleString()
     found = c.cut(c.map_text(rows.select(F.col(key).alias("doc_id"), F.col(hashed).alias("text_hash"), F.col(f"`{text_col}`").alias("text")), windows, f"doc_id {kind}, text_hash long, pos int, w1 long, w2 long"), "windows")
     place = F.struct("doc_id", "text_hash", "pos")
     many = c.cut(found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first"), "repeated")
     later = found.join(many, ["w1", "w2"]).filter(place != F.col("first"))
-    covered = later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("pos")).select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"), F.col("pos").alias(cover))
-    met = rows.join(covered, F.col(key).eqNullSafe(F.col("k1")) & (F.col(hashed) == F.col("k2")), "left").drop("k1", "k2", key, hashed)
+    covered = later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("pos")).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2), F.col("pos").alias(cover))
+    met = rows.join(covered, F.col(key).eqNullSafe(F.col(k1)) & (F.col(hashed) == F.col(k2)), "left").drop(k1, k2, key, hashed)
     at_text, at_cover = met.columns.index(text_col), met.columns.index(cover)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -342,8 +342,7 @@ def sketches(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
     """The rows of docs, all columns, without near copies: of each group the row with the least id (then text hash) stays."""
-    taken = {x.lower() for x in docs.columns}
-    node = next(n for n in ("llm_node", *(f"llm_node_{i}" for i in range(99))) if n not in taken)
+    node, k1, k2 = c.fresh(docs, "node", "k1", "k2")
     rows = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     texts = rows.select(F.col(node).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = "node long, fp binary, d0 int, keys array<long>"
@@ -353,9 +352,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = one.select(F.explode("keys").alias("bucket"), "node", "fp", "d0")
     root = components(bucket_edges(buckets, radius_of(similarity), WORDS, most))
     names = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("n")).distinct().join(root, F.col("n") == F.col("node"), "left")
-    chosen = names.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("id", "n")).alias("s")).select(F.col("s.id").alias("k1"), F.col("s.n").alias("k2"))
+    chosen = names.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("id", "n")).alias("s")).select(F.col("s.id").alias(k1), F.col("s.n").alias(k2))
     chosen = c.cut(chosen, "kept")
-    kept = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("k1")) & (F.col(node) == F.col("k2")), "left_semi")
+    kept = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col(k1)) & (F.col(node) == F.col(k2)), "left_semi")
     if made.count() > names.count():  # equal rows, of which one stays
         kept = kept.dropDuplicates([id_col, node])
     return kept.drop(node)
