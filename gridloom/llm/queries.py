@@ -25,7 +25,7 @@ LISTED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "ca
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(c.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
 
 def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": sql.OP9}
+    return {"op1_line_dedup": sql.OP1, "op6_url_filter": sql.OP6, "op9_quality_rules": sql.OP9}

@@ -22,3 +22,27 @@ m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND boilerplate_words <= 0.5 * n_words AS kept FROM f
 """
+
+OP1 = rf"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+lines AS (SELECT doc_id, l, n, regexp_matches(l, '[^\x20\x09-\x0D]') AS solid,
+          CAST(sum(CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS k FROM raw),
+norm AS (SELECT doc_id, k, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS x FROM lines WHERE solid),
+w AS (SELECT doc_id, k, x AS a, lead(x, 1) OVER s AS b, lead(x, 2) OVER s AS c FROM norm WINDOW s AS (PARTITION BY doc_id ORDER BY k)),
+later AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM w WHERE c IS NOT NULL) WHERE r > 1),
+covered AS (SELECT DISTINCT doc_id, k + i AS k FROM later, range(3) t(i)),
+marked AS (SELECT lines.*, CASE WHEN solid THEN here.k IS NOT NULL ELSE here.k IS NOT NULL AND next.k IS NOT NULL END AS gone
+           FROM lines LEFT JOIN covered here ON here.doc_id = lines.doc_id AND here.k = lines.k LEFT JOIN covered next ON next.doc_id = lines.doc_id AND next.k = lines.k + 1),
+cleaned AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, c.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
+
+_LISTED = "regexp_matches('.' || host, '[.](adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$')"
+OP6 = rf"""
+WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+         FROM h JOIN rules ON ends_with('.' || host, '.' || rhost) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(verdict, CASE WHEN {_LISTED} THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN fits USING (page_id)
+"""
