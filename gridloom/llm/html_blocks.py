@@ -47,7 +47,7 @@ _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 #: Elements that a sibling's start tag ends.
 _IMPLIED = {"li": frozenset(["li"]), "p": frozenset(["p"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate_place", "article_place", "article_on_page", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate_place", "article_place", "article_on_page", "heading", "paragraph")
 
 
 @lru_cache(10_000)
@@ -68,28 +68,28 @@ def _cue(tag: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
     return int(bad), int(good), hidden
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int]]:
-    """The flat blocks: text, words, words in links, boilerplate place, article place, heading."""
-    out: list[tuple[str, int, int, int, int, int]] = []
+def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int]]:
+    """The flat blocks: text, words, words in links, boilerplate place, article place, heading, paragraph."""
+    out: list[tuple[str, int, int, int, int, int, int]] = []
     if not page:
         return out
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, int, bool]] = []
     bad = good = hidden = links = 0
-    heading = 0
+    heading = paragraph = 0
 
     def close() -> None:
-        nonlocal heading
+        nonlocal heading, paragraph
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined and not hidden:
                 n = joined.count(" ") + 1
                 in_links = min(n, len(entities.unescape("".join(linked)).split())) if linked else 0
-                out.append((joined, n, in_links, int(bad > 0), int(good > 0), heading))
+                out.append((joined, n, in_links, int(bad > 0), int(good > 0), heading, paragraph))
             text.clear()
             linked.clear()
-        heading = 0
+        heading = paragraph = 0
 
     at, size = 0, len(page)
     while at < size:
@@ -154,11 +154,12 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int]]:
             stack.append((tag, b, g, h))
             bad, good, hidden = bad + b, good + g, hidden + h
         heading = int(len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
+        paragraph = int(tag in ("p", "blockquote", "pre"))
     close()
     return out
 
 
-def features(found: list[tuple[str, int, int, int, int, int]]) -> np.ndarray:
+def features(found: list[tuple[str, int, int, int, int, int, int]]) -> np.ndarray:
     """A row of FEATURES for each block."""
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
@@ -170,14 +171,14 @@ def features(found: list[tuple[str, int, int, int, int, int]]) -> np.ndarray:
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
         x[:, 6], x[:, 7] = [b[3] for b in found], [b[4] for b in found]
         x[:, 8] = x[:, 7].any()
-        x[:, 9] = [b[5] for b in found]
+        x[:, 9], x[:, 10] = [b[5] for b in found], [b[6] for b in found]
     return x
 
 
 # --- the tree ------------------------------------------------------------------------------------------
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> tuple:
     """A tree by Gini impurity: (feature, threshold, lower branch, upper branch), or (share of main text,) for a leaf."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -224,14 +225,51 @@ LABELLED = (
     f"<form><p>Your name and address, please, so that we can send you the paper every week of the year.</p><p>Send</p></form><article><p data-main>{_S}</p><blockquote data-main>{_S}</blockquote><p data-main>Nobody spoke.</p><div class=share><a>Share</a></div><div class=comments><article><p>{_S}</p></article><p>First!</p></div></article>",
     f"<div class=banner><p>{_S}</p></div><div id=main><h1 data-main>Wind</h1><p data-main>{_S}</p><p data-main><a>{_S}</a></p><p data-main>{_L}</p></div><div class=footer><p>{_S}</p></div>",
     f"<article><h1 data-main>Snow</h1><p data-main>Short.</p><p data-main>Shorter.</p></article><div>Contact the editors by post only.</div><div><a>Top of the page</a></div><p>{_S}</p>",
+    f"<div><a>Home</a></div><div><a>World news</a></div><div><a>Sport and games</a></div><h1 data-main>The flood</h1><p data-main>{_S}</p><p data-main>Yes.</p><p data-main>{_L}</p><p data-main>That was all.</p><div>Imprint</div><div><a>Terms of use of this paper</a></div>",
+    f"<p data-main>{_S}</p><p data-main>So.</p><p data-main>No one spoke of it.</p><p data-main>{_S}</p>",
+    f"<section><h2 data-main>Rain</h2><p data-main>{_S}</p><p data-main>It rained.</p></section><div><a>{_S}</a></div><div><a>Ten more stories that you may want to read after this one</a></div>",
+    f"<div>Welcome to the paper</div><div>Search</div><div data-main>{_L}</div><div data-main>{_S}</div><div data-main>{_L}</div><div>Share this</div><div>Powered by paper</div>",
+    f"<table><tr><td><a>Front page</a></td><td><a>Letters to the editors</a></td></tr></table><h1 data-main>Late trains</h1><p data-main>{_S} <a>See the table</a></p><p data-main><a>A link</a> and nothing else but these few words.</p><p data-main>{_S}</p><ul><li><a>One story of many more</a></li><li><a>Two stories of many more</a></li><li><a>Three stories of many more</a></li></ul>",
+    f"<div><a>Up</a></div><h2 data-main>One</h2><p data-main>{_L}</p><h2 data-main>Two</h2><p data-main>Few words.</p><h2 data-main>Three</h2><p data-main>{_S}</p><p><a>Read the next chapter of this book here</a></p><div>Made with care in the lower town</div>",
+    f"<h3>Menu</h3><ul><li><a>A</a></li><li><a>B</a></li></ul><h1 data-main>Night</h1><p data-main>{_S}</p><p data-main>{_L}</p><h3>Links</h3><ul><li><a>C</a></li><li><a>D</a></li></ul><h3>Partners</h3><ul><li><a>E of the upper town</a></li></ul>",
+    f"<article><h1 data-main>Bread</h1><p data-main><a>Whole line in a link</a></p><ul><li data-main><a>Flour</a></li><li data-main>Salt</li></ul><p data-main>{_S}</p></article><p>{_S}</p><p><a>{_S}</a></p><div>{_L}</div>",
     f"<nav><a>One</a></nav><article><p data-main>{_S}</p><nav><a>Part two of this long story</a></nav><p data-main>{_L}</p><footer><p>Written by the night desk.</p></footer></article><p>{_L}</p>",
 )
 
 
+def made_pages(n: int = 60) -> list[str]:
+    """More labelled pages, by rule: blocks of all lengths, with and without links, in an article or in plain pages."""
+    rng = np.random.default_rng(1)
+    words = _L.split()
+
+    def block(tag: str, length: int, links: float, mark: str = "") -> str:
+        text = [words[int(k)] for k in rng.integers(0, len(words), length)]
+        cut = round(length * links)
+        inside = (f"<a>{' '.join(text[:cut])}</a> " if cut else "") + " ".join(text[cut:])
+        return f"<{tag}{mark}>{inside}</{tag}>"
+
+    def furniture(tag: str = "div") -> str:
+        return "".join(block(tag, int(rng.integers(1, 9)), float(rng.choice([0.0, 0.0, 1.0, 1.0, 1.0]))) for _ in range(rng.integers(1, 6)))
+
+    pages = []
+    for k in range(n):
+        if k % 2:  # an article says where the main text is
+            kinds = ["p", "p", "p", "li", "h2", "div", "td", "blockquote", "pre"]
+            body = "".join(block(str(rng.choice(kinds)), int(rng.choice([1, 2, 4, 9, 20, 45, 90])), float(rng.choice([0.0, 0.0, 0.0, 0.4, 1.0])), " data-main") for _ in range(rng.integers(1, 12)))
+            other = "".join(block(str(rng.choice(["p", "div"])), int(rng.choice([2, 9, 20, 60])), float(rng.choice([0.0, 0.0, 1.0]))) for _ in range(rng.integers(0, 3)))
+            side = block("p", int(rng.choice([3, 12, 30, 60])), float(rng.choice([0.0, 0.3])))
+            pages.append(f"<nav>{furniture('li')}</nav>{other if k % 4 == 1 else ''}<article>{body}<aside>{side}</aside></article>{other if k % 4 == 3 else ''}" + ("" if k % 3 else f"<footer>{side}</footer>"))
+        else:  # nothing but lengths, links and neighbours do
+            body = block("h1", int(rng.integers(2, 10)), 0.0, " data-main") * int(rng.random() < 0.8)
+            body += "".join(block("p", int(rng.choice([1, 3, 8, 15, 25, 40, 80])), float(rng.choice([0.0, 0.0, 0.0, 0.2])), " data-main") for _ in range(rng.integers(3, 10)))
+            pages.append((furniture() if rng.random() < 0.8 else "") + body + (furniture() if rng.random() < 0.8 else ""))
+    return pages
+
+
 @lru_cache(1)
 def trained() -> tuple:
     xs, ys = [], []
-    for page in LABELLED:
+    for page in (*LABELLED, *made_pages()):
         # the mark goes into the text, so that labelled blocks are found by the same parser
         marked = blocks(re.sub(r"<(\w+)([^>]*) data-main([^>]*)>", "<\\1\\2\\3>✓ ", page))
         xs.append(features([(t.removeprefix("✓ "), n - t.startswith("✓"), *rest) for t, n, *rest in marked]))
