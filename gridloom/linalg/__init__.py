@@ -2,13 +2,13 @@
 
 from ..operators.functional import dot, vdot
 from . import preconditioners
-from .direct import FactorizedSolve, SparseCholesky, SparseLU, cholesky, factorized, solve_many, sparse_cholesky, sparse_lu, splu, spsolve, spsolve_triangular, triangular_levels
+from .direct import FactorizedSolve, SparseCholesky, SparseLU, cholesky, diagonal_positions, factorized, solve_many, sparse_cholesky, sparse_lu, splu, spsolve, spsolve_triangular, triangular_levels
 from .info import SolverInfo
 from .interface import LinearOperator, aslinearoperator
 from .iterative import bicgstab, cg, gmres, minres
-from .spectral import eigs, eigsh, lanczos, svds
+from .spectral import arnoldi, eigs, eigsh, lanczos, normal_lanczos, svds
 
 __all__ = [
-    "FactorizedSolve", "LinearOperator", "SolverInfo", "SparseCholesky", "SparseLU", "aslinearoperator", "bicgstab", "cg", "cholesky", "dot", "eigs", "eigsh",
-    "factorized", "gmres", "lanczos", "minres", "preconditioners", "solve_many", "sparse_cholesky", "sparse_lu", "splu", "spsolve", "spsolve_triangular", "svds", "triangular_levels", "vdot",
+    "FactorizedSolve", "LinearOperator", "SolverInfo", "SparseCholesky", "SparseLU", "arnoldi", "aslinearoperator", "bicgstab", "cg", "cholesky", "diagonal_positions", "dot", "eigs", "eigsh",
+    "factorized", "gmres", "lanczos", "minres", "normal_lanczos", "preconditioners", "solve_many", "sparse_cholesky", "sparse_lu", "splu", "spsolve", "spsolve_triangular", "svds", "triangular_levels", "vdot",
 ]

@@ -82,6 +82,25 @@ def lanczos(a: SparseMatrix, k: int, *, v0: object = None, reorthogonalize: bool
     return (alphas, got.betas, _columns(s, got.vectors)) if return_basis else (alphas, got.betas)
 
 
+def arnoldi(a: SparseMatrix | LinearOperator, k: int, *, v0: object = None, distributed: bool | None = None):
+    """The k by k Hessenberg matrix of k Arnoldi steps, and the basis."""
+    _square(a)
+    if not 0 < k <= a.shape[0]:
+        raise ValueError(f"k must be between 1 and {a.shape[0]}")
+    s = space(a, distributed)
+    got = _krylov(s, s.matvec, a.shape[0], k, v0, False, restart=False)
+    return got.small, _columns(s, got.vectors)
+
+
+def normal_lanczos(a: SparseMatrix | LinearOperator, k: int, *, v0: object = None, distributed: bool | None = None):
+    """alphas, betas and basis of Lanczos on A.T A: two products a step, A.T A is never formed."""
+    if not 0 < k <= a.shape[1]:
+        raise ValueError(f"k must be between 1 and {a.shape[1]}")
+    s = space(a, distributed)
+    got = _krylov(s, lambda x: s.rmatvec(s.matvec(x)), a.shape[1], k, v0, True, restart=False)
+    return np.diag(got.small).copy(), got.betas, _columns(s, got.vectors)
+
+
 def _square(a: object) -> None:
     if not isinstance(a, (SparseMatrix, LinearOperator)):
         raise TypeError(f"expected a sparse matrix or an operator, got {type(a).__name__}")

@@ -355,6 +355,16 @@ def _lanczos(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(len(alphas), round(float(alphas.sum()), 6))], "steps long, x double")
 
 
+def _traced(s: SparkSession, make: Callable) -> DataFrame:
+    small = make(np.random.default_rng(3).standard_normal(24))
+    return s.createDataFrame([(len(small), round(float(small.sum()), 6))], "steps long, x double")
+
+
+q("arnoldi", lambda s, d: _traced(s, lambda v: np.diag(L.arnoldi(_path_laplacian(s), 24, v0=v)[0])), "SELECT 24::BIGINT AS steps, 46.0::DOUBLE AS x")
+q("normal_lanczos", lambda s, d: _traced(s, lambda v: L.normal_lanczos(diags(s, [-np.ones(23), np.ones(23)], [0, 1], shape=(23, 24)), 24, v0=v)[0]), "SELECT 24::BIGINT AS steps, 46.0::DOUBLE AS x")
+q("diagonal_positions", lambda s, d: L.diagonal_positions(a25(s, d)), f"WITH {A} SELECT i, CAST(r AS BIGINT) AS pos FROM (SELECT i, j, ROW_NUMBER() OVER (ORDER BY i, j) - 1 AS r FROM A) WHERE i = j")
+
+
 def _pagerank(s: SparkSession, d: str) -> DataFrame:
     """Three steps, each weighted by the links' share of their column."""
     a = a25(s, d).persist()
