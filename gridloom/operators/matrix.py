@@ -19,6 +19,8 @@ from .dense import Dense, dense
 
 #: Cells of a dense result that todense makes at most, unless told otherwise.
 DENSE_CELLS = 50_000_000
+#: Columns of a dense operand (of all batches) that travel side by side.
+WIDE = 64
 #: Rows of one block when counts become running sums.
 BLOCK = 1 << 16
 
@@ -267,6 +269,8 @@ class SparseMatrix:
     def _times(self, x: Dense, on: str, to: str, n: int) -> Dense:
         """The sum over on of cells times x, a row for each place of to."""
         extra = [c for c in x.keys if c != "i"]
+        if extra and self.dtype != V.COMPLEX and 0 < _rows(x) <= WIDE * x.shape[1 if x.batched else 0]:
+            return self._times_wide(x, on, to, n)
         side = small(x.df.select(F.col("i").alias("at"), *extra, "x"), _rows(x))
         prod = self.df.join(side, F.col(on) == F.col("at")).select(F.col(to).alias("i"), *extra, V.mul(self.dtype, F.col("v"), F.col("x")).alias("x"))
         frame = self._places(n)
@@ -282,6 +286,21 @@ class SparseMatrix:
             shape = (b, *shape)
         return self._filled(prod, x.keys, frame, shape, x.batched)
 
+    def _times_wide(self, x: Dense, on: str, to: str, n: int) -> Dense:
+        """The same with the operand's few columns (of all batches) side by side: a cell makes one row, not one per column."""
+        b, k = x.shape[0] if x.batched else 1, x.shape[-1] if "k" in x.keys else 1
+        number = (F.col("b") * k if x.batched else F.lit(0)) + (F.col("k") if "k" in x.keys else F.lit(0))
+        names = [f"x{t}" for t in range(b * k)]
+        wide = x.df.groupBy(F.col("i").alias("at")).agg(*(F.sum(F.when(number == t, F.col("x"))).alias(name) for t, name in enumerate(names)))
+        met = self.df.join(small(wide, x.shape[1 if x.batched else 0], 16 + 8 * len(names)), F.col(on) == F.col("at"))
+        rows = met.select(F.col(to).alias("i"), *((F.col("v") * F.col(c)).alias(c) for c in names))
+        zero = self._places(n).select("i", *(F.lit(0.0).alias(c) for c in names))
+        sums = rows.union(zero).groupBy("i").agg(*(F.sum(c).alias(c) for c in names))
+        long = sums.select("i", F.posexplode(F.array(*names)).alias("t", "x"))
+        keys = [*([F.floor(F.col("t") / k).alias("b")] if x.batched else []), F.col("i"), *([(F.col("t") % k).cast("long").alias("k")] if "k" in x.keys else [])]
+        shape = (*([b] if x.batched else []), n, *([k] if "k" in x.keys else []))
+        return Dense(long.select(*keys, "x"), shape, self.dtype, x.batched)
+
     def matvec(self, x: object) -> Dense:
         """A @ x; empty rows give 0."""
         x = self._operand(x, self.n_cols)
