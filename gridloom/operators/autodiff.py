@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.lineage import small
 from .dense import Dense
-from .matrix import SparseMatrix, _rows
+from .matrix import WIDE, SparseMatrix, _rows
 
 
 def matvec_data_vjp(a: SparseMatrix, x: Dense, y_bar: Dense) -> SparseMatrix:
@@ -18,8 +21,19 @@ def matvec_data_vjp(a: SparseMatrix, x: Dense, y_bar: Dense) -> SparseMatrix:
     return a._like(out.select("i", "j", V.mul(a.dtype, F.col("g"), V.conj(a.dtype, F.col("x"))).alias("v")))
 
 
+def _side_by_side(x: Dense, prefix: str) -> DataFrame:
+    """A row per place (column prefix) with the columns of x as prefix0, prefix1, ..."""
+    n = x.shape[1]
+    df = x.df.groupBy(F.col("i").alias(prefix)).agg(*(F.sum(F.when(F.col("k") == t, F.col("x"))).alias(f"{prefix}{t}") for t in range(n)))
+    return small(df, x.shape[0], 16 + 8 * n)
+
+
 def matmul_data_vjp(a: SparseMatrix, x: Dense, y_bar: Dense) -> SparseMatrix:
     """The same for A @ X: summed over the columns, at the stored places (a dense product, sampled)."""
+    if a.dtype != V.COMPLEX and 0 < x.shape[1] <= WIDE:
+        left, right = (_side_by_side(d, p) for d, p in ((y_bar, "g"), (x, "x")))
+        met = a.df.select("i", "j").join(left, F.col("i") == F.col("g")).join(right, F.col("j") == F.col("x"))
+        return a._like(met.select("i", "j", reduce(lambda s, t: s + t, (F.col(f"g{k}") * F.col(f"x{k}") for k in range(x.shape[1]))).alias("v")))
     pattern = a.df.select("i", "j").distinct()
     left = y_bar.df.select(F.col("i").alias("r"), "k", F.col("x").alias("g"))
     right = x.df.select(F.col("i").alias("c"), F.col("k").alias("k2"), F.col("x").alias("x"))
