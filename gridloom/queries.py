@@ -194,8 +194,8 @@ q("nnz", lambda s, d: s.createDataFrame([(qd(s, d).nnz, qd(s, d).canonicalize().
 q("canonicalize", lambda s, d: _m(qd(s, d).canonicalize()), f"WITH {Q} SELECT * FROM Q")
 q(
     "sum_duplicates_keep_zero",
-    lambda s, d: _m((a := qd(s, d))._like(a.df.union(a.df.filter("j % 2 = 0").select("i", "j", (-F.col("v")).alias("v")))).sum_duplicates()),
-    f"WITH {QD} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM Qd UNION ALL SELECT i, j, -v FROM Qd WHERE j % 2 = 0) GROUP BY i, j",
+    lambda s, d: _m((a := qd(s, d))._like(a.df.union(a.df.select("i", "j", (-F.col("v")).alias("v")))).sum_duplicates()),
+    f"WITH {QD} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM Qd UNION ALL SELECT i, j, -v FROM Qd) GROUP BY i, j",
 )
 
 # --- projections, filters, layouts
@@ -241,12 +241,24 @@ for _name, _f in (("random_array", lambda s: random_array(s, (300, 500), density
 
 # --- sums of matrices and blocks
 q("add", lambda s, d: _m(add(a := a25(s, d), a.T)), f"WITH {A} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM A UNION ALL SELECT j, i, v FROM A) GROUP BY i, j HAVING SUM(v) <> 0")
-q("subtract", lambda s, d: _m(subtract(a := qd(s, d), a._like(a.df.filter("j % 2 = 0")))), f"WITH {QD} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM Qd UNION ALL SELECT i, j, -v FROM Qd WHERE j % 2 = 0) GROUP BY i, j HAVING SUM(v) <> 0")
-q("kron", lambda s, d: _m(kron(a := a25(s, d), a._like(a.df.filter("i < 3 and j < 3"), (3, 3)))), f"WITH {A}, P AS (SELECT * FROM A WHERE i < 3 AND j < 3) SELECT A.i * 3 + P.i AS i, A.j * 3 + P.j AS j, A.v * P.v AS v FROM A CROSS JOIN P")
+q(
+    "subtract",  # half of the cells cancel
+    lambda s, d: _m(subtract(a := qd(s, d), a._like(a.df.withColumn("v", F.col("v") + F.col("j") % 2)))),
+    f"WITH {QD} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM Qd UNION ALL SELECT i, j, -(v + j % 2) FROM Qd) GROUP BY i, j HAVING SUM(v) <> 0",
+)
+P5 = "P AS (SELECT i // 5 AS i, j // 5 AS j, SUM(v) AS v FROM A GROUP BY 1, 2)"
+
+
+def _coarse(a: SparseMatrix) -> SparseMatrix:
+    """The matrix between groups of five nations."""
+    return a._like(a.df.groupBy(F.floor(F.col("i") / 5).alias("i"), F.floor(F.col("j") / 5).alias("j")).agg(F.sum("v").alias("v")), (5, 5))
+
+
+q("kron", lambda s, d: _m(kron(a := a25(s, d), _coarse(a))), f"WITH {A}, {P5} SELECT A.i * 5 + P.i AS i, A.j * 5 + P.j AS j, A.v * P.v AS v FROM A CROSS JOIN P")
 q(
     "kronsum",
-    lambda s, d: _m(kronsum(a := a25(s, d), a._like(a.df.filter("i < 3 and j < 3"), (3, 3)))),
-    f"WITH {A}, P AS (SELECT * FROM A WHERE i < 3 AND j < 3) SELECT i, j, SUM(v) AS v FROM (SELECT e * 25 + i AS i, e * 25 + j AS j, v FROM A, range(3) r(e) UNION ALL SELECT i * 25 + e, j * 25 + e, v FROM P, range(25) r(e)) GROUP BY i, j HAVING SUM(v) <> 0",
+    lambda s, d: _m(kronsum(a := a25(s, d), _coarse(a))),
+    f"WITH {A}, {P5} SELECT i, j, SUM(v) AS v FROM (SELECT e * 25 + i AS i, e * 25 + j AS j, v FROM A, range(5) r(e) UNION ALL SELECT i * 25 + e, j * 25 + e, v FROM P, range(25) r(e)) GROUP BY i, j HAVING SUM(v) <> 0",
 )
 for _name, _f in (("block_array", block_array), ("bmat", bmat)):
     q(_name, lambda s, d, f=_f: _m(f([[a := a25(s, d), None], [a.T, a]])), f"WITH {A} SELECT * FROM A UNION ALL SELECT j + 25, i, v FROM A UNION ALL SELECT i + 25, j + 25, v FROM A")
