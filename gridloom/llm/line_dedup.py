@@ -1,12 +1,12 @@
 """Line dedup by overlapping windows of three lines.
 
-The lines of a text that have a word are hashed (trimmed, A-Z lower-cased); each three in a row are a window. A
-window that occurs again, in the same or another text, is kept where it occurs first, in the order of id, text hash
+The lines of a text that have a word are hashed (trimmed, A-Z lower-cased); each three in a row are a window, and a
+text with only one or two such lines is one window, which only a text of the same lines repeats. A window that occurs again, in the same or another text, is kept where it occurs first, in the order of id, text hash
 and position. In every later occurrence its lines are covered; covered lines that touch are merged to spans, and
 the spans go, with the blank lines inside them.
 
-Null ids come first in that order and null texts stay null; texts with fewer than three lines with words have no
-window and stay as they are; rows with equal id and text are one text and treated alike; an empty table gives an
+Null ids come first in that order and null texts stay null; texts without words have no window and stay as they are;
+rows with equal id and text are one text and treated alike; an empty table gives an
 empty result. Extra columns pass through, but those named as a result (n_lines, n_removed, removed) give way to it.
 """
 
@@ -41,7 +41,15 @@ def windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     first, last = ws[np.searchsorted(ws, ls)], we[np.searchsorted(we, le, "right") - 1]
     h = c.span_hashes(c.LOWER[data], first, last)
     w1, at = c.shingles(h, lrow, WINDOW)
-    w2, _ = c.shingles(c.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), lrow, WINDOW)
+    h2 = c.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    w2, _ = c.shingles(h2, lrow, WINDOW)
+    count = np.bincount(lrow, minlength=batch.num_rows)
+    for n in range(1, WINDOW):  # the short texts, each with a key that tells its number of lines
+        short, place = c.shingles(h, lrow, n)
+        own = count[lrow[place]] == n
+        w1 = np.concatenate([w1, c.mix(short[own] + np.uint64(n))])
+        w2 = np.concatenate([w2, c.mix(c.shingles(h2, lrow, n)[0][own] + np.uint64(n))])
+        at = np.concatenate([at, place[own]])
     row = lrow[at]
     pos = at - np.searchsorted(lrow, row)
     take = pa.array(row)
@@ -54,7 +62,7 @@ def strip(text: str, covered: list[int]) -> tuple[str, list[tuple[int, int]], in
     solid = [i for i, line in enumerate(lines) if any(ch not in " \t\n\x0b\x0c\r" for ch in line)]
     spans: list[tuple[int, int]] = []
     before = None
-    for k in sorted(covered):
+    for k in sorted(k for k in covered if k < len(solid)):
         if before is not None and k == before + 1:
             spans[-1] = (spans[-1][0], solid[k] + 1)
         else:
@@ -87,8 +95,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         texts, counts, gone, spans = batch.column(at_text).to_pylist(), [], [], []
         for i, (text, pos) in enumerate(zip(texts, batch.column(at_cover).to_pylist(), strict=True)):
             if pos:
-                lines = sorted({p + j for p in pos for j in range(WINDOW)})
-                texts[i], found, n = strip(text, lines)
+                texts[i], found, n = strip(text, list({p + j for p in pos for j in range(WINDOW)}))
             else:
                 found, n = [], text.count("\n") + 1 if text is not None else 0
             counts.append(n)

@@ -29,8 +29,8 @@ lines AS (SELECT doc_id, l, n, regexp_matches(l, '[^\x20\x09-\x0D]') AS solid,
           CAST(sum(CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS k FROM raw),
 norm AS (SELECT doc_id, k, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS x FROM lines WHERE solid),
 w AS (SELECT doc_id, k, x AS a, lead(x, 1) OVER s AS b, lead(x, 2) OVER s AS c FROM norm WINDOW s AS (PARTITION BY doc_id ORDER BY k)),
-later AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM w WHERE c IS NOT NULL) WHERE r > 1),
-covered AS (SELECT DISTINCT doc_id, k + i AS k FROM later, range(3) t(i)),
+later AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM w WHERE c IS NOT NULL OR k = 1) WHERE r > 1),
+covered AS (SELECT DISTINCT later.doc_id, norm.k FROM later JOIN norm ON norm.doc_id = later.doc_id AND norm.k BETWEEN later.k AND later.k + 2),
 marked AS (SELECT lines.*, CASE WHEN solid THEN here.k IS NOT NULL ELSE here.k IS NOT NULL AND next.k IS NOT NULL END AS gone
            FROM lines LEFT JOIN covered here ON here.doc_id = lines.doc_id AND here.k = lines.k LEFT JOIN covered next ON next.doc_id = lines.doc_id AND next.k = lines.k + 1),
 cleaned AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_removed FROM marked GROUP BY doc_id)

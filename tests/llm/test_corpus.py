@@ -90,10 +90,10 @@ def plain_line_dedup(rows):
     for r in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = solid[r]
         gone = set()
-        for p in range(len(lines) - 2):
+        for p in range(max(min(1, len(lines)), len(lines) - 2)):
             w = tuple(x for _, x in lines[p : p + 3])
             if seen.setdefault(w, (r, p)) != (r, p):
-                gone |= {p, p + 1, p + 2}
+                gone |= set(range(p, p + len(w)))
         all_lines = (r[1] or "").split("\n")
         drop = {lines[p][0] for p in gone} | {k for p in gone if p + 1 in gone for k in range(lines[p][0], lines[p + 1][0])}
         out[r] = None if r[1] is None else "\n".join(x for k, x in enumerate(all_lines) if k not in drop)
