@@ -32,6 +32,8 @@ from . import common as c
 
 K, THRESHOLD, RADIUS = 5, 0.8, 20
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 4000, 4 << 20
+#: Shingles of the windows that are fingerprinted at once.
+WINDOW_SHINGLES = 1 << 18
 
 
 def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +138,9 @@ class Items:
             if not len(starts):
                 continue
             best: dict[int, list] = {}
-            for at in range(0, len(starts), 4096):
-                some = starts[at : at + 4096]
+            step = max(1, WINDOW_SHINGLES // n)
+            for at in range(0, len(starts), step):
+                some = starts[at : at + step]
                 rows = s[some[:, None] + np.arange(n)]
                 for p, shingles, fp in zip(some.tolist(), rows, simhash(rows).tolist(), strict=True):
                     for i in index.near(fp):
