@@ -323,7 +323,7 @@ q("cg_matrix_free", _solved(spd, _local), _KNOWN)
 
 def _cholesky(s: SparkSession, d: str) -> DataFrame:
     low = L.cholesky(spd(s, d)).L
-    return low.matmat(low.T).df.select("i", "j", F.round("v", 3).alias("v"))
+    return low.matmat(low.T).df.select("i", "j", F.round("v", 3).alias("v")).filter("v != 0")
 
 
 def _lu(s: SparkSession, d: str) -> DataFrame:
