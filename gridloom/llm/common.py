@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at once; a longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +142,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of _BASE modulo 2**64, and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1

@@ -33,42 +33,165 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 SEQ, PER_SHARD, ROUNDS = 256, 1 << 16, 6
-CACHED = 500_000
+#: Slots of the table of parts, and the parts it holds at most.
+SLOTS, MOST = 1 << 21, 400_000
+
+
+_BLANK = c.byte_class(lambda b: 9 <= b <= 13 or 28 <= b <= 32)
+
+
+def _wide_blanks(data: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 sequence of a white-space character beyond ASCII begins."""
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if not len(lead):
+        return lead
+    pad = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, d = pad[lead], pad[lead + 1], pad[lead + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (((b == 0x80) & ((d <= 0x8A) | (d == 0xA8) | (d == 0xA9) | (d == 0xAF))) | ((b == 0x81) & (d == 0x9F)))
+    return lead[two | general | (a == 0xE1) & (b == 0x9A) & (d == 0x80) | (a == 0xE3) & (b == 0x80) & (d == 0x80)]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Tokenizer:
     """Ids of texts. A text in which single spaces stand between other characters is cut before them, where no token
-    reaches across, and parts that come often are looked up; any other text is encoded whole."""
+    reaches across. The parts are hashed and looked up in an open-addressing table, a whole batch at a time. Parts that
+    aren't there yet are encoded together: each begins with a space, no token but a part's first does, and so their
+    ids come apart again. Any other text is encoded whole."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
-        pairs = (line.split() for line in ranks.splitlines())
-        self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-        self._cache: dict[str, bytes | None] = {}
-
-    def _part(self, word: str) -> bytes | None:
-        regular = bool(word) and not word[0].isspace() and not word[-1].isspace()
-        ids = self._ids(" " + word) if regular else None
-        if len(word) <= 40:
-            if len(self._cache) >= CACHED:
-                self._cache.clear()
-            self._cache[word] = ids
-        return ids
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.own.encode_ordinary(text), "<u2").tobytes()
+        pairs = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines())}
+        self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
+        self._spaced = np.zeros(1 << 16, bool)
+        self._spaced[[i for token, i in pairs.items() if token[:1] == b" "]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self._keys, self._place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self._start, self._size, self._bytes = np.zeros(MOST, np.int64), np.zeros(MOST, np.int64), np.zeros(MOST, np.int64)
+        self._store, self._stored, self._known = np.zeros(1 << 20, np.uint16), 0, 0  # grows
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode_ordinary(text), "<u2")
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash's part, -1 if unknown."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            key = self._keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self._place[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, h: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        n, first = len(h), self._known
+        while self._stored + len(ids) > len(self._store):
+            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
+        self._store[self._stored : self._stored + len(ids)] = ids
+        self._start[first : first + n] = self._stored + np.cumsum(sizes) - sizes
+        self._size[first : first + n], self._bytes[first : first + n] = sizes, lengths
+        self._stored, self._known = self._stored + len(ids), first + n
+        left, slot = np.arange(n), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self._keys[slot] == 0
+            self._keys[slot[free]] = h[left[free]]
+            own = free & (self._keys[slot] == h[left])  # of several that want a slot, one has it
+            self._place[slot[own]] = first + left[own]
+            left, slot = left[~own], (slot[~own] + 1) & (SLOTS - 1)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, h: np.ndarray) -> None:
+        for i in np.flatnonzero(first):  # nothing stands before a text's first part
+            ids = self._ids(data[starts[i] : ends[i]].tobytes().decode())
+            self._add(h[i : i + 1], np.array([len(ids)]), ends[i : i + 1] - starts[i : i + 1], ids)
+        rest = np.flatnonzero(~first)
+        if not len(rest):
+            return
+        size = ends[rest] - starts[rest]
+        ids = self._ids(data[_ranges(starts[rest], size)].tobytes().decode())
+        edges = np.flatnonzero(self._spaced[ids])
+        if len(edges) != len(rest):  # never seen; one by one is right in any case
+            parts = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(starts[rest], ends[rest], strict=True)]
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        else:
+            counts = np.diff(np.append(edges, len(ids)))
+        self._add(h[rest], counts, size, ids)
+
+    def batch(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """(ids, bounds, whole): text r has ids[bounds[r]:bounds[r + 1]], or whole[r] if that is there."""
+        data, off = c.flat(col)
+        n = len(off) - 1
+        gaps = np.flatnonzero(data == 0x20)
+        starts = np.concatenate([off[:-1], gaps])
+        rows = np.concatenate([np.arange(n), np.searchsorted(off, gaps, "right") - 1])
+        order = np.argsort(starts, kind="stable")
+        # at one place: the empty texts that end there, the text that begins, its space
+        starts, rows, first = starts[order], rows[order], order < n
+        ends = np.append(starts[1:], off[-1])
+        size = ends - starts
+        filled = off[1:] > off[:-1]
+        odd = np.zeros(n, bool)
+        odd[rows[~first & (size == 1)]] = True
+        odd[rows[first & (size == 0)]] = True
+        inner = np.flatnonzero(~first & (size > 1))
+        odd[rows[inner[_BLANK[data[starts[inner] + 1]]]]] = True
+        some = np.flatnonzero(size > 0)
+        odd[rows[some[_BLANK[data[ends[some] - 1]] & ~((data[ends[some] - 1] == 0x20) & first[some])]]] = True
+        odd[np.searchsorted(off, _wide_blanks(data), "right") - 1] = True
+        # a text without a space is one part, whatever it ends with; it is encoded whole all the same
+        odd &= filled
+        use = np.flatnonzero(filled[rows] & ~odd[rows])
+        starts, ends, rows, first, size = starts[use], ends[use], rows[use], first[use], size[use]
+        h = np.maximum(c.span_hashes(data, starts, ends), np.uint64(1))
+        at = self._find(h)
+        wrong = (at >= 0) & (self._bytes[at] != size)
+        if (at < 0).any():
+            _, one = np.unique(h[at < 0], return_index=True)
+            new = np.flatnonzero(at < 0)[one]
+            if self._known + len(new) > MOST:
+                self._reset()
+                _, new = np.unique(h, return_index=True)
+            if len(new) > MOST:
+                wrong[:] = True
+            else:
+                self._learn(data, starts[new], ends[new], first[new], h[new])
+                at = self._find(h)
+                wrong = self._bytes[at] != size
+        if wrong.any():  # another part of that hash, or more parts than the table holds: whole texts
+            odd[rows[wrong]] = True
+            keep = ~odd[rows]
+            rows, at = rows[keep], at[keep]
+        counts = self._size[at]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, counts, n).astype(np.int64))])
+        ids = self._store[_ranges(self._start[at], counts)]
+        return ids, bounds, {int(r): self._ids(data[off[r] : off[r + 1]].tobytes().decode()) for r in np.flatnonzero(odd)}
+
+    def encode_all(self, col: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian 16-bit integers; of null none."""
+        ids, bounds, whole = self.batch(col)
+        data = ids.astype("<u2").tobytes()
+        for r, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+            yield whole[r].tobytes() if r in whole else data[2 * a : 2 * b]
+
+    def counts(self, col: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        _, bounds, whole = self.batch(col)
+        out = np.diff(bounds)
+        for r, ids in whole.items():
+            out[r] = len(ids)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 16-bit integers."""
-        first, *words = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._ids(text)
-        get, part = self._cache.get, self._part
-        try:
-            return b"".join([self._ids(first), *[get(w) or part(w) for w in words]])
-        except TypeError:  # a part is None: more than single spaces
-            return self._ids(text)
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 @lru_cache(1)
@@ -93,12 +216,6 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(texts: list[str | None], tokens: Tokenizer, seq: int) -> Iterator[bytes]:
-    end = END.to_bytes(2, "little")
-    for text in texts:
-        yield (tokens.encode(text) if text else b"") + end
-
-
 def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_id", text_col: str = "text", seq: int = SEQ, per_shard: int = PER_SHARD, key: int = 1) -> DataFrame:
     """A row per sequence: slot, shard, byte_at, doc_id, part, n_tokens, digest. folder gets the shards (any file system that pyarrow knows)."""
     from pyspark import TaskContext
@@ -108,7 +225,7 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer(ranks)
-        n = sum(-(-len(s) // (2 * seq)) for batch in batches for s in _sequences(batch.column(1).to_pylist(), tokens, seq))
+        n = sum(int((tokens.counts(part.column(1)) // seq + 1).sum()) for batch in batches for part in c.pieces(batch, "text"))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
     counts = dict(df.mapInArrow(count, "p int, n long").collect())
@@ -119,10 +236,10 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer(ranks)
-        p = TaskContext.get().partitionId()
+        p, end = TaskContext.get().partitionId(), END.to_bytes(2, "little")
         at = first.get(p, 0)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for batch in (part for batch in batches for part in c.pieces(batch, "text")):
+            ids = batch.column(0)
             rows: list[int] = []
             parts: list[int] = []
             sizes: list[int] = []
@@ -135,7 +252,8 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
                     names=["shard", "slot", "doc_id", "part", "n_tokens", "record"],
                 )
 
-            for i, s in enumerate(_sequences(texts, tokens, seq)):
+            for i, s in enumerate(tokens.encode_all(batch.column(1))):
+                s += end
                 for j in range(0, len(s), 2 * seq):
                     own = s[j : j + 2 * seq]
                     rows.append(i)
