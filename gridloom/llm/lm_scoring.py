@@ -4,11 +4,15 @@ Two bigram models with one vocabulary: the target's counts come from the documen
 background's from all documents. Vocabulary, order, smoothing and pruning are the same for both. A document's score
 is its mean loss per token under the target model less that under the background model; lower is nearer to the target.
 
-Words are runs of letters and digits of the lower-cased text. The vocabulary holds every word that makes up at least
-WORD_SHARE of the corpus's tokens, so it has at most 1 / WORD_SHARE words, whatever the corpus; other words are one
-unknown word. A bigram counts by itself if it makes up PAIR_SHARE of either corpus's tokens, so there are at most
-2 / PAIR_SHARE; other bigrams back off to the word (Jelinek-Mercer interpolation). Those bounds are the bounds of
-what is broadcast. All counts cover all documents: they are summed in each task, then by a shuffle.
+Words are runs of letters and digits of the lower-cased text. Every word and every bigram counts, however rare, and
+interpolates with the word (Jelinek-Mercer). The counts grow with the corpus, so they are never on one machine:
+documents are dealt by a hash of their id into chunks of about CHUNK bytes; a chunk passes on its own counts in blocks
+by range of the key, a block's task adds up each key over all chunks and answers each chunk in the order of its own
+keys, and the chunk's documents are scored with the answers. A key is once in a chunk, however often it stands there.
+
+A caller may ask for a smaller model by shares: then the vocabulary holds the words that make up word_share of the
+corpus's tokens, other words are one unknown word, and bigrams under pair_share of either corpus's tokens back off to
+the word. Both shares are 0, no pruning, unless given.
 
 Null and empty texts have no tokens and score 0; label rows that repeat count a document again for the target;
 null ids meet no label; an empty table gives an empty result.
@@ -16,6 +20,7 @@ null ids meet no label; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
 KEEP = 0.7
+#: Bytes of text in a chunk.
+CHUNK = 24 << 20
 #: Distinct keys that a task holds before it passes its sums on.
 HELD = 1_000_000
 
@@ -123,7 +129,7 @@ class Models:
         return n, out
 
 
-def fit(docs: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
+def fit(docs: DataFrame, target: DataFrame, word_share: float, pair_share: float) -> Models:
     """From two frames of texts (column text)."""
     count = c.cut(summed(docs, lambda col: tokens(col)[0].view(np.int64)), "words")
     total = count.agg(F.sum("n")).first()[0] or 0
@@ -150,16 +156,215 @@ def fit(docs: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair
     return Models(vocabulary, words, k[~one][order], np.stack([t[~one][order], b[~one][order]]).astype(float))
 
 
-def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+# --- every word and bigram ------------------------------------------------------------------------------
+
+
+def keyed(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words (even) and of the bigrams (odd), the words' rows, and the places of the bigrams' first words."""
+    h, row = tokens(col)
+    h &= ~np.uint64(1)
+    two, at = c.shingles(h, row, 2)
+    return h, two | np.uint64(1), row, at
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(chunk, kind, rows) of runs of rows that are sorted by the first two columns, chunk and kind."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        at = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(at, at[1:], strict=False):
+            yield int(chunk[lo]), int(kind[lo]), batch.slice(lo, hi - lo)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """64-bit integers by planes of bytes, compressed; what is small or sorted (as differences) takes few bytes."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T).view(np.int64).ravel()
+
+
+def block_of(k: np.ndarray, blocks: int) -> np.ndarray:
+    """Even ranges of the keys, in their order."""
+    return ((k >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def chunk_counts(blocks: int):
+    """(block, chunk, n, keys, t, b) from rows (chunk, kind, doc_id, n, text): first ids of the target and how often, then documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size, most = None, [], 0, HELD
+        ids: list[tuple[np.ndarray, np.ndarray]] = []
+        own = None
+
+        def merged() -> tuple[np.ndarray, ...]:
+            k, t, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            u, back = np.unique(k, return_inverse=True)
+            return u, np.bincount(back, t, len(u)).astype(np.int64), np.bincount(back, b, len(u)).astype(np.int64)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if parts:
+                k, t, b = merged()
+                at = np.searchsorted(block_of(k, blocks), np.arange(blocks + 1))
+                rows = [(i, now, hi - lo, pack(np.diff(k[lo:hi], prepend=np.uint64(0))), pack(t[lo:hi]), pack(b[lo:hi])) for i, (lo, hi) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if hi > lo]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), COUNTS.types, strict=True)], schema=COUNTS)
+
+        for chunk, kind, rows in runs_of(batches):
+            if chunk != now:
+                yield from done()
+                now, parts, size, most, ids, own = chunk, [], 0, HELD, [], None
+            if kind == 0:
+                ids.append((rows.column(2).to_numpy(), rows.column(3).to_numpy()))
+                continue
+            if own is None:
+                own, n = (np.concatenate(x) for x in zip(*ids, strict=True)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                order = np.argsort(own)
+                own, n = own[order], n[order]
+            for part in c.pieces(rows, "text"):
+                weight = np.zeros(part.num_rows, np.int64)
+                if len(own):
+                    doc = part.column(2)
+                    value = doc.fill_null(0).to_numpy()
+                    place = np.minimum(np.searchsorted(own, value), len(own) - 1)
+                    weight = np.where((own[place] == value) & doc.is_valid().to_numpy(zero_copy_only=False), n[place], 0)
+                words, pairs, row, at = keyed(part.column(4))
+                k, back = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+                parts.append((k, np.bincount(back, weight[np.concatenate([row, row[at]])], len(k)).astype(np.int64), np.bincount(back, minlength=len(k))))
+                size += len(k)
+                if size > most:
+                    parts = [merged()]
+                    size = len(parts[0][0])
+                    most = max(HELD, 2 * size)
+        yield from done()
+
+    return run
+
+
+def block_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of COUNTS sorted by block: to each chunk the totals of its keys, and a row (no chunk) of the block's words: how many, and their tokens."""
+    now, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        k = np.concatenate([np.cumsum(unpack(x[3], x[2]).view(np.uint64), dtype=np.uint64) for x in held])
+        u, back = np.unique(k, return_inverse=True)
+        t, b = (np.bincount(back, np.concatenate([unpack(x[i], x[2]) for x in held]), len(u)).astype(np.int64) for i in (4, 5))
+        word = u & np.uint64(1) == 0
+        yield out([(now, None, int(word.sum()), int(t[word].sum()), int(b[word].sum()), None, None)])
+        at = 0
+        for lo in range(0, len(held), 100):
+            rows = []
+            for x in held[lo : lo + 100]:
+                own = back[at : at + x[2]]
+                rows.append((now, x[1], x[2], None, None, pack(t[own]), pack(b[own])))
+                at += x[2]
+            yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), TOTALS.types, strict=True)], schema=TOTALS)
+
+    for batch in batches:
+        for x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if x[0] != now:
+                if held:
+                    yield from done()
+                now, held = x[0], []
+            held.append(x)
+    if held:
+        yield from done()
+
+
+COUNTS = pa.schema([("block", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary())])
+TOTALS = pa.schema([("block", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("sum_t", pa.int64()), ("sum_b", pa.int64()), ("t", pa.binary()), ("b", pa.binary())])
+
+
+def chunk_scores(size: int, totals: tuple[int, int]):
+    """Scores from rows (chunk, kind, block, n, t, b, doc_id, text): first the totals of the chunk's keys by block, then documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, docs = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            table = [np.concatenate([unpack(x[i], x[0]) for x in answers]) if answers else np.zeros(0, np.int64) for i in (1, 2)]
+            parts, held, most = [np.zeros(0, np.uint64)], 0, HELD
+            for part in (p for rows in docs for p in c.pieces(rows, "text")):
+                words, pairs, _, _ = keyed(part.column(7))
+                parts.append(np.unique(np.concatenate([words, pairs])))
+                held += len(parts[-1])
+                if held > most:
+                    parts = [np.unique(np.concatenate(parts))]
+                    held = len(parts[0])
+                    most = max(HELD, 2 * held)
+            keys = np.unique(np.concatenate(parts))
+            if len(keys) != len(table[0]):
+                raise RuntimeError("the documents have changed between two readings")
+            for part in (p for rows in docs for p in c.pieces(rows, "text")):
+                words, pairs, row, at = keyed(part.column(7))
+                one, two = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
+                n = np.bincount(row, minlength=part.num_rows)
+                loss = np.zeros((2, part.num_rows))
+                for m in (0, 1):
+                    p = (table[m][one] + 0.5) / (totals[m] + 0.5 * size)
+                    each = p.copy()
+                    each[at + 1] = KEEP * table[m][two] / np.maximum(table[m][one[at]], 1) + (1 - KEEP) * p[at + 1]
+                    loss[m] = np.bincount(row, -np.log(each), part.num_rows) / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([part.column(6), pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=NAMES)
+
+        for chunk, kind, rows in runs_of(batches):
+            if chunk != now:
+                yield from done()
+                now, answers, docs = chunk, [], []
+            if kind == 0:
+                answers += zip(*(rows.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+            else:
+                docs.append(rows)
+        yield from done()
+
+    return run
+
+
+NAMES = ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
+SCHEMA = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
+
+
+def whole_score(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Scores by the counts of every word and bigram; df: doc_id, text."""
+    spark = df.sparkSession
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(math.ceil(size / CHUNK), 2 * spark.sparkContext.defaultParallelism)
+    # the id, so that the target's ids meet their documents; rows without one go by their text
+    chunk = lambda key: F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")
+    docs_chunk = chunk(F.coalesce("doc_id", F.xxhash64("text")))
+    c.small_batches(spark)
+    null = lambda kind: F.lit(None).cast(kind)
+    target = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    first = target.select(chunk(F.col("doc_id")), F.lit(0).alias("kind"), "doc_id", "n", null("string").alias("text")).union(df.select(docs_chunk, F.lit(1), "doc_id", null("long"), "text"))
+    own = first.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(chunk_counts(chunks), "block int, chunk int, n int, keys binary, t binary, b binary")
+    summed_up = own.repartition("block").sortWithinPartitions("block").mapInArrow(block_totals, "block int, chunk int, n long, sum_t long, sum_b long, t binary, b binary")
+    totals = c.cut(summed_up, "totals")
+    words = totals.filter("chunk is null").agg(F.sum("n"), F.sum("sum_t"), F.sum("sum_b")).first()
+    answers = totals.filter("chunk is not null").select("chunk", F.lit(0).alias("kind"), "block", "n", "t", "b", null("long").alias("doc_id"), null("string").alias("text"))
+    both = answers.union(df.select(docs_chunk, F.lit(1), null("int"), null("long"), null("binary"), null("binary"), "doc_id", "text"))
+    # one more place than words, as for a word that the corpus doesn't have
+    scores = chunk_scores((words[0] or 0) + 1, (words[1] or 0, words[2] or 0))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "block").mapInArrow(scores, SCHEMA)
+
+
+def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 0.0, pair_share: float = 0.0) -> DataFrame:
     """A row per document: doc_id, n_tokens, loss_target, loss_background, score. target_ids: ids of the target's documents."""
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"))
+    if not word_share and not pair_share:
+        return whole_score(df, ids)
     # the ids grow with the corpus, so they are shuffled like the texts at any size, never broadcast
     target = df.join(ids.hint("merge"), "doc_id").select("text")
     models = df.sparkSession.sparkContext.broadcast(fit(df.select("text"), target, word_share, pair_share))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, loss = models.value.score(batch.column(1))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=NAMES)
 
-    return c.map_text(df, run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return c.map_text(df, run, SCHEMA)

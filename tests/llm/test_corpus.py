@@ -213,6 +213,19 @@ def test_lm_against_plain(spark):
         assert got[i] == pytest.approx(want[i], rel=1e-9)
 
 
+def test_lm_counts_every_word_and_bigram(spark):
+    """Enough tokens that a share of them is more than one: what occurs once still has its own count."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 1000) + f" once{i} then{i} " + sentence(rng, 10), "a") for i in range(150)]
+    target = [*range(0, 150, 3), 0, 999]
+    ids = spark.createDataFrame([(i,) for i in target] + [(None,)], "doc_id long")
+    got = {r.doc_id: (r.n_tokens, r.loss_target, r.loss_background) for r in lm.lm_score(docs_frame(spark, rows), ids).collect()}
+    want = plain_lm([(i, t) for i, t, _ in rows], [i for i in target if i < 150], 0, 0)
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i] == pytest.approx(want[i], rel=1e-9)
+
+
 def test_lm_odd(spark, odd, none):
     out = lm.lm_score(odd, odd.filter("doc_id > 3").select("doc_id")).collect()
     assert len(out) == odd.count() and all(math.isfinite(r.score) for r in out)
