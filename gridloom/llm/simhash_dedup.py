@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -104,23 +104,12 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
-def links(fp: np.ndarray, key: np.ndarray, radius: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links inside each run of equal keys (rows are sorted by key, then by the first pivot's distance).
+def near(fp: np.ndarray, key: np.ndarray, radius: int, differ: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius inside each run of equal keys, by their step (rows are sorted by key, then by the first pivot's distance).
 
-    With other, only pairs of rows whose other differs count."""
+    Only pairs of rows that differ in each array of differ count."""
     n = len(fp)
-    parent = np.arange(n)
-    refs = pivots(fp.shape[1])
-    table = np.stack([distance(fp, r) for r in refs]).astype(np.int16)
-    found_a: list[np.ndarray] = []
-    found_b: list[np.ndarray] = []
-
-    def root(x: np.ndarray) -> np.ndarray:
-        while (p := parent[x]).size and (p != x).any():
-            parent[x] = parent[p]
-            x = p
-        return x
-
+    table = np.stack([distance(fp, r) for r in pivots(fp.shape[1])]).astype(np.int16)
     left = np.arange(n - 1)
     step = 1
     while left.size:
@@ -129,8 +118,8 @@ def links(fp: np.ndarray, key: np.ndarray, radius: int, other: np.ndarray | None
         ok = (key[left] == key[right]) & (table[0, right] - table[0, left] <= radius)  # sorted: beyond this, no later row of the bucket is near
         left, right = left[ok], right[ok]
         a, b = left, right
-        if other is not None:
-            ok = other[a] != other[b]
+        for x in differ:
+            ok = x[a] != x[b]
             a, b = a[ok], b[ok]
         for coordinate in table[1:]:
             if not a.size:
@@ -140,6 +129,26 @@ def links(fp: np.ndarray, key: np.ndarray, radius: int, other: np.ndarray | None
         if a.size:
             ok = distance(fp[a], fp[b]) <= radius
             a, b = a[ok], b[ok]
+        if a.size:
+            yield a, b
+        step += 1
+
+
+def links(fp: np.ndarray, key: np.ndarray, tiers: tuple[int, ...], other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links inside each run of equal keys, those of the smaller radii first.
+
+    With other, only pairs of rows whose other differs count."""
+    parent = np.arange(len(fp))
+    found_a: list[np.ndarray] = []
+    found_b: list[np.ndarray] = []
+
+    def root(x: np.ndarray) -> np.ndarray:
+        while (p := parent[x]).size and (p != x).any():
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    for a, b in (x for radius in tiers for x in near(fp, key, radius, [] if other is None else [other])):
         while a.size:
             ra, rb = root(a), root(b)
             ok = ra != rb
@@ -151,7 +160,6 @@ def links(fp: np.ndarray, key: np.ndarray, radius: int, other: np.ndarray | None
             parent[hi[one]] = lo[one]
             found_a.append(a[one])
             found_b.append(b[one])
-        step += 1
     none = np.zeros(0, np.int64)
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
@@ -178,6 +186,29 @@ def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_NAMES)
 
 
+def _pairs(node: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    """The links themselves, with their distances."""
+    a, b, n = node[a], node[b], len(a)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(d.astype(np.int32)), pa.nulls(n, pa.binary())], names=_NAMES)
+
+
+def _finder(what: str, tiers: tuple[int, ...], words: int):
+    """What a task passes on of its buckets. forest: edges from each member to its tree's smallest node; links: the links
+    of a spanning forest; crossing: each link between rows whose last word, after the fingerprint's, differs."""
+
+    def run(key: np.ndarray, node: np.ndarray, f: np.ndarray, other: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        fp = np.ascontiguousarray(f[:, :words])
+        if what == "crossing":
+            for a, b in near(fp, key, tiers[-1], [f[:, words]] + ([] if other is None else [other])):
+                yield _pairs(node, a, b, distance(fp[a], fp[b]))
+            return
+        a, b = links(fp, key, tiers, other)
+        if len(a):
+            yield _edges(node, a, b) if what == "forest" else _pairs(node, a, b, distance(fp[a], fp[b]))
+
+    return run
+
+
 def _matrix(col: pa.Array, words: int) -> np.ndarray:
     """Fixed-length binaries as rows of 64-bit words."""
     if not len(col):
@@ -196,7 +227,7 @@ def _last_start(key: np.ndarray) -> int:
     return int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
 
 
-def _bucket_task(radius: int, words: int, most: int):
+def _bucket_task(find, words: int, width: int, most: int):
     """Over rows (bucket, node, fp) sorted by bucket and first distance: edges; a bucket over most rows leaves as rows of numbered chunks instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,15 +237,10 @@ def _bucket_task(radius: int, words: int, most: int):
 
         def big_rows(k: int, node: np.ndarray, f: np.ndarray, start: int) -> pa.RecordBatch:
             n = len(node)
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, k)), pa.array(((start + np.arange(n)) // most).astype(np.int32)), pa.array(distance(f, first)), _binaries(f)], names=_NAMES)
-
-        def solve(k: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = links(f, k, radius)
-            if len(a):
-                yield _edges(node, a, b)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, k)), pa.array(((start + np.arange(n)) // most).astype(np.int32)), pa.array(distance(f[:, :words], first)), _binaries(f)], names=_NAMES)
 
         for batch in batches:
-            k, node, f = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), words)
+            k, node, f = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), width)
             if not len(k):
                 continue
             if big is not None:
@@ -232,7 +258,7 @@ def _bucket_task(radius: int, words: int, most: int):
                 continue
             k, node, f = (np.concatenate(x) for x in zip(*held, strict=True))
             if at := _last_start(k):  # the last bucket may be unfinished
-                yield from solve(k[:at], node[:at], f[:at])
+                yield from find(k[:at], node[:at], f[:at])
             k, node, f = k[at:], node[at:], f[at:]
             if len(k) > most:
                 big, count = int(k[0]), len(k)
@@ -240,12 +266,12 @@ def _bucket_task(radius: int, words: int, most: int):
                 k, node, f = k[:0], node[:0], f[:0]
             held, size = [(k, node, f)], len(k)
         if size:
-            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from find(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _chunk_task(radius: int, words: int):
+def _chunk_task(find, width: int):
     """Over rows (pair, side, node, fp) sorted by pair and first distance: edges between the two chunks of each pair, or within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +280,10 @@ def _chunk_task(radius: int, words: int):
         def solve(p: np.ndarray, s: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             for part in np.split(np.arange(len(p)), np.flatnonzero(p[1:] != p[:-1]) + 1):
                 other = s[part]
-                a, b = links(f[part], p[part], radius, other if other.any() and not other.all() else None)
-                if len(a):
-                    yield _edges(node[part], a, b)
+                yield from find(p[part], node[part], f[part], other if other.any() and not other.all() else None)
 
         for batch in batches:
-            held.append((*(batch.column(i).to_numpy() for i in range(3)), _matrix(batch.column(3), words)))
+            held.append((*(batch.column(i).to_numpy() for i in range(3)), _matrix(batch.column(3), width)))
             now = tuple(np.concatenate(x) for x in zip(*held, strict=True))
             if len(now[0]) and (at := _last_start(now[0])):
                 yield from solve(*(x[:at] for x in now))
@@ -271,12 +295,16 @@ def _chunk_task(radius: int, words: int):
     return run
 
 
-def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST) -> DataFrame:
-    """Edges (a, b) that connect what links within buckets connect, from rows (bucket, node, fp, d0); d0 is the distance to the first pivot."""
+def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST, what: str = "forest", least: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect what links within buckets connect, from rows (bucket, node, fp, d0); d0 is the distance to the first pivot.
+
+    Other values of what (see _finder) give links and their distances (near). Those within least are taken first."""
+    find, width = _finder(what, (radius,) if least is None else (least, radius), words), words + (what == "crossing")
+    names = ["a", "b"] + ["near"] * (what != "forest")
     sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "d0").select("bucket", "node", "fp")
     c.small_batches(rows.sparkSession)
-    found = c.cut(sorted_rows.mapInArrow(_bucket_task(radius, words, most), _BUCKET_SCHEMA), "links")
-    edges = found.filter("b is not null").select("a", "b")
+    found = c.cut(sorted_rows.mapInArrow(_bucket_task(find, words, width, most), _BUCKET_SCHEMA), "links")
+    edges = found.filter("b is not null").select(*names)
     big = found.filter("b is null")
     if big.isEmpty():
         return edges
@@ -288,8 +316,8 @@ def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST) ->
     )
     sides = c.cut(pairs.select("bucket", "pair", F.col("one").alias("chunk"), F.lit(0).alias("side")).union(pairs.filter("one < two").select("bucket", "pair", F.col("two").alias("chunk"), F.lit(1).alias("side"))), "chunks")
     met = big.select("bucket", "chunk", F.col("a").alias("node"), "fp", "near").join(sides, ["bucket", "chunk"])
-    more = met.repartition("pair").sortWithinPartitions("pair", "near").select("pair", "side", "node", "fp").mapInArrow(_chunk_task(radius, words), _BUCKET_SCHEMA)
-    return edges.union(more.select("a", "b"))
+    more = met.repartition("pair").sortWithinPartitions("pair", "near").select("pair", "side", "node", "fp").mapInArrow(_chunk_task(find, width), _BUCKET_SCHEMA)
+    return edges.union(more.select(*names))
 
 
 def fingerprint_edges(fps: DataFrame, radius: int, n: int, most: int = MOST) -> DataFrame:
@@ -310,36 +338,95 @@ def fingerprint_edges(fps: DataFrame, radius: int, n: int, most: int = MOST) ->
 WORDS, KEYS, SIMILARITY = 8, 8, 0.8
 
 
-def radius_of(similarity: float, words: int = WORDS) -> int:
-    """The expected distance of texts of that similarity, and half a standard deviation."""
+#: Standard deviations of the distance by which candidates may exceed what is expected at the similarity.
+WIDE = 5.0
+
+
+def radius_of(similarity: float, words: int = WORDS, deviations: float = 0.0) -> int:
+    """The expected distance of texts of that similarity, and so many standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * words
-    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
-def sketches(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """(node, fp, d0, keys) of rows (node, text): the fingerprint of the set of shingles, and its smallest hashes."""
-    data, off = c.flat(batch.column(1))
+def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted; a text of fewer than k words is one shingle."""
+    data, off = c.flat(col)
     ws, we = c.runs(c.SOLID[data], off)
     row = np.searchsorted(off, ws, "right") - 1
     h = c.span_hashes(c.LOWER[data], ws, we)
     s, at = c.shingles(h, row, k)
-    edges = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
-    words = np.searchsorted(row, np.arange(batch.num_rows + 1))
-    salts = c.mix(np.arange(1, WORDS + 1, dtype=np.uint64))
-    fp = np.zeros((batch.num_rows, WORDS), np.uint64)
-    keys: list[list[int]] = []
-    for i in range(batch.num_rows):
+    edges = np.searchsorted(row[at], np.arange(len(col) + 1))
+    words = np.searchsorted(row, np.arange(len(col) + 1))
+    out = []
+    for i in range(len(col)):
         own = np.unique(s[edges[i] : edges[i + 1]])
         if not len(own) and words[i + 1] > words[i]:
             one = h[words[i] : words[i + 1]]
             own = c.shingles(one, np.zeros(len(one), np.int64), len(one))[0]
+        out.append(own)
+    return out
+
+
+def sketches(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """(node, fp, d0, keys) of rows (node, text): the fingerprint of the set of shingles, and its smallest hashes."""
+    salts = c.mix(np.arange(1, WORDS + 1, dtype=np.uint64))
+    fp = np.zeros((batch.num_rows, WORDS), np.uint64)
+    keys: list[list[int]] = []
+    for i, own in enumerate(shingle_sets(batch.column(1), k)):
         keys.append(own[:KEYS].view(np.int64).tolist() or [0])
         for j in range(WORDS if len(own) else 0):
             fp[i, j] = _bits_over_half(c.mix(own ^ salts[j]))
     return pa.RecordBatch.from_arrays([batch.column(0), _binaries(fp), pa.array(distance(fp, pivots(WORDS)[0])), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "d0", "keys"])
 
 
+def similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts share at least similarity of their shingles, counted exactly; texts: node, text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k)
+        both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
+        ok = [n >= similarity * (len(p) + len(q) - n) - 1e-9 for n, p, q in zip(both, x, y, strict=True)]
+        return pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).columns), names=["a", "b"])
+
+    met = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), "text"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return c.cut(c.map_text(met.select("a", "b", "text", "text_b"), run, "a long, b long"), "similar")
+
+
+def similar_groups(buckets: DataFrame, texts: DataFrame, k: int, similarity: float, most: int) -> DataFrame:
+    """(node, root) of the groups that pairs of at least that similarity connect, from rows (bucket, node, fp, d0) and texts (node, text).
+
+    Fingerprints only name candidates, within a radius that few similar pairs exceed; each edge of a group is a pair
+    whose shingles were counted. First the candidates' spanning forests; then, between the groups that these make, the
+    nearest candidates of each two groups; then every candidate that still lies between two groups."""
+    least, radius = radius_of(similarity), radius_of(similarity, deviations=WIDE)
+    forest = c.cut(bucket_edges(buckets, radius, WORDS, most, "links", least).select("a", "b").distinct(), "candidates")
+    nodes = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct()
+    held = c.cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    edges = similar(forest, held, k, similarity)
+
+    def grouped() -> DataFrame:
+        return c.cut(held.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "groups")
+
+    groups = grouped()
+    word = F.unhex(F.lpad(F.hex("root"), 16, "0"))
+    rows = buckets.join(groups, "node").select("bucket", "node", F.concat("fp", word).alias("fp"), "d0")
+    left = c.cut(bucket_edges(rows, radius, WORDS, most, "crossing").distinct().join(forest, ["a", "b"], "left_anti"), "crossing")
+    for nearest in (8, None):
+        of = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"of_{name}"))  # noqa: B023, E731
+        now = left.join(of("a"), "a").join(of("b"), "b").filter("of_a != of_b")
+        if nearest:
+            place = F.row_number().over(Window.partitionBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).orderBy("near", "a", "b"))
+            now = now.withColumn("place", place).filter(F.col("place") <= nearest)
+        now = c.cut(now.select("a", "b"), "now")
+        if now.isEmpty():
+            break
+        edges = edges.union(similar(now, held, k, similarity))
+        groups = grouped()
+        left = left.join(now, ["a", "b"], "left_anti")
+    return groups
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
     """The rows of docs, all columns, without near copies: of each group the row with the least id (then text hash) stays."""
     node, k1, k2 = c.fresh(docs, "node", "k1", "k2")
@@ -350,7 +437,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal texts are one node; what they emit is equal too, so any of them will do
     one = made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("d0").alias("d0"), F.any_value("keys").alias("keys"))
     buckets = one.select(F.explode("keys").alias("bucket"), "node", "fp", "d0")
-    root = components(bucket_edges(buckets, radius_of(similarity), WORDS, most))
+    root = similar_groups(buckets, texts, k, similarity, most)
     names = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("n")).distinct().join(root, F.col("n") == F.col("node"), "left")
     chosen = names.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("id", "n")).alias("s")).select(F.col("s.id").alias(k1), F.col("s.n").alias(k2))
     chosen = c.cut(chosen, "kept")

@@ -610,6 +610,25 @@ def test_one_of_each(spark, most):
     assert firsts <= set(kept) and len(kept) <= len(firsts) + 1
 
 
+@pytest.mark.parametrize("most", [20_000, 8])
+def test_one_of_each_around_the_threshold(spark, most):
+    """Pairs of texts from 0.74 to 0.86: what goes is what the shingles say, not what the fingerprints estimate."""
+    rng = random.Random(47)
+    rows, want = [], set()
+    for g in range(120):
+        words = [f"w{g}x{i}" for i in range(200)]
+        own = list(words)
+        for p in rng.sample(range(5, 190, 6), rng.choice([3, 4, 4, 4, 5, 5, 6])):
+            own[p] = f"changed{p}"
+        rows += [(2 * g, " ".join(words), "a"), (2 * g + 1, " ".join(own), "a")]
+        want |= {2 * g} | ({2 * g + 1} if jaccard(rows[-1][1], rows[-2][1]) < 0.8 else set())
+    base = [f"base{i}" for i in range(200)]
+    many = [" ".join(x if i != 6 * j + 5 else f"other{j}" for i, x in enumerate(base)) for j in range(30)]
+    rows += [(1000 + j, t, "a") for j, t in enumerate(many)]
+    got = {r.doc_id for r in sd.one_of_each(docs_frame(spark, rows), most=most).collect()}
+    assert got == want | {1000} and 0 < len([i for i in want if i % 2]) < 120
+
+
 def test_one_of_each_odd(spark, odd, none):
     out = sd.one_of_each(odd)
     rows = collections.Counter((r.doc_id, r.text) for r in out.collect())
