@@ -2,7 +2,7 @@
 
 Per text: word and symbol counts, duplicate lines, repeated 3-word windows. Across texts: a line (trimmed,
 A-Z lower-cased) that stands in more than max_docs distinct texts of one host is boilerplate; a text in which
-boilerplate lines hold more than max_lost of the words is depleted and rejected. Exact copies of a text are one
+boilerplate lines hold more than max_lost of the words is depleted and rejected; the others leave without those lines. Exact copies of a text are one
 distinct text, so copies alone make no line boilerplate.
 
 Null texts count as empty; a null host is a host of its own; rows with the same id stay separate rows; extra
@@ -23,7 +23,7 @@ SYMBOLS = c.byte_class(lambda b: chr(b) in "#*$%&|<>")
 SALTS = 16
 SCHEMA = (
     "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, lines array<long>, line_words array<int>"
+    "n_repeat_words long, lines array<long>, line_words array<int>, text string"
 )
 
 
@@ -63,14 +63,39 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         [
             batch.column(0).cast(pa.int64()), batch.column(1), pa.array(whole.view(np.int64)), pa.array(n_words), pa.array(word_chars.astype(np.int64)),
             pa.array(n_symbols.astype(np.int64)), pa.array(n_dup), pa.array(n_repeat),
-            pa.ListArray.from_arrays(offsets, pa.array(norm.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(norm.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))), batch.column(2),
         ],
         names=[x.split()[0] for x in SCHEMA.split(", ")],
     )
 
 
+REMOVAL = "struct<text: string, removed: array<struct<start: int, end: int>>>"
+
+
+def removal(text: pa.Array, frequent: pa.Array) -> pa.Array:
+    """Each text without the lines whose hashes are in its list, and their spans in bytes of the text as it was."""
+    data, off = c.flat(text)
+    ws, we = c.runs(c.SOLID[data], off)
+    ls, le, lrow = c.line_spans(data, off)
+    lo, hi = np.searchsorted(ws, ls), np.searchsorted(ws, le)
+    solid = np.flatnonzero(hi > lo)
+    norm = c.span_hashes(c.LOWER[data], ws[lo[solid]], we[hi[solid] - 1])
+    lists = [x or [] for x in frequent.to_pylist()]
+    own = np.array([h for x in lists for h in x], np.int64).view(np.uint64)
+    gone = np.zeros(len(ls), bool)
+    gone[solid] = np.isin(c.in_row(norm, lrow[solid]), c.in_row(own, np.repeat(np.arange(len(lists)), [len(x) for x in lists])))
+    edges = np.searchsorted(lrow, np.arange(len(text) + 1))
+    out = []
+    for i, was in enumerate(text.to_pylist()):
+        at = np.arange(edges[i], edges[i + 1])
+        out_of = at[gone[at]]
+        left = was if was is None or not len(out_of) else b"\n".join(data[ls[j] : le[j]].tobytes() for j in at[~gone[at]]).decode()
+        out.append({"text": left, "removed": [{"start": int(ls[j] - off[i]), "end": int(le[j] - off[i])} for j in out_of]})
+    return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_docs: int = 50, max_lost: float = 0.5) -> DataFrame:
-    """A row per text: the measures, boilerplate_words, base_failed and kept."""
+    """A row per text: the measures, boilerplate_words, base_failed, kept, the text without boilerplate lines, and their spans (removed)."""
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("text"))
     base = c.row_cut(c.map_text(df, measure, SCHEMA), "rules")
     lines = base.select("rid", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
@@ -86,11 +111,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sour
     b = frequent.alias("b")
     lost = (
         salted.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.salt") == F.col("b.salt")))
-        .groupBy("rid").agg(F.sum("words").alias("lost"))
+        .groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_set("a.line").alias("frequent"))
     )
     out = base.drop("lines", "line_words").join(lost, "rid", "left").withColumn("boilerplate_words", F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+    @F.arrow_udf(REMOVAL)
+    def without(text: pa.Array, frequent: pa.Array) -> pa.Array:
+        return removal(text, frequent)
+
+    out = out.withColumn("left", without("text", "frequent"))
     return out.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "boilerplate_words",
         failed.alias("base_failed"), (~failed & (F.col("boilerplate_words") <= max_lost * F.col("n_words"))).alias("kept"),
+        F.col("left.text").alias("text"), F.col("left.removed").alias("removed"),
     )

@@ -60,7 +60,7 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(c.table(spark, sf_dir, "documents")).drop("host")
+    return quality_rules(c.table(spark, sf_dir, "documents")).drop("host", "text", "removed")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -588,6 +588,16 @@ def test_groups_odd(odd, none):
     assert sd.near_duplicates(none).count() == 0
 
 
+def test_rules_remove_the_frequent_lines(spark):
+    rng = random.Random(14)
+    rows = [(i, f"é {sentence(rng, 60)}\n  Shared LINE here\n\n{sentence(rng, 9)}" if i < 60 else sentence(rng, 60) + "\nshared line here", "a" if i < 60 else "b") for i in range(80)] + [(90, None, "a")]
+    for r in qr.quality_rules(docs_frame(spark, rows)).collect():
+        was = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        assert r.text == (was.replace("  Shared LINE here\n", "") if r.doc_id < 60 else was)
+        assert [was.encode()[x.start : x.end] for x in r.removed] == [b"  Shared LINE here"] * (r.doc_id < 60)
+        assert r.boilerplate_words == (3 if r.doc_id < 60 else 0)
+
+
 def jaccard(a, b):
     x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
     return len(x & y) / len(x | y)
