@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,18 +14,61 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and is one process."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/matrix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cuts_dir(spark: SparkSession) -> str:
+    """The folder of this application's cuts."""
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, what: str = "matrix", compression: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read again: later stages don't repeat it, and survive lost executors."""
+    spark = df.sparkSession
+    path = f"{cuts_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if not _cleared:
+        _cleared.append(atexit.register(_at_exit))
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what cut wrote for these frames; no plan may read them any more. Other frames are left alone."""
+    for df in frames:
+        if path := vars(df).pop("cut_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every cut of this application; results that were not written elsewhere are gone."""
+    _delete(spark, cuts_dir(spark))
+
+
+_cleared: list = []
+
+
+def _at_exit() -> None:
+    """Cuts don't outlive their application: nothing can read them by name."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            clear(spark)
+        except Exception:  # noqa: BLE001 - the gateway may be gone already
+            pass
 
 
 def small(df: DataFrame, rows: int | None, row_bytes: int = 24) -> DataFrame:
