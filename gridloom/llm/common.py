@@ -6,15 +6,17 @@ word is a few numpy operations instead of Python calls.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import lineage
+from ..plans.lineage import release, shared_dir  # noqa: F401
+
 #: Bytes of text that a kernel takes at once; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
 
@@ -29,24 +31,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: later stages don't repeat it, and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+    return lineage.cut(df, f"llm-{what}", compression)
 
 
-def row_cut(df: DataFrame, what: str, key: str = "rid") -> DataFrame:
+def row_cut(df: DataFrame, what: str, key: str = "rid", compression: str = "snappy") -> DataFrame:
     """A cut with a number for each row, the same at each later read; doc_id may be null or repeated."""
-    return cut(df.withColumn(key, F.monotonically_increasing_id()), what)
+    return cut(df.withColumn(key, F.monotonically_increasing_id()), what, compression)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -136,18 +127,30 @@ def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+#: Primes below 2**31, and a base of a polynomial hash for each.
+_FIELDS = ((2147483647, 1540483477), (2147483629, 668265263))
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+#: Bytes whose terms add up below 2**64: each is at most 256 times a number below 2**31.
+_SUMMED = 1 << 24
+
+
+def _geometric(n: int, base: int, prime: int) -> np.ndarray:
+    """The first n powers of base modulo prime."""
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = out[:m] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
+        k += m
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _BASE modulo 2**64, and of its inverse."""
-    if len(_POWERS.get("up", ())) < n:
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field the first n powers of its base, and of its base's inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(1 << 16, n + n // 8)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"], _POWERS["down"]
+        _POWERS[:] = [(_geometric(size, b, p), _geometric(size, pow(b, -1, p), p).astype(np.uint32)) for p, b in _FIELDS]
+    return _POWERS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -158,11 +161,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: prefix sums of a polynomial, so the cost is per byte, not per span."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span's bytes: two polynomials over prime fields, by prefix sums, so the cost is per byte, not per span.
+
+    Unlike a polynomial modulo 2**64, which some pairs of long texts of two letters share at any base, a pair of n bytes
+    collides with a chance of about (n / 2**31) ** 2."""
+    n = len(data)
+    x = data.astype(np.uint64) + np.uint64(1)
+    both = np.zeros(len(starts), np.uint64)
+    for (p, _), (up, down) in zip(_FIELDS, _powers(n + 1), strict=True):
+        prime = np.uint64(p)
+        sums = np.zeros(n + 1, np.uint64)
+        for at in range(0, n, _SUMMED):
+            part = sums[at + 1 : at + _SUMMED + 1]
+            np.cumsum(x[at : at + _SUMMED] * up[at : min(n, at + _SUMMED)], out=part)
+            if at:
+                part += sums[at] % prime
+        if n > _SUMMED:
+            sums %= prime
+        h = (sums[ends] + (prime if n > _SUMMED else np.uint64(0)) - sums[starts]) % prime * down[starts] % prime
+        both = (both << np.uint64(31)) | h
+    return mix(both ^ mix((ends - starts).astype(np.uint64)))
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes (XXH3) of spans that are few for their bytes, such as lines: a row of two 64-bit words each."""
+    buffer, digest = data.tobytes(), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(buffer[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
 def in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -208,3 +232,116 @@ def later(keys: np.ndarray) -> np.ndarray:
 
 def per_row(n: int, rows: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(rows, weights, n).astype(np.int64) if weights is None or weights.dtype != float else np.bincount(rows, weights, n)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+# --- tables in memory -------------------------------------------------------------------------------------
+
+
+class Table:
+    """Numbers under 64-bit keys (not 0, spread evenly) by open addressing, for whole arrays of keys at a time."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self._keys, self._values, self._used = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0
+
+    def __len__(self) -> int:
+        return self._used
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number under each key, -1 if it isn't there."""
+        out, last = np.full(len(keys), -1, np.int64), len(self._keys) - 1
+        left, slot = np.arange(len(keys)), (keys & np.uint64(last)).astype(np.int64)
+        while len(left):
+            here = self._keys[slot]
+            hit = here == keys[left]
+            out[left[hit]] = self._values[slot[hit]]
+            on = ~hit & (here != 0)
+            left, slot = left[on], (slot[on] + 1) & last
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New, distinct keys."""
+        while 4 * (self._used + len(keys)) > len(self._keys):
+            old, kept = self._keys[self._keys != 0], self._values[self._keys != 0]
+            self.__init__(2 * len(self._keys))
+            self.add(old, kept)
+        self._used += len(keys)
+        last = len(self._keys) - 1
+        left, slot = np.arange(len(keys)), (keys & np.uint64(last)).astype(np.int64)
+        while len(left):
+            free = self._keys[slot] == 0
+            self._keys[slot[free]] = keys[left[free]]
+            own = free & (self._keys[slot] == keys[left])  # of several that want a slot, one has it
+            self._values[slot[own]] = values[left[own]]
+            left, slot = left[~own], (slot[~own] + 1) & last
+
+
+class Lookup:
+    """Sequences of ids under byte strings: strings meet by their hash, and their bytes are compared."""
+
+    def __init__(self, kind: np.dtype, most: int):
+        self.kind, self.most = np.dtype(kind), most
+        self.clear()
+
+    def clear(self) -> None:
+        self._table, self.known = Table(), 0
+        self._start, self._size, self._at, self._bytes = (np.zeros(1 << 10, np.int64) for _ in range(4))
+        self._ids, self._n_ids, self._text, self._n_text = np.zeros(1 << 16, self.kind), 0, np.zeros(1 << 16, np.uint8), 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
+
+    def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each string; -1 if it isn't there, -2 if another string has its hash."""
+        at = self._table.find(h)
+        met = np.flatnonzero(at >= 0)
+        same = self._bytes[at[met]] == sizes[met]
+        check, own = met[same], sizes[met[same]]
+        if len(check):
+            equal = data[ranges(starts[check], own)] == self._text[ranges(self._at[at[check]], own)]
+            if not equal.all():
+                wrong = np.repeat(np.arange(len(check)), own)[~equal]
+                at[check[wrong]] = -2
+        at[met[~same]] = -2
+        return at
+
+    def add(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New strings of distinct hashes, with the ids of all of them in a row and how many each has."""
+        n, k = len(h), self.known
+        for name, more in (("_start", k + n), ("_size", k + n), ("_at", k + n), ("_bytes", k + n), ("_ids", self._n_ids + len(ids)), ("_text", self._n_text + int(sizes.sum()))):
+            setattr(self, name, self._room(getattr(self, name), more))
+        self._ids[self._n_ids : self._n_ids + len(ids)] = ids
+        self._start[k : k + n], self._size[k : k + n] = self._n_ids + np.cumsum(counts) - counts, counts
+        text = data[ranges(starts, sizes)]
+        self._text[self._n_text : self._n_text + len(text)] = text
+        self._at[k : k + n], self._bytes[k : k + n] = self._n_text + np.cumsum(sizes) - sizes, sizes
+        self._table.add(h, np.arange(k, k + n, dtype=np.int32))
+        self._n_ids, self._n_text, self.known = self._n_ids + len(ids), self._n_text + len(text), k + n
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        return self._size[at]
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self._ids[ranges(self._start[at], self._size[at])]
+
+    def learned(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, encode: Callable) -> np.ndarray:
+        """The number of each string once encode, which gives counts and ids of the strings at some places, has been
+        asked for those that weren't there; -2 for strings that cannot be kept: a hash met twice, or too many of them."""
+        at = self.find(h, data, starts, sizes)
+        new = np.flatnonzero(at == -1)
+        if len(new):
+            new = new[np.unique(h[new], return_index=True)[1]]
+            if self.known + len(new) > self.most:
+                self.clear()
+                new = np.unique(h, return_index=True)[1]
+            if len(new) > self.most:
+                return np.full(len(h), -2, np.int64)
+            self.add(h[new], data, starts[new], sizes[new], *encode(new))
+            at = self.find(h, data, starts, sizes)
+        return at

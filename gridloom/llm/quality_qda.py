@@ -10,7 +10,8 @@ labelled training row counts.
 Training labels come only from rows whose crc32 of the id as text leaves a remainder modulo FOLDS. Null and empty
 texts have statistics like any text (no words); label rows that repeat count again, null labels and labels without
 a text do not count; rows with equal ids stay rows; extra columns are ignored; an empty table gives an empty
-result. Without training rows of both classes every score is 0.5.
+result. A text of any length is one unit, held by one task; ties don't matter, as each row is scored by itself. Without
+training rows of both classes every score is 0.5.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     has = full[le] > full[ls]
     ls, le, lrow = ls[has], le[has], lrow[has]
     lines = np.bincount(lrow, minlength=n).astype(float)
-    again = np.bincount(lrow[c.later(c.in_row(c.span_hashes(data, ls, le), lrow))], minlength=n).astype(float)
+    again = np.bincount(lrow[c.later(c.in_row(c.digests(data, ls, le)[:, 0], lrow))], minlength=n).astype(float)
     upper, alpha = total(_UPPER[data]), total(_ALPHA[data])
     columns = (
         np.log1p(words), np.log1p(mean), np.log1p(spread), odds(upper, alpha), odds(total(_DIGIT[data]), chars), odds(total(_SYMBOL[data]), chars),
@@ -88,6 +89,14 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1)
 
 
+def substituted(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of factor y = b for a lower triangular factor, a column for each of b, by forward substitution."""
+    y = np.empty_like(b)
+    for i in range(len(b)):
+        y[i] = (b[i] - factor[i, :i] @ y[:i]) / factor[i, i]
+    return y
+
+
 class Model:
     """Two normal distributions with cached Cholesky factors, and the logistic curve over their log-density difference."""
 
@@ -101,13 +110,13 @@ class Model:
             a = (1 - SHRINK_POOLED) * cov[k] + SHRINK_POOLED * pooled
             a = (1 - SHRINK_DIAGONAL) * a + SHRINK_DIAGONAL * np.diag(np.diag(a)) + 1e-3 * np.eye(len(a))
             factor = np.linalg.cholesky(a)
-            self.parts.append((mean[k], np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum()))
+            self.parts.append((mean[k], factor, 2 * np.log(np.diag(factor)).sum()))
         self.curve = (0.0, 1.0)
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log-density of class 1 less that of class 0, compressed (asinh), for each row of x."""
-        d = [((x - m) @ inverse.T) for m, inverse, _ in self.parts]
-        raw = 0.5 * ((d[0] ** 2).sum(1) - (d[1] ** 2).sum(1) + self.parts[0][2] - self.parts[1][2]) + self.prior
+        d = [(substituted(factor, (x - m).T) ** 2).sum(0) for m, factor, _ in self.parts]
+        raw = 0.5 * (d[0] - d[1] + self.parts[0][2] - self.parts[1][2]) + self.prior
         return np.arcsinh(raw)
 
     def fit_curve(self, value: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:

@@ -6,16 +6,20 @@ partitions and rows; a keyed Feistel permutation with cycle-walking sends each n
 on the number of sequences. Slot s is record s mod PER_SHARD of shard s div PER_SHARD: 16-bit little-endian ids
 without a header, so that the n-th sequence of the training order is at a known byte of a known file and a run
 resumes at any slot. Each shard is one task's: rows come by range partition, sorted, and are written to a file of
-another name that is then renamed, so a task that runs again leaves the same file.
-
-A first pass over the texts counts sequences by partition; only those counts reach the driver. The second pass
-checks that each partition has as many again. Null and empty texts are a single end token; null and repeated ids
-are kept as they are; an empty table gives no shard and an empty result.
+another name that is then renamed. A shard that is there already is left as it is: a task that runs again, or a whole
+run into the same folder, would write the same bytes. The manifest, written before the shards, holds the layout and the number of
+sequences; a folder whose manifest says otherwise is refused, one of the same input is completed. A mark is written last.
+
+A first pass over the texts counts sequences by partition; only those counts reach the driver, and they go back as one
+broadcast array. The second pass checks that each partition has as many again. Null and empty texts are a single end
+token; a text of any length is one unit, held by one task; null and repeated ids and rows are kept as they are, a row's
+place decides between ties; extra columns are ignored; an empty table gives no shard, a manifest and an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +37,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 SEQ, PER_SHARD, ROUNDS = 256, 1 << 16, 6
-#: Slots of the table of parts, and the parts it holds at most.
-SLOTS, MOST = 1 << 21, 400_000
+#: Parts that are looked up at most.
+MOST = 500_000
+MANIFEST, COMPLETE = "manifest.json", "complete"
 
 
 _BLANK = c.byte_class(lambda b: 9 <= b <= 13 or 28 <= b <= 32)
@@ -52,17 +57,11 @@ def _wide_blanks(data: np.ndarray) -> np.ndarray:
     return lead[two | general | (a == 0xE1) & (b == 0x9A) & (d == 0x80) | (a == 0xE3) & (b == 0x80) & (d == 0x80)]
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of all ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Tokenizer:
     """Ids of texts. A text in which single spaces stand between other characters is cut before them, where no token
-    reaches across. The parts are hashed and looked up in an open-addressing table, a whole batch at a time. Parts that
-    aren't there yet are encoded together: each begins with a space, no token but a part's first does, and so their
-    ids come apart again. Any other text is encoded whole."""
+    reaches across. The parts are looked up, a whole batch at a time; parts that aren't there yet are encoded together:
+    each begins with a space, no token but a part's first does, and so their ids come apart again. Any other text is
+    encoded whole."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -71,60 +70,28 @@ class Tokenizer:
         self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
         self._spaced = np.zeros(1 << 16, bool)
         self._spaced[[i for token, i in pairs.items() if token[:1] == b" "]] = True
-        self._reset()
-
-    def _reset(self) -> None:
-        self._keys, self._place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self._start, self._size, self._bytes = np.zeros(MOST, np.int64), np.zeros(MOST, np.int64), np.zeros(MOST, np.int64)
-        self._store, self._stored, self._known = np.zeros(1 << 20, np.uint16), 0, 0  # grows
+        self._known = c.Lookup(np.uint16, MOST)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.own.encode_ordinary(text), "<u2")
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash's part, -1 if unknown."""
-        out = np.full(len(h), -1, np.int64)
-        left, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(left):
-            key = self._keys[slot]
-            hit = key == h[left]
-            out[left[hit]] = self._place[slot[hit]]
-            on = ~hit & (key != 0)
-            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
-        return out
-
-    def _add(self, h: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        n, first = len(h), self._known
-        while self._stored + len(ids) > len(self._store):
-            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
-        self._store[self._stored : self._stored + len(ids)] = ids
-        self._start[first : first + n] = self._stored + np.cumsum(sizes) - sizes
-        self._size[first : first + n], self._bytes[first : first + n] = sizes, lengths
-        self._stored, self._known = self._stored + len(ids), first + n
-        left, slot = np.arange(n), (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(left):
-            free = self._keys[slot] == 0
-            self._keys[slot[free]] = h[left[free]]
-            own = free & (self._keys[slot] == h[left])  # of several that want a slot, one has it
-            self._place[slot[own]] = first + left[own]
-            left, slot = left[~own], (slot[~own] + 1) & (SLOTS - 1)
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, h: np.ndarray) -> None:
-        for i in np.flatnonzero(first):  # nothing stands before a text's first part
-            ids = self._ids(data[starts[i] : ends[i]].tobytes().decode())
-            self._add(h[i : i + 1], np.array([len(ids)]), ends[i : i + 1] - starts[i : i + 1], ids)
-        rest = np.flatnonzero(~first)
-        if not len(rest):
-            return
-        size = ends[rest] - starts[rest]
-        ids = self._ids(data[_ranges(starts[rest], size)].tobytes().decode())
+    def _encode(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has, and the ids of all; nothing stands before a text's first part."""
+        one = lambda i: self._ids(data[starts[i] : starts[i] + size[i]].tobytes().decode())
+        counts, rest = np.zeros(len(starts), np.int64), np.flatnonzero(~first)
+        ids = self._ids(data[c.ranges(starts[rest], size[rest])].tobytes().decode())
         edges = np.flatnonzero(self._spaced[ids])
         if len(edges) != len(rest):  # never seen; one by one is right in any case
-            parts = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(starts[rest], ends[rest], strict=True)]
-            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
-        else:
-            counts = np.diff(np.append(edges, len(ids)))
-        self._add(h[rest], counts, size, ids)
+            parts = [one(i) for i in range(len(starts))]
+            return np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
+        counts[rest] = np.diff(np.append(edges, len(ids)))
+        heads = {i: one(i) for i in np.flatnonzero(first).tolist()}
+        counts[list(heads)] = [len(x) for x in heads.values()]
+        out, at = np.zeros(counts.sum(), np.uint16), np.cumsum(counts) - counts
+        out[c.ranges(at[rest], counts[rest])] = ids
+        for i, own in heads.items():
+            out[at[i] : at[i] + len(own)] = own
+        return counts, out
 
     def batch(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """(ids, bounds, whole): text r has ids[bounds[r]:bounds[r + 1]], or whole[r] if that is there."""
@@ -152,28 +119,14 @@ class Tokenizer:
         use = np.flatnonzero(filled[rows] & ~odd[rows])
         starts, ends, rows, first, size = starts[use], ends[use], rows[use], first[use], size[use]
         h = np.maximum(c.span_hashes(data, starts, ends), np.uint64(1))
-        at = self._find(h)
-        wrong = (at >= 0) & (self._bytes[at] != size)
-        if (at < 0).any():
-            _, one = np.unique(h[at < 0], return_index=True)
-            new = np.flatnonzero(at < 0)[one]
-            if self._known + len(new) > MOST:
-                self._reset()
-                _, new = np.unique(h, return_index=True)
-            if len(new) > MOST:
-                wrong[:] = True
-            else:
-                self._learn(data, starts[new], ends[new], first[new], h[new])
-                at = self._find(h)
-                wrong = self._bytes[at] != size
-        if wrong.any():  # another part of that hash, or more parts than the table holds: whole texts
-            odd[rows[wrong]] = True
+        at = self._known.learned(h, data, starts, size, lambda i: self._encode(data, starts[i], size[i], first[i]))
+        if (at < 0).any():  # another part of that hash, or more parts than the table holds: whole texts
+            odd[rows[at < 0]] = True
             keep = ~odd[rows]
             rows, at = rows[keep], at[keep]
-        counts = self._size[at]
+        counts = self._known.counts(at)
         bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, counts, n).astype(np.int64))])
-        ids = self._store[_ranges(self._start[at], counts)]
-        return ids, bounds, {int(r): self._ids(data[off[r] : off[r + 1]].tobytes().decode()) for r in np.flatnonzero(odd)}
+        return self._known.ids(at), bounds, {int(r): self._ids(data[off[r] : off[r + 1]].tobytes().decode()) for r in np.flatnonzero(odd)}
 
     def encode_all(self, col: pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian 16-bit integers; of null none."""
@@ -228,16 +181,27 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
         n = sum(int((tokens.counts(part.column(1)) // seq + 1).sum()) for batch in batches for part in c.pieces(batch, "text"))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
-    counts = dict(df.mapInArrow(count, "p int, n long").collect())
-    total, first = 0, {}
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
+    counted = df.mapInArrow(count, "p int, n long").toArrow()  # a row a partition
+    p, n = (counted.column(k).to_numpy() for k in (0, 1))
+    counts = np.zeros(int(p.max(initial=-1)) + 2, np.int64)
+    counts[p + 1] = n
+    ends = np.cumsum(counts)  # partition p has the numbers from ends[p] to ends[p + 1]
+    total = int(ends[-1])
     shards = max(1, -(-total // per_shard))
+    layout = {"sequences": total, "ids_each": seq, "per_shard": per_shard, "key": key, "dtype": "<u2", "fill": END}
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    if (was := _manifest(system, root)) not in (None, layout):
+        raise ValueError(f"{folder} holds shards of another layout: {was}")
+    if was is None:
+        with system.open_output_stream(f"{root}/{MANIFEST}") as f:
+            f.write(json.dumps(layout).encode())
+    numbers = docs.sparkSession.sparkContext.broadcast(ends)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer(ranks)
         p, end = TaskContext.get().partitionId(), END.to_bytes(2, "little")
-        at = first.get(p, 0)
+        at, stop = numbers.value[p : p + 2].tolist() if p + 1 < len(numbers.value) else (0, 0)
         for batch in (part for batch in batches for part in c.pieces(batch, "text")):
             ids = batch.column(0)
             rows: list[int] = []
@@ -267,7 +231,7 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
             if rows:
                 yield out()
                 at += len(rows)
-        if at - first.get(p, 0) != counts.get(p, 0):
+        if at != stop:
             raise RuntimeError("the input changed between the two passes")
 
     placed = df.mapInArrow(place, "shard int, slot long, doc_id long, part int, n_tokens int, record binary")
@@ -282,7 +246,11 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
 
         def done() -> None:
             sink.close()
-            system.move(part, f"{root}/shard-{current:06d}.bin")
+            target = f"{root}/shard-{current:06d}.bin"
+            if system.get_file_info(target).type == fs.FileType.NotFound:
+                system.move(part, target)
+            else:
+                system.delete_file(part)
 
         fill = END.to_bytes(2, "little")
         for batch in batches:
@@ -306,8 +274,16 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
         if sink is not None:
             done()
 
-    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-    return c.cut(placed.mapInArrow(write, "slot long, shard int, byte_at long, doc_id long, part int, n_tokens int, digest long"), "slots")
+    slots = c.cut(placed.mapInArrow(write, "slot long, shard int, byte_at long, doc_id long, part int, n_tokens int, digest long"), "slots")
+    system.open_output_stream(f"{root}/{COMPLETE}").close()
+    return slots
+
+
+def _manifest(system: fs.FileSystem, root: str) -> dict | None:
+    if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(f"{root}/{MANIFEST}") as f:
+        return json.loads(f.read())
 
 
 def read_slots(folder: str, start: int, stop: int, seq: int = SEQ, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
