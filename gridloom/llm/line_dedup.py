@@ -1,13 +1,15 @@
 """Line dedup by overlapping windows of three lines.
 
-The lines of a text that have a word are hashed (trimmed, A-Z lower-cased); each three in a row are a window, and a
-text with only one or two such lines is one window, which only a text of the same lines repeats. A window that occurs again, in the same or another text, is kept where it occurs first, in the order of id, text hash
-and position. In every later occurrence its lines are covered; covered lines that touch are merged to spans, and
-the spans go, with the blank lines inside them.
-
-Null ids come first in that order and null texts stay null; texts without words have no window and stay as they are;
-rows with equal id and text are one text and treated alike; an empty table gives an
-empty result. Extra columns pass through, but those named as a result (n_lines, n_removed, removed) give way to it.
+The lines of a text that have a word are hashed (trimmed, A-Z lower-cased; 128 bits). Each three in a row are a window,
+and so are one or two in a row that hold more than LONG words: a passage may fill no more lines than that. A text with
+only one or two such lines is a window too, however short. A window that occurs again, in the same or another text, is
+kept where it occurs first, in the order of id, text and position. In every later occurrence its lines are covered;
+covered lines that touch are merged to spans, and the spans go, with the blank lines inside them.
+
+Null ids come first in that order and null texts stay null; empty texts and texts without words have no window and stay
+as they are; of rows with equal id and text the first in the table's order is first; a text of any length is one unit,
+held by one task; texts that tie in id are ordered by the hash of the text; an empty table gives an empty result.
+Extra columns pass through, but those named as a result (n_lines, n_removed, removed) give way to it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WINDOW = 3
+#: Words above which one or two lines are a window.
+LONG = 50
 RESULTS = ("n_lines", "n_removed", "removed")
 
 
@@ -30,30 +34,37 @@ def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, rows, solid[ends] > solid[starts]
 
 
+SCHEMA = "text_hash long, pos int, n int, whole boolean, w1 long, w2 long"
+
+
 def windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """(doc_id, text_hash, pos, w1, w2): pos counts lines with words; the two hashes make 128 bits."""
+    """(doc_id, text_hash, pos, n, whole, w1, w2) of rows (doc_id, text_hash, text).
+
+    pos counts lines with words, n is the window's lines, the hashes make 128 bits; one window of a text is whole."""
     data, off = c.flat(batch.column(2))
     ws, we = c.runs(c.SOLID[data], off)
     ls, le, lrow, has = _lines(data, off)
     ls, le, lrow = ls[has], le[has], lrow[has]
     if not len(ls):
         return None
-    first, last = ws[np.searchsorted(ws, ls)], we[np.searchsorted(we, le, "right") - 1]
-    h = c.span_hashes(c.LOWER[data], first, last)
-    w1, at = c.shingles(h, lrow, WINDOW)
-    h2 = c.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    w2, _ = c.shingles(h2, lrow, WINDOW)
-    count = np.bincount(lrow, minlength=batch.num_rows)
-    for n in range(1, WINDOW):  # the short texts, each with a key that tells its number of lines
-        short, place = c.shingles(h, lrow, n)
-        own = count[lrow[place]] == n
-        w1 = np.concatenate([w1, c.mix(short[own] + np.uint64(n))])
-        w2 = np.concatenate([w2, c.mix(c.shingles(h2, lrow, n)[0][own] + np.uint64(n))])
-        at = np.concatenate([at, place[own]])
-    row = lrow[at]
-    pos = at - np.searchsorted(lrow, row)
+    lo, hi = np.searchsorted(ws, ls), np.searchsorted(we, le, "right")
+    h = c.digests(c.LOWER[data], ws[lo], we[hi - 1])
+    words = np.concatenate([[0], np.cumsum(hi - lo)])
+    count, start = np.bincount(lrow, minlength=batch.num_rows), np.searchsorted(lrow, np.arange(batch.num_rows))
+    parts: list[tuple[np.ndarray, ...]] = []
+    for n in range(1, WINDOW + 1):
+        w1, at = c.shingles(h[:, 0], lrow, n)
+        w2, _ = c.shingles(h[:, 1], lrow, n)
+        keep = np.ones(len(at), bool) if n == WINDOW else (words[at + n] - words[at] > LONG) | (count[lrow[at]] == n)
+        at = at[keep]
+        row = lrow[at]
+        whole = (at == start[row]) & (np.minimum(count[row], WINDOW) == n)
+        # the number of lines goes into the key: a hash of one line is no hash of two
+        parts.append((row, at - start[row], np.full(len(at), n), whole, *(c.mix(w[keep] + np.uint64(n)).view(np.int64) for w in (w1, w2))))
+    row, pos, n, whole, w1, w2 = (np.concatenate(x) for x in zip(*parts, strict=True))
     take = pa.array(row)
-    return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["doc_id", "text_hash", "pos", "w1", "w2"])
+    columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole), pa.array(w1), pa.array(w2)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
 
 def strip(text: str, covered: list[int]) -> tuple[str, list[tuple[int, int]], int]:
@@ -81,13 +92,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     docs = docs.drop(*RESULTS)
     key, hashed, cover, k1, k2 = c.fresh(docs, "id", "hash", "covered", "k1", "k2")
-    rows = docs.withColumns({key: F.col(f"`{id_col}`"), hashed: F.xxhash64(F.col(f"`{text_col}`"))})
     kind = docs.schema[id_col].dataType.simpleString()
-    found = c.cut(c.map_text(rows.select(F.col(key).alias("doc_id"), F.col(hashed).alias("text_hash"), F.col(f"`{text_col}`").alias("text")), windows, f"doc_id {kind}, text_hash long, pos int, w1 long, w2 long"), "windows")
+
+    def cut_windows(rows: DataFrame) -> DataFrame:
+        return c.cut(c.map_text(rows.select(F.col(key).alias("doc_id"), F.col(hashed).alias("text_hash"), F.col(f"`{text_col}`").alias("text")), windows, f"doc_id {kind}, {SCHEMA}"), "windows")
+
+    rows = docs.withColumns({key: F.col(f"`{id_col}`"), hashed: F.xxhash64(F.col(f"`{text_col}`"))})
+    found = cut_windows(rows)
+    if not found.filter("whole").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        # rows of equal id and text: each needs a number of its own, which only a written table fixes
+        c.release(found)
+        rows = c.row_cut(docs.withColumn(key, F.col(f"`{id_col}`")), "rows", hashed)
+        found = cut_windows(rows)
     place = F.struct("doc_id", "text_hash", "pos")
     many = c.cut(found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first"), "repeated")
     later = found.join(many, ["w1", "w2"]).filter(place != F.col("first"))
-    covered = later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("pos")).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2), F.col("pos").alias(cover))
+    covered = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("pos") * (WINDOW + 1) + F.col("n")).alias("pos")).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2), F.col("pos").alias(cover))
     met = rows.join(covered, F.col(key).eqNullSafe(F.col(k1)) & (F.col(hashed) == F.col(k2)), "left").drop(k1, k2, key, hashed)
     at_text, at_cover = met.columns.index(text_col), met.columns.index(cover)
 
@@ -95,7 +115,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         texts, counts, gone, spans = batch.column(at_text).to_pylist(), [], [], []
         for i, (text, pos) in enumerate(zip(texts, batch.column(at_cover).to_pylist(), strict=True)):
             if pos:
-                texts[i], found, n = strip(text, list({p + j for p in pos for j in range(WINDOW)}))
+                texts[i], found, n = strip(text, list({p // (WINDOW + 1) + j for p in pos for j in range(p % (WINDOW + 1))}))
             else:
                 found, n = [], text.count("\n") + 1 if text is not None else 0
             counts.append(n)
