@@ -1,12 +1,15 @@
 """Quality rules with cross-document line frequency.
 
-Per text: word and symbol counts, duplicate lines, repeated 3-word windows. Across texts: a line (trimmed,
-A-Z lower-cased) that stands in more than max_docs distinct texts of one host is boilerplate; a text in which
-boilerplate lines hold more than max_lost of the words is depleted and rejected; the others leave without those lines. Exact copies of a text are one
-distinct text, so copies alone make no line boilerplate.
-
-Null texts count as empty; a null host is a host of its own; rows with the same id stay separate rows; extra
-columns of the input are ignored; an empty table gives an empty result.
+Per text: word and symbol counts, duplicate lines, repeated 3-word windows. Across documents: lines are trimmed, A-Z
+lower-cased and hashed (64 bits of XXH3; a line is only ever compared with the frequent lines of its host), and for each
+host and line the documents that hold it are counted, copies of a document too. A line that stands in more documents
+than the limit is boilerplate; the limit is a share of the host's documents, and never below min_docs, so that it means
+the same at every size of host and corpus. Boilerplate lines are removed; a text that loses more than max_lost of its
+words to them is depleted and rejected.
+
+Null texts count as empty; empty texts and texts without words fail the base; a null host is a host of its own; every row
+is a document, whatever its id (null and repeated ids stay separate rows); a text of any length is one unit, held by one
+task; extra columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ SYMBOLS = c.byte_class(lambda b: chr(b) in "#*$%&|<>")
 #: Salts of a (host, line) key when lines meet their frequencies, so that no line's rows stand in one task.
 SALTS = 16
 SCHEMA = (
-    "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, lines array<long>, line_words array<int>, text string"
 )
 
@@ -40,7 +43,7 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     ls, le, lrow = c.line_spans(data, off)
     lo, hi = np.searchsorted(ws, ls), np.searchsorted(ws, le)
     with_word = hi > lo
-    raw = c.span_hashes(data, ls, le)[with_word]
+    raw = c.digests(data, ls[with_word], le[with_word])[:, 0]
     wl_row = lrow[with_word]
     dup = c.later(c.in_row(raw, wl_row))
     n_dup = c.per_row(rows, wl_row[dup])
@@ -53,17 +56,20 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         covered[twice + j] = True
     n_repeat = c.per_row(rows, wrow[covered])
 
-    lower = c.LOWER[data]
+    # each distinct line of a document once, with the words of all its occurrences
     first, last, counts = ws[lo[with_word]], we[hi[with_word] - 1], (hi - lo)[with_word]
-    norm = c.span_hashes(lower, first, last)
-    whole = c.span_hashes(data, off[:-1], off[1:])
-    ends = np.cumsum(c.per_row(rows, wl_row))
-    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    norm = c.digests(c.LOWER[data], first, last)[:, 0]
+    order = np.lexsort((norm, wl_row))
+    new = np.ones(len(order), bool)
+    new[1:] = (norm[order[1:]] != norm[order[:-1]]) | (wl_row[order[1:]] != wl_row[order[:-1]])
+    one = order[new]
+    words = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(one) else counts[:0]
+    offsets = pa.array(np.searchsorted(wl_row[one], np.arange(rows + 1)), pa.int32())
     return pa.RecordBatch.from_arrays(
         [
-            batch.column(0).cast(pa.int64()), batch.column(1), pa.array(whole.view(np.int64)), pa.array(n_words), pa.array(word_chars.astype(np.int64)),
+            batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n_words), pa.array(word_chars.astype(np.int64)),
             pa.array(n_symbols.astype(np.int64)), pa.array(n_dup), pa.array(n_repeat),
-            pa.ListArray.from_arrays(offsets, pa.array(norm.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))), batch.column(2),
+            pa.ListArray.from_arrays(offsets, pa.array(norm[one].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(words.astype(np.int32))), batch.column(2),
         ],
         names=[x.split()[0] for x in SCHEMA.split(", ")],
     )
@@ -79,7 +85,7 @@ def removal(text: pa.Array, frequent: pa.Array) -> pa.Array:
     ls, le, lrow = c.line_spans(data, off)
     lo, hi = np.searchsorted(ws, ls), np.searchsorted(ws, le)
     solid = np.flatnonzero(hi > lo)
-    norm = c.span_hashes(c.LOWER[data], ws[lo[solid]], we[hi[solid] - 1])
+    norm = c.digests(c.LOWER[data], ws[lo[solid]], we[hi[solid] - 1])[:, 0]
     lists = [x or [] for x in frequent.to_pylist()]
     own = np.array([h for x in lists for h in x], np.int64).view(np.uint64)
     gone = np.zeros(len(ls), bool)
@@ -94,24 +100,24 @@ def removal(text: pa.Array, frequent: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_docs: int = 50, max_lost: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_share: float = 0.005, min_docs: int = 3, max_lost: float = 0.5) -> DataFrame:
     """A row per text: the measures, boilerplate_words, base_failed, kept, the text without boilerplate lines, and their spans (removed)."""
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("text"))
-    base = c.row_cut(c.map_text(df, measure, SCHEMA), "rules")
-    lines = base.select("rid", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        "rid", "host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")
-    )
-    # distinct texts, then texts: both steps combine before they shuffle, and no key of the first is hot
+    base = c.row_cut(c.map_text(df, measure, SCHEMA), "rules", compression="zstd")
+    lines = base.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("rid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    # a document has a line once, so rows are documents; counts combine before they shuffle
+    counts = lines.groupBy("host", "line").count().filter(F.col("count") > min_docs).alias("n")
+    hosts = base.groupBy("host").agg(F.count("*").alias("docs")).alias("h")
     frequent = (
-        lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").count().filter(F.col("count") > max_docs)
-        .select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        counts.join(hosts, F.col("n.host").eqNullSafe(F.col("h.host"))).filter(F.col("count") > max_share * F.col("docs"))
+        .select("n.host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     frequent = c.cut(frequent, "lines")
-    salted = lines.withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int")).alias("a")
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).alias("a")
     b = frequent.alias("b")
     lost = (
         salted.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.salt") == F.col("b.salt")))
-        .groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_set("a.line").alias("frequent"))
+        .groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_list("a.line").alias("frequent"))
     )
     out = base.drop("lines", "line_words").join(lost, "rid", "left").withColumn("boilerplate_words", F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

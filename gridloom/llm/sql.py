@@ -12,7 +12,9 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k)
 split AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM d),
 lines AS (SELECT doc_id, host, text, l, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS norm,
           len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM split WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-frequent AS (SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT text) > 50),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+counts AS (SELECT host, norm, count(DISTINCT doc_id) AS n FROM lines GROUP BY host, norm),
+frequent AS (SELECT counts.host, norm FROM counts JOIN hosts ON counts.host IS NOT DISTINCT FROM hosts.host WHERE n > greatest(3, 0.005 * docs)),
 dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, l, count(*) AS c FROM lines GROUP BY doc_id, l) GROUP BY doc_id),
 lost AS (SELECT doc_id, sum(words) AS n FROM lines JOIN frequent ON lines.norm = frequent.norm AND lines.host IS NOT DISTINCT FROM frequent.host GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars,
@@ -27,10 +29,14 @@ OP1 = rf"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 lines AS (SELECT doc_id, l, n, regexp_matches(l, '[^\x20\x09-\x0D]') AS solid,
           CAST(sum(CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS k FROM raw),
-norm AS (SELECT doc_id, k, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS x FROM lines WHERE solid),
-w AS (SELECT doc_id, k, x AS a, lead(x, 1) OVER s AS b, lead(x, 2) OVER s AS c FROM norm WINDOW s AS (PARTITION BY doc_id ORDER BY k)),
-later AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM w WHERE c IS NOT NULL OR k = 1) WHERE r > 1),
-covered AS (SELECT DISTINCT later.doc_id, norm.k FROM later JOIN norm ON norm.doc_id = later.doc_id AND norm.k BETWEEN later.k AND later.k + 2),
+norm AS (SELECT doc_id, k, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS x,
+         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY doc_id) AS all_lines FROM lines WHERE solid),
+ahead AS (SELECT doc_id, k, all_lines, words, x AS a, lead(x, 1) OVER s AS b, lead(x, 2) OVER s AS c, words + lead(words, 1) OVER s AS two FROM norm WINDOW s AS (PARTITION BY doc_id ORDER BY k)),
+w AS (SELECT doc_id, k, 3 AS size, a, b, c FROM ahead WHERE c IS NOT NULL
+      UNION ALL SELECT doc_id, k, 2, a, b, NULL FROM ahead WHERE b IS NOT NULL AND (two > 50 OR all_lines = 2)
+      UNION ALL SELECT doc_id, k, 1, a, NULL, NULL FROM ahead WHERE words > 50 OR all_lines = 1),
+later AS (SELECT doc_id, k, size FROM (SELECT *, row_number() OVER (PARTITION BY size, a, b, c ORDER BY doc_id, k) AS r FROM w) WHERE r > 1),
+covered AS (SELECT DISTINCT later.doc_id, norm.k FROM later JOIN norm ON norm.doc_id = later.doc_id AND norm.k BETWEEN later.k AND later.k + later.size - 1),
 marked AS (SELECT lines.*, CASE WHEN solid THEN here.k IS NOT NULL ELSE here.k IS NOT NULL AND next.k IS NOT NULL END AS gone
            FROM lines LEFT JOIN covered here ON here.doc_id = lines.doc_id AND here.k = lines.k LEFT JOIN covered next ON next.doc_id = lines.doc_id AND next.k = lines.k + 1),
 cleaned AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_removed FROM marked GROUP BY doc_id)
