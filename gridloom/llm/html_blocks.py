@@ -1,18 +1,23 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags. A block has its word count and link density, those of the
-blocks before and after it, and whether its place in the page speaks for boilerplate (nav, footer, aside, form,
-class names such as ad, cookie, comments) or for an article. A decision tree, grown from the small labelled pages
-below, says which blocks are main text; those are joined by line feeds in page order.
-
-Null or empty html gives an empty text; unclosed tags, comments and scripts run to the page's end as in HTML;
-blocks that repeat stay; rows with equal ids stay rows; an empty table gives an empty result.
+A page is cut into flat blocks at block-level tags. A block has its word count and link density, those of the blocks
+before and after it, and what its place says: whether a boilerplate element (nav, footer, aside) or an article holds it,
+and how much the names (class, id) of what holds it speak of boilerplate. A name decides nothing by itself: with it go
+the share of the page's or article's words that the named element holds and the share that stands before it, so that a
+wrapper called "has-sidebar" and a sidebar differ; names outside an article don't count inside it. A decision tree, grown
+from the small labelled table below, says which blocks are main text; those are joined by line feeds in page order.
+
+Null or empty html gives an empty text; unclosed tags, comments and scripts run to the page's end as in HTML, and a link
+to its end tag or the next link, over blocks; blocks that repeat stay; a page of any length is one unit, held by one
+task, and read once from start to end; rows with null or equal ids stay rows; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +29,13 @@ from . import common as c
 
 # HTML element names by role, and words of class names.
 SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video select textarea button option datalist".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math select object".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog search".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog search".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside rail widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations more pagination pager tags copyright legal disclaimer skip toolbar contentinfo complementary".split()
@@ -37,148 +43,223 @@ BOILERPLATE_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article content main post entry story body text page".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|$)",
+    r"<!--(?:>|->|.*?-->|.*)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|$)",
     re.S,
 )
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden|href|name)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 #: Elements that a sibling's start tag ends.
 _IMPLIED = {"li": frozenset(["li"]), "p": frozenset(["p"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate_place", "article_place", "article_on_page", "heading", "paragraph")
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
+    "boilerplate_tag", "article_tag", "article_on_page", "boilerplate_name", "share_of_named", "share_before_named", "article_name", "heading", "paragraph",
+)
 
 
 @lru_cache(10_000)
-def _cue(tag: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
-    """(boilerplate, article, hidden) that an element's start says of what it holds."""
-    words: set[str] = set()
-    hidden = False
+def _says(tag: str, attrs: str) -> tuple[bool, bool, float, bool, bool]:
+    """What an element's start says of what it holds: (boilerplate element, article element, share of boilerplate words in its names, article words in them, hidden)."""
+    words: list[str] = []
+    hidden, role = False, ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-        elif name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORD.findall(value))
+        elif name == "role":
+            role = value.lower()
+        elif name in ("class", "id"):
+            words += [w.lower() for w in _WORD.findall(value)]
     if tag in ("body", "html"):
-        return 0, 0, hidden
-    bad = tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS - ({"header"} if in_article else set())) or tag == "header" and not in_article
-    good = tag in ARTICLE_TAGS or not bad and bool(words & ARTICLE_WORDS)
-    return int(bad), int(good), hidden
-
-
-def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int]]:
-    """The flat blocks: text, words, words in links, boilerplate place, article place, heading, paragraph."""
-    out: list[tuple[str, int, int, int, int, int, int]] = []
-    if not page:
-        return out
-    text: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, int, int, bool]] = []
-    bad = good = hidden = links = 0
-    heading = paragraph = 0
-
-    def close() -> None:
-        nonlocal heading, paragraph
-        if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
-            if joined and not hidden:
-                n = joined.count(" ") + 1
-                in_links = min(n, len(entities.unescape("".join(linked)).split())) if linked else 0
-                out.append((joined, n, in_links, int(bad > 0), int(good > 0), heading, paragraph))
-            text.clear()
-            linked.clear()
-        heading = paragraph = 0
-
-    at, size = 0, len(page)
-    while at < size:
-        lt = page.find("<", at)
-        if lt < 0:
-            lt = size
-        if lt > at:
-            text.append(page[at:lt])
-            if links:
-                linked.append(page[at:lt])
-            at = lt
-            continue
-        m = _TOKEN.match(page, at)
-        if m is None:
-            text.append("<")
-            at += 1
-            continue
-        at = m.end()
-        tag = m["tag"]
-        attrs = m["attrs"] or ""
-        end = m["end"]
-        if tag is None:
-            loose = _LOOSE.match(m[0])
-            if loose is None or not m[0].endswith(">"):
+        return False, False, 0.0, False, hidden
+    bad = [w for w in words if w in BOILERPLATE_WORDS]
+    # a form may be a page's wrapper, so it is a little less than a name of nothing but boilerplate
+    named = 0.95 if tag == "form" else len(bad) / len(words) if bad else 0.0
+    return tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES, tag in ARTICLE_TAGS or role in ARTICLE_TAGS, named, not bad and any(w in ARTICLE_WORDS for w in words), hidden
+
+
+@lru_cache(10_000)
+def _is_link(attrs: str) -> bool:
+    """An anchor that only has a name is no link."""
+    names = {m[1].lower() for m in _ATTR.finditer(attrs)}
+    return "href" in names or not names & {"name", "id"}
+
+
+class Block:
+    """A flat block: its text, words, words in links, and its place."""
+
+    __slots__ = ("text", "words", "linked", "boilerplate", "scope", "region", "good", "heading", "paragraph")
+
+
+class Page:
+    """A page's blocks, the regions that named elements are, and the scopes: the page itself (0) and its outermost articles.
+
+    A region is [share of boilerplate words, first block, end block, the region around it in its scope, whether it holds the
+    page's first article]; a scope is [first block, end block]."""
+
+    def __init__(self, page: str | None):
+        self.blocks: list[Block] = []
+        self.regions: list[list] = []
+        self.scopes: list[list[int]] = [[0, 0]]
+        if page:
+            self._read(page)
+        for x in (*self.scopes, *(r[1:3] for r in self.regions)):
+            assert x[1] <= len(self.blocks)
+
+    def _read(self, page: str) -> None:
+        text: list[str] = []
+        linked: list[str] = []
+        # of each open element: tag, boilerplate, scope before, region before, article name before, hidden, its own scope and region
+        stack: list[tuple] = []
+        opened: Counter[str] = Counter()
+        boilerplate = hidden = links = heading = paragraph = scope = 0
+        region, good = -1, False
+
+        def close() -> None:
+            nonlocal heading, paragraph
+            if text:
+                joined = " ".join(entities.unescape("".join(text)).split())
+                if joined and not hidden:
+                    b = Block()
+                    b.text, b.words = joined, joined.count(" ") + 1
+                    b.linked = min(b.words, len(entities.unescape("".join(linked)).split())) if linked else 0
+                    b.boilerplate, b.scope, b.region, b.good, b.heading, b.paragraph = boilerplate > 0, scope, region, good, heading, paragraph
+                    self.blocks.append(b)
+                text.clear()
+                linked.clear()
+            heading = paragraph = 0
+
+        def leave() -> str:
+            nonlocal boilerplate, scope, region, good, hidden
+            tag, bad, before, around, was_good, was_hidden, own_scope, own_region = stack.pop()
+            opened[tag] -= 1
+            if own_scope:
+                self.scopes[own_scope][1] = len(self.blocks)
+            if own_region >= 0:
+                self.regions[own_region][2] = len(self.blocks)
+            boilerplate, scope, region, good, hidden = boilerplate - bad, before, around, was_good, hidden - was_hidden
+            return tag
+
+        at, size = 0, len(page)
+        while at < size:
+            lt = page.find("<", at)
+            if lt < 0:
+                lt = size
+            if lt > at:
+                text.append(page[at:lt])
+                if links:
+                    linked.append(page[at:lt])
+                at = lt
                 continue
-            end, tag = loose[1], loose[2]
-        tag = tag.lower()
-        if not end and tag in RAW:
-            done = _CLOSE[tag].search(page, at)
-            at = done.end() if done else size
-            continue
-        if tag == "a":
-            links = 0 if end else 1
-            continue
-        if tag == "br":
-            text.append(" ")
-            if links:
-                linked.append(" ")
-            continue
-        known = tag in BLOCK
-        if not known and tag not in SKIPPED:
-            if not end and attrs and tag not in VOID and (cue := _cue(tag, attrs, good > 0))[2]:
-                known = True  # a hidden inline element
-            elif not (end and any(t == tag for t, *_ in stack)):
+            m = _TOKEN.match(page, at)
+            if m is None:
+                text.append("<")
+                at += 1
+                continue
+            at = m.end()
+            tag = m["tag"]
+            attrs = m["attrs"] or ""
+            end = m["end"]
+            if tag is None:
+                loose = _LOOSE.match(m[0])
+                if loose is None or not m[0].endswith(">"):
+                    continue
+                end, tag = loose[1], loose[2]
+            tag = tag.lower()
+            if not end and tag in RAW:
+                done = _CLOSE[tag].search(page, at)
+                at = done.end() if done else size
+                continue
+            if tag == "a":
+                links = int(not end and _is_link(attrs))
                 continue
+            if tag == "br":
+                text.append(" ")
+                if links:
+                    linked.append(" ")
+                continue
+            if tag not in BLOCK and tag not in SKIPPED:
+                if end:
+                    if not opened[tag]:
+                        continue
+                elif not attrs or tag in VOID or not _says(tag, attrs)[4]:
+                    continue  # an inline element, unless it is hidden
+            close()
+            if end:
+                if opened[tag]:
+                    while leave() != tag:
+                        pass
+                continue
+            while stack and (stack[-1][0] in _IMPLIED.get(tag, ()) or stack[-1][0] == "p"):
+                leave()
+            if tag not in VOID and not attrs.endswith("/"):
+                bad, article, named, article_name, hide = _says(tag, attrs)
+                bad = bad or tag == "header" and not scope
+                hide = hide or tag in SKIPPED
+                own_scope, own_region = 0, -1
+                before = (scope, region, good)
+                plain = any(x[-1] >= 0 and self.regions[x[-1]][0] == 1.0 for x in stack) if article and not scope else False
+                if article and not scope and not boilerplate and not bad and not plain:  # names outside don't count inside
+                    if len(self.scopes) == 1:
+                        for *_, open_region in stack:
+                            if open_region >= 0:
+                                self.regions[open_region][4] = True
+                    own_scope = scope = len(self.scopes)
+                    self.scopes.append([len(self.blocks), len(self.blocks)])
+                    region, good = -1, False
+                elif named and tag not in ("body", "html"):
+                    own_region = len(self.regions)
+                    self.regions.append([named, len(self.blocks), len(self.blocks), region, False])
+                    region, good = own_region, False
+                elif article_name:
+                    good = True
+                stack.append((tag, bad, *before, hide, own_scope, own_region))
+                opened[tag] += 1
+                boilerplate, hidden = boilerplate + bad, hidden + hide
+            heading = int(len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
+            paragraph = int(tag in ("p", "blockquote", "pre"))
         close()
-        links = 0
-        if end:
-            if any(t == tag for t, *_ in stack):
-                while stack:
-                    t, b, g, h = stack.pop()
-                    bad, good, hidden = bad - b, good - g, hidden - h
-                    if t == tag:
-                        break
-            continue
-        while stack and stack[-1][0] in _IMPLIED.get(tag, ()) or stack and stack[-1][0] == "p":
-            t, b, g, h = stack.pop()
-            bad, good, hidden = bad - b, good - g, hidden - h
-        if tag not in VOID and not attrs.endswith("/"):
-            b, g, h = _cue(tag, attrs, good > 0)
-            h = h or tag in SKIPPED
-            stack.append((tag, b, g, h))
-            bad, good, hidden = bad + b, good + g, hidden + h
-        heading = int(len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
-        paragraph = int(tag in ("p", "blockquote", "pre"))
-    close()
-    return out
-
-
-def features(found: list[tuple[str, int, int, int, int, int, int]]) -> np.ndarray:
-    """A row of FEATURES for each block."""
-    n = len(found)
-    x = np.zeros((n, len(FEATURES)))
-    if n:
-        words = np.array([b[1] for b in found], float)
-        density = np.array([b[2] for b in found]) / words
+        while stack:
+            leave()
+        self.scopes[0][1] = len(self.blocks)
+
+    def features(self) -> np.ndarray:
+        """A row of FEATURES for each block."""
+        found = self.blocks
+        n = len(found)
+        x = np.zeros((n, len(FEATURES)))
+        if not n:
+            return x
+        words = np.array([b.words for b in found], float)
+        density = np.array([b.linked for b in found]) / words
         x[:, 0], x[:, 1] = words, density
         x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-        x[:, 6], x[:, 7] = [b[3] for b in found], [b[4] for b in found]
-        x[:, 8] = x[:, 7].any()
-        x[:, 9], x[:, 10] = [b[5] for b in found], [b[6] for b in found]
-    return x
+        upto = np.concatenate([[0.0], np.cumsum(words)])
+        # of the regions around a block in its scope the one whose name is plainest; one around the page's first article is only its wrapper
+        plainest: list[int] = []
+        for k, (named, _, _, around, wraps) in enumerate(self.regions):
+            outer = plainest[around] if around >= 0 else -1
+            plainest.append(outer if wraps or outer >= 0 and self.regions[outer][0] > named else k)
+        for i, b in enumerate(found):
+            x[i, 6], x[i, 7], x[i, 12], x[i, 13], x[i, 14] = b.boilerplate, b.scope > 0 and not b.boilerplate, b.good, b.heading, b.paragraph
+            at = plainest[b.region] if b.region >= 0 else -1
+            x[i, 10] = 1.0
+            if at >= 0:
+                named, first, end, _, _ = self.regions[at]
+                lo, hi = self.scopes[b.scope]
+                whole = upto[hi] - upto[lo]
+                x[i, 9], x[i, 10], x[i, 11] = named, (upto[end] - upto[first]) / whole, (upto[first] - upto[lo]) / whole
+        x[:, 8] = len(self.scopes) > 1
+        return x
 
 
 # --- the tree ------------------------------------------------------------------------------------------
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> tuple:
     """A tree by Gini impurity: (feature, threshold, lower branch, upper branch), or (share of main text,) for a leaf."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -215,71 +296,132 @@ def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 _S = "The river rose again in the night, and the people of the lower town carried what they could up the hill."
 _L = " ".join([_S, "No one had thought that the old wall would hold, but it did, and by noon the water began to fall.", _S])
-#: The labelled pages: blocks whose element has the attribute data-main are main text.
-LABELLED = (
-    f"<nav><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul></nav><div class=ad>Buy two shoes today and pay for one.</div><article><h1 data-main>Flood in the lower town</h1><p data-main>{_L}</p><p data-main>Yes.</p><p data-main>{_S}</p></article><footer>&copy; 2001 The Paper</footer>",
-    f"<header><p>The Paper</p><p>{_S}</p><a>Sign in</a></header><main><h1 data-main>Harvest</h1><p data-main>{_S}</p><h2 data-main>Later</h2><p data-main>{_L}</p><aside><p>Also of interest to our readers this week:</p><a>Ten ways to cook a carp</a></aside><p data-main>The end.</p></main><section id=comments><p>{_S}</p><p>I was there too.</p><p>{_L}</p></section>",
-    f"<div class='cookie-notice'><p>We use cookies to make this site work and to learn how it is used. You can change that at any time.</p><p>OK</p></div><div class=content><p data-main>{_S}</p><p data-main>So it was.</p><ul><li data-main>Bread and salt</li><li data-main>Three candles</li></ul><p data-main>{_L}</p></div><div class=sidebar><p>{_S}</p><a>Archive</a></div>",
-    f"<div><a>Home</a> <a>World</a> <a>Sport</a></div><div><p data-main>{_L}</p><p data-main>{_S}</p><p data-main>{_L}</p></div><div><a>Terms</a> <a>Privacy</a></div><div>All rights reserved.</div>",
-    f"<div>Menu</div><p data-main>{_L}</p><p data-main>{_L}</p><div><a>Next story: the great fire of the upper town</a></div><div>Imprint</div>",
-    f"<form><p>Your name and address, please, so that we can send you the paper every week of the year.</p><p>Send</p></form><article><p data-main>{_S}</p><blockquote data-main>{_S}</blockquote><p data-main>Nobody spoke.</p><div class=share><a>Share</a></div><div class=comments><article><p>{_S}</p></article><p>First!</p></div></article>",
-    f"<div class=banner><p>{_S}</p></div><div id=main><h1 data-main>Wind</h1><p data-main>{_S}</p><p data-main><a>{_S}</a></p><p data-main>{_L}</p></div><div class=footer><p>{_S}</p></div>",
-    f"<article><h1 data-main>Snow</h1><p data-main>Short.</p><p data-main>Shorter.</p></article><div>Contact the editors by post only.</div><div><a>Top of the page</a></div><p>{_S}</p>",
-    f"<div><a>Home</a></div><div><a>World news</a></div><div><a>Sport and games</a></div><h1 data-main>The flood</h1><p data-main>{_S}</p><p data-main>Yes.</p><p data-main>{_L}</p><p data-main>That was all.</p><div>Imprint</div><div><a>Terms of use of this paper</a></div>",
+# The labelled table. Elements with the attribute data-main are main text, all others are not.
+#: Main text, with what may stand among it.
+BODIES = (
+    f"<h1 data-main>Flood in the lower town</h1><p data-main>{_L}</p><p data-main>Yes.</p><p data-main>{_S}</p>",
+    f"<h1 data-main>Harvest</h1><p data-main>{_S}</p><h2 data-main>Later</h2><p data-main>{_L}</p><p data-main>The end.</p>",
+    f"<p data-main>{_L}</p><p data-main>{_S}</p><p data-main>{_L}</p>",
+    f"<p data-main>{_S}</p><p data-main>So it was.</p><ul><li data-main>Bread and salt</li><li data-main>Three candles</li></ul><p data-main>{_L}</p>",
+    f"<h1 data-main>Wind</h1><p data-main>{_S}</p><p data-main><a>{_S}</a></p><p data-main>{_L}</p>",
+    f"<h1 data-main>Night</h1><p data-main>{_S} <a>See the table</a></p><blockquote data-main>{_S}</blockquote><p data-main>Nobody spoke.</p><p data-main>{_L}</p>",
+    f"<div data-main>{_L}</div><div data-main>{_S}</div><div data-main>{_L}</div>",
+    f"<h2 data-main>One</h2><p data-main>{_L}</p><h2 data-main>Two</h2><p data-main>Few words.</p><h2 data-main>Three</h2><p data-main>{_S}</p>",
     f"<p data-main>{_S}</p><p data-main>So.</p><p data-main>No one spoke of it.</p><p data-main>{_S}</p>",
-    f"<section><h2 data-main>Rain</h2><p data-main>{_S}</p><p data-main>It rained.</p></section><div><a>{_S}</a></div><div><a>Ten more stories that you may want to read after this one</a></div>",
-    f"<div>Welcome to the paper</div><div>Search</div><div data-main>{_L}</div><div data-main>{_S}</div><div data-main>{_L}</div><div>Share this</div><div>Powered by paper</div>",
-    f"<table><tr><td><a>Front page</a></td><td><a>Letters to the editors</a></td></tr></table><h1 data-main>Late trains</h1><p data-main>{_S} <a>See the table</a></p><p data-main><a>A link</a> and nothing else but these few words.</p><p data-main>{_S}</p><ul><li><a>One story of many more</a></li><li><a>Two stories of many more</a></li><li><a>Three stories of many more</a></li></ul>",
-    f"<div><a>Up</a></div><h2 data-main>One</h2><p data-main>{_L}</p><h2 data-main>Two</h2><p data-main>Few words.</p><h2 data-main>Three</h2><p data-main>{_S}</p><p><a>Read the next chapter of this book here</a></p><div>Made with care in the lower town</div>",
-    f"<h3>Menu</h3><ul><li><a>A</a></li><li><a>B</a></li></ul><h1 data-main>Night</h1><p data-main>{_S}</p><p data-main>{_L}</p><h3>Links</h3><ul><li><a>C</a></li><li><a>D</a></li></ul><h3>Partners</h3><ul><li><a>E of the upper town</a></li></ul>",
-    f"<article><h1 data-main>Bread</h1><p data-main><a>Whole line in a link</a></p><ul><li data-main><a>Flour</a></li><li data-main>Salt</li></ul><p data-main>{_S}</p></article><p>{_S}</p><p><a>{_S}</a></p><div>{_L}</div>",
-    f"<nav><a>One</a></nav><article><p data-main>{_S}</p><nav><a>Part two of this long story</a></nav><p data-main>{_L}</p><footer><p>Written by the night desk.</p></footer></article><p>{_L}</p>",
 )
+#: Main text that only its article tells from a menu.
+SHORT_BODIES = (
+    "<h1 data-main>Snow</h1><p data-main>Short.</p><p data-main>Shorter.</p>",
+    f"<h1 data-main>Bread</h1><p data-main><a>Whole line in a link</a></p><ul><li data-main><a>Flour</a></li><li data-main>Salt</li></ul><p data-main>{_S}</p>",
+    "<p data-main>A word.</p>",
+    "<h1 data-main><a>The old wall</a></h1><table><tr><td data-main>1900</td><td data-main>built</td></tr><tr><td data-main><a>1950</a></td><td data-main><a>fell</a></td></tr></table>",
+    f"<h2 data-main>Letters</h2><p data-main><a>From the upper town</a></p><p data-main><a>{_S}</a></p><pre data-main>one two three</pre>",
+)
+#: What stands before and after, told by its length and links.
+PLAIN = (
+    "<div><a>Home</a> <a>World</a> <a>Sport</a></div>",
+    "<div>Menu</div>",
+    "<div><a>Home</a></div><div><a>World news</a></div><div><a>Sport and games</a></div>",
+    "<ul><li><a>One story of many more</a></li><li><a>Two stories of many more</a></li><li><a>Three stories of many more</a></li></ul>",
+    "<div>Welcome to the paper</div><div>Search</div>",
+    "<div>Imprint</div><div><a>Terms of use of this paper</a></div>",
+    "<table><tr><td><a>Front page</a></td><td><a>Letters to the editors</a></td></tr></table>",
+    "<div><a>Terms</a> <a>Privacy</a></div><div>All rights reserved.</div>",
+    "<h3>Links</h3><ul><li><a>C</a></li><li><a>D</a></li></ul><h3>Partners</h3><ul><li><a>E of the upper town</a></li></ul>",
+    "<div>Made with care in the lower town</div>",
+    "<a><div>Ten more stories that you may want to read after this one</div></a>",
+)
+#: The same, told by its element or name, whatever it says.
+NAMED = (
+    "<nav><ul><li><a>Home</a></li><li><a>News</a></li><li>About us</li></ul></nav>",
+    f"<header><p>The Paper</p><p>{_S}</p><a>Sign in</a></header>",
+    f"<footer><p>{_L}</p><p>&copy; 2001 The Paper</p></footer>",
+    "<div class=ad>Buy two shoes today and pay for one.</div>",
+    f"<div class='ad-banner'><p>{_S}</p></div>",
+    "<div class='cookie-notice'><p>We use cookies to make this site work and to learn how it is used. You can change that at any time.</p><p>OK</p></div>",
+    f"<aside><p>Also of interest to our readers this week:</p><p>{_S}</p><a>Ten ways to cook a carp</a></aside>",
+    f"<div class=sidebar><p>{_S}</p><a>Archive</a></div>",
+    "<form><p>Your name and address, please, so that we can send you the paper every week of the year.</p><p>Send</p></form>",
+    f"<div id=newsletter><h2>Letters</h2><p>{_S}</p></div>",
+    f"<div role=navigation><p>{_S}</p></div>",
+    f"<section class=related><h3>More of this</h3><p>{_S}</p><p>{_S}</p></section>",
+)
+#: What stands inside an article or after its text and is none of it.
+INNER = (
+    f"<aside><p>{_S}</p></aside>",
+    "<div class=share><a>Share</a></div>",
+    f"<div class=comments><article><p>{_L}</p></article><p>First!</p><article><p>{_L}</p></article></div>",
+    f"<section id=comments><p>{_S}</p><p>I was there too.</p><p>{_L}</p></section>",
+    "<form><p>Give us your mail address and we shall write to you.</p></form>",
+    "<nav><a>Part two of this long story</a></nav>",
+    "<footer><p>Written by the night desk.</p></footer>",
+    "<div class=ad>Buy two shoes today, and pay for one of them a year from now.</div>",
+    f"<ul class='comment-list'><li><p>{_L}</p></li><li><p>{_S}</p></li><li><p>{_L}</p></li></ul>",
+    "<p class=tags><a>River</a> <a>Town</a></p>",
+)
+#: How pages are put together. Wrappers have names that speak of what else is on the page.
+ARTICLE_FRAMES = (
+    "{top}<article>{body}</article>{end}",
+    "{top}<main>{body}{inner}</main>{end}",
+    "{top}<article>{body}{inner}</article>{side}{end}",
+    "<div class='layout has-sidebar'>{top}<article>{body}</article>{side}{end}</div>",
+    "<div class=no-comments>{top}<article>{body}{inner}</article>{end}</div>",
+    "<div class=post-share-enabled>{top}<main><article>{body}</article>{inner}</main>{end}</div>",
+    "<div class='page with-header'>{top}<article><header>{body}</header></article>{side}{end}</div>",
+    "<div class='story related-content'><article>{body}</article></div>{end}",
+    "<form id=all>{top}<article>{body}</article>{end}</form>",
+    "{top}<article><div class='text with-ads'>{body}</div>{inner}</article>{side}",
+    "{top}<section><article>{body}</article><div class=discussion>{side}</div></section>{end}",
+)
+NAME_FRAMES = (
+    "{top}<div class=content>{body}</div>{side}{end}",
+    "<div class='layout has-sidebar'>{top}<div class=content>{body}{inner}</div>{side}{end}</div>",
+    "<div class=no-comments>{top}{body}{end}</div>",
+    "<div class='page with-header'>{top}{body}{inner}</div>",
+    "{top}<div class='story related-content'>{body}</div>{end}",
+    "<form id=all>{top}<div id=main>{body}</div>{side}{end}</form>",
+    "{top}<div class='post-share-enabled'>{body}</div>{inner}{end}",
+    "{top}<section>{body}{inner}</section>{side}",
+    "{top}{body}{end}",
+    "{body}{inner}",
+)
+PLAIN_FRAMES = ("{top}{body}{end}", "<div>{top}</div><div>{body}</div><div>{end}</div>", "<table><tr><td>{top}</td><td>{body}</td></tr></table>{end}", "{body}{end}", "{top}{body}", "{body}")
 
 
-def made_pages(n: int = 60) -> list[str]:
-    """More labelled pages, by rule: blocks of all lengths, with and without links, in an article or in plain pages."""
-    rng = np.random.default_rng(1)
-    words = _L.split()
-
-    def block(tag: str, length: int, links: float, mark: str = "") -> str:
-        text = [words[int(k)] for k in rng.integers(0, len(words), length)]
-        cut = round(length * links)
-        inside = (f"<a>{' '.join(text[:cut])}</a> " if cut else "") + " ".join(text[cut:])
-        return f"<{tag}{mark}>{inside}</{tag}>"
-
-    def furniture(tag: str = "div") -> str:
-        return "".join(block(tag, int(rng.integers(1, 9)), float(rng.choice([0.0, 0.0, 1.0, 1.0, 1.0]))) for _ in range(rng.integers(1, 6)))
-
-    pages = []
-    for k in range(n):
-        if k % 2:  # an article says where the main text is
-            kinds = ["p", "p", "p", "li", "h2", "div", "td", "blockquote", "pre"]
-            body = "".join(block(str(rng.choice(kinds)), int(rng.choice([1, 2, 4, 9, 20, 45, 90])), float(rng.choice([0.0, 0.0, 0.0, 0.4, 1.0])), " data-main") for _ in range(rng.integers(1, 12)))
-            other = "".join(block(str(rng.choice(["p", "div"])), int(rng.choice([2, 9, 20, 60])), float(rng.choice([0.0, 0.0, 1.0]))) for _ in range(rng.integers(0, 3)))
-            side = block("p", int(rng.choice([3, 12, 30, 60])), float(rng.choice([0.0, 0.3])))
-            pages.append(f"<nav>{furniture('li')}</nav>{other if k % 4 == 1 else ''}<article>{body}<aside>{side}</aside></article>{other if k % 4 == 3 else ''}" + ("" if k % 3 else f"<footer>{side}</footer>"))
-        else:  # nothing but lengths, links and neighbours do
-            body = block("h1", int(rng.integers(2, 10)), 0.0, " data-main") * int(rng.random() < 0.8)
-            body += "".join(block("p", int(rng.choice([1, 3, 8, 15, 25, 40, 80])), float(rng.choice([0.0, 0.0, 0.0, 0.2])), " data-main") for _ in range(rng.integers(3, 10)))
-            pages.append((furniture() if rng.random() < 0.8 else "") + body + (furniture() if rng.random() < 0.8 else ""))
+def labelled_pages() -> list[str]:
+    """The table's pages: each frame with several bodies, and in turn all that may stand around them."""
+    pages, k = [], 0
+    for frames, bodies, around in ((ARTICLE_FRAMES, (*BODIES, *SHORT_BODIES), (*PLAIN, *NAMED)), (NAME_FRAMES, BODIES, (*PLAIN, *NAMED)), (PLAIN_FRAMES, BODIES, PLAIN)):
+        for frame in frames:
+            for body in bodies:
+                k += 1
+                pages.append(frame.format(top=around[7 * k % len(around)], body=body, inner=INNER[k % len(INNER)], side=NAMED[5 * k % len(NAMED)], end=around[3 * k % len(around)]))
     return pages
 
 
+def marked(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a labelled page's blocks, and which of them are main text."""
+    # the mark goes into the text, so that labelled blocks are found by the same parser
+    found = Page(re.sub(r"<(\w+)([^>]*) data-main([^>]*)>", "<\\1\\2\\3>✓ ", page))
+    main = np.array([b.text.startswith("✓") for b in found.blocks], float)
+    for b, yes in zip(found.blocks, main, strict=True):
+        b.words -= int(yes)
+        b.linked = min(b.linked, b.words)
+    return found.features(), main
+
+
 @lru_cache(1)
 def trained() -> tuple:
-    xs, ys = [], []
-    for page in (*LABELLED, *made_pages()):
-        # the mark goes into the text, so that labelled blocks are found by the same parser
-        marked = blocks(re.sub(r"<(\w+)([^>]*) data-main([^>]*)>", "<\\1\\2\\3>✓ ", page))
-        xs.append(features([(t.removeprefix("✓ "), n - t.startswith("✓"), *rest) for t, n, *rest in marked]))
-        ys.append([t.startswith("✓") for t, *_ in marked])
-    return grow(np.concatenate(xs), np.concatenate(ys).astype(float))
+    xs, ys = zip(*(marked(p) for p in labelled_pages()), strict=True)
+    return grow(np.concatenate(xs), np.concatenate(ys))
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page)
-    return "\n".join(b[0] for b, main in zip(found, classify(trained(), features(found)), strict=True) if main)
+    return _main(Page(page), trained())
+
+
+def _main(page: Page, tree: tuple) -> str:
+    return "\n".join(b.text for b, main in zip(page.blocks, classify(tree, page.features()), strict=True) if main)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -287,10 +429,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts = [], []
-        for page in batch.column(2).to_pylist():
-            found = blocks(page)
-            texts.append("\n".join(b[0] for b, main in zip(found, classify(tree, features(found)), strict=True) if main))
-            counts.append(len(found))
+        for html in batch.column(2).to_pylist():
+            page = Page(html)
+            texts.append(_main(page, tree))
+            counts.append(len(page.blocks))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
     tree = trained()
