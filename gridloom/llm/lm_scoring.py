@@ -5,17 +5,19 @@ background's from all documents. Vocabulary, order, smoothing and pruning are th
 is its mean loss per token under the target model less that under the background model; lower is nearer to the target.
 
 Words are runs of letters and digits of the lower-cased text. Every word and every bigram counts, however rare, and
-interpolates with the word (Jelinek-Mercer). The counts grow with the corpus, so they are never on one machine:
-documents are dealt by a hash of their id into chunks of about CHUNK bytes; a chunk passes on its own counts in blocks
-by range of the key, a block's task adds up each key over all chunks and answers each chunk in the order of its own
-keys, and the chunk's documents are scored with the answers. A key is once in a chunk, however often it stands there.
+interpolates with the word (Jelinek-Mercer). The counts grow with the corpus, so they are never on one machine: rows are
+numbered by a written table and dealt by that number into chunks of about CHUNK bytes, so that neither an id nor a text
+that many rows have makes a chunk large; a chunk passes on its own counts in blocks by range of the key, a block's task
+adds up each key over all chunks and answers each chunk in the order of its own keys, and the chunk's documents are
+scored with the answers. A key is once in a chunk, however often it stands there.
 
 A caller may ask for a smaller model by shares: then the vocabulary holds the words that make up word_share of the
 corpus's tokens, other words are one unknown word, and bigrams under pair_share of either corpus's tokens back off to
 the word. Both shares are 0, no pruning, unless given.
 
-Null and empty texts have no tokens and score 0; label rows that repeat count a document again for the target;
-null ids meet no label; an empty table gives an empty result.
+Null and empty texts have no tokens and score 0; a text of any length is one unit, held by one task; repeated rows are
+scored and counted each; label rows that repeat count a document again for the target; null ids meet no label; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -192,31 +195,59 @@ def block_of(k: np.ndarray, blocks: int) -> np.ndarray:
     return ((k >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
+class Keys:
+    """The keys of a chunk's texts: each part of the texts refers to its own distinct keys, and these to the chunk's, which are sorted."""
+
+    def __init__(self):
+        self._own: list[np.ndarray] = []
+        self._codes: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """The places of the keys among the part's distinct ones, whose number is the length of the last of _own."""
+        codes, own = pd.factorize(keys)
+        self._own.append(own)
+        return codes
+
+    def close(self) -> np.ndarray:
+        """The chunk's keys; places(k) are then those of part k's distinct keys among them."""
+        codes, every = pd.factorize(np.concatenate([*self._own, np.zeros(0, np.uint64)]))
+        order = np.argsort(every)
+        rank = np.empty(len(every), np.int32)
+        rank[order] = np.arange(len(every), dtype=np.int32)
+        self._codes = np.split(rank[codes], np.cumsum([len(x) for x in self._own])[:-1]) if self._own else []
+        self._own = []
+        return every[order]
+
+    def places(self, k: int) -> np.ndarray:
+        return self._codes[k]
+
+
 def chunk_counts(blocks: int):
-    """(block, chunk, n, keys, t, b) from rows (chunk, kind, doc_id, n, text): first ids of the target and how often, then documents."""
+    """(block, chunk, n, keys, t, b) from rows (chunk, kind, rid, n, text): first numbers of the target's rows and how often each counts, then documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, size, most = None, [], 0, HELD
+        now, keys = None, Keys()
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
         ids: list[tuple[np.ndarray, np.ndarray]] = []
         own = None
 
-        def merged() -> tuple[np.ndarray, ...]:
-            k, t, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            u, back = np.unique(k, return_inverse=True)
-            return u, np.bincount(back, t, len(u)).astype(np.int64), np.bincount(back, b, len(u)).astype(np.int64)
-
         def done() -> Iterator[pa.RecordBatch]:
-            if parts:
-                k, t, b = merged()
-                at = np.searchsorted(block_of(k, blocks), np.arange(blocks + 1))
-                rows = [(i, now, hi - lo, pack(np.diff(k[lo:hi], prepend=np.uint64(0))), pack(t[lo:hi]), pack(b[lo:hi])) for i, (lo, hi) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if hi > lo]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), COUNTS.types, strict=True)], schema=COUNTS)
+            if not counts:
+                return
+            k = keys.close()
+            t, b = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+            for i, (x, y) in enumerate(counts):  # a part has a key once
+                t[keys.places(i)] += x
+                b[keys.places(i)] += y
+            at = np.searchsorted(block_of(k, blocks), np.arange(blocks + 1))
+            rows = [(i, now, hi - lo, pack(np.diff(k[lo:hi], prepend=np.uint64(0))), pack(t[lo:hi]), pack(b[lo:hi])) for i, (lo, hi) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if hi > lo]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), COUNTS.types, strict=True)], schema=COUNTS)
 
         for chunk, kind, rows in runs_of(batches):
             if chunk != now:
                 yield from done()
-                now, parts, size, most, ids, own = chunk, [], 0, HELD, [], None
+                now, keys, counts, ids, own = chunk, Keys(), [], [], None
             if kind == 0:
                 ids.append((rows.column(2).to_numpy(), rows.column(3).to_numpy()))
                 continue
@@ -227,18 +258,14 @@ def chunk_counts(blocks: int):
             for part in c.pieces(rows, "text"):
                 weight = np.zeros(part.num_rows, np.int64)
                 if len(own):
-                    doc = part.column(2)
-                    value = doc.fill_null(0).to_numpy()
+                    value = part.column(2).to_numpy()
                     place = np.minimum(np.searchsorted(own, value), len(own) - 1)
-                    weight = np.where((own[place] == value) & doc.is_valid().to_numpy(zero_copy_only=False), n[place], 0)
+                    weight = np.where(own[place] == value, n[place], 0)
                 words, pairs, row, at = keyed(part.column(4))
-                k, back = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-                parts.append((k, np.bincount(back, weight[np.concatenate([row, row[at]])], len(k)).astype(np.int64), np.bincount(back, minlength=len(k))))
-                size += len(k)
-                if size > most:
-                    parts = [merged()]
-                    size = len(parts[0][0])
-                    most = max(HELD, 2 * size)
+                codes = keys.add(np.concatenate([words, pairs]))
+                b = np.bincount(codes)
+                each = weight[np.concatenate([row, row[at]])]
+                counts.append((np.bincount(codes, each, len(b)).astype(np.int64) if each.any() else np.zeros(len(b), np.int64), b))
         yield from done()
 
     return run
@@ -249,19 +276,19 @@ def block_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def done() -> Iterator[pa.RecordBatch]:
-        k = np.concatenate([np.cumsum(unpack(x[3], x[2]).view(np.uint64), dtype=np.uint64) for x in held])
-        u, back = np.unique(k, return_inverse=True)
-        t, b = (np.bincount(back, np.concatenate([unpack(x[i], x[2]) for x in held]), len(u)).astype(np.int64) for i in (4, 5))
+        keys = Keys()
+        for x in held:
+            keys.add(np.cumsum(unpack(x[3], x[2]).view(np.uint64), dtype=np.uint64))
+        u = keys.close()
+        t, b = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        for i, x in enumerate(held):
+            t[keys.places(i)] += unpack(x[4], x[2])
+            b[keys.places(i)] += unpack(x[5], x[2])
         word = u & np.uint64(1) == 0
         yield out([(now, None, int(word.sum()), int(t[word].sum()), int(b[word].sum()), None, None)])
-        at = 0
         for lo in range(0, len(held), 100):
-            rows = []
-            for x in held[lo : lo + 100]:
-                own = back[at : at + x[2]]
-                rows.append((now, x[1], x[2], None, None, pack(t[own]), pack(b[own])))
-                at += x[2]
-            yield out(rows)
+            own = [keys.places(i) for i in range(lo, min(lo + 100, len(held)))]
+            yield out([(now, x[1], x[2], None, None, pack(t[o]), pack(b[o])) for x, o in zip(held[lo : lo + 100], own, strict=True)])
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), TOTALS.types, strict=True)], schema=TOTALS)
@@ -285,42 +312,36 @@ def chunk_scores(size: int, totals: tuple[int, int]):
     """Scores from rows (chunk, kind, block, n, t, b, doc_id, text): first the totals of the chunk's keys by block, then documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers, docs = None, [], []
+        now, answers, keys = None, [], Keys()
+        docs: list[tuple] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             table = [np.concatenate([unpack(x[i], x[0]) for x in answers]) if answers else np.zeros(0, np.int64) for i in (1, 2)]
-            parts, held, most = [np.zeros(0, np.uint64)], 0, HELD
-            for part in (p for rows in docs for p in c.pieces(rows, "text")):
-                words, pairs, _, _ = keyed(part.column(7))
-                parts.append(np.unique(np.concatenate([words, pairs])))
-                held += len(parts[-1])
-                if held > most:
-                    parts = [np.unique(np.concatenate(parts))]
-                    held = len(parts[0])
-                    most = max(HELD, 2 * held)
-            keys = np.unique(np.concatenate(parts))
-            if len(keys) != len(table[0]):
+            if len(keys.close()) != len(table[0]):
                 raise RuntimeError("the documents have changed between two readings")
-            for part in (p for rows in docs for p in c.pieces(rows, "text")):
-                words, pairs, row, at = keyed(part.column(7))
-                one, two = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
-                n = np.bincount(row, minlength=part.num_rows)
-                loss = np.zeros((2, part.num_rows))
+            for k, (doc_id, codes, row, at) in enumerate(docs):
+                place, n_words = keys.places(k)[codes], len(row)
+                one, two = place[:n_words], place[n_words:]
+                n = np.bincount(row, minlength=len(doc_id))
+                loss = np.zeros((2, len(doc_id)))
                 for m in (0, 1):
                     p = (table[m][one] + 0.5) / (totals[m] + 0.5 * size)
                     each = p.copy()
                     each[at + 1] = KEEP * table[m][two] / np.maximum(table[m][one[at]], 1) + (1 - KEEP) * p[at + 1]
-                    loss[m] = np.bincount(row, -np.log(each), part.num_rows) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column(6), pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=NAMES)
+                    loss[m] = np.bincount(row, -np.log(each), len(doc_id)) / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=NAMES)
 
         for chunk, kind, rows in runs_of(batches):
             if chunk != now:
                 yield from done()
-                now, answers, docs = chunk, [], []
+                now, answers, keys, docs = chunk, [], Keys(), []
             if kind == 0:
                 answers += zip(*(rows.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
-            else:
-                docs.append(rows)
+                continue
+            for part in c.pieces(rows, "text"):
+                words, pairs, row, at = keyed(part.column(7))
+                # codes and places in 32 bits: a chunk holds them all until it is complete
+                docs.append((part.column(6), keys.add(np.concatenate([words, pairs])).astype(np.int32), row.astype(np.int32), at.astype(np.int32)))
         yield from done()
 
     return run
@@ -333,21 +354,22 @@ SCHEMA = "doc_id long, n_tokens long, loss_target double, loss_background double
 def whole_score(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Scores by the counts of every word and bigram; df: doc_id, text."""
     spark = df.sparkSession
-    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(math.ceil(size / CHUNK), 2 * spark.sparkContext.defaultParallelism)
-    # the id, so that the target's ids meet their documents; rows without one go by their text
-    chunk = lambda key: F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")
-    docs_chunk = chunk(F.coalesce("doc_id", F.xxhash64("text")))
     c.small_batches(spark)
+    base = c.row_cut(df, "documents", compression="zstd")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(math.ceil(size / CHUNK), 2 * spark.sparkContext.defaultParallelism)
+    chunk = F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int").alias("chunk")
     null = lambda kind: F.lit(None).cast(kind)
     target = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = target.select(chunk(F.col("doc_id")), F.lit(0).alias("kind"), "doc_id", "n", null("string").alias("text")).union(df.select(docs_chunk, F.lit(1), "doc_id", null("long"), "text"))
+    # the ids grow with the corpus, so they are shuffled like the rows at any size, never broadcast
+    weights = base.select("rid", "doc_id").join(target.hint("merge"), "doc_id")
+    first = weights.select(chunk, F.lit(0).alias("kind"), "rid", "n", null("string").alias("text")).union(base.select(chunk, F.lit(1), "rid", null("long"), "text"))
     own = first.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(chunk_counts(chunks), "block int, chunk int, n int, keys binary, t binary, b binary")
     summed_up = own.repartition("block").sortWithinPartitions("block").mapInArrow(block_totals, "block int, chunk int, n long, sum_t long, sum_b long, t binary, b binary")
     totals = c.cut(summed_up, "totals")
     words = totals.filter("chunk is null").agg(F.sum("n"), F.sum("sum_t"), F.sum("sum_b")).first()
     answers = totals.filter("chunk is not null").select("chunk", F.lit(0).alias("kind"), "block", "n", "t", "b", null("long").alias("doc_id"), null("string").alias("text"))
-    both = answers.union(df.select(docs_chunk, F.lit(1), null("int"), null("long"), null("binary"), null("binary"), "doc_id", "text"))
+    both = answers.union(base.select(chunk, F.lit(1), null("int"), null("long"), null("binary"), null("binary"), "doc_id", "text"))
     # one more place than words, as for a word that the corpus doesn't have
     scores = chunk_scores((words[0] or 0) + 1, (words[1] or 0, words[2] or 0))
     return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "block").mapInArrow(scores, SCHEMA)
