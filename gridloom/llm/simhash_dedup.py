@@ -6,18 +6,20 @@ in buckets: the bits are cut into blocks, and two fingerprints within the radius
 blocks, so on one of the block sets that are the keys; how many blocks there are depends on the number of
 fingerprints, never what is found. In a bucket, each fingerprint has its Hamming distances to reference
 fingerprints (the pivots); by the triangle inequality a pair whose distances to any pivot differ by more than the
-radius is no link, and only the rest is compared bit by bit. A bucket passes on the edges of a spanning forest, so
-n fingerprints give at most n - 1 edges, however many links they have. A bucket too large for one task is cut into
-chunks along the first pivot's distance, and pairs of chunks that this distance doesn't exclude go to tasks of
-their own. Components come from rounds of minimum labels over written tables.
+radius is no link, and only the rest is compared bit by bit. A bucket passes on the edges of a spanning A bucket passes on the edges of a spanning forest, so
+n fingerprints give at most n - 1 edges, however many links they have. Buckets are counted before anything is dealt by
+them; one that is too large for a task is cut into chunks by the first pivot's distance (and, where one distance is
+too many rows, by a hash), and the pairs of chunks that this distance doesn't exclude go to tasks of their own.
+Components come from rounds of minimum labels over written tables.
 
 Null texts count as empty, and an empty text has fingerprint zero, which links like any other. Rows with equal ids
-stay rows and are linked by their fingerprints like all rows. An empty table gives an empty result.
+stay rows and are linked by their fingerprints like all rows; texts that tie in distance all link; a text of any length
+is one unit, held by one task; extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -164,8 +166,8 @@ def links(fp: np.ndarray, key: np.ndarray, tiers: tuple[int, ...], other: np.nda
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
 
-_BUCKET_SCHEMA = "a long, b long, bucket long, chunk int, near int, fp binary"
-_NAMES = ["a", "b", "bucket", "chunk", "near", "fp"]
+_EDGE_SCHEMA = "a long, b long, near int"
+_NAMES = ["a", "b", "near"]
 
 
 def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -183,13 +185,13 @@ def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             parent[max(x, y)] = min(x, y)
     pairs = [(x, r) for x in parent if (r := root(x)) != x]
     n = len(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.nulls(n, pa.int32())], names=_NAMES)
 
 
 def _pairs(node: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     """The links themselves, with their distances."""
-    a, b, n = node[a], node[b], len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(d.astype(np.int32)), pa.nulls(n, pa.binary())], names=_NAMES)
+    a, b = node[a], node[b]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d.astype(np.int32))], names=_NAMES)
 
 
 def _finder(what: str, tiers: tuple[int, ...], words: int):
@@ -227,44 +229,21 @@ def _last_start(key: np.ndarray) -> int:
     return int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
 
 
-def _bucket_task(find, words: int, width: int, most: int):
-    """Over rows (bucket, node, fp) sorted by bucket and first distance: edges; a bucket over most rows leaves as rows of numbered chunks instead."""
+def _bucket_task(find, width: int, most: int):
+    """Over rows (bucket, node, fp) sorted by bucket and first distance: edges. No bucket has more than most rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size, big, count = 0, None, 0
-        first = pivots(words)[0]
-
-        def big_rows(k: int, node: np.ndarray, f: np.ndarray, start: int) -> pa.RecordBatch:
-            n = len(node)
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, k)), pa.array(((start + np.arange(n)) // most).astype(np.int32)), pa.array(distance(f[:, :words], first)), _binaries(f)], names=_NAMES)
-
+        size = 0
         for batch in batches:
-            k, node, f = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), width)
-            if not len(k):
-                continue
-            if big is not None:
-                n = int(np.searchsorted(k != big, True)) if k[0] == big else 0
-                if n:
-                    yield big_rows(big, node[:n], f[:n], count)
-                    count += n
-                    k, node, f = k[n:], node[n:], f[n:]
-                    if not len(k):
-                        continue
-                big = None
-            held.append((k, node, f))
-            size += len(k)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), width)))
+            size += batch.num_rows
             if size < most:
                 continue
             k, node, f = (np.concatenate(x) for x in zip(*held, strict=True))
             if at := _last_start(k):  # the last bucket may be unfinished
                 yield from find(k[:at], node[:at], f[:at])
-            k, node, f = k[at:], node[at:], f[at:]
-            if len(k) > most:
-                big, count = int(k[0]), len(k)
-                yield big_rows(big, node, f, 0)
-                k, node, f = k[:0], node[:0], f[:0]
-            held, size = [(k, node, f)], len(k)
+            held, size = [(k[at:], node[at:], f[at:])], len(k) - at
         if size:
             yield from find(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -301,22 +280,28 @@ def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST, wha
     Other values of what (see _finder) give links and their distances (near). Those within least are taken first."""
     find, width = _finder(what, (radius,) if least is None else (least, radius), words), words + (what == "crossing")
     names = ["a", "b"] + ["near"] * (what != "forest")
-    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "d0").select("bucket", "node", "fp")
     c.small_batches(rows.sparkSession)
-    found = c.cut(sorted_rows.mapInArrow(_bucket_task(find, words, width, most), _BUCKET_SCHEMA), "links")
-    edges = found.filter("b is not null").select(*names)
-    big = found.filter("b is null")
-    if big.isEmpty():
+    hot = c.cut(rows.groupBy("bucket").count().filter(F.col("count") > most).select("bucket"), "hot")
+    some = not hot.isEmpty()
+    own = (rows.join(hot, "bucket", "left_anti") if some else rows).repartition("bucket").sortWithinPartitions("bucket", "d0").select("bucket", "node", "fp")
+    edges = own.mapInArrow(_bucket_task(find, width, most), _EDGE_SCHEMA).select(*names)
+    if not some:
+        c.release(hot)
         return edges
-    # chunks are in the order of the first pivot's distance: two of them meet only if their ranges are within the radius
-    spans = big.groupBy("bucket", "chunk").agg(F.min("near").alias("lo"), F.max("near").alias("hi"))
-    x, y = spans.alias("x"), spans.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.chunk") <= F.col("y.chunk")) & (F.col("y.lo") - F.col("x.hi") <= radius)).select(
-        F.col("x.bucket").alias("bucket"), F.col("x.chunk").alias("one"), F.col("y.chunk").alias("two"), F.xxhash64("x.bucket", "x.chunk", "y.chunk").alias("pair")
-    )
-    sides = c.cut(pairs.select("bucket", "pair", F.col("one").alias("chunk"), F.lit(0).alias("side")).union(pairs.filter("one < two").select("bucket", "pair", F.col("two").alias("chunk"), F.lit(1).alias("side"))), "chunks")
-    met = big.select("bucket", "chunk", F.col("a").alias("node"), "fp", "near").join(sides, ["bucket", "chunk"])
-    more = met.repartition("pair").sortWithinPartitions("pair", "near").select("pair", "side", "node", "fp").mapInArrow(_chunk_task(find, width), _BUCKET_SCHEMA)
+    # chunks are one value of the first pivot's distance, or a hash's part of it: two of them meet if their values are within the radius
+    big = rows.join(hot, "bucket")
+    parts = big.groupBy("bucket", "d0").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    chunks = c.cut(parts.select("bucket", "d0", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub")), "chunks")
+    x, y = chunks.alias("x"), chunks.alias("y")
+    later = (F.col("x.d0") < F.col("y.d0")) | (F.col("x.d0") == F.col("y.d0")) & (F.col("x.sub") <= F.col("y.sub"))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & later & (F.col("y.d0") - F.col("x.d0") <= radius))
+    pair = F.xxhash64("x.bucket", "x.d0", "x.sub", "y.d0", "y.sub").alias("pair")
+    one = pairs.select("x.bucket", "x.d0", "x.sub", pair, F.lit(0).alias("side"))
+    two = pairs.filter((F.col("x.d0") != F.col("y.d0")) | (F.col("x.sub") != F.col("y.sub"))).select("y.bucket", "y.d0", "y.sub", pair, F.lit(1).alias("side"))
+    sides = c.cut(one.union(two), "sides")
+    placed = big.join(chunks.filter("sub = 0").select("bucket", "d0", "parts"), ["bucket", "d0"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = placed.join(sides, ["bucket", "d0", "sub"])
+    more = met.repartition("pair").sortWithinPartitions("pair", "d0").select("pair", "side", "node", "fp").mapInArrow(_chunk_task(find, width), _EDGE_SCHEMA)
     return edges.union(more.select(*names))
 
 
@@ -369,15 +354,15 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def sketches(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """(node, fp, d0, keys) of rows (node, text): the fingerprint of the set of shingles, and its smallest hashes."""
+    """(h1, h2, fp, d0, keys) of rows (h1, h2, text): the fingerprint of the set of shingles, and its smallest hashes."""
     salts = c.mix(np.arange(1, WORDS + 1, dtype=np.uint64))
     fp = np.zeros((batch.num_rows, WORDS), np.uint64)
     keys: list[list[int]] = []
-    for i, own in enumerate(shingle_sets(batch.column(1), k)):
+    for i, own in enumerate(shingle_sets(batch.column(2), k)):
         keys.append(own[:KEYS].view(np.int64).tolist() or [0])
         for j in range(WORDS if len(own) else 0):
             fp[i, j] = _bits_over_half(c.mix(own ^ salts[j]))
-    return pa.RecordBatch.from_arrays([batch.column(0), _binaries(fp), pa.array(distance(fp, pivots(WORDS)[0])), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "d0", "keys"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binaries(fp), pa.array(distance(fp, pivots(WORDS)[0])), pa.array(keys, pa.list_(pa.int64()))], names=["h1", "h2", "fp", "d0", "keys"])
 
 
 def similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -393,8 +378,8 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
     return c.cut(c.map_text(met.select("a", "b", "text", "text_b"), run, "a long, b long"), "similar")
 
 
-def similar_groups(buckets: DataFrame, texts: DataFrame, k: int, similarity: float, most: int) -> DataFrame:
-    """(node, root) of the groups that pairs of at least that similarity connect, from rows (bucket, node, fp, d0) and texts (node, text).
+def similar_groups(buckets: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, similarity: float, most: int) -> DataFrame:
+    """(node, root) of the groups that pairs of at least that similarity connect, from rows (bucket, node, fp, d0); texts gives (node, text) of nodes.
 
     Fingerprints only name candidates, within a radius that few similar pairs exceed; each edge of a group is a pair
     whose shingles were counted. First the candidates' spanning forests; then, between the groups that these make, the
@@ -402,7 +387,7 @@ def similar_groups(buckets: DataFrame, texts: DataFrame, k: int, similarity: flo
     least, radius = radius_of(similarity), radius_of(similarity, deviations=WIDE)
     forest = c.cut(bucket_edges(buckets, radius, WORDS, most, "links", least).select("a", "b").distinct(), "candidates")
     nodes = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct()
-    held = c.cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    held = c.cut(texts(nodes), "texts")
     edges = similar(forest, held, k, similarity)
 
     def grouped() -> DataFrame:
@@ -428,23 +413,31 @@ def similar_groups(buckets: DataFrame, texts: DataFrame, k: int, similarity: flo
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
-    """The rows of docs, all columns, without near copies: of each group the row with the least id (then text hash) stays."""
-    node, k1, k2 = c.fresh(docs, "node", "k1", "k2")
-    rows = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    texts = rows.select(F.col(node).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    schema = "node long, fp binary, d0 int, keys array<long>"
-    made = c.cut(c.map_text(texts, lambda b: sketches(b, k), schema), "sketches")
-    # equal texts are one node; what they emit is equal too, so any of them will do
-    one = made.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("d0").alias("d0"), F.any_value("keys").alias("keys"))
+    """The rows of docs, all columns, without near copies: of each group the row with the least id (then text hash) stays.
+
+    Null ids come first; null and empty texts are one text, and texts without words one group; of rows with equal id and
+    text one stays; extra columns pass through, whatever their names; an empty table gives an empty result."""
+    h1, h2, k0, k1, k2 = c.fresh(docs, "h1", "h2", "k0", "k1", "k2")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text)})
+    texts = rows.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), text.alias("text"))
+    made = c.cut(c.map_text(texts, lambda b: sketches(b, k), "h1 long, h2 long, fp binary, d0 int, keys array<long>"), "sketches")
+    # equal texts, by 128 bits, are one node; what they emit is equal too, so any of them will do
+    one = c.row_cut(made.groupBy("h1", "h2").agg(F.any_value("fp").alias("fp"), F.any_value("d0").alias("d0"), F.any_value("keys").alias("keys")), "nodes", "node")
     buckets = one.select(F.explode("keys").alias("bucket"), "node", "fp", "d0")
-    root = similar_groups(buckets, texts, k, similarity, most)
-    names = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("n")).distinct().join(root, F.col("n") == F.col("node"), "left")
-    chosen = names.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("id", "n")).alias("s")).select(F.col("s.id").alias(k1), F.col("s.n").alias(k2))
-    chosen = c.cut(chosen, "kept")
-    kept = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col(k1)) & (F.col(node) == F.col(k2)), "left_semi")
+
+    def of_nodes(nodes: DataFrame) -> DataFrame:
+        return texts.join(one.select("h1", "h2", "node").join(nodes, "node", "left_semi"), ["h1", "h2"]).groupBy("node").agg(F.any_value("text").alias("text"))
+
+    root = similar_groups(buckets, of_nodes, k, similarity, most)
+    rooted = one.select("h1", "h2", "node").join(root, "node", "left").select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.coalesce("root", "node").alias("root"))
+    names = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(h1).alias("n1"), F.col(h2).alias("n2")).distinct()
+    least = names.join(rooted, ["n1", "n2"]).groupBy("root").agg(F.min(F.struct("id", "n1", "n2")).alias("s"))
+    chosen = c.cut(least.select(F.col("s.id").alias(k0), F.col("s.n1").alias(k1), F.col("s.n2").alias(k2)), "kept")
+    kept = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col(k0)) & (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)), "left_semi")
     if made.count() > names.count():  # equal rows, of which one stays
-        kept = kept.dropDuplicates([id_col, node])
-    return kept.drop(node)
+        kept = kept.dropDuplicates([id_col, h1, h2])
+    return kept.drop(h1, h2)
 
 
 # --- components ---------------------------------------------------------------------------------------
@@ -461,10 +454,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # written, so that both sides of the join are shuffled and Spark can split a node with very many neighbours
         least = c.cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = c.cut(small, "star")
+        c.release(now, least)  # what this round has replaced
         # done when each node has one edge and no root has one
         left = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         now = after
