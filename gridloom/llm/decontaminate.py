@@ -11,27 +11,32 @@ That similarity also bounds the work: to reach it, a window must hold a certain
 has, so windows with fewer are not fingerprinted; nothing that could match is left out.
 
 Items are read in blocks of bounded size, each shipped to the executors for one pass over the documents, so any
-number of items works. Items or documents without words match nothing; items with fewer than five words are one
-shingle; null ids and repeated rows of either table are rows like any other; empty tables give an empty result.
+number of items works. With more than one block, a pass's result is written before the next block is shipped, so that
+the driver never holds more than two blocks and an executor one.
+
+Null and empty texts, and items or documents without words, match nothing; items with fewer than five words are one
+shingle; a text of any length is one unit, held by one task, its windows in bounded parts; of windows that tie the first
+is reported; null ids and repeated rows of either table are rows like any other; extra columns of items are ignored,
+those of documents pass through decontaminate; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
 
 K, THRESHOLD, RADIUS = 5, 0.8, 20
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 4000, 4 << 20
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20
 #: Shingles of the windows that are fingerprinted at once.
 WINDOW_SHINGLES = 1 << 18
 
@@ -165,12 +170,27 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, k: int, thresh
     yield Items(ids, texts, k, threshold)
 
 
+def by_block(spark: SparkSession, blocks: Iterator[Items], run: Callable[[object], DataFrame]) -> list[DataFrame]:
+    """run for the broadcast of each block; the result of one block stays a plan, those of more are written one after the other."""
+    out: list[DataFrame] = []
+    block = next(blocks)
+    while True:
+        after, held = next(blocks, None), spark.sparkContext.broadcast(block)
+        if after is None and not out:
+            return [run(held)]
+        out.append(c.cut(run(held), "leaks"))
+        held.destroy()
+        if after is None:
+            return out
+        block = after
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document and item that it holds: doc_id, item_id, similarity, start and words of the best window, windows."""
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, item_id long, similarity double, start int, words int, windows int"
 
-    def task(items):
+    def over(items) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             found = list(items.value.leaks(batch.column(1)))
             if not found:
@@ -179,24 +199,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "item_id", "similarity", "start", "words", "windows"])
 
-        return run
+        return c.map_text(df, run, schema)
 
-    context = docs.sparkSession.sparkContext
-    return reduce(lambda a, b: a.union(b), (c.map_text(df, task(context.broadcast(b)), schema) for b in item_blocks(benchmark, item_col, item_text, k, threshold)))
+    return reduce(lambda a, b: a.union(b), by_block(docs.sparkSession, item_blocks(benchmark, item_col, item_text, k, threshold), over))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-
-    def task(items):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            clean = np.ones(batch.num_rows, bool)
-            clean[[x[0] for x in items.value.leaks(batch.column(at))]] = False
-            return batch.filter(pa.array(clean))
-
-        return run
-
-    at, context = docs.columns.index(text_col), docs.sparkSession.sparkContext
-    for block in item_blocks(benchmark, item_col, item_text, k, threshold):
-        docs = c.map_text(docs, task(context.broadcast(block)), docs.schema, text_col)
-    return docs
+    blocks = item_blocks(benchmark, item_col, item_text, k, threshold)
+    first, second = next(blocks), next(blocks, None)
+    at = docs.columns.index(text_col)
+
+    def rows_of(batch: pa.RecordBatch, items, leaking: bool) -> pa.RecordBatch:
+        mark = np.full(batch.num_rows, not leaking)
+        mark[[x[0] for x in items.value.leaks(batch.column(at))]] = leaking
+        return batch.filter(pa.array(mark))
+
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
+        return c.map_text(docs, lambda batch: rows_of(batch, held, False), docs.schema, text_col)
+    (rid,) = c.fresh(docs, "rid")
+    rows = c.row_cut(docs, "documents", rid)
+    some = rows.select(*docs.columns, rid)
+    leaks = by_block(docs.sparkSession, (b for x in ((first, second), blocks) for b in x), lambda held: c.map_text(some, lambda batch: rows_of(batch, held, True), some.schema, text_col).select(rid))
+    return rows.join(reduce(lambda a, b: a.union(b), leaks).distinct(), rid, "left_anti").select(*docs.columns)
