@@ -23,9 +23,10 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -136,38 +137,46 @@ def near(fp: np.ndarray, key: np.ndarray, radius: int, differ: list[np.ndarray])
         step += 1
 
 
-def links(fp: np.ndarray, key: np.ndarray, tiers: tuple[int, ...], other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links inside each run of equal keys, those of the smaller radii first.
+class Forest:
+    """The edges of a spanning forest of the links that are added, and each row's root so far (roots, kept in place)."""
 
-    With other, only pairs of rows whose other differs count."""
-    parent = np.arange(len(fp))
-    found_a: list[np.ndarray] = []
-    found_b: list[np.ndarray] = []
+    def __init__(self, n: int):
+        self.roots = np.arange(n)
+        self._a: list[np.ndarray] = []
+        self._b: list[np.ndarray] = []
 
-    def root(x: np.ndarray) -> np.ndarray:
-        while (p := parent[x]).size and (p != x).any():
-            parent[x] = parent[p]
-            x = p
-        return x
-
-    for a, b in (x for radius in tiers for x in near(fp, key, radius, [] if other is None else [other])):
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        roots = self.roots
         while a.size:
-            ra, rb = root(a), root(b)
+            ra, rb = roots[a], roots[b]
             ok = ra != rb
             a, b, ra, rb = a[ok], b[ok], ra[ok], rb[ok]
             if not a.size:
                 break
             hi, lo = np.maximum(ra, rb), np.minimum(ra, rb)
             _, one = np.unique(hi, return_index=True)
-            parent[hi[one]] = lo[one]
-            found_a.append(a[one])
-            found_b.append(b[one])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+            roots[hi[one]] = lo[one]
+            while ((above := roots[roots]) != roots).any():
+                roots[:] = above
+            self._a.append(a[one])
+            self._b.append(b[one])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *self._a]), np.concatenate([none, *self._b])
+
+
+def links(fp: np.ndarray, key: np.ndarray, radius: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links inside each run of equal keys.
 
+    With other, only pairs of rows whose other differs count. Rows that are connected already are not compared again."""
+    forest = Forest(len(fp))
+    for a, b in near(fp, key, radius, [forest.roots] + ([] if other is None else [other])):
+        forest.add(a, b)
+    return forest.edges()
 
-_EDGE_SCHEMA = "a long, b long, near int"
-_NAMES = ["a", "b", "near"]
+
+_EDGE_SCHEMA = "a long, b long"
 
 
 def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -184,31 +193,7 @@ def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         if x != y:
             parent[max(x, y)] = min(x, y)
     pairs = [(x, r) for x in parent if (r := root(x)) != x]
-    n = len(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.nulls(n, pa.int32())], names=_NAMES)
-
-
-def _pairs(node: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    """The links themselves, with their distances."""
-    a, b = node[a], node[b]
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d.astype(np.int32))], names=_NAMES)
-
-
-def _finder(what: str, tiers: tuple[int, ...], words: int):
-    """What a task passes on of its buckets. forest: edges from each member to its tree's smallest node; links: the links
-    of a spanning forest; crossing: each link between rows whose last word, after the fingerprint's, differs."""
-
-    def run(key: np.ndarray, node: np.ndarray, f: np.ndarray, other: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        fp = np.ascontiguousarray(f[:, :words])
-        if what == "crossing":
-            for a, b in near(fp, key, tiers[-1], [f[:, words]] + ([] if other is None else [other])):
-                yield _pairs(node, a, b, distance(fp[a], fp[b]))
-            return
-        a, b = links(fp, key, tiers, other)
-        if len(a):
-            yield _edges(node, a, b) if what == "forest" else _pairs(node, a, b, distance(fp[a], fp[b]))
-
-    return run
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
 
 def _matrix(col: pa.Array, words: int) -> np.ndarray:
@@ -229,62 +214,58 @@ def _last_start(key: np.ndarray) -> int:
     return int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
 
 
-def _bucket_task(find, width: int, most: int):
-    """Over rows (bucket, node, fp) sorted by bucket and first distance: edges. No bucket has more than most rows."""
+Find = Callable[..., tuple[np.ndarray, np.ndarray]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), width)))
-            size += batch.num_rows
-            if size < most:
-                continue
-            k, node, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            if at := _last_start(k):  # the last bucket may be unfinished
-                yield from find(k[:at], node[:at], f[:at])
-            held, size = [(k[at:], node[at:], f[at:])], len(k) - at
-        if size:
-            yield from find(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return run
+def _bucket_task(find: Find, words: int, most: int, names: tuple[str, ...]):
+    """Over rows sorted by bucket and first distance: edges of a forest of each bucket, no bucket having more than most rows (or shingles).
 
-
-def _chunk_task(find, width: int):
-    """Over rows (pair, side, node, fp) sorted by pair and first distance: edges between the two chunks of each pair, or within one."""
+    names are the columns after node: fp, and perhaps own (shingle sets) and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-        def solve(p: np.ndarray, s: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for part in np.split(np.arange(len(p)), np.flatnonzero(p[1:] != p[:-1]) + 1):
-                other = s[part]
-                yield from find(p[part], node[part], f[part], other if other.any() and not other.all() else None)
+        def solve(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks().to_batches()[0]
+            key, node, fp = rows.column("key").to_numpy(), rows.column("node").to_numpy(), _matrix(rows.column("fp"), words)
+            more = {}
+            if "side" in names:
+                more["other"] = rows.column("side").to_numpy()
+            if "own" in names:
+                own = rows.column("own")
+                off = own.offsets.to_numpy().astype(np.int64)
+                more["sets"] = (own.values.to_numpy()[off[0] : off[-1]], off - off[0])
+            return _edges(node, *find(fp, key, **more))
 
         for batch in batches:
-            held.append((*(batch.column(i).to_numpy() for i in range(3)), _matrix(batch.column(3), width)))
-            now = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            if len(now[0]) and (at := _last_start(now[0])):
-                yield from solve(*(x[:at] for x in now))
-                now = tuple(x[at:] for x in now)
-            held = [now]
-        if held and len(held[0][0]):
-            yield from solve(*held[0])
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += len(batch.column("own").flatten()) if "own" in names else batch.num_rows
+            if size < most:
+                continue
+            every = pa.Table.from_batches(held)
+            key = every.column("key").to_numpy()
+            if at := _last_start(key):  # the last bucket may be unfinished
+                yield solve(every.slice(0, at))
+                every = every.slice(at).combine_chunks()
+                held = every.to_batches()
+                size = sum(len(x.column("own").flatten()) if "own" in names else x.num_rows for x in held)
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
 
-def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST, what: str = "forest", least: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect what links within buckets connect, from rows (bucket, node, fp, d0); d0 is the distance to the first pivot.
-
-    Other values of what (see _finder) give links and their distances (near). Those within least are taken first."""
-    find, width = _finder(what, (radius,) if least is None else (least, radius), words), words + (what == "crossing")
-    names = ["a", "b"] + ["near"] * (what != "forest")
+def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST) -> DataFrame:
+    """Edges (a, b) that connect what links within buckets connect, from rows (bucket, node, fp, d0); d0 is the distance to the first pivot."""
     c.small_batches(rows.sparkSession)
+    find = lambda fp, key, **more: links(fp, key, radius, **more)
     hot = c.cut(rows.groupBy("bucket").count().filter(F.col("count") > most).select("bucket"), "hot")
     some = not hot.isEmpty()
-    own = (rows.join(hot, "bucket", "left_anti") if some else rows).repartition("bucket").sortWithinPartitions("bucket", "d0").select("bucket", "node", "fp")
-    edges = own.mapInArrow(_bucket_task(find, width, most), _EDGE_SCHEMA).select(*names)
+    own = (rows.join(hot, "bucket", "left_anti") if some else rows).repartition("bucket").sortWithinPartitions("bucket", "d0").select(F.col("bucket").alias("key"), "node", "fp")
+    edges = own.mapInArrow(_bucket_task(find, words, most, ("fp",)), _EDGE_SCHEMA)
     if not some:
         c.release(hot)
         return edges
@@ -296,13 +277,15 @@ def bucket_edges(rows: DataFrame, radius: int, words: int, most: int = MOST, wha
     later = (F.col("x.d0") < F.col("y.d0")) | (F.col("x.d0") == F.col("y.d0")) & (F.col("x.sub") <= F.col("y.sub"))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & later & (F.col("y.d0") - F.col("x.d0") <= radius))
     pair = F.xxhash64("x.bucket", "x.d0", "x.sub", "y.d0", "y.sub").alias("pair")
-    one = pairs.select("x.bucket", "x.d0", "x.sub", pair, F.lit(0).alias("side"))
-    two = pairs.filter((F.col("x.d0") != F.col("y.d0")) | (F.col("x.sub") != F.col("y.sub"))).select("y.bucket", "y.d0", "y.sub", pair, F.lit(1).alias("side"))
+    same = (F.col("x.d0") == F.col("y.d0")) & (F.col("x.sub") == F.col("y.sub"))
+    # a chunk with itself: every row its own side, so all pairs count
+    one = pairs.select("x.bucket", "x.d0", "x.sub", pair, F.when(same, -1).otherwise(0).alias("side"))
+    two = pairs.filter(~same).select("y.bucket", "y.d0", "y.sub", pair, F.lit(1).alias("side"))
     sides = c.cut(one.union(two), "sides")
     placed = big.join(chunks.filter("sub = 0").select("bucket", "d0", "parts"), ["bucket", "d0"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = placed.join(sides, ["bucket", "d0", "sub"])
-    more = met.repartition("pair").sortWithinPartitions("pair", "d0").select("pair", "side", "node", "fp").mapInArrow(_chunk_task(find, width), _EDGE_SCHEMA)
-    return edges.union(more.select(*names))
+    met = placed.join(sides, ["bucket", "d0", "sub"]).withColumn("side", F.when(F.col("side") < 0, F.col("node")).otherwise(F.col("side")))
+    more = met.repartition("pair").sortWithinPartitions("pair", "d0").select(F.col("pair").alias("key"), "node", "fp", "side").mapInArrow(_bucket_task(find, words, most, ("fp", "side")), _EDGE_SCHEMA)
+    return edges.union(more)
 
 
 def fingerprint_edges(fps: DataFrame, radius: int, n: int, most: int = MOST) -> DataFrame:
@@ -365,54 +348,116 @@ def sketches(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binaries(fp), pa.array(distance(fp, pivots(WORDS)[0])), pa.array(keys, pa.list_(pa.int64()))], names=["h1", "h2", "fp", "d0", "keys"])
 
 
-def similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts share at least similarity of their shingles, counted exactly; texts: node, text."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k)
-        both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
-        ok = [n >= similarity * (len(p) + len(q) - n) - 1e-9 for n, p, q in zip(both, x, y, strict=True)]
-        return pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).columns), names=["a", "b"])
-
-    met = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), "text"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return c.cut(c.map_text(met.select("a", "b", "text", "text_b"), run, "a long, b long"), "similar")
-
-
-def similar_groups(buckets: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, similarity: float, most: int) -> DataFrame:
-    """(node, root) of the groups that pairs of at least that similarity connect, from rows (bucket, node, fp, d0); texts gives (node, text) of nodes.
-
-    Fingerprints only name candidates, within a radius that few similar pairs exceed; each edge of a group is a pair
-    whose shingles were counted. First the candidates' spanning forests; then, between the groups that these make, the
-    nearest candidates of each two groups; then every candidate that still lies between two groups."""
-    least, radius = radius_of(similarity), radius_of(similarity, deviations=WIDE)
-    forest = c.cut(bucket_edges(buckets, radius, WORDS, most, "links", least).select("a", "b").distinct(), "candidates")
-    nodes = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct()
-    held = c.cut(texts(nodes), "texts")
-    edges = similar(forest, held, k, similarity)
-
-    def grouped() -> DataFrame:
-        return c.cut(held.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "groups")
-
-    groups = grouped()
-    word = F.unhex(F.lpad(F.hex("root"), 16, "0"))
-    rows = buckets.join(groups, "node").select("bucket", "node", F.concat("fp", word).alias("fp"), "d0")
-    left = c.cut(bucket_edges(rows, radius, WORDS, most, "crossing").distinct().join(forest, ["a", "b"], "left_anti"), "crossing")
-    for nearest in (8, None):
-        of = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"of_{name}"))  # noqa: B023, E731
-        now = left.join(of("a"), "a").join(of("b"), "b").filter("of_a != of_b")
-        if nearest:
-            place = F.row_number().over(Window.partitionBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).orderBy("near", "a", "b"))
-            now = now.withColumn("place", place).filter(F.col("place") <= nearest)
-        now = c.cut(now.select("a", "b"), "now")
-        if now.isEmpty():
-            break
-        edges = edges.union(similar(now, held, k, similarity))
-        groups = grouped()
-        left = left.join(now, ["a", "b"], "left_anti")
-    return groups
+#: Elements that one step of counting holds: shingles of pairs, or 64-bit words of bit sets.
+COUNTED = 1 << 22
+#: Shingles of a group that one task holds.
+MOST_SHINGLES = 1 << 19
+
+
+class Sets:
+    """Sets of shingles, row by row; the sizes of the intersections of pairs of rows."""
+
+    def __init__(self, values: np.ndarray, off: np.ndarray):
+        self.size, self.off, self.codes = np.diff(off), off, pd.factorize(values)[0].astype(np.int64)
+        self._bits: np.ndarray | None = None
+        # shingles that one row has by itself meet nothing
+        shared = np.bincount(self.codes, minlength=1) > 1
+        number = np.cumsum(shared) - 1
+        self._words = int(number[-1]) // 64 + 1 if len(number) else 1
+        self._place = np.where(shared, number, -1)[self.codes] if len(self.codes) else self.codes
+
+    def _bit_sets(self) -> np.ndarray:
+        if self._bits is None:
+            self._bits = np.zeros((len(self.size), self._words), np.uint64)
+            row = np.repeat(np.arange(len(self.size)), self.size)
+            has = self._place >= 0
+            np.bitwise_or.at(self._bits, (row[has], self._place[has] >> 6), np.uint64(1) << (self._place[has] & 63).astype(np.uint64))
+        return self._bits
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        if len(a) > 64 and len(self.size) * self._words <= COUNTED:
+            bits = self._bit_sets()
+            step = max(1, COUNTED // self._words)
+            for at in range(0, len(a), step):
+                out[at : at + step] = np.bitwise_count(bits[a[at : at + step]] & bits[b[at : at + step]]).sum(1)
+            return out
+        ends = np.cumsum(self.size[a] + self.size[b])
+        at = 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, "right")))
+            some = np.arange(to - at)
+            keys = [np.sort(np.repeat(some, self.size[x[at:to]]) * (len(self.codes) + 1) + self.codes[c.ranges(self.off[x[at:to]], self.size[x[at:to]])]) for x in (a, b)]
+            every = np.sort(np.concatenate(keys), kind="stable")
+            out[at:to] = np.bincount(every[1:][every[1:] == every[:-1]] // (len(self.codes) + 1), minlength=to - at)
+            at = to
+        return out
+
+
+def similar_links(fp: np.ndarray, key: np.ndarray, radius: int, similarity: float, sets: tuple[np.ndarray, np.ndarray], other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs inside each run of equal keys that share at least similarity of their shingles.
+
+    Fingerprints within the radius name the pairs, their sets decide; rows that are connected already are not compared."""
+    values, off = sets
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    # runs of like size together, so that a large one has bit sets of its own
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(starts, len(key)))
+    few = np.repeat(size <= 64, size)
+    for rows in [np.flatnonzero(few), *(np.arange(s, s + n) for s, n in zip(starts.tolist(), size.tolist(), strict=True) if n > 64)]:
+        if len(rows) < 2:
+            continue
+        own = Sets(values[c.ranges(off[rows], off[rows + 1] - off[rows])], np.concatenate([[0], np.cumsum(off[rows + 1] - off[rows])]))
+        forest = Forest(len(rows))
+        for a, b in near(np.ascontiguousarray(fp[rows]), key[rows], radius, [forest.roots] + ([] if other is None else [other[rows]])):
+            # sets of too different sizes can't be similar
+            ok = np.minimum(own.size[a], own.size[b]) >= similarity * np.maximum(own.size[a], own.size[b]) - 1e-9
+            a, b = a[ok], b[ok]
+            both = own.common(a, b)
+            ok = both >= similarity * (own.size[a] + own.size[b] - both) - 1e-9
+            forest.add(a[ok], b[ok])
+        x, y = forest.edges()
+        found.append((rows[x], rows[y]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(y for _, y in found)])
+
 
+def similar_edges(rows: DataFrame, radius: int, similarity: float, most: int) -> DataFrame:
+    """Edges that connect what similar pairs within buckets connect, from rows (bucket, node, fp, d0, own), own being the shingles.
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
+    A bucket with more than most shingles is dealt into parts by a hash of the node, and each two parts are a task."""
+    c.small_batches(rows.sparkSession)
+    find = lambda fp, key, **more: similar_links(fp, key, radius, similarity, **more)
+    hot = c.cut(rows.groupBy("bucket").agg(F.ceil(F.sum(F.size("own")) / most).cast("int").alias("parts")).filter("parts > 1"), "hot")
+    some = not hot.isEmpty()
+    own = (rows.join(hot, "bucket", "left_anti") if some else rows).repartition("bucket").sortWithinPartitions("bucket", "d0").select(F.col("bucket").alias("key"), "node", "fp", "own")
+    edges = own.mapInArrow(_bucket_task(find, WORDS, most, ("fp", "own")), _EDGE_SCHEMA)
+    if not some:
+        c.release(hot)
+        return edges
+    placed = rows.join(hot, "bucket").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # a part with itself: every row its own side, so all pairs count
+    side = F.when(F.col("sub") == F.col("t"), F.col("node")).when(F.col("sub") < F.col("t"), F.lit(-1)).otherwise(F.lit(-2)).cast("long")
+    pair = F.xxhash64("bucket", F.least("sub", "t"), F.greatest("sub", "t"))
+    met = placed.select(pair.alias("key"), "node", "fp", "own", side.alias("side"), "d0")
+    more = met.repartition("key").sortWithinPartitions("key", "d0").select("key", "node", "fp", "own", "side").mapInArrow(_bucket_task(find, WORDS, most, ("fp", "own", "side")), _EDGE_SCHEMA)
+    return edges.union(more)
+
+
+def similar_groups(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, most: int, most_shingles: int) -> DataFrame:
+    """(node, root) of the groups that pairs of at least that similarity connect, from rows (bucket, node, fp, d0); sets gives
+    (node, fp, d0, own) of nodes.
+
+    Fingerprints within a radius that few similar pairs exceed make loose groups; inside these, shingles are counted exactly.
+    Both steps pass on no more edges than rows, however many pairs are near or similar."""
+    radius = radius_of(similarity, deviations=WIDE)
+    loose = components(bucket_edges(buckets, radius, WORDS, most))
+    held = c.cut(sets(loose.select("node")), "sets", "zstd")
+    rows = held.join(loose, "node").withColumnRenamed("root", "bucket")
+    return components(similar_edges(rows, radius, similarity, most_shingles))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = SIMILARITY, most: int = MOST, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """The rows of docs, all columns, without near copies: of each group the row with the least id (then text hash) stays.
 
     Null ids come first; null and empty texts are one text, and texts without words one group; of rows with equal id and
@@ -426,10 +471,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = c.row_cut(made.groupBy("h1", "h2").agg(F.any_value("fp").alias("fp"), F.any_value("d0").alias("d0"), F.any_value("keys").alias("keys")), "nodes", "node")
     buckets = one.select(F.explode("keys").alias("bucket"), "node", "fp", "d0")
 
-    def of_nodes(nodes: DataFrame) -> DataFrame:
-        return texts.join(one.select("h1", "h2", "node").join(nodes, "node", "left_semi"), ["h1", "h2"]).groupBy("node").agg(F.any_value("text").alias("text"))
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = texts.join(one.join(nodes, "node", "left_semi").select("h1", "h2", "node", "fp", "d0"), ["h1", "h2"]).groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("d0").alias("d0"), F.any_value("text").alias("text"))
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = shingle_sets(batch.column(3), k)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            values = pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)], names=["node", "fp", "d0", "own"])
+
+        return c.map_text(wanted.select("node", "fp", "d0", "text"), run, "node long, fp binary, d0 int, own array<long>")
 
-    root = similar_groups(buckets, of_nodes, k, similarity, most)
+    root = similar_groups(buckets, sets, similarity, most, most_shingles)
     rooted = one.select("h1", "h2", "node").join(root, "node", "left").select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.coalesce("root", "node").alias("root"))
     names = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(h1).alias("n1"), F.col(h2).alias("n2")).distinct()
     least = names.join(rooted, ["n1", "n2"]).groupBy("root").agg(F.min(F.struct("id", "n1", "n2")).alias("s"))

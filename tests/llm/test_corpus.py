@@ -950,10 +950,23 @@ def test_one_of_each_around_the_threshold(spark, most):
     base = [f"base{i}" for i in range(200)]
     many = [" ".join(x if i != 6 * j + 5 else f"other{j}" for i, x in enumerate(base)) for j in range(30)]
     rows += [(1000 + j, t, "a") for j, t in enumerate(many)]
-    got = {r.doc_id for r in sd.one_of_each(docs_frame(spark, rows), most=most).collect()}
+    got = {r.doc_id for r in sd.one_of_each(docs_frame(spark, rows), most=most, most_shingles=sd.MOST_SHINGLES if most > 8 else 2000).collect()}
     assert got == want | {1000} and 0 < len([i for i in want if i % 2]) < 120
 
 
+@pytest.mark.parametrize("many", [10, 3000])
+def test_common_shingles_are_counted(monkeypatch, many):
+    """Bit sets and sorted lists against Python's sets."""
+    monkeypatch.setattr(sd, "COUNTED", 4000)
+    rng = np.random.default_rng(many)
+    own = [np.unique(rng.integers(0, many, rng.integers(0, 60))).astype(np.int64) * 7 for _ in range(40)]
+    s = sd.Sets(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+    a = rng.integers(0, 40, 300)
+    b = (a + rng.integers(1, 40, 300)) % 40
+    want = [len(set(own[x].tolist()) & set(own[y].tolist())) for x, y in zip(a, b, strict=True)]
+    assert s.common(a, b).tolist() == want and s.common(a[:20], b[:20]).tolist() == want[:20]
+
+
 def test_one_of_each_odd(spark, odd, none):
     out = sd.one_of_each(odd)
     rows = collections.Counter((r.doc_id, r.text) for r in out.collect())
