@@ -31,13 +31,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def cut(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
-    return lineage.cut(df, f"llm-{what}", compression)
+def cut(df: DataFrame, what: str) -> DataFrame:
+    return lineage.cut(df, f"llm-{what}")
 
 
-def row_cut(df: DataFrame, what: str, key: str = "rid", compression: str = "snappy") -> DataFrame:
+def row_cut(df: DataFrame, what: str, key: str = "rid") -> DataFrame:
     """A cut with a number for each row, the same at each later read; doc_id may be null or repeated."""
-    return cut(df.withColumn(key, F.monotonically_increasing_id()), what, compression)
+    return cut(df.withColumn(key, F.monotonically_increasing_id()), what)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
