@@ -355,7 +355,7 @@ def whole_score(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Scores by the counts of every word and bigram; df: doc_id, text."""
     spark = df.sparkSession
     c.small_batches(spark)
-    base = c.row_cut(df, "documents", compression="zstd")
+    base = c.row_cut(df, "documents")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(math.ceil(size / CHUNK), 2 * spark.sparkContext.defaultParallelism)
     chunk = F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int").alias("chunk")
@@ -364,15 +364,15 @@ def whole_score(df: DataFrame, ids: DataFrame) -> DataFrame:
     # the ids grow with the corpus, so they are shuffled like the rows at any size, never broadcast
     weights = base.select("rid", "doc_id").join(target.hint("merge"), "doc_id")
     first = weights.select(chunk, F.lit(0).alias("kind"), "rid", "n", null("string").alias("text")).union(base.select(chunk, F.lit(1), "rid", null("long"), "text"))
-    own = first.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(chunk_counts(chunks), "block int, chunk int, n int, keys binary, t binary, b binary")
-    summed_up = own.repartition("block").sortWithinPartitions("block").mapInArrow(block_totals, "block int, chunk int, n long, sum_t long, sum_b long, t binary, b binary")
+    own = first.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind").mapInArrow(chunk_counts(chunks), "block int, chunk int, n int, keys binary, t binary, b binary")
+    summed_up = own.repartitionById(chunks, F.col("block")).sortWithinPartitions("block").mapInArrow(block_totals, "block int, chunk int, n long, sum_t long, sum_b long, t binary, b binary")
     totals = c.cut(summed_up, "totals")
     words = totals.filter("chunk is null").agg(F.sum("n"), F.sum("sum_t"), F.sum("sum_b")).first()
     answers = totals.filter("chunk is not null").select("chunk", F.lit(0).alias("kind"), "block", "n", "t", "b", null("long").alias("doc_id"), null("string").alias("text"))
     both = answers.union(base.select(chunk, F.lit(1), null("int"), null("long"), null("binary"), null("binary"), "doc_id", "text"))
     # one more place than words, as for a word that the corpus doesn't have
     scores = chunk_scores((words[0] or 0) + 1, (words[1] or 0, words[2] or 0))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "block").mapInArrow(scores, SCHEMA)
+    return both.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind", "block").mapInArrow(scores, SCHEMA)
 
 
 def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 0.0, pair_share: float = 0.0) -> DataFrame:

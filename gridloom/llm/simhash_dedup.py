@@ -452,7 +452,7 @@ def similar_groups(buckets: DataFrame, sets: Callable[[DataFrame], DataFrame], s
     Both steps pass on no more edges than rows, however many pairs are near or similar."""
     radius = radius_of(similarity, deviations=WIDE)
     loose = components(bucket_edges(buckets, radius, WORDS, most))
-    held = c.cut(sets(loose.select("node")), "sets", "zstd")
+    held = c.cut(sets(loose.select("node")), "sets")
     rows = held.join(loose, "node").withColumnRenamed("root", "bucket")
     return components(similar_edges(rows, radius, similarity, most_shingles))
 
