@@ -29,13 +29,13 @@ def cuts_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, what: str = "matrix", compression: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, what: str = "matrix") -> DataFrame:
     """df written to the shared folder and read again: later stages don't repeat it, and survive lost executors."""
     spark = df.sparkSession
     path = f"{cuts_dir(spark)}/{what}-{uuid.uuid4().hex}"
     if not _cleared:
         _cleared.append(atexit.register(_at_exit))
-    df.write.option("compression", compression).parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
