@@ -281,8 +281,14 @@ class Table:
             left, slot = left[~own], (slot[~own] + 1) & last
 
 
+#: The lowest 0 to 8 bytes of a word.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Lookup:
-    """Sequences of ids under byte strings: strings meet by their hash, and their bytes are compared."""
+    """Sequences of ids under byte strings: strings meet by a hash, and their bytes are compared.
+
+    A string's first 16 bytes are held as two words, which for most strings are all there is to hash and compare."""
 
     def __init__(self, kind: np.dtype, most: int):
         self.kind, self.most = np.dtype(kind), most
@@ -291,36 +297,48 @@ class Lookup:
     def clear(self) -> None:
         self._table, self.known = Table(), 0
         self._start, self._size, self._at, self._bytes = (np.zeros(1 << 10, np.int64) for _ in range(4))
+        self._low, self._high = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.uint64)
         self._ids, self._n_ids, self._text, self._n_text = np.zeros(1 << 16, self.kind), 0, np.zeros(1 << 16, np.uint8), 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
 
-    def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The number of each string; -1 if it isn't there, -2 if another string has its hash."""
-        at = self._table.find(h)
-        met = np.flatnonzero(at >= 0)
-        same = self._bytes[at[met]] == sizes[met]
-        check, own = met[same], sizes[met[same]]
-        if len(check):
-            equal = data[ranges(starts[check], own)] == self._text[ranges(self._at[at[check]], own)]
-            if not equal.all():
-                wrong = np.repeat(np.arange(len(check)), own)[~equal]
-                at[check[wrong]] = -2
-        at[met[~same]] = -2
-        return at
+    @staticmethod
+    def _words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        at = np.ndarray((len(data) + 9,), np.dtype("<u8"), padded.data, strides=(1,))  # the word from each byte on
+        return at[starts] & _LOWEST[np.minimum(sizes, 8)], at[starts + 8] & _LOWEST[np.clip(sizes - 8, 0, 8)]
 
-    def add(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New strings of distinct hashes, with the ids of all of them in a row and how many each has."""
+    @staticmethod
+    def _hash(low: np.ndarray, high: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        h = mix(low ^ mix(high + sizes.astype(np.uint64) * np.uint64(_BASE)))
+        long = np.flatnonzero(sizes > 16)
+        h[long] = digests(data, starts[long], starts[long] + sizes[long])[:, 0]
+        return np.maximum(h, np.uint64(1))
+
+    def _other(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each string is another one than that of its number."""
+        out = (self._bytes[at] != sizes) | (self._low[at] != low) | (self._high[at] != high)
+        long = np.flatnonzero((sizes > 16) & ~out)
+        if len(long):
+            rest = sizes[long] - 16
+            differ = data[ranges(starts[long] + 16, rest)] != self._text[ranges(self._at[at[long]], rest)]
+            out[long[np.repeat(np.arange(len(long)), rest)[differ]]] = True
+        return out
+
+    def _add(self, h: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         n, k = len(h), self.known
-        for name, more in (("_start", k + n), ("_size", k + n), ("_at", k + n), ("_bytes", k + n), ("_ids", self._n_ids + len(ids)), ("_text", self._n_text + int(sizes.sum()))):
+        rest = np.maximum(sizes - 16, 0)
+        text = data[ranges(starts + 16, rest)]
+        for name, more in (*((x, k + n) for x in ("_start", "_size", "_at", "_bytes", "_low", "_high")), ("_ids", self._n_ids + len(ids)), ("_text", self._n_text + len(text))):
             setattr(self, name, self._room(getattr(self, name), more))
         self._ids[self._n_ids : self._n_ids + len(ids)] = ids
-        self._start[k : k + n], self._size[k : k + n] = self._n_ids + np.cumsum(counts) - counts, counts
-        text = data[ranges(starts, sizes)]
         self._text[self._n_text : self._n_text + len(text)] = text
-        self._at[k : k + n], self._bytes[k : k + n] = self._n_text + np.cumsum(sizes) - sizes, sizes
+        own = slice(k, k + n)
+        self._start[own], self._size[own] = self._n_ids + np.cumsum(counts) - counts, counts
+        self._at[own], self._bytes[own] = self._n_text + np.cumsum(rest) - rest, sizes
+        self._low[own], self._high[own] = low, high
         self._table.add(h, np.arange(k, k + n, dtype=np.int32))
         self._n_ids, self._n_text, self.known = self._n_ids + len(ids), self._n_text + len(text), k + n
 
@@ -330,18 +348,22 @@ class Lookup:
     def ids(self, at: np.ndarray) -> np.ndarray:
         return self._ids[ranges(self._start[at], self._size[at])]
 
-    def learned(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, encode: Callable) -> np.ndarray:
+    def learned(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, encode: Callable) -> np.ndarray:
         """The number of each string once encode, which gives counts and ids of the strings at some places, has been
         asked for those that weren't there; -2 for strings that cannot be kept: a hash met twice, or too many of them."""
-        at = self.find(h, data, starts, sizes)
-        new = np.flatnonzero(at == -1)
+        low, high = self._words(data, starts, sizes)
+        h = self._hash(low, high, data, starts, sizes)
+        at = self._table.find(h)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            new = new[np.unique(h[new], return_index=True)[1]]
-            if self.known + len(new) > self.most:
+            one = new[np.unique(h[new], return_index=True)[1]]
+            if self.known + len(one) > self.most:
                 self.clear()
-                new = np.unique(h, return_index=True)[1]
-            if len(new) > self.most:
+                new = np.arange(len(h))
+                one = np.unique(h, return_index=True)[1]
+            if len(one) > self.most:
                 return np.full(len(h), -2, np.int64)
-            self.add(h[new], data, starts[new], sizes[new], *encode(new))
-            at = self.find(h, data, starts, sizes)
+            self._add(h[one], low[one], high[one], data, starts[one], sizes[one], *encode(one))
+            at[new] = self._table.find(h[new])
+        at[self._other(at, low, high, data, starts, sizes)] = -2
         return at

@@ -437,8 +437,7 @@ class Transducer:
         counts, at = np.zeros(len(starts), np.int64), np.full(len(starts), -2, np.int64)
         short = np.flatnonzero(sizes <= LONGEST)
         if len(short):
-            h = np.maximum(c.span_hashes(data, starts[short], starts[short] + sizes[short]), np.uint64(1))
-            at[short] = self._known.learned(h, data, starts[short], sizes[short], lambda i: self._compose(data, starts[short[i]], sizes[short[i]]))
+            at[short] = self._known.learned(data, starts[short], sizes[short], lambda i: self._compose(data, starts[short[i]], sizes[short[i]]))
         known, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
         counts[known] = self._known.counts(at[known])
         own = {k: np.array(self._escaped(self.path(data[starts[k] : starts[k] + sizes[k]].tobytes().decode().replace(" ", SPACE))), np.int32) for k in rest.tolist()}

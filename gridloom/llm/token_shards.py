@@ -117,9 +117,8 @@ class Tokenizer:
         # a text without a space is one part, whatever it ends with; it is encoded whole all the same
         odd &= filled
         use = np.flatnonzero(filled[rows] & ~odd[rows])
-        starts, ends, rows, first, size = starts[use], ends[use], rows[use], first[use], size[use]
-        h = np.maximum(c.span_hashes(data, starts, ends), np.uint64(1))
-        at = self._known.learned(h, data, starts, size, lambda i: self._encode(data, starts[i], size[i], first[i]))
+        starts, rows, first, size = starts[use], rows[use], first[use], size[use]
+        at = self._known.learned(data, starts, size, lambda i: self._encode(data, starts[i], size[i], first[i]))
         if (at < 0).any():  # another part of that hash, or more parts than the table holds: whole texts
             odd[rows[at < 0]] = True
             keep = ~odd[rows]

@@ -110,15 +110,22 @@ def test_hashes_across_blocks(monkeypatch):
     assert (c.span_hashes(again, off[:-1], off[1:]) == want).all()
 
 
-def test_lookup_compares_bytes():
-    """Strings with one hash: the first is kept, the other is refused."""
-    data = np.frombuffer(b"onetwosix", np.uint8)
-    at, size, h = np.array([0, 3, 6]), np.array([3, 3, 3]), np.array([7, 7, 9], np.uint64)
+@pytest.mark.parametrize("pad", ["", "0123456789", "0123456789abcdefgh"])
+def test_lookup_compares_bytes(monkeypatch, pad):
+    """Strings with one hash: the first is kept, the others are refused, however late they differ."""
+    parts = [x.encode() for x in (pad + "one", pad + "two", pad + "six", pad + "one", pad + "on", "")]
+    data, size = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])
+    at = np.cumsum(size) - size
+    give = lambda i: (np.full(len(i), 2), np.repeat(at[i], 2))
     t = c.Lookup(np.int32, 100)
-    got = t.learned(h, data, at, size, lambda i: (np.full(len(i), 2), np.repeat(at[i], 2)))
-    assert got[0] >= 0 and got[1] == -2 and got[2] >= 0
-    assert t.ids(got[[0, 2]]).tolist() == [0, 0, 6, 6]
-    assert (c.Lookup(np.int32, 1).learned(h, data, at, size, None) == -2).all()
+    got = t.learned(data, at, size, give)
+    assert len(set(got.tolist())) == 5 and got[0] == got[3] and (got == t.learned(data, at, size, None)).all()
+    assert t.ids(got[[0, 2]]).tolist() == [at[0], at[0], at[2], at[2]]
+    monkeypatch.setattr(c.Lookup, "_hash", staticmethod(lambda low, high, data, starts, sizes: np.full(len(low), 7, np.uint64)))
+    t = c.Lookup(np.int32, 100)
+    assert t.learned(data, at, size, give).tolist() == [0, -2, -2, 0, -2, -2]
+    monkeypatch.undo()
+    assert (c.Lookup(np.int32, 1).learned(data, at, size, None) == -2).all()
 
 
 def test_table_grows():
