@@ -12,7 +12,7 @@ from .info import BREAKDOWN, CONVERGED, NOT_FINITE, NOT_POSITIVE, SolverInfo, fi
 from .interface import LinearOperator
 from .spaces import space
 
-TINY = np.finfo(float).tiny
+TINY, EPS = np.finfo(float).tiny, np.finfo(float).eps
 
 
 def _start(a: object, b: object, x0: object, maxiter: int | None, distributed: bool | None):
@@ -174,7 +174,11 @@ def gmres(a, b, *, x0=None, rtol: float = 1e-5, atol: float = 0.0, restart: int
 
 
 def minres(a, b, *, x0=None, rtol: float = 1e-5, atol: float = 0.0, shift: float = 0.0, maxiter: int | None = None, M=None, check_preconditioner: bool = True, callback: Callable | None = None, return_info: bool = False, distributed: bool | None = None):
-    """Minimal residuals for symmetric, perhaps indefinite, A - shift I: Lanczos with rotations."""
+    """Minimal residuals for symmetric, perhaps indefinite, A - shift I (Paige and Saunders 1975).
+
+    Lanczos makes a tridiagonal matrix column by column; plane rotations turn each new column into one of an upper
+    triangular matrix with two diagonals above its own, and x moves along the column of the basis times its inverse.
+    check_preconditioner: a preconditioner with an entry that isn't positive is reported before the first step."""
     s, b, x, r, most = _start(a, b, x0, maxiter, distributed)
     m = P.aspreconditioner(M, a)
     if m.kind not in ("identity", "diagonal", "jacobi"):
@@ -186,44 +190,47 @@ def minres(a, b, *, x0=None, rtol: float = 1e-5, atol: float = 0.0, shift: float
     if x0 is not None and shift:
         r = s.combine((1.0, b), (-1.0, op(x)))
     norm = s.norm(r)
+    if check_preconditioner and isinstance(m, P.DiagonalPreconditioner) and not m.positive:
+        return done(NOT_POSITIVE, 0)
     if norm <= goal:
         return done(CONVERGED, 0)
     z = m.apply(s, r)
-    square = s.dot(r, z)
-    if square <= 0:
+    length = s.dot(r, z)
+    if length <= 0:
         return done(NOT_POSITIVE, 0)
-    beta = np.sqrt(square)
-    r1, r2, phi, old = None, r, beta, 0.0
-    c, sn, delta_bar, eps = -1.0, 0.0, 0.0, 0.0
-    w1 = w2 = None
+    above = np.sqrt(length)  # the matrix's entry above the diagonal, here that of no column
+    first, before = above, None
+    here, there = s.combine((1 / above, r)), s.combine((1 / above, z))  # the basis vector, and the preconditioner times it
+    turns = [(1.0, 0.0), (1.0, 0.0)]  # cosine and sine of the last two rotations
+    ways: list = []  # the last two directions
+    left = first  # what the rotations have left of the right-hand side
     for k in range(1, most + 1):
-        v = s.combine((1 / beta, z))
-        q = op(v)
-        if r1 is not None:
-            q = s.combine((1.0, q), (-beta / old, r1))
-        alpha = s.dot(v, q)
-        q = s.combine((1.0, q), (-alpha / beta, r2))
-        r1, r2 = r2, q
-        z = m.apply(s, r2)
-        old, square = beta, s.dot(r2, z)
-        if not np.isfinite(square):
+        w = op(there)
+        middle = s.dot(there, w)
+        w = s.combine((1.0, w), (-middle, here), *([(-above, before)] if before is not None else []))
+        z = m.apply(s, w)
+        length = s.dot(w, z)
+        if not np.isfinite(length):
             return done(NOT_FINITE, k)
-        if square < -1e-12 * beta * beta:
+        if length < -1e-12 * above * above:
             return done(NOT_POSITIVE, k)
-        beta = np.sqrt(max(square, 0.0))
-        old_eps = eps
-        delta = c * delta_bar + sn * alpha
-        gamma_bar = sn * delta_bar - c * alpha
-        eps, delta_bar = sn * beta, -c * beta
-        gamma = max(np.hypot(gamma_bar, beta), np.finfo(float).eps)
-        c, sn = gamma_bar / gamma, beta / gamma
-        step, phi = c * phi, sn * phi
-        w = s.combine(*((t, u) for t, u in ((1 / gamma, v), (-old_eps / gamma, w1), (-delta / gamma, w2)) if u is not None))
-        w1, w2 = w2, w
-        x = s.combine((1.0, x), (step, w))
+        below = np.sqrt(max(length, 0.0))
+        # the column (above, middle, below) under the last two rotations, and then its own
+        entry = above if before is not None else 0.0
+        (c2, s2), (c1, s1) = turns
+        second, entry = s2 * entry, c2 * entry
+        one, pivot = c1 * entry + s1 * middle, c1 * middle - s1 * entry
+        size = max(np.hypot(pivot, below), EPS)
+        turns = [(c1, s1), (pivot / size, below / size)]
+        known = zip((second, one), [None] * (2 - len(ways)) + ways, strict=True)
+        way = s.combine((1 / size, there), *((-entry_of / size, u) for entry_of, u in known if u is not None))
+        ways = [*ways[-1:], way]
+        x = s.combine((1.0, x), (pivot / size * left, way))
+        left *= -below / size
         norm = residual()
         if norm <= goal:
             return done(CONVERGED, k)
-        if beta <= 1e-14 * old:
+        if below <= 1e-14 * above:
             return done(BREAKDOWN, k)
+        before, here, there, above = here, s.combine((1 / below, w)), s.combine((1 / below, z)), below
     return done(_limit(most), most)

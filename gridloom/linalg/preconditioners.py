@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..config import config
 from ..operators.dense import Dense, dense
 from ..operators.matrix import SparseMatrix
 from ..plans.lineage import cut
@@ -50,6 +51,11 @@ class DiagonalPreconditioner(Preconditioner):
         super().__init__((inverse.shape[0],) * 2, **setup)
         self.inverse, self.kind, self._array = inverse, kind, None
 
+    @property
+    def positive(self) -> bool:
+        """Whether every entry is above zero."""
+        return self.inverse.df.filter(~(F.col("x") > 0)).isEmpty()
+
     def apply(self, s, r):
         if isinstance(s, spaces.Distributed):
             return s.times(self.inverse, r)
@@ -100,6 +106,11 @@ class _Triangles(Preconditioner):
         super().__init__((n, n), **setup)
         self.lower, self.upper, self.diagonal, self.unit_lower, self.kind = lower, upper, diagonal, unit_lower, kind
 
+    @property
+    def pattern(self) -> list[tuple[int, ...]]:
+        """The columns of each row."""
+        return [(*x.tolist(), i, *y.tolist()) for i, ((x, _), (y, _)) in enumerate(zip(self.lower, self.upper, strict=True))]
+
     def apply(self, s, r):
         x = (r.collect() if isinstance(r, Dense) else np.asarray(r, float)).copy()
         for i, (cols, vals) in enumerate(self.lower):
@@ -152,6 +163,12 @@ def identity(a_or_shape: object) -> IdentityPreconditioner:
 
 
 def _inverted(d: Dense, omega: float, shift: float, zero_atol: float, unit: bool) -> Dense:
+    if d.shape[0] <= config.get("local_rows"):  # small enough for the driver: one job instead of a check and a written table
+        values = d.collect() + shift
+        vanish = abs(values) <= zero_atol
+        if not unit and (vanish | np.isnan(values)).any():
+            raise ValueError("the diagonal has an entry that is zero")
+        return dense(d.df.sparkSession, np.where(vanish, omega, omega / np.where(vanish, 1.0, values)))
     x = F.col("x") + F.lit(float(shift))
     zero = F.abs(x) <= zero_atol
     if not unit and not d.df.filter(zero | F.isnan(x)).isEmpty():
@@ -199,9 +216,13 @@ def chebyshev(a: SparseMatrix, *, degree: int = 2, lambda_min: float | None = No
             from .spectral import lanczos
 
             alphas, betas = lanczos(a, min(a.n_rows, 12), return_basis=False)
-            ritz = np.linalg.eigvalsh(np.diag(alphas) + np.diag(betas[: len(alphas) - 1], 1) + np.diag(betas[: len(alphas) - 1], -1))
-            hi = 1.1 * ritz[-1]
-            lo = max(np.finfo(float).tiny, min(0.5 * ritz[0], 0.1 * hi)) if ritz[0] > 0 else 0.1 * hi
+            n = len(alphas)
+            values, vectors = np.linalg.eigh(np.diag(alphas) + np.diag(betas[: n - 1], 1) + np.diag(betas[: n - 1], -1))
+            # each Ritz value has an eigenvalue within its residual, which is the last beta times its vector's last component
+            apart = (betas[n - 1] if len(betas) >= n else 0.0) * abs(vectors[-1])
+            hi, lo = values[-1] + apart[-1], values[0] - apart[0]
+            if lo <= 0:
+                lo = hi / 30  # nothing is known of the lower end: damp the upper part of the spectrum, as a smoother does
         lambda_min, lambda_max = lo if lambda_min is None else lambda_min, hi if lambda_max is None else lambda_max
     if not 0 < lambda_min <= lambda_max:
         raise ValueError(f"bounds must be positive and in order, got {lambda_min} and {lambda_max}")
@@ -219,14 +240,20 @@ def _rows(a: SparseMatrix, shift: float) -> list[dict[int, float]]:
     return rows
 
 
-def _split(rows: list[dict[int, float]]) -> tuple[list, list, np.ndarray]:
-    part = lambda r, keep: (np.array([j for j in sorted(r) if keep(j)], int), np.array([r[j] for j in sorted(r) if keep(j)], float))
-    return [part(r, lambda j, i=i: j < i) for i, r in enumerate(rows)], [part(r, lambda j, i=i: j > i) for i, r in enumerate(rows)], np.array([r[i] for i, r in enumerate(rows)])
+def _split(rows: list[dict[int, float]], like: _Triangles | None = None) -> tuple[list, list, np.ndarray]:
+    """Lower and upper rows (columns, values) and the diagonal; the columns are those of like, if given."""
+    at = [(np.array([j for j in sorted(r) if j < i], int), np.array([j for j in sorted(r) if j > i], int)) for i, r in enumerate(rows)] if like is None else list(zip((x for x, _ in like.lower), (x for x, _ in like.upper), strict=True))
+    part = lambda side: [(cols[side], np.array([r[j] for j in cols[side].tolist()], float)) for cols, r in zip(at, rows, strict=True)]
+    return part(0), part(1), np.array([r[i] for i, r in enumerate(rows)])
+
 
+def ilu0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True, reuse_analysis: ILU0Preconditioner | None = None) -> ILU0Preconditioner:
+    """LU on the pattern of A, in natural order; for matrices that fit one machine.
 
-def ilu0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True) -> ILU0Preconditioner:
-    """LU on the pattern of A, in natural order; for matrices that fit one machine."""
+    reuse_analysis: the preconditioner of a matrix with the same pattern, whose row structure is taken over."""
     rows = _rows(a, shift)
+    if reuse_analysis is not None and reuse_analysis.pattern != [tuple(sorted(r)) for r in rows]:
+        raise ValueError("the analysis is of another pattern")
     scale = [max(1.0, sum(abs(v) for v in r.values())) for r in rows]
     for i, r in enumerate(rows):
         for k in sorted(j for j in r if j < i):
@@ -236,7 +263,7 @@ def ilu0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True) -> ILU0Prec
                     r[j] -= r[k] * v
         if abs(r[i]) <= EPS * scale[i]:
             raise RuntimeError(f"pivot {i} is zero")
-    return ILU0Preconditioner(len(rows), *_split(rows), True, "ilu0", shift=shift)
+    return ILU0Preconditioner(len(rows), *_split(rows, reuse_analysis), True, "ilu0", shift=shift)
 
 
 def ichol0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True) -> IC0Preconditioner:

@@ -26,9 +26,12 @@ class Dense:
 
     def collect(self) -> np.ndarray:
         """As a numpy array; for results whose size the caller knows."""
-        out = np.zeros(self.shape, complex if self.dtype == V.COMPLEX else float)
-        for *at, x in self.df.select(*self.keys, "x").toLocalIterator():
-            out[tuple(at)] = complex(x[0], x[1]) if self.dtype == V.COMPLEX else x
+        complex_ = self.dtype == V.COMPLEX
+        x = [F.col("x.re").alias("re"), F.col("x.im").alias("im")] if complex_ else ["x"]
+        table = self.df.select(*self.keys, *x).toArrow()
+        *at, = (table.column(n).to_numpy() for n in self.keys)
+        out = np.zeros(self.shape, complex if complex_ else float)
+        out[tuple(at)] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy() if complex_ else table.column("x").to_numpy()
         return out
 
 

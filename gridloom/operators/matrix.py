@@ -14,13 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..plans.lineage import cut, small
+from ..plans.lineage import BROADCAST_BYTES, cut, release, small
 from .dense import Dense, dense
 
 #: Cells of a dense result that todense makes at most, unless told otherwise.
 DENSE_CELLS = 50_000_000
 #: Columns of a dense operand (of all batches) that travel side by side.
 WIDE = 64
+#: Products of one contracted index that one task makes.
+TASK_PRODUCTS = 10_000_000
 #: Rows of one block when counts become running sums.
 BLOCK = 1 << 16
 
@@ -78,7 +80,8 @@ class SparseMatrix:
 
     def persist(self) -> SparseMatrix:
         """Written once to the shared folder, for matrices that many plans read."""
-        return self._like(cut(self.df), stored=self._stored)
+        df = cut(self.df)
+        return self._like(df, stored=df.count() if self._stored is None else self._stored)  # the files say how many
 
     def view(self, name: str) -> SparseMatrix:
         self.df.createOrReplaceTempView(name)
@@ -249,7 +252,7 @@ class SparseMatrix:
         return a.join(b, ["i", "j"]).agg(V.total(kind, V.mul(kind, left, F.col("b"))).alias("x"))
 
     def todense(self, most: int = DENSE_CELLS) -> Dense:
-        """Every cell as a row (i, k, x)."""
+        """Every cell as a row (i, k, x); more than most of them are refused, as zeros would be most of the result."""
         if self.n_rows * self.n_cols > most:
             raise ValueError(f"a dense {self.shape} matrix has more than {most} cells")
         rows = self.df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
@@ -346,9 +349,34 @@ class SparseMatrix:
         # cells that share a place are summed before the join, which would otherwise repeat them for every partner
         a = self.canonicalize().df.select("i", F.col("j").alias("m"), F.col("v").alias("a"))
         b = other.canonicalize().df.select(F.col("i").alias("n"), "j", F.col("v").alias("b"))
-        out = a.join(b, F.col("m") == F.col("n")).groupBy("i", "j").agg(V.total(self.dtype, V.mul(self.dtype, F.col("a"), F.col("b"))).alias("v"))
+        most = other.n_rows * other.n_cols if other._stored is None else min(other._stored, other.n_rows * other.n_cols)
+        if most * 24 <= BROADCAST_BYTES:
+            # a task has a range of A's cells by row, so it sums nearly all of a row's products before they are shuffled
+            met = a.repartitionByRange("i", "m").join(F.broadcast(b), F.col("m") == F.col("n"))
+        else:
+            met = self._split_join(a, b)
+        out = met.groupBy("i", "j").agg(V.total(self.dtype, V.mul(self.dtype, F.col("a"), F.col("b"))).alias("v"))
         return self._like(out.filter(V.nonzero(self.dtype, F.col("v"))), (self.n_rows, other.n_cols), canonical=True)
 
+    @staticmethod
+    def _split_join(a: DataFrame, b: DataFrame) -> DataFrame:
+        """a and b joined on m = n. An index with more than TASK_PRODUCTS products is split: a's cells by a hash of their row, b's to each part."""
+        left, right = a.groupBy("m").agg(F.count("*").alias("x")), b.groupBy(F.col("n").alias("m")).agg(F.count("*").alias("y"))
+        parts = F.least(F.ceil(F.col("x") * F.col("y") / TASK_PRODUCTS), F.col("x")).cast("int")
+        heavy = cut(left.join(right, "m").filter(F.col("x") * F.col("y") > TASK_PRODUCTS).select("m", parts.alias("parts")))
+        if heavy.isEmpty():
+            release(heavy)
+            return a.join(b, F.col("m") == F.col("n"))
+        of = F.coalesce("parts", F.lit(1))
+        a = a.join(heavy, "m", "left").withColumn("part", F.pmod(F.xxhash64("i"), of).cast("int")).drop("parts")
+        b = b.join(heavy.withColumnRenamed("m", "n"), "n", "left").withColumn("part_b", F.explode(F.sequence(F.lit(0), of - 1))).drop("parts")
+        return a.join(b, (F.col("m") == F.col("n")) & (F.col("part") == F.col("part_b")))
+
+    def gram(self) -> SparseMatrix:
+        """A @ A.T; A's cells are summed once and written, as both sides read them."""
+        a = self.canonicalize().persist()
+        return a.matmat(a.T)
+
     def __matmul__(self, other: object) -> object:
         if isinstance(other, SparseMatrix):
             return self.matmat(other)
