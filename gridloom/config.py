@@ -1,45 +1,167 @@
-"""Options, as a thin layer over the session's configuration, and what the backend can do."""
+"""Options, some of them the session's own settings, and what the backend can do."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+import os
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
+#: Options are read from, and their values shown as, environment variables of this prefix.
+PREFIX = "GRIDLOOM_"
+
+
+@dataclass(frozen=True)
+class Option:
+    """name, default and what it is for; setting: the session's setting that holds it; startup: fixed once the manager is locked."""
+
+    name: str
+    default: object
+    doc: str
+    least: int = 1
+    setting: str | None = None
+    startup: bool = False
+
+    def parse(self, value: object) -> object:
+        if isinstance(self.default, bool):
+            text = str(value).strip().lower()
+            if text not in ("0", "1", "true", "false", "yes", "no", "on", "off"):
+                raise ValueError(f"{self.name} is a truth value, got {value!r}")
+            return text in ("1", "true", "yes", "on")
+        if isinstance(self.default, int):
+            if isinstance(value, bool) or isinstance(value, float) and value != int(value):
+                raise ValueError(f"{self.name} is a whole number, got {value!r}")
+            number = int(value)
+            if number < self.least:
+                raise ValueError(f"{self.name} must be {self.least} or more, got {number}")
+            return number
+        return type(self.default)(value)
+
+
+_THREADS = "spark.sql.shuffle.partitions"
+OPTIONS = (
+    Option("local_cells", 2_000_000, "cells of a matrix whose solvers run on the driver", 0),
+    Option("local_rows", 200_000, "rows and columns of such a matrix", 0),
+    Option("factor_rows", 3_000, "rows of a matrix that is factorised on one machine", 0),
+    Option("cpu_threads", 200, "partitions of a shuffle", setting=_THREADS),
+    Option("spgemm_threads", 200, "partitions of a sparse product", setting=_THREADS),
+    Option("solver_threads", 200, "partitions of a solver's steps", setting=_THREADS),
+)
+
 
 @dataclass
 class ConfigManager:
-    """Named options with defaults; an option that stands for a session setting is read and written there."""
+    """Named options. A value is the one that was set, else the environment's, else the default; an option that stands for a
+    session's setting is read and written there. Hooks hear of each change as (name, old, new)."""
 
-    options: dict[str, object] = field(default_factory=lambda: {"local_cells": 2_000_000, "local_rows": 200_000, "factor_rows": 3_000})
-    session: dict[str, str] = field(default_factory=lambda: {"cpu_threads": "spark.sql.shuffle.partitions", "spgemm_threads": "spark.sql.shuffle.partitions", "solver_threads": "spark.sql.shuffle.partitions"})
+    options: dict[str, Option] = field(default_factory=lambda: {o.name: o for o in OPTIONS})
+    values: dict[str, object] = field(default_factory=dict)
+    hooks: dict[str | None, list[Callable]] = field(default_factory=dict)
+    locked: bool = False
 
     def _spark(self) -> SparkSession:
         return SparkSession.builder.getOrCreate()
 
-    def get(self, name: str) -> object:
-        if name in self.session:
-            return int(self._spark().conf.get(self.session[name]))
+    def option(self, name: str) -> Option:
         if name not in self.options:
             raise KeyError(f"unknown option {name!r}")
         return self.options[name]
 
+    def define(self, option: Option) -> None:
+        if option.name in self.options:
+            raise ValueError(f"option {option.name!r} is there already")
+        option.parse(option.default)
+        self.options[option.name] = option
+
+    def get(self, name: str) -> object:
+        option = self.option(name)
+        if option.setting:
+            return int(self._spark().conf.get(option.setting))
+        if name in self.values:
+            return self.values[name]
+        given = os.environ.get(PREFIX + name.upper())
+        return option.default if given is None else option.parse(given)
+
+    def source(self, name: str) -> str:
+        """Where the value comes from: session, set, environment or default."""
+        if self.option(name).setting:
+            return "session"
+        return "set" if name in self.values else "environment" if PREFIX + name.upper() in os.environ else "default"
+
     def set(self, name: str, value: object) -> None:
-        if name in self.session:
-            self._spark().conf.set(self.session[name], str(int(value)))
-        elif name in self.options:
-            self.options[name] = value
+        option = self.option(name)
+        if self.locked and option.startup:
+            raise RuntimeError(f"option {name!r} is fixed since the manager was locked")
+        value, old = option.parse(value), self.get(name)
+        if option.setting:
+            self._spark().conf.set(option.setting, str(value))
         else:
-            raise KeyError(f"unknown option {name!r}")
+            self.values[name] = value
+        self._tell(name, old)
+
+    def reset(self, name: str) -> None:
+        """Back to the environment's value or the default; a session's setting is unset."""
+        option, old = self.option(name), self.get(name)
+        if option.setting:
+            self._spark().conf.unset(option.setting)
+        self.values.pop(name, None)
+        self._tell(name, old)
+
+    def _tell(self, name: str, old: object) -> None:
+        if (new := self.get(name)) != old:
+            for hook in (*self.hooks.get(name, ()), *self.hooks.get(None, ())):
+                hook(name, old, new)
+
+    def on_change(self, hook: Callable, name: str | None = None) -> Callable[[], None]:
+        """hook(name, old, new) is called after each change, of one option or of any; the result removes it."""
+        if name is not None:
+            self.option(name)
+        self.hooks.setdefault(name, []).append(hook)
+        return lambda: self.hooks[name].remove(hook)
+
+    def lock(self) -> None:
+        """From now on startup options can't be changed."""
+        self.locked = True
+
+    def unlock(self) -> None:
+        self.locked = False
 
     def list(self) -> list[str]:
-        return sorted([*self.options, *self.session])
+        return sorted(self.options)
+
+    def describe(self, name: str) -> dict[str, object]:
+        option = self.option(name)
+        return {"name": name, "value": self.get(name), "default": option.default, "source": self.source(name), "doc": option.doc, "setting": option.setting, "startup": option.startup}
 
     def snapshot(self) -> dict[str, object]:
         return {n: self.get(n) for n in self.list()}
 
+    def fingerprint(self) -> str:
+        """The same for the same values."""
+        return hashlib.sha256(json.dumps(self.snapshot(), sort_keys=True).encode()).hexdigest()
+
+    def to_environment(self) -> dict[str, str]:
+        """Puts the values into the environment, for processes that are started from here."""
+        own = {PREFIX + n.upper(): str(v) for n, v in self.snapshot().items() if not self.options[n].setting}
+        os.environ.update(own)
+        return own
+
+    @contextmanager
+    def patch(self, **values: object) -> Iterator[ConfigManager]:
+        """Options for the time of a block."""
+        before = {n: (self.get(n), n in self.values or self.option(n).setting) for n in values}
+        try:
+            for n, v in values.items():
+                self.set(n, v)
+            yield self
+        finally:
+            for n, (v, own) in before.items():
+                self.set(n, v) if own else self.reset(n)
+
 
 config = ConfigManager()
 
@@ -52,17 +174,8 @@ def set_config(name: str, value: object) -> None:
     config.set(name, value)
 
 
-@contextmanager
-def config_context(**values: object) -> Iterator[ConfigManager]:
-    """Options for the time of a block."""
-    before = {n: config.get(n) for n in values}
-    try:
-        for n, v in values.items():
-            config.set(n, v)
-        yield config
-    finally:
-        for n, v in before.items():
-            config.set(n, v)
+def config_context(**values: object):
+    return config.patch(**values)
 
 
 def use_device(name: str, index: int = 0, *, require_available: bool = True) -> None:
@@ -83,8 +196,49 @@ def is_available() -> bool:
     return True
 
 
+class Capabilities:
+    """What this backend has, by name: available, or not built with the reason."""
+
+    NAMES = ("extension", "cpu", "metal", "accelerate", "cuda", "rocm")
+    _AVAILABLE = {"extension": "the engine is Spark, which is there", "cpu": "executors run on CPUs"}
+
+    def _known(self, name: str) -> str:
+        name = str(name).lower().removesuffix("_kernels").removesuffix("_solvers").removeprefix("native_")
+        if name not in self.NAMES:
+            raise ValueError(f"unknown capability {name!r}; there are {', '.join(self.NAMES)}")
+        return name
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return self.NAMES
+
+    def has(self, name: str) -> bool:
+        return self._known(name) in self._AVAILABLE
+
+    def status(self, name: str) -> str:
+        return "available" if self.has(name) else "not_built"
+
+    def reason(self, name: str) -> str:
+        name = self._known(name)
+        return self._AVAILABLE.get(name, f"plans run on the executors' CPUs; there is no {name} backend")
+
+    built = runtime_available = has
+    __getitem__ = __contains__ = has
+
+    def __getattr__(self, name: str) -> bool:
+        if name.lower() in self.NAMES:
+            return self.has(name)
+        raise AttributeError(name)
+
+    def __repr__(self) -> str:
+        return f"capabilities({', '.join(f'{n}={self.status(n)!r}' for n in self.NAMES)})"
+
+
+capabilities = Capabilities()
+
+
 def has_capability(capability: str) -> bool:
-    return str(capability).lower() in ("extension", "cpu")
+    return capabilities.has(capability)
 
 
 class Runtime:
@@ -107,4 +261,3 @@ class Runtime:
 
 
 runtime = Runtime()
-capabilities = {"extension": True, "cpu": True, "metal": False, "accelerate": False, "cuda": False, "rocm": False}

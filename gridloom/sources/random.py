@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators.matrix import COOArray, SparseMatrix, check_format
 
 _ROUNDS = 6
@@ -42,49 +43,81 @@ def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
+#: Whole numbers that an index type holds, and the bits of a value type's fraction.
+INDEX = {"int32": 2**31 - 1, "int64": 2**63 - 1}
+FRACTION = {"float64": 53, "float32": 24, "float16": 11, "bfloat16": 8, "complex64": 24}
+
+
+def _seed(rng: object, random_state: object) -> int:
+    if rng is not None and random_state is not None:
+        raise ValueError("rng and random_state are two names of one thing; give one of them")
+    seed = rng if rng is not None else 0 if random_state is None else random_state
+    if isinstance(seed, bool) or not isinstance(seed, (int, np.integer)):
+        raise TypeError(f"the seed must be a whole number, got {type(seed).__name__}: cells are made on the executors, not by a generator of the driver")
+    return int(seed) & 0x7FFFFFFF
+
+
 def random_array(
     spark: SparkSession,
     shape: tuple[int, int],
     *,
     density: float = 0.01,
     format: str = "coo",
-    random_state: int = 0,
+    dtype: str | None = None,
+    rng: int | None = None,
+    random_state: int | None = None,
+    index_dtype: str = "int64",
     data_sampler: Callable[[int], np.ndarray] | None = None,
     canonical: bool = True,
 ) -> SparseMatrix:
-    """round(m * n * density) cells (ties to even) at distinct places; values uniform in [0, 1), or by data_sampler(size),
-    which is called once for all cells, so its result must fit the driver."""
-    m, n = shape
+    """round(m * n * density) cells (ties to even) at distinct places; values uniform in [0, 1), rounded to the value type
+    (both parts of a complex one), or by data_sampler(size), which is called once for all cells, so its result must fit
+    the driver. rng and random_state are two names of the seed; index_dtype bounds dimensions and the number of cells."""
+    if len(shape) != 2 or any(isinstance(x, bool) or not isinstance(x, (int, np.integer)) for x in shape):
+        raise TypeError(f"shape must be two whole numbers, got {shape!r}")
+    m, n = (int(x) for x in shape)
     check_format(format)
-    if not 0 <= density <= 1:
+    kind = dtype or "float64"
+    if kind not in FRACTION:
+        raise TypeError(f"unknown value type {dtype!r}")
+    if index_dtype not in INDEX:
+        raise TypeError("index_dtype must be 'int32' or 'int64'")
+    if m < 0 or n < 0:
+        raise ValueError("dimensions must not be negative")
+    if not (isinstance(density, (int, float, np.floating)) and 0 <= density <= 1):
         raise ValueError("density must be between 0 and 1")
     if not canonical:
         raise ValueError("only canonical matrices are made")
     count = int(min(max(round(m * n * density), 0), m * n))
-    places, seed = m * n, int(random_state) & 0x7FFFFFFF
+    if max(m, n, count) > INDEX[index_dtype] or m * n >= 2**62:
+        raise OverflowError(f"{count} cells of a {m} by {n} matrix are too many for {index_dtype} places")
+    places, seed, grain = m * n, _seed(rng, random_state), float(2 ** FRACTION[kind])
+
+    def uniform(r: np.ndarray, key: int) -> np.ndarray:
+        return np.floor((_scramble(r.astype(np.uint64), key) >> np.uint64(11)) * 2.0**-53 * grain) / grain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = batch.column(0).to_numpy()
             at = permuted(r, places, seed)
-            v = (_scramble(r.astype(np.uint64), seed ^ 0x55555555) >> np.uint64(11)) * 2.0**-53
-            yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(n)).astype(np.int64)), pa.array((at % np.uint64(n)).astype(np.int64)), pa.array(v), pa.array(r)], names=["i", "j", "v", "r"])
+            yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(n)).astype(np.int64)), pa.array((at % np.uint64(n)).astype(np.int64)), pa.array(uniform(r, seed ^ 0x55555555)), pa.array(uniform(r, seed ^ 0x33333333)), pa.array(r)], names=["i", "j", "v", "im", "r"])
 
-    df = spark.range(count).mapInArrow(run, "i long, j long, v double, r long")
+    df = spark.range(count).mapInArrow(run, "i long, j long, v double, im double, r long")
     if data_sampler is not None:
-        values = np.asarray(data_sampler(count), float)
+        values = np.asarray(data_sampler(count))
         if values.shape != (count,):
             raise ValueError(f"data_sampler must return {count} values")
         import pandas as pd
 
-        own = spark.createDataFrame(pd.DataFrame({"r": np.arange(count), "v": values}), "r long, v double")
-        df = df.drop("v").join(own, "r")
-    return COOArray(df.select("i", "j", F.col("v")), (m, n), canonical=True, stored=count).asformat(format)
+        own = spark.createDataFrame(pd.DataFrame({"r": np.arange(count), "v": values.real.astype(float), "im": values.imag.astype(float)}), "r long, v double, im double")
+        df = df.drop("v", "im").join(own, "r")
+    value = F.struct(F.col("v").alias("re"), F.col("im").alias("im")) if kind == V.COMPLEX else F.col("v")
+    return COOArray(df.select("i", "j", value.alias("v")), (m, n), dtype=kind, canonical=True, stored=count).asformat(format)
 
 
-def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", *, random_state: int = 0, data_rvs: Callable[[int], np.ndarray] | None = None) -> SparseMatrix:
-    return random_array(spark, (m, n), density=density, format=format, random_state=random_state, data_sampler=data_rvs)
+def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", *, dtype: str | None = None, rng: int | None = None, random_state: int | None = None, data_rvs: Callable[[int], np.ndarray] | None = None) -> SparseMatrix:
+    return random_array(spark, (m, n), density=density, format=format, dtype=dtype, rng=rng, random_state=random_state, data_sampler=data_rvs)
 
 
-def rand(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", *, random_state: int = 0) -> SparseMatrix:
-    return random_array(spark, (m, n), density=density, format=format, random_state=random_state)
+def rand(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", *, dtype: str | None = None, rng: int | None = None, random_state: int | None = None) -> SparseMatrix:
+    return random_array(spark, (m, n), density=density, format=format, dtype=dtype, rng=rng, random_state=random_state)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import gridloom as g
 from gridloom import linalg as L
+from gridloom.config import Option
 from gridloom.linalg import preconditioners as P
 from gridloom.operators import autodiff as D
 from gridloom.sources.random import permuted
@@ -356,3 +357,152 @@ def test_plans(spark):
 
     plan = queries()["csr_matvec"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double>" in plan and "IsNotNull(l_partkey)" in plan and "partial_sum" in plan
+
+
+def test_config_options(spark, monkeypatch):
+    own, heard = g.ConfigManager(), []
+    off = own.on_change(lambda *x: heard.append(x))
+    monkeypatch.setenv("GRIDLOOM_FACTOR_ROWS", "17")
+    assert own.get("factor_rows") == 17 and own.source("factor_rows") == "environment" and own.describe("factor_rows")["default"] == 3000
+    before = own.fingerprint()
+    with own.patch(factor_rows=5, local_rows="9"):
+        assert own.snapshot()["factor_rows"] == 5 and own.get("local_rows") == 9 and own.fingerprint() != before
+    assert own.fingerprint() == before and heard == [("factor_rows", 17, 5), ("local_rows", 200_000, 9), ("factor_rows", 5, 17), ("local_rows", 9, 200_000)]
+    off()
+    own.define(Option("quick", True, "a test's option", startup=True))
+    own.set("quick", "off")
+    own.lock()
+    with pytest.raises(RuntimeError):
+        own.set("quick", True)
+    for name, bad in (("quick", "maybe"), ("factor_rows", -1), ("factor_rows", 2.5), ("factor_rows", True)):
+        own.unlock()
+        with pytest.raises(ValueError):
+            own.set(name, bad)
+    assert len(heard) == 4 and own.to_environment()["GRIDLOOM_FACTOR_ROWS"] == "17"
+
+
+def test_capabilities():
+    c = g.capabilities
+    assert c.CPU and not c.metal and c.status("CUDA") == "not_built" and "CPU" in c.reason("rocm") and c["extension"] and "cpu='available'" in repr(c)
+    for bad in ("abacus", None):
+        with pytest.raises(ValueError):
+            g.has_capability(bad)
+
+
+def test_random_options(spark):
+    a = g.random_array(spark, (30, 40), density=0.1, dtype="float16", rng=3)
+    v = np.array([r.v for r in a.df.collect()])
+    assert a.dtype == "float16" and (v == v.astype(np.float16)).all() and len(set(v)) > 60
+    assert sorted(a.df.collect()) == sorted(g.random_array(spark, (30, 40), density=0.1, dtype="float16", random_state=3).df.collect())
+    z = g.random_array(spark, (30, 40), density=0.1, dtype="complex64", rng=3).todense().collect()
+    assert (z.real != z.imag).sum() == 120
+    for wrong, error in (({"rng": 1, "random_state": 1}, ValueError), ({"rng": np.random.default_rng(1)}, TypeError), ({"dtype": "int8"}, TypeError), ({"index_dtype": "int8"}, TypeError), ({"density": 1.5}, ValueError)):
+        with pytest.raises(error):
+            g.random_array(spark, (3, 4), **wrong)
+    with pytest.raises(OverflowError):
+        g.random_array(spark, (2**32, 4), density=0.0, index_dtype="int32")
+    with pytest.raises(TypeError):
+        g.random_array(spark, (3.0, 4))
+
+
+def test_products_of_heavy_indices(spark, monkeypatch):
+    from gridloom.operators import matrix as M
+
+    rng = np.random.default_rng(8)
+    a, b = sparse(rng, 30, 20), sparse(rng, 20, 25)
+    a[:, 3], b[3, :] = rng.standard_normal(30), rng.standard_normal(25)
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(M, "TASK_PRODUCTS", 50)
+    x, y = g.fromdense(spark, a), g.fromdense(spark, b)
+    plan = x.matmat(y).df._jdf.queryExecution().toString()
+    assert "xxhash64" in plan and np.allclose(x.matmat(y).todense().collect(), a @ b) and np.allclose(x.gram().todense().collect(), a @ a.T)
+
+
+def test_triangular_levels_solve(spark):
+    rng = np.random.default_rng(12)
+    low = np.tril(sparse(rng, 25, 25), -1) + np.diag(rng.uniform(1, 2, 25))
+    b = rng.standard_normal(25)
+    for m, lower in ((low, True), (low.T, False)):
+        a = g.fromdense(spark, m)
+        assert np.allclose(L.spsolve_triangular(a, b, lower=lower, distributed=True).collect(), np.linalg.solve(m, b))
+        done = L.analyze_triangular(a, lower=lower)
+        assert np.allclose(L.spsolve_triangular(a, b, lower=lower, analyzed=done).collect(), np.linalg.solve(m, b))
+        with pytest.raises(ValueError):
+            L.spsolve_triangular(a, b, lower=not lower, analyzed=done)
+    unit = np.tril(low, -1) + np.eye(25)
+    assert np.allclose(L.spsolve_triangular(g.fromdense(spark, np.tril(low, -1)), b, unit_diagonal=True, distributed=True).collect(), np.linalg.solve(unit, b))
+    with pytest.raises(RuntimeError):
+        L.spsolve_triangular(g.fromdense(spark, np.tril(low, -1)), b, distributed=True)
+
+
+def test_minres_and_bounds(spark):
+    rng = np.random.default_rng(15)
+    q, _ = np.linalg.qr(rng.standard_normal((30, 30)))
+    m = q @ np.diag(np.concatenate([rng.uniform(1, 9, 15), -rng.uniform(1, 9, 15)])) @ q.T
+    a, b = g.fromdense(spark, (m + m.T) / 2), rng.standard_normal(30)
+    for M in (None, P.diagonal(spark, np.arange(1.0, 31.0))):
+        x, info = L.minres(a, b, rtol=1e-9, M=M, return_info=True)
+        assert info.converged and np.allclose(m @ x.collect(), b, atol=1e-6)
+    x, info = L.minres(a, b, shift=0.5, rtol=1e-9, return_info=True)
+    assert info.converged and np.allclose((m - 0.5 * np.eye(30)) @ x.collect(), b, atol=1e-6)
+    bad = P.diagonal(spark, -np.ones(30))
+    assert L.minres(a, b, M=bad, return_info=True)[1].status < 0
+    p = q @ np.diag(rng.uniform(0.5, 20, 30)) @ q.T
+    c = P.chebyshev(g.fromdense(spark, (p + p.T) / 2))
+    assert 0 < c.lo < c.hi and c.hi > np.linalg.eigvalsh(p)[-1] - 1e-6
+
+
+def test_reused_analyses_and_short_lanczos(spark):
+    rng = np.random.default_rng(16)
+    m = sparse(rng, 12, 12) + 9 * np.eye(12)
+    a = g.fromdense(spark, m)
+    one = P.ilu0(a)
+    two = P.ilu0(a._like(a.df.withColumn("v", F.col("v") * 2)), reuse_analysis=one)
+    x = rng.standard_normal(12)
+    assert np.allclose(two.solve(x) * 2, one.solve(x)) and two.lower[3][0] is one.lower[3][0]
+    with pytest.raises(ValueError):
+        P.ilu0(g.fromdense(spark, np.eye(12)), reuse_analysis=one)
+    s = g.fromdense(spark, m + m.T)
+    full, short = L.lanczos(s, 6, return_basis=False), L.lanczos(s, 6, reorthogonalize=False, return_basis=False)
+    assert np.allclose(full[0], short[0]) and np.allclose(full[1], short[1])
+
+
+def test_derivatives_of_constructors(spark):
+    rng = np.random.default_rng(21)
+    a, b = (sparse(rng, 4, 3), sparse(rng, 3, 5))
+    x, y = g.fromdense(spark, a), g.fromdense(spark, b)
+    dense_of = lambda m: m.todense().collect()
+    cot = rng.standard_normal((12, 15))
+    a_bar, b_bar = D.kron_vjp(x, y, g.fromdense(spark, cot))
+    blocks = cot.reshape(4, 3, 3, 5)
+    assert np.allclose(dense_of(a_bar), np.einsum("ikjl,kl->ij", blocks, b) * (a != 0)) and np.allclose(dense_of(b_bar), np.einsum("ikjl,ij->kl", blocks, a) * (b != 0))
+    assert np.allclose(dense_of(D.kron_jvp(x, 2 * x, y, y)), 3 * np.kron(a, b))
+    cot = rng.standard_normal((7, 8))
+    first, second = D.block_diag_vjp([x, y], g.fromdense(spark, cot))
+    assert np.allclose(dense_of(first), cot[:4, :3] * (a != 0)) and np.allclose(dense_of(second), cot[4:, 3:] * (b != 0))
+    grid = D.block_array_vjp([[x, None], [None, y]], g.fromdense(spark, cot))
+    assert np.allclose(dense_of(grid[1][1]), dense_of(second)) and grid[0][1] is None
+    assert np.allclose(dense_of(D.hstack_vjp([x, x], g.fromdense(spark, cot[:4, :6]))[1]), cot[:4, 3:6] * (a != 0))
+    assert np.allclose(dense_of(D.vstack_vjp([x, x], g.fromdense(spark, np.vstack([cot[:4, :3], cot[:4, 4:7]])))[1]), cot[:4, 4:7] * (a != 0))
+    down, up = D.diags_vjp([-1, 2], [6, 5], g.fromdense(spark, cot[:7, :7]))
+    assert np.allclose(down.collect(), np.diagonal(cot[:7, :7], -1)) and np.allclose(up.collect(), np.diagonal(cot[:7, :7], 2))
+
+
+def test_batched_derivatives_and_mapped_axes(spark):
+    rng = np.random.default_rng(22)
+    m = sparse(rng, 5, 4)
+    a, a_dot = g.fromdense(spark, m), 3 * g.fromdense(spark, m)
+    x, y_bar = rng.standard_normal((2, 4, 3)), rng.standard_normal((2, 5, 3))
+    X, Y = g.dense(spark, x), g.dense(spark, y_bar)
+    assert np.allclose(D.batched_data_vjp(a, X, Y).todense().collect(), np.einsum("bik,bjk->ij", y_bar, x) * (m != 0))
+    assert np.allclose(D.rhs_vjp(a, Y).collect(), np.einsum("ij,bik->bjk", m, y_bar))
+    assert np.allclose(D.batched_jvp(a, a_dot, X, X).collect(), 4 * m @ x) and np.allclose(D.product_jvp(a, None, X, X).collect(), m @ x)
+    v, w = rng.standard_normal((2, 4)), rng.standard_normal((2, 5))
+    assert np.allclose(D.batched_data_vjp(a, g.dense(spark, v, True), g.dense(spark, w, True)).todense().collect(), np.einsum("bi,bj->ij", w, v) * (m != 0))
+    assert np.allclose(D.transpose_jvp(a, a_dot, g.dense(spark, w[0]), g.dense(spark, w[0])).collect(), 4 * m.T @ w[0]) and np.allclose(D.transpose_rhs_vjp(a, g.dense(spark, v[0])).collect(), m @ v[0])
+    z = rng.standard_normal((4, 6))
+    assert np.allclose(D.vmap(a.matvec, in_axis=1, out_axis=1)(z), m @ z) and np.allclose(D.vmap(a.matvec, in_axis=1)(z), (m @ z).T)
+    u = rng.standard_normal((4, 3, 2))
+    assert np.allclose(D.vmap(a.matmul, in_axis=2, out_axis=1)(u), np.einsum("ij,jkb->ibk", m, u)) and np.allclose(D.vmap(a.matmul)(X).collect(), m @ x)
+    with pytest.raises(TypeError):
+        D.vmap(lambda q: q)
