@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linalg as L
+from .config import capabilities, config_context, get_config, has_capability, is_available, runtime, use_cpu
 from .linalg import preconditioners as P
 from .linalg.preconditioners import gershgorin
 from .operators import autodiff as D
 from .operators import functional as fn
 from .operators.assembly import add, block_array, block_diag, bmat, hstack, kron, kronsum, permute, subtract, vstack
-from .operators.dense import Dense
-from .operators.matrix import COOArray, SparseMatrix
+from .operators.dense import Dense, dense
+from .operators.matrix import COOArray, SparseMatrix, issparse
 from .plans.expression import lazy
-from .sources.construct import asarray, coo_array, csc_array, csr_array, diags, eye, fromdense, identity
+from .plans.lineage import small
+from .sources.construct import asarray, coo_array, csc_array, csr_array, diags, eye, from_dense, from_numpy, from_scipy, fromdense, identity
 from .sources.random import rand, random, random_array
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,7 +131,7 @@ def _batched_x(s: SparkSession, n: int) -> Dense:
 
 
 def _gram(s: SparkSession, d: str, layout: str) -> DataFrame:
-    a = qd(s, d, layout).canonicalize()
+    a = qd(s, d, layout).canonicalize().persist()  # both sides read it
     return _m(getattr(fn, f"{layout}_matmat")(a, a.T.asformat(layout)))
 
 
@@ -313,8 +315,6 @@ q("spsolve_triangular", _solved(lambda s, d: spd(s, d).tril(), lambda a, b: L.sp
 
 
 def _local(a: SparseMatrix, b: Dense) -> Dense:
-    from .operators.dense import dense
-
     return dense(a.spark, L.cg(L.aslinearoperator(a.todense().collect()), b.collect(), rtol=1e-12)[0])
 
 
@@ -381,7 +381,7 @@ def _pagerank(s: SparkSession, d: str) -> DataFrame:
     """Three steps, each weighted by the links' share of their column."""
     a = a25(s, d).persist()
     sums = a.col_sums().df.select(F.col("i").alias("c"), F.col("x").alias("s"))
-    links = a._like(a.df.join(F.broadcast(sums), F.col("j") == F.col("c")).select("i", "j", (F.col("v") / F.col("s")).alias("v")))
+    links = a._like(a.df.join(small(sums, a.n_cols), F.col("j") == F.col("c")).select("i", "j", (F.col("v") / F.col("s")).alias("v")))
     x = _formula(s, 25, lambda i: F.lit(1 / 25))
     for _ in range(3):
         y = links.matvec(x)
@@ -399,11 +399,250 @@ q("document_terms", lambda s, d: _document_terms(s, d), "SELECT doc_id AS i, CAS
 
 
 def _document_terms(s: SparkSession, d: str) -> DataFrame:
-    """Words of each document as a matrix with hashed columns, and its row sums."""
+    """Words of each document as a matrix with hashed columns, and its row sums where there are words."""
     words = _t(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("i"), F.explode(F.split("text", " ", -1)).alias("t"))
     cells = words.groupBy("i", "t").agg(F.count("*").cast("double").alias("v")).select("i", F.pmod(F.xxhash64("t"), F.lit(1 << 40)).alias("j"), "v")
     a = coo_array(cells, (_size(s, d, "documents", "doc_id"), 1 << 40))
-    return a.df.groupBy("i").agg(F.sum("v").alias("x"))
+    return a.row_sums().df.filter("x > 0")
+
+
+# --- each operator of each layout by its own name
+
+
+def _c(a: SparseMatrix) -> DataFrame:
+    """The cells of a complex matrix."""
+    return a.df.select("i", "j", F.col("v.re").alias("re"), F.col("v.im").alias("im"))
+
+
+_CONJ = f"WITH {A} SELECT i, j, v AS re, -CAST(i - j AS DOUBLE) AS im FROM A"
+_HERM = f"WITH {A} SELECT j AS i, i AS j, v AS re, -CAST(i - j AS DOUBLE) AS im FROM A"
+_ROWS = f"WITH {QD}, Y AS (SELECT i, SUM(v) AS y FROM Qd GROUP BY i) SELECT s_suppkey AS i, COALESCE(y, 0.0) AS x FROM supplier LEFT JOIN Y ON s_suppkey = i"
+_COLS = f"WITH {QD}, Y AS (SELECT j, SUM(v) AS y FROM Qd GROUP BY j) SELECT p_partkey AS i, COALESCE(y, 0.0) AS x FROM part LEFT JOIN Y ON p_partkey = j"
+_COL_NORMS = f"WITH {Q}, Y AS (SELECT j, SQRT(SUM(v * v)) AS y FROM Q GROUP BY j) SELECT p_partkey AS i, ROUND(COALESCE(y, 0.0), 4) AS x FROM part LEFT JOIN Y ON p_partkey = j"
+_TMM = f"WITH {QD}, {_K}, Y AS (SELECT j, k, SUM(v * CAST((i + 2 * k) % 5 AS DOUBLE)) AS y FROM Qd, K GROUP BY j, k) SELECT p_partkey AS i, K.k, COALESCE(y, 0.0) AS x FROM part CROSS JOIN K LEFT JOIN Y ON p_partkey = j AND K.k = Y.k"
+_PLUS_T = f"WITH {A} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM A UNION ALL SELECT j, i, v FROM A) GROUP BY i, j HAVING SUM(v) <> 0"
+_LESS_T = f"WITH {A} SELECT i, j, SUM(v) AS v FROM (SELECT * FROM A UNION ALL SELECT j, i, -v FROM A) GROUP BY i, j HAVING SUM(v) <> 0"
+_AA = f"WITH {A} SELECT * FROM A"
+_NEG = f"WITH {A} SELECT i, j, -v AS v FROM A"
+_VJP_V = f"WITH {Q}, {X} SELECT Q.i, Q.j, CAST(Q.i % 3 + 1 AS DOUBLE) * x AS v FROM Q JOIN X USING (j)"
+_VJP_M = f"WITH {Q}, {_K} SELECT i, j, SUM(CAST((i + 2 * k) % 5 AS DOUBLE) * CAST((j + 2 * k) % 5 AS DOUBLE)) AS v FROM Q, K GROUP BY i, j"
+for _l in ("coo", "csr", "csc"):
+    q(f"{_l}_mul", lambda s, d, l=_l: _m(qd(s, d, l) * 2.5), f"WITH {QD} SELECT i, j, 2.5::DOUBLE * v AS v FROM Qd")
+    q(f"{_l}_rmul", lambda s, d, l=_l: _m(2.5 * qd(s, d, l)), f"WITH {QD} SELECT i, j, 2.5::DOUBLE * v AS v FROM Qd")
+    q(f"{_l}_conj", lambda s, d, l=_l: _c(_complex(s, d).asformat(l).conj()), _CONJ)
+    q(f"{_l}_conjugate", lambda s, d, l=_l: _c(_complex(s, d).asformat(l).conjugate()), _CONJ)
+    q(f"{_l}_transpose", lambda s, d, l=_l: _m(getattr(fn, f"{l}_transpose")(qd(s, d, l))), f"WITH {QD} SELECT j AS i, i AS j, v FROM Qd")
+    q(f"{_l}_t", lambda s, d, l=_l: _m(qd(s, d, l).T), f"WITH {QD} SELECT j AS i, i AS j, v FROM Qd")
+    q(f"{_l}_h", lambda s, d, l=_l: _c(_complex(s, d).asformat(l).H), _HERM)
+    q(f"{_l}_column_sums", lambda s, d, l=_l: _v(getattr(fn, f"{l}_column_sums")(qd(s, d, l))), _COLS)
+    q(f"{_l}_column_sums_method", lambda s, d, l=_l: _v(qd(s, d, l).column_sums()), _COLS)
+    q(f"{_l}_column_norms", lambda s, d, l=_l: _rounded(getattr(fn, f"{l}_column_norms")(qd(s, d, l))), _COL_NORMS)
+    q(f"{_l}_column_norms_method", lambda s, d, l=_l: _rounded(qd(s, d, l).column_norms()), _COL_NORMS)
+    q(f"{_l}_sum", lambda s, d, l=_l: qd(s, d, l).sum(), "SELECT SUM(l_quantity) AS x FROM lineitem")
+    q(f"{_l}_sum_rows", lambda s, d, l=_l: _v(qd(s, d, l).sum(axis=1)), _ROWS)
+    q(f"{_l}_sum_columns", lambda s, d, l=_l: _v(qd(s, d, l).sum(axis=0)), _COLS)
+    q(f"{_l}_nnz", lambda s, d, l=_l: s.createDataFrame([(qd(s, d, l).nnz,)], "n long"), "SELECT COUNT(*) AS n FROM lineitem")
+    q(f"{_l}_sum_duplicates", lambda s, d, l=_l: _m(getattr(fn, f"{l}_sum_duplicates")(qd(s, d, l))), f"WITH {Q} SELECT * FROM Q")
+    q(f"{_l}_canonicalize", lambda s, d, l=_l: _m(getattr(fn, f"{l}_canonicalize")(qd(s, d, l))), f"WITH {Q} SELECT * FROM Q")
+    q(f"{_l}_sort_indices", lambda s, d, l=_l: _m(getattr(fn, f"{l}_sort_indices")(qd(s, d, l))), f"WITH {QD} SELECT * FROM Qd")
+    for _to in ("coo", "csr", "csc"):
+        if _to != _l:
+            q(f"{_l}_to{_to}", lambda s, d, l=_l, to=_to: _m(getattr(qd(s, d, l), f"to{to}")(canonical=True)), f"WITH {Q} SELECT * FROM Q")
+    q(f"{_l}_matmul_vector", lambda s, d, l=_l: _v((a := qd(s, d, l)) @ part_x(s, a.n_cols)), _MATVEC)
+    q(f"{_l}_matmul_dense", lambda s, d, l=_l: _v((a := qd(s, d, l)) @ matrix_x(s, a.n_cols, 4)), _MM)
+    q(f"{_l}_matmul_batch", lambda s, d, l=_l: _v((a := qd(s, d, l)) @ matrix_x(s, a.n_cols, 4, 2)), _BMM)
+    q(f"{_l}_matmul_sparse", lambda s, d, l=_l: _m(a25(s, d, l) @ a25(s, d, l)), f"WITH {A} SELECT a.i, b.j, SUM(a.v * b.v) AS v FROM A a JOIN A b ON a.j = b.i GROUP BY a.i, b.j HAVING SUM(a.v * b.v) <> 0")
+    q(f"{_l}_matmul_transpose", lambda s, d, l=_l: _v(getattr(fn, f"{l}_matmul_transpose")(a := qd(s, d, l), matrix_x(s, a.n_rows, 4))), _TMM)
+    q(f"{_l}_add", lambda s, d, l=_l: _m((a := a25(s, d, l)) + a.T), _PLUS_T)
+    q(f"{_l}_radd", lambda s, d, l=_l: _m(0 + a25(s, d, l)), _AA)
+    q(f"{_l}_sub", lambda s, d, l=_l: _m((a := a25(s, d, l)) - a.T), _LESS_T)
+    q(f"{_l}_rsub", lambda s, d, l=_l: _m(0 - a25(s, d, l)), _NEG)
+    q(f"{_l}_neg", lambda s, d, l=_l: _m(-a25(s, d, l)), _NEG)
+    q(f"{_l}_dot", lambda s, d, l=_l: (a := a25(s, d, l)).dot(a.T), f"WITH {A} SELECT COALESCE(SUM(a.v * b.v), 0.0) AS x FROM A a JOIN A b ON a.i = b.j AND a.j = b.i")
+    q(f"{_l}_vdot", lambda s, d, l=_l: (c := _complex(s, d).asformat(l)).vdot(c.T).select(F.col("x.re").alias("re"), F.col("x.im").alias("im")), _SQL["vdot_complex"])
+    q(f"{_l}_matvec_data_vjp", lambda s, d, l=_l: _m(D.matvec_data_vjp(a := qd(s, d, l).canonicalize(), part_x(s, a.n_cols), supp_y(s, a.n_rows))), _VJP_V)
+    q(f"{_l}_matmul_data_vjp", lambda s, d, l=_l: _m(D.matmul_data_vjp(a := qd(s, d, l).canonicalize(), matrix_x(s, a.n_cols, 4), matrix_x(s, a.n_rows, 4))), _VJP_M)
+    q(f"{_l}_rows_iterated", lambda s, d, l=_l: _unpacked(qd(s, d, l).tocsr(canonical=True).packed(), "i", "j"), f"WITH {Q} " + _PACKED.format(a="i", b="j"))
+q("astype", lambda s, d: _c(a25(s, d).astype("complex64")), f"WITH {A} SELECT i, j, v AS re, 0.0::DOUBLE AS im FROM A")
+
+# --- constructors and functions
+_DENSE25 = f"WITH {A}, {NAT} SELECT r.n AS i, c.n AS k, COALESCE(v, 0.0) AS x FROM N r CROSS JOIN N c LEFT JOIN A ON i = r.n AND j = c.n"
+_ABOVE = f"WITH {A} SELECT * FROM A WHERE v <> 0"
+
+
+class _Triplets:
+    """What other libraries give: shape, row, col and data."""
+
+    def __init__(self, a: np.ndarray):
+        self.shape, (self.row, self.col) = a.shape, np.nonzero(a)
+        self.data = a[self.row, self.col]
+
+    def tocoo(self) -> _Triplets:
+        return self
+
+
+q("from_dense", lambda s, d: _m(from_dense(s, a25(s, d).todense())), _ABOVE)
+q("from_numpy", lambda s, d: _m(from_numpy(s, a25(s, d).todense().collect())), _ABOVE)
+q("from_scipy", lambda s, d: _m(from_scipy(s, _Triplets(a25(s, d).todense().collect()))), _ABOVE)
+q("asarray_dense", lambda s, d: _m(asarray(s, a25(s, d).todense().collect(), threshold=50.0)), f"WITH {A} SELECT * FROM A WHERE abs(v) > 50")
+q("identity_like", lambda s, d: _m(fn.identity_like(a25(s, d))), _AA)
+q("issparse", lambda s, d: s.createDataFrame([(issparse(a := a25(s, d)), issparse(a.todense()), issparse(3))], "matrix boolean, dense boolean, number boolean"), "SELECT true AS matrix, false AS dense, false AS number")
+q("todense", lambda s, d: _v(fn.todense(a25(s, d))), _DENSE25)
+q("diags_of_sums", lambda s, d: _m(diags(s, [a25(s, d).row_sums().collect(), np.ones(24)], [0, 1])), f"WITH {A}, {NAT}, R AS (SELECT i, SUM(v) AS s FROM A GROUP BY i) SELECT n AS i, n AS j, COALESCE(s, 0.0) AS v FROM N LEFT JOIN R ON n = i UNION ALL SELECT n, n + 1, 1.0 FROM N WHERE n < 24")
+q("eye_of_parts", lambda s, d: _m(eye(s, n := _size(s, d, "part", "p_partkey"), n + 2, k=2)), "SELECT p_partkey AS i, p_partkey + 2 AS j, 1.0::DOUBLE AS v FROM part")
+q("random_parts", lambda s, d: _random_facts(random_array(s, (_size(s, d, "supplier", "s_suppkey"), _size(s, d, "part", "p_partkey")), density=0.05, rng=11, dtype="float32")), "SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS places, true AS low, true AS high, true AS inside FROM (SELECT (SELECT COUNT(*) FROM supplier) * (SELECT COUNT(*) FROM part) // 20 AS n)")
+
+# --- derivatives of batches, constructors and tangents
+_BVJP = f"WITH {Q}, {_K}, B AS (SELECT * FROM range(2) r(b)) SELECT i, j, SUM(CAST((b + i + 2 * k) % 5 AS DOUBLE) * CAST((b + j + 2 * k) % 5 AS DOUBLE)) AS v FROM Q, K, B GROUP BY i, j"
+q("batched_matmul_data_vjp", lambda s, d: _m(D.batched_data_vjp(a := qd(s, d).canonicalize(), matrix_x(s, a.n_cols, 4, 2), matrix_x(s, a.n_rows, 4, 2))), _BVJP)
+q("batched_matvec_data_vjp", lambda s, d: _m(D.batched_data_vjp(a := qd(s, d).canonicalize(), _batched_x(s, a.n_cols), _batched_x(s, a.n_rows))), f"WITH {Q}, B AS (SELECT * FROM range(3) r(b)) SELECT i, j, SUM(CAST((b + i) % 5 AS DOUBLE) * CAST((b + j) % 5 AS DOUBLE)) AS v FROM Q, B GROUP BY i, j")
+q("batched_rhs_vjp", lambda s, d: _v(D.rhs_vjp(a := qd(s, d), matrix_x(s, a.n_rows, 4, 2))), f"WITH {QD}, {_K}, B AS (SELECT * FROM range(2) r(b)), Y AS (SELECT b, j, k, SUM(v * CAST((b + i + 2 * k) % 5 AS DOUBLE)) AS y FROM Qd, K, B GROUP BY b, j, k) SELECT B.b, p_partkey AS i, K.k, COALESCE(y, 0.0) AS x FROM B CROSS JOIN part CROSS JOIN K LEFT JOIN Y ON p_partkey = j AND K.k = Y.k AND B.b = Y.b")
+q("matmul_rhs_vjp", lambda s, d: _v(D.rhs_vjp(a := qd(s, d), matrix_x(s, a.n_rows, 4))), _TMM)
+q("matmul_jvp", lambda s, d: _v(D.matmul_jvp(a := qd(s, d), 2 * a, x := matrix_x(s, a.n_cols, 4), x)), f"SELECT i, k, 3 * x AS x FROM ({_MM})")
+q("batched_jvp", lambda s, d: _v(D.batched_jvp(a := qd(s, d), 2 * a, x := matrix_x(s, a.n_cols, 4, 2), x)), f"SELECT b, i, k, 3 * x AS x FROM ({_BMM})")
+q("transpose_jvp", lambda s, d: _v(D.transpose_jvp(a := qd(s, d), 2 * a, y := supp_y(s, a.n_rows), y)), f"SELECT i, 3 * x AS x FROM ({_TVEC})")
+q("todense_jvp", lambda s, d: _v(D.todense_jvp(a25(s, d))), _DENSE25)
+q("row_sums_jvp", lambda s, d: _v(D.row_sums_jvp(qd(s, d))), _ROWS)
+q("col_sums_jvp", lambda s, d: _v(D.col_sums_jvp(qd(s, d))), _COLS)
+q("diagonal_jvp", lambda s, d: _v(D.diagonal_jvp(qd(s, d))), _SQL["coo_diagonal"])
+q("trace_jvp", lambda s, d: D.trace_jvp(qd(s, d)), _SQL["coo_trace"])
+_GRID = "{f} AS (SELECT i, j, CAST((i + 2 * j) % 5 AS DOUBLE) AS v FROM range({m}) r(i), range({n}) c(j))"
+
+
+def _grid(s: SparkSession, m: int, n: int) -> SparseMatrix:
+    """A full matrix, v = (i + 2 j) mod 5."""
+    cells = s.range(m * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j")).withColumn("v", ((F.col("i") + 2 * F.col("j")) % 5).cast("double"))
+    return coo_array(cells, (m, n), canonical=True)
+
+
+q("kron_vjp_left", lambda s, d: _m(D.kron_vjp(a := a25(s, d), _coarse(a), _grid(s, 125, 125))[0]), f"WITH {A}, {P5} SELECT A.i, A.j, SUM(P.v * CAST((A.i * 5 + P.i + 2 * (A.j * 5 + P.j)) % 5 AS DOUBLE)) AS v FROM A, P GROUP BY A.i, A.j")
+q("kron_vjp_right", lambda s, d: _m(D.kron_vjp(a := a25(s, d), _coarse(a), _grid(s, 125, 125))[1]), f"WITH {A}, {P5} SELECT P.i, P.j, SUM(A.v * CAST((A.i * 5 + P.i + 2 * (A.j * 5 + P.j)) % 5 AS DOUBLE)) AS v FROM A, P GROUP BY P.i, P.j")
+q("kron_jvp", lambda s, d: _m(D.kron_jvp(a := a25(s, d), 2 * a, p := _coarse(a), p)), f"WITH {A}, {P5} SELECT A.i * 5 + P.i AS i, A.j * 5 + P.j AS j, 3 * A.v * P.v AS v FROM A CROSS JOIN P")
+_PART = "SELECT i, j, CAST((i + {r} + 2 * (j + {c})) % 5 AS DOUBLE) AS v FROM A"
+for _name, _f in (("block_array", D.block_array_vjp), ("bmat", D.bmat_vjp)):
+    q(f"{_name}_vjp", lambda s, d, f=_f: _m(f([[a := a25(s, d), None], [None, a]], _grid(s, 50, 50))[1][1]), f"WITH {A} " + _PART.format(r=25, c=25))
+    q(f"{_name}_jvp", lambda s, d, f=_f: _m(D.block_array_jvp([[a := a25(s, d), None], [a, None]])), f"WITH {A} SELECT * FROM A UNION ALL SELECT i + 25, j, v FROM A")
+q("block_diag_vjp", lambda s, d: _m(D.block_diag_vjp([a := a25(s, d), a], _grid(s, 50, 50))[1]), f"WITH {A} " + _PART.format(r=25, c=25))
+q("block_diag_jvp", lambda s, d: _m(D.block_diag_jvp([a := a25(s, d), a.T])), _SQL["block_diag"])
+q("vstack_vjp", lambda s, d: _m(D.vstack_vjp([a := a25(s, d), a], _grid(s, 50, 25))[1]), f"WITH {A} " + _PART.format(r=25, c=0))
+q("vstack_jvp", lambda s, d: _m(D.vstack_jvp([a := a25(s, d), a])), _SQL["vstack"])
+q("hstack_vjp", lambda s, d: _m(D.hstack_vjp([a := a25(s, d), a], _grid(s, 25, 50))[1]), f"WITH {A} " + _PART.format(r=0, c=25))
+q("hstack_jvp", lambda s, d: _m(D.hstack_jvp([a := a25(s, d), a])), _SQL["hstack"])
+q("diags_vjp", lambda s, d: _v(D.diags_vjp([0, 2], [25, 23], a25(s, d))[1]), f"WITH {A}, {NAT} SELECT n AS i, COALESCE(v, 0.0) AS x FROM N LEFT JOIN A ON i = n AND j = n + 2 WHERE n < 23")
+q("diags_jvp", lambda s, d: _m(D.diags_jvp(s, [a25(s, d).diagonal().collect()], [0])), f"WITH {A}, {NAT} SELECT n AS i, n AS j, COALESCE(v, 0.0) AS v FROM N LEFT JOIN A ON i = n AND j = n")
+q("vmap_matvec", lambda s, d: _v(D.vmap((a := qd(s, d)).matvec)(_batched_x(s, a.n_cols))), _BMV)
+q("vmap_matmul", lambda s, d: _v(D.vmap((a := qd(s, d)).matmul)(matrix_x(s, a.n_cols, 4, 2))), _BMM)
+
+# --- operators without a matrix, preconditioners, reports
+
+
+def _operator(s: SparkSession, d: str) -> L.LinearOperator:
+    return L.aslinearoperator(qd(s, d).canonicalize().persist())
+
+
+q("operator_matvec", lambda s, d: _v((o := _operator(s, d)).matvec(part_x(s, o.shape[1]))), _MATVEC)
+q("operator_matmat", lambda s, d: _v((o := _operator(s, d)).matmat(matrix_x(s, o.shape[1], 4))), _MM)
+q("operator_rmatvec", lambda s, d: _v((o := _operator(s, d)).rmatvec(supp_y(s, o.shape[0]))), _TVEC)
+q("operator_matmul", lambda s, d: _v((o := _operator(s, d)) @ part_x(s, o.shape[1])), _MATVEC)
+q("operator_t", lambda s, d: _v((o := _operator(s, d)).T @ supp_y(s, o.shape[0])), _TVEC)
+q("operator_h", lambda s, d: _v((o := _operator(s, d)).H @ supp_y(s, o.shape[0])), _TVEC)
+
+
+def _free(solver: Callable, make: Callable) -> Query:
+    """The solver on a callable product only."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        a = make(s, d)
+        m = a.todense().collect()
+        b = m @ part_x(s, 25).collect()
+        return _rounded(dense(s, solver(L.LinearOperator(m.shape, lambda x: m @ x), b, rtol=1e-12)[0]))
+
+    return run
+
+
+q("bicgstab_matrix_free", _free(L.bicgstab, general), _KNOWN)
+q("gmres_matrix_free", _free(L.gmres, general), _KNOWN)
+
+
+def _divide(a: SparseMatrix) -> Callable:
+    """A user's inverse: by the diagonal."""
+    diagonal = a.diagonal().collect()
+    return lambda r: r / diagonal
+
+
+q("cg_callable", _solved(spd, lambda a, b: L.cg(a, b, rtol=1e-12, M=_divide(a))), _KNOWN)
+q("bicgstab_callable", _solved(general, lambda a, b: L.bicgstab(a, b, rtol=1e-12, M=_divide(a))), _KNOWN)
+q("gmres_callable", _solved(general, lambda a, b: L.gmres(a, b, rtol=1e-12, M=_divide(a))), _KNOWN)
+q("cg_identity", _solved(spd, lambda a, b: L.cg(a, b, rtol=1e-12, M=P.identity(a))), _KNOWN)
+q("gmres_from_factorized", _solved(general, lambda a, b: L.gmres(a, b, rtol=1e-10, M=P.from_factorized(L.factorized(a)))), _KNOWN)
+q("minres_jacobi", _solved(spd, lambda a, b: L.minres(a, b, rtol=1e-12, M=P.jacobi(a))), _KNOWN)
+q("cholesky_solve", _solved(spd, lambda a, b: L.sparse_cholesky(a).solve(b)), _KNOWN)
+q("lu_solve", _solved(general, lambda a, b: L.sparse_lu(a).solve(b)), _KNOWN)
+q("spsolve_triangular_analyzed", _solved(lambda s, d: spd(s, d).tril(), lambda a, b: L.spsolve_triangular(a, b, analyzed=L.analyze_triangular(a))), _KNOWN)
+q("spsolve_triangular_levels", _solved(lambda s, d: spd(s, d).tril(), lambda a, b: L.spsolve_triangular(a, b, distributed=True)), _KNOWN)
+_PART_X = "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_nationkey % 7 + 1 AS DOUBLE) AS x FROM nation"
+q("identity_apply", lambda s, d: _v(P.identity(a25(s, d)).solve(part_x(s, 25))), _PART_X)
+q("callable_apply", lambda s, d: _v(P.aspreconditioner(lambda r: dense(s, 2 * r.collect()), a25(s, d)).solve(part_x(s, 25))), f"SELECT i, 2 * x AS x FROM ({_PART_X})")
+
+
+def _reported(s: SparkSession, d: str) -> DataFrame:
+    a, heard = spd(s, d), []
+    b = a.matvec(part_x(s, 25))
+    _, info = L.cg(a, b, rtol=1e-10, return_info=True, callback=lambda x: heard.append(1))
+    _, short = L.cg(a, b, rtol=1e-14, maxiter=1, return_info=True)
+    _, bad = L.cg(-1.0 * a, b, return_info=True)
+    return s.createDataFrame([(info.status, info.converged, info.residual_norm >= 0, len(heard), short.status, bad.status)], "status int, converged boolean, finite boolean, callbacks int, at_limit int, not_positive int")
+
+
+q("solver_info", _reported, "SELECT 0 AS status, true AS converged, true AS finite, 1 AS callbacks, 1 AS at_limit, -2 AS not_positive")
+
+
+def _options(s: SparkSession, d: str) -> DataFrame:
+    """Options, devices and capabilities of the session, and what they are again after a block."""
+    before = get_config("factor_rows")
+    with config_context(factor_rows=7):
+        inside = get_config("factor_rows")
+    use_cpu()
+    facts = (inside, get_config("factor_rows") == before, is_available(), has_capability("cpu"), capabilities.status("metal"), runtime.resolve_n_threads() > 0, runtime.info()["spark"] == s.version, runtime.resolve_spgemm_threads() == runtime.resolve_solver_threads())
+    return s.createDataFrame([facts], "inside int, restored boolean, available boolean, cpu boolean, metal string, threads boolean, version boolean, equal_threads boolean")
+
+
+q("config", _options, "SELECT 7 AS inside, true AS restored, true AS available, true AS cpu, 'not_built' AS metal, true AS threads, true AS version, true AS equal_threads")
+
+# --- spectra of matrices from the tables: with as many steps as rows, what SQL can say of all values together
+
+
+def _rounded_sums(s: SparkSession, values: np.ndarray, per: float) -> DataFrame:
+    x = np.asarray(values, complex) / per
+    return s.createDataFrame([(len(x), round(float(x.sum().real), 4), round(float((x**2).sum().real), 4))], "n long, total double, squares double")
+
+
+def _quantity(s: SparkSession, d: str) -> float:
+    return _t(s, d, "lineitem").agg(F.sum("l_quantity")).first()[0]
+
+
+_ALL = "(SELECT SUM(l_quantity) FROM lineitem)"
+_TRACE_S = f"WITH {S2} SELECT CAST(25 AS BIGINT) AS n, ROUND(SUM(CASE WHEN i = j THEN v ELSE 0 END) / {_ALL}, 4) AS total, ROUND(SUM(v * v) / {_ALL} / {_ALL}, 4) AS squares FROM S"
+_NOISE = np.random.default_rng(5).standard_normal(25)
+q("eigsh_nations", lambda s, d: _rounded_sums(s, L.eigsh(spd(s, d), 25, ncv=25, v0=_NOISE, return_eigenvectors=False), _quantity(s, d)), _TRACE_S)
+q("lanczos_nations", lambda s, d: _rounded_sums(s, np.linalg.eigvalsh(_tridiagonal(*L.lanczos(spd(s, d), 25, v0=_NOISE, return_basis=False))), _quantity(s, d)), _TRACE_S)
+q("arnoldi_nations", lambda s, d: _rounded_sums(s, np.linalg.eigvals(L.arnoldi(spd(s, d), 25, v0=_NOISE)[0]), _quantity(s, d)), _TRACE_S)
+q("eigs_nations", lambda s, d: _rounded_sums(s, L.eigs(spd(s, d), 25, ncv=25, v0=_NOISE, return_eigenvectors=False), _quantity(s, d)), _TRACE_S)
+q("svds_nations", lambda s, d: s.createDataFrame([(round(float((L.svds(a25(s, d).persist(), 25, ncv=25, v0=_NOISE, return_singular_vectors=False) ** 2).sum()) / _quantity(s, d) ** 2, 6),)], "squares double"), f"WITH {A} SELECT ROUND(SUM(v * v) / {_ALL} / {_ALL}, 6) AS squares FROM A")
+q("normal_lanczos_nations", lambda s, d: s.createDataFrame([(round(float(L.normal_lanczos(a25(s, d).persist(), 25, v0=_NOISE)[0].sum()) / _quantity(s, d) ** 2, 6),)], "squares double"), f"WITH {A} SELECT ROUND(SUM(v * v) / {_ALL} / {_ALL}, 6) AS squares FROM A")
+
+
+def _tridiagonal(alphas: np.ndarray, betas: np.ndarray) -> np.ndarray:
+    n = len(alphas)
+    return np.diag(alphas) + np.diag(betas[: n - 1], 1) + np.diag(betas[: n - 1], -1)
+
+
+q("gram_leading", lambda s, d: _leading(s, d), f"WITH {A}, G AS (SELECT a.i, b.i AS j, SUM(a.v * b.v) AS v FROM A a JOIN A b ON a.j = b.j GROUP BY a.i, b.i) SELECT CAST(25 AS BIGINT) AS n, ROUND(SUM(CASE WHEN i = j THEN v ELSE 0 END) / {_ALL} / {_ALL}, 6) AS trace FROM G")
+
+
+def _leading(s: SparkSession, d: str) -> DataFrame:
+    g = a25(s, d).gram()
+    return g.trace().select(F.lit(25).cast("long").alias("n"), F.round(F.col("x") / _quantity(s, d) ** 2, 6).alias("trace"))
 
 
 def queries() -> dict[str, Query]:
