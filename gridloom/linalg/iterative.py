@@ -55,17 +55,20 @@ def cg(a, b, *, x0=None, rtol: float = 1e-5, atol: float = 0.0, maxiter: int | N
             return done(NOT_FINITE, k - 1)
         if pq <= 0 or rz <= 0:
             return done(NOT_POSITIVE, k - 1)
-        alpha = rz / pq
+        alpha, old = rz / pq, (x, r, z, p, q)
         x, r = s.combine((1.0, x), (alpha, p)), s.combine((1.0, r), (-alpha, q))
-        norm = s.norm(r)
+        z = m.apply(s, r)
+        square, new = s.dots([r, z], r)  # both in one pass
+        norm = float(np.sqrt(square))
         if norm <= goal:
             norm = _true(s, b, x)
             if norm <= goal:
                 return done(CONVERGED, k)
             r = s.combine((1.0, b), (-1.0, s.matvec(x)))
-        z = m.apply(s, r)
-        new = s.dot(r, z)
+            z = m.apply(s, r)
+            new = s.dot(r, z)
         p, rz = s.combine((1.0, z), (new / rz, p)), new
+        s.retire(old, (x, r, z, p, b))
     norm = _true(s, b, x)
     return done(CONVERGED if norm <= goal else _limit(most), most)
 
@@ -89,7 +92,9 @@ def bicgstab(a, b, x0=None, *, rtol: float | None = None, atol: float = 0.0, tol
             return done(NOT_FINITE, k - 1)
         if abs(new) <= TINY:
             return done(BREAKDOWN, k - 1)
+        old = (p, v)
         p = r if p is None else s.combine((1.0, r), (new / rho * alpha / omega, p), (-new / rho * alpha, v))
+        s.retire(old, (p, r, x, b, shadow))
         rho = new
         p_hat = m.apply(s, p)
         v = s.matvec(p_hat)
@@ -111,9 +116,10 @@ def bicgstab(a, b, x0=None, *, rtol: float | None = None, atol: float = 0.0, tol
         tt = s.dot(t, t)
         if tt <= TINY:
             return done(BREAKDOWN, k)
-        omega = s.dot(t, half) / tt
+        omega, old = s.dot(t, half) / tt, (x, r, half, p_hat, h_hat, t)
         x = s.combine((1.0, x), (alpha, p_hat), (omega, h_hat))
         r = s.combine((1.0, half), (-omega, t))
+        s.retire(old, (x, r, p, v, b, shadow))
         norm = s.norm(r)
         if norm <= goal:
             norm = _true(s, b, x)
@@ -166,8 +172,10 @@ def gmres(a, b, *, x0=None, rtol: float = 1e-5, atol: float = 0.0, restart: int
                 break
             if k + 1 < restart:
                 basis.append(s.combine((1 / h[k + 1, k], w)))
+        old = (x, r, z, *basis)
         x = s.combine((1.0, x), *((yk, q) for yk, q in zip(y, basis, strict=False)))
         r = s.combine((1.0, b), (-1.0, s.matvec(x)))
+        s.retire(old, (x, r, b))
         before, norm = norm, s.norm(r)
         if norm > goal and norm >= before * (1 - 1e-12):
             return done(BREAKDOWN if used < most else _limit(used), used)
@@ -224,8 +232,9 @@ def minres(a, b, *, x0=None, rtol: float = 1e-5, atol: float = 0.0, shift: float
         turns = [(c1, s1), (pivot / size, below / size)]
         known = zip((second, one), [None] * (2 - len(ways)) + ways, strict=True)
         way = s.combine((1 / size, there), *((-entry_of / size, u) for entry_of, u in known if u is not None))
-        ways = [*ways[-1:], way]
+        old, ways = (x, before, *ways), [*ways[-1:], way]
         x = s.combine((1.0, x), (pivot / size * left, way))
+        s.retire(old, (x, b, r, here, there, w, z, *ways))
         left *= -below / size
         norm = residual()
         if norm <= goal:

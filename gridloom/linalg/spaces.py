@@ -15,7 +15,7 @@ from ..config import config
 from ..functions import values as V
 from ..operators.dense import Dense, dense
 from ..operators.matrix import SparseMatrix
-from ..plans.lineage import cut, small
+from ..plans.lineage import cut, release, small
 from .interface import LinearOperator
 
 
@@ -70,6 +70,9 @@ class Local:
     def constant(self, n: int, x: float) -> np.ndarray:
         return np.full(n, x)
 
+    def retire(self, old: tuple, live: tuple) -> None:
+        """Nothing to do: arrays are freed with their last use."""
+
     def result(self, x: np.ndarray) -> Dense | np.ndarray:
         return dense(self.spark, x) if isinstance(self.a, SparseMatrix) else x
 
@@ -124,6 +127,12 @@ class Distributed:
     def constant(self, n: int, x: float) -> Dense:
         return Dense(self.spark.range(n).select(F.col("id").alias("i"), F.lit(float(x)).alias("x")), (n,))
 
+    def retire(self, old: tuple, live: tuple) -> None:
+        """Deletes the tables of vectors that a step has replaced, unless they are among the live ones."""
+        for v in old:
+            if isinstance(v, Dense) and not any(v is w for w in live):
+                release(v.df)
+
     def result(self, x: Dense) -> Dense:
         return x
 
