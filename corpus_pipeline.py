@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before has written, and returns a DataFrame with
 the columns of documents; the last returns token ids.
+
+Null and empty texts, which the classifier scores like any others, keep their rows until they are one text of one group
+of near copies; null ids are kept and come first where an id decides; of rows with equal id and text one stays; a text of
+any length is one unit; texts that tie are told apart by their hash; columns beyond those of documents pass through,
+but those named as results of line dedup, to the last stage, which has its own; empty tables give empty results, and without labels of both
+classes nothing is rejected.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines of windows that stand in an earlier document; a document that loses every line with words goes."""
     out = line_dedup(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(left | F.col("text").isNull()).drop(*RESULTS).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.filter(left | F.col("text").isNull()).drop(*RESULTS).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*(x for x in docs.columns if x not in RESULTS))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ STAGES = [
     ("SentencePiece encoding", pieces_stage),
 ]
 
-#: SQL has neither the classifier nor the fingerprints; tests hold the stages against brute force.
+#: SQL has neither the classifier nor the pieces; a test holds run() against a plain version of every stage, all pairs compared.
 ORACLE_SQL = None
 
 
