@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 KEEP = 0.7
-#: Bytes of text in a chunk.
-CHUNK = 24 << 20
+#: Bytes of text in a chunk, and of the text whose share of the keys is a block.
+CHUNK, BLOCK = 10 << 20, 24 << 20
 #: Distinct keys that a task holds before it passes its sums on.
 HELD = 1_000_000
 
@@ -357,15 +357,15 @@ def whole_score(df: DataFrame, ids: DataFrame) -> DataFrame:
     c.small_batches(spark)
     base = c.row_cut(df, "documents")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(math.ceil(size / CHUNK), 2 * spark.sparkContext.defaultParallelism)
+    chunks, blocks = (max(math.ceil(size / each), 2 * spark.sparkContext.defaultParallelism) for each in (CHUNK, BLOCK))
     chunk = F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int").alias("chunk")
     null = lambda kind: F.lit(None).cast(kind)
     target = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     # the ids grow with the corpus, so they are shuffled like the rows at any size, never broadcast
     weights = base.select("rid", "doc_id").join(target.hint("merge"), "doc_id")
     first = weights.select(chunk, F.lit(0).alias("kind"), "rid", "n", null("string").alias("text")).union(base.select(chunk, F.lit(1), "rid", null("long"), "text"))
-    own = first.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind").mapInArrow(chunk_counts(chunks), "block int, chunk int, n int, keys binary, t binary, b binary")
-    summed_up = own.repartitionById(chunks, F.col("block")).sortWithinPartitions("block").mapInArrow(block_totals, "block int, chunk int, n long, sum_t long, sum_b long, t binary, b binary")
+    own = first.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind").mapInArrow(chunk_counts(blocks), "block int, chunk int, n int, keys binary, t binary, b binary")
+    summed_up = own.repartitionById(blocks, F.col("block")).sortWithinPartitions("block").mapInArrow(block_totals, "block int, chunk int, n long, sum_t long, sum_b long, t binary, b binary")
     totals = c.cut(summed_up, "totals")
     words = totals.filter("chunk is null").agg(F.sum("n"), F.sum("sum_t"), F.sum("sum_b")).first()
     answers = totals.filter("chunk is not null").select("chunk", F.lit(0).alias("kind"), "block", "n", "t", "b", null("long").alias("doc_id"), null("string").alias("text"))
