@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of a side that a join may broadcast; a side whose size isn't known to be below is shuffled.
 BROADCAST_BYTES = 32 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +36,12 @@ def cut(df: DataFrame, what: str = "matrix") -> DataFrame:
     path = f"{cuts_dir(spark)}/{what}-{uuid.uuid4().hex}"
     if not _cleared:
         _cleared.append(atexit.register(_at_exit))
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what the write shuffled is of no use once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, kept)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
