@@ -80,9 +80,13 @@ def kronsum(a: SparseMatrix, b: SparseMatrix, format: str | None = None) -> Spar
             raise ValueError(f"kronsum: {name} must be square, got {x.shape}")
     m, n = a.n_rows, b.n_rows
     kind = V.promoted(a.dtype, b.dtype)
-    ones = lambda k: a.spark.range(k).select(F.col("id").alias("e"))
-    first = a.df.crossJoin(small(ones(n), n)).select((F.col("e") * m + F.col("i")).alias("i"), (F.col("e") * m + F.col("j")).alias("j"), V.cast(F.col("v"), a.dtype, kind).alias("v"))
-    second = b.df.crossJoin(small(ones(m), m)).select((F.col("i") * m + F.col("e")).alias("i"), (F.col("j") * m + F.col("e")).alias("j"), V.cast(F.col("v"), b.dtype, kind).alias("v"))
+
+    def copies(x: SparseMatrix, k: int):
+        """Each cell k times, numbered by e; no join."""
+        return x.df.limit(0).withColumn("e", F.lit(0).cast("long")) if k == 0 else x.df.withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+
+    first = copies(a, n).select((F.col("e") * m + F.col("i")).alias("i"), (F.col("e") * m + F.col("j")).alias("j"), V.cast(F.col("v"), a.dtype, kind).alias("v"))
+    second = copies(b, m).select((F.col("i") * m + F.col("e")).alias("i"), (F.col("j") * m + F.col("e")).alias("j"), V.cast(F.col("v"), b.dtype, kind).alias("v"))
     out = first.union(second).groupBy("i", "j").agg(V.total(kind, F.col("v")).alias("v")).filter(V.nonzero(kind, F.col("v")))
     return a._like(out, (m * n, m * n), canonical=True, layout="coo", dtype=kind).asformat(format)
 
