@@ -60,8 +60,10 @@ FEATURES = (
 
 
 @lru_cache(10_000)
-def _says(tag: str, attrs: str) -> tuple[bool, bool, float, bool, bool]:
-    """What an element's start says of what it holds: (boilerplate element, article element, share of boilerplate words in its names, article words in them, hidden)."""
+def _says(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, float, bool, bool]:
+    """What an element's start says of what it holds: (boilerplate element, article element, share of boilerplate words in its names, article words in them, hidden).
+
+    Inside an article a header is the article's."""
     words: list[str] = []
     hidden, role = False, ""
     for m in _ATTR.finditer(attrs):
@@ -74,7 +76,7 @@ def _says(tag: str, attrs: str) -> tuple[bool, bool, float, bool, bool]:
             words += [w.lower() for w in _WORD.findall(value)]
     if tag in ("body", "html"):
         return False, False, 0.0, False, hidden
-    bad = [w for w in words if w in BOILERPLATE_WORDS]
+    bad = [w for w in words if w in BOILERPLATE_WORDS and not (inside and w == "header")]
     # a form may be a page's wrapper, so it is a little less than a name of nothing but boilerplate
     named = 0.95 if tag == "form" else len(bad) / len(words) if bad else 0.0
     return tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES, tag in ARTICLE_TAGS or role in ARTICLE_TAGS, named, not bad and any(w in ARTICLE_WORDS for w in words), hidden
@@ -184,7 +186,7 @@ class Page:
                 if end:
                     if not opened[tag]:
                         continue
-                elif not attrs or tag in VOID or not _says(tag, attrs)[4]:
+                elif not attrs or tag in VOID or not _says(tag, attrs, False)[4]:
                     continue  # an inline element, unless it is hidden
             close()
             if end:
@@ -195,7 +197,7 @@ class Page:
             while stack and (stack[-1][0] in _IMPLIED.get(tag, ()) or stack[-1][0] == "p"):
                 leave()
             if tag not in VOID and not attrs.endswith("/"):
-                bad, article, named, article_name, hide = _says(tag, attrs)
+                bad, article, named, article_name, hide = _says(tag, attrs, scope > 0)
                 bad = bad or tag == "header" and not scope
                 hide = hide or tag in SKIPPED
                 own_scope, own_region = 0, -1
@@ -308,6 +310,9 @@ BODIES = (
     f"<div data-main>{_L}</div><div data-main>{_S}</div><div data-main>{_L}</div>",
     f"<h2 data-main>One</h2><p data-main>{_L}</p><h2 data-main>Two</h2><p data-main>Few words.</p><h2 data-main>Three</h2><p data-main>{_S}</p>",
     f"<p data-main>{_S}</p><p data-main>So.</p><p data-main>No one spoke of it.</p><p data-main>{_S}</p>",
+    f"<h1 data-main>Late trains</h1><span data-main>{_L}<br><br>{_S}</span>",
+    f"<h1 data-main>Ice</h1><span data-main>{_S} {_S}</span><hr><span data-main>{_L}</span>",
+    f"<div class='entry-header'><h1 data-main>Bridges</h1></div><p data-main>{_S}</p><p data-main>{_L}</p>",
 )
 #: Main text that only its article tells from a menu.
 SHORT_BODIES = (
@@ -345,6 +350,11 @@ NAMED = (
     f"<div id=newsletter><h2>Letters</h2><p>{_S}</p></div>",
     f"<div role=navigation><p>{_S}</p></div>",
     f"<section class=related><h3>More of this</h3><p>{_S}</p><p>{_S}</p></section>",
+    f"<div class='col-3 site-sidebar-left'><p>{_S}</p><p>Archive</p></div>",
+    f"<div class='td-footer-wrap container'><p>{_S}</p></div>",
+    "<div id=header><h1>The Paper</h1></div>",
+    "<header><h1>The Paper</h1><p>A paper for the lower town</p></header>",
+    "<div class='site-header top'><h1><a>The Paper</a></h1></div>",
 )
 #: What stands inside an article or after its text and is none of it.
 INNER = (
@@ -358,6 +368,9 @@ INNER = (
     "<div class=ad>Buy two shoes today, and pay for one of them a year from now.</div>",
     f"<ul class='comment-list'><li><p>{_L}</p></li><li><p>{_S}</p></li><li><p>{_L}</p></li></ul>",
     "<p class=tags><a>River</a> <a>Town</a></p>",
+    "<div class='jp-block sd-sharing'><a>Share on paper</a></div>",
+    f"<div class='list-of related-posts wide'><p>{_S}</p><p><a>{_S}</a></p></div>",
+    f"<div class='box newsletter-box wide'><p>{_S}</p></div>",
 )
 #: How pages are put together. Wrappers have names that speak of what else is on the page.
 ARTICLE_FRAMES = (
