@@ -19,6 +19,7 @@ import html as entities
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ class Page:
     """A page's blocks, the regions that named elements are, and the scopes: the page itself (0) and its outermost articles.
 
     A region is [share of boilerplate words, first block, end block, the region around it in its scope, whether it holds the
-    page's first article]; a scope is [first block, end block]."""
+    page's first article, its scope]; a scope is [first block, end block]."""
 
     def __init__(self, page: str | None):
         self.blocks: list[Block] = []
@@ -213,7 +214,7 @@ class Page:
                     region, good = -1, False
                 elif named and tag not in ("body", "html"):
                     own_region = len(self.regions)
-                    self.regions.append([named, len(self.blocks), len(self.blocks), region, False])
+                    self.regions.append([named, len(self.blocks), len(self.blocks), region, False, scope])
                     region, good = own_region, False
                 elif article_name:
                     good = True
@@ -240,20 +241,19 @@ class Page:
         x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
         upto = np.concatenate([[0.0], np.cumsum(words)])
-        # of the regions around a block in its scope the one whose name is plainest; one around the page's first article is only its wrapper
-        plainest: list[int] = []
-        for k, (named, _, _, around, wraps) in enumerate(self.regions):
-            outer = plainest[around] if around >= 0 else -1
-            plainest.append(outer if wraps or outer >= 0 and self.regions[outer][0] > named else k)
+        # of the regions around a block in its scope the one that says most: a plain name, and not around everything; one
+        # around the page's first article is only its wrapper
+        most: list[tuple[float, int, float, float]] = []
+        for k, (named, first, end, around, wraps, scope) in enumerate(self.regions):
+            lo, hi = self.scopes[scope]
+            whole = max(upto[hi] - upto[lo], 1.0)
+            share, before = (upto[end] - upto[first]) / whole, (upto[first] - upto[lo]) / whole
+            own = (-1.0, -1, 1.0, 0.0) if wraps else (named * (1 - share), k, share, before)
+            most.append(max(own, most[around]) if around >= 0 else own)
         for i, b in enumerate(found):
             x[i, 6], x[i, 7], x[i, 12], x[i, 13], x[i, 14] = b.boilerplate, b.scope > 0 and not b.boilerplate, b.good, b.heading, b.paragraph
-            at = plainest[b.region] if b.region >= 0 else -1
-            x[i, 10] = 1.0
-            if at >= 0:
-                named, first, end, _, _ = self.regions[at]
-                lo, hi = self.scopes[b.scope]
-                whole = upto[hi] - upto[lo]
-                x[i, 9], x[i, 10], x[i, 11] = named, (upto[end] - upto[first]) / whole, (upto[first] - upto[lo]) / whole
+            _, k, x[i, 10], x[i, 11] = most[b.region] if b.region >= 0 else (0, -1, 1.0, 0.0)
+            x[i, 9] = self.regions[k][0] if k >= 0 else 0.0
         x[:, 8] = len(self.scopes) > 1
         return x
 
@@ -312,7 +312,6 @@ BODIES = (
     f"<p data-main>{_S}</p><p data-main>So.</p><p data-main>No one spoke of it.</p><p data-main>{_S}</p>",
     f"<h1 data-main>Late trains</h1><span data-main>{_L}<br><br>{_S}</span>",
     f"<h1 data-main>Ice</h1><span data-main>{_S} {_S}</span><hr><span data-main>{_L}</span>",
-    f"<div class='entry-header'><h1 data-main>Bridges</h1></div><p data-main>{_S}</p><p data-main>{_L}</p>",
 )
 #: Main text that only its article tells from a menu.
 SHORT_BODIES = (
@@ -320,6 +319,7 @@ SHORT_BODIES = (
     f"<h1 data-main>Bread</h1><p data-main><a>Whole line in a link</a></p><ul><li data-main><a>Flour</a></li><li data-main>Salt</li></ul><p data-main>{_S}</p>",
     "<p data-main>A word.</p>",
     "<h1 data-main><a>The old wall</a></h1><table><tr><td data-main>1900</td><td data-main>built</td></tr><tr><td data-main><a>1950</a></td><td data-main><a>fell</a></td></tr></table>",
+    f"<div class='entry-header'><h1 data-main>Bridges</h1></div><p data-main>{_S}</p><p data-main>{_L}</p>",
     f"<h2 data-main>Letters</h2><p data-main><a>From the upper town</a></p><p data-main><a>{_S}</a></p><pre data-main>one two three</pre>",
 )
 #: What stands before and after, told by its length and links.
@@ -335,10 +335,13 @@ PLAIN = (
     "<h3>Links</h3><ul><li><a>C</a></li><li><a>D</a></li></ul><h3>Partners</h3><ul><li><a>E of the upper town</a></li></ul>",
     "<div>Made with care in the lower town</div>",
     "<a><div>Ten more stories that you may want to read after this one</div></a>",
+    "<div><a>News</a></div><div><a>Shop</a></div>",
+    "<ul><li><a>Weather</a></li><li><a>Jobs today</a></li></ul>",
 )
 #: The same, told by its element or name, whatever it says.
 NAMED = (
     "<nav><ul><li><a>Home</a></li><li><a>News</a></li><li>About us</li></ul></nav>",
+    "<nav><a>Home</a></nav>",
     f"<header><p>The Paper</p><p>{_S}</p><a>Sign in</a></header>",
     f"<footer><p>{_L}</p><p>&copy; 2001 The Paper</p></footer>",
     "<div class=ad>Buy two shoes today and pay for one.</div>",
@@ -402,13 +405,12 @@ PLAIN_FRAMES = ("{top}{body}{end}", "<div>{top}</div><div>{body}</div><div>{end}
 
 
 def labelled_pages() -> list[str]:
-    """The table's pages: each frame with several bodies, and in turn all that may stand around them."""
+    """The table's pages: each frame with each body four times, and in turn all that may stand around them."""
     pages, k = [], 0
     for frames, bodies, around in ((ARTICLE_FRAMES, (*BODIES, *SHORT_BODIES), (*PLAIN, *NAMED)), (NAME_FRAMES, BODIES, (*PLAIN, *NAMED)), (PLAIN_FRAMES, BODIES, PLAIN)):
-        for frame in frames:
-            for body in bodies:
-                k += 1
-                pages.append(frame.format(top=around[7 * k % len(around)], body=body, inner=INNER[k % len(INNER)], side=NAMED[5 * k % len(NAMED)], end=around[3 * k % len(around)]))
+        for frame, body, _ in product(frames, bodies, range(4)):
+            k += 1
+            pages.append(frame.format(top=around[7 * k % len(around)], body=body, inner=INNER[k % len(INNER)], side=NAMED[5 * k % len(NAMED)], end=around[3 * k % len(around)]))
     return pages
 
 
