@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..operators.dense import Dense, dense
-from ..operators.matrix import SparseMatrix
+from ..operators.matrix import DENSE_CELLS, SparseMatrix
 from .interface import LinearOperator
 from .spaces import Local, space
 
@@ -162,6 +162,8 @@ def eigs(a, k: int = 6, *, which: str = "LM", v0: object = None, ncv: int | None
     at = _chosen(values, k, which)
     if not return_eigenvectors:
         return values[at]
+    if a.shape[0] * k > DENSE_CELLS:
+        raise ValueError(f"{k} vectors of {a.shape[0]} are more than {DENSE_CELLS} values for the driver; ask for the values alone")
     real, imag = (got.combined(part[:, at]) for part in (y.real, y.imag))
     as_array = lambda v: v if isinstance(v, np.ndarray) else v.collect()
     return values[at], np.stack([as_array(p) + 1j * as_array(q) for p, q in zip(real, imag, strict=True)], 1)

@@ -540,12 +540,12 @@ def _operator(s: SparkSession, d: str) -> L.LinearOperator:
     return L.aslinearoperator(qd(s, d).canonicalize().persist())
 
 
-q("operator_matvec", lambda s, d: _v((o := _operator(s, d)).matvec(part_x(s, o.shape[1]))), _MATVEC)
-q("operator_matmat", lambda s, d: _v((o := _operator(s, d)).matmat(matrix_x(s, o.shape[1], 4))), _MM)
-q("operator_rmatvec", lambda s, d: _v((o := _operator(s, d)).rmatvec(supp_y(s, o.shape[0]))), _TVEC)
-q("operator_matmul", lambda s, d: _v((o := _operator(s, d)) @ part_x(s, o.shape[1])), _MATVEC)
-q("operator_t", lambda s, d: _v((o := _operator(s, d)).T @ supp_y(s, o.shape[0])), _TVEC)
-q("operator_h", lambda s, d: _v((o := _operator(s, d)).H @ supp_y(s, o.shape[0])), _TVEC)
+q("linear_operator_matvec", lambda s, d: _v((o := _operator(s, d)).matvec(part_x(s, o.shape[1]))), _MATVEC)
+q("linear_operator_matmat", lambda s, d: _v((o := _operator(s, d)).matmat(matrix_x(s, o.shape[1], 4))), _MM)
+q("linear_operator_rmatvec", lambda s, d: _v((o := _operator(s, d)).rmatvec(supp_y(s, o.shape[0]))), _TVEC)
+q("linear_operator_matmul", lambda s, d: _v((o := _operator(s, d)) @ part_x(s, o.shape[1])), _MATVEC)
+q("linear_operator_t", lambda s, d: _v((o := _operator(s, d)).T @ supp_y(s, o.shape[0])), _TVEC)
+q("linear_operator_h", lambda s, d: _v((o := _operator(s, d)).H @ supp_y(s, o.shape[0])), _TVEC)
 
 
 def _free(solver: Callable, make: Callable) -> Query:
