@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ def _checked(a: SparseMatrix, validate: object) -> SparseMatrix:
 
 
 def _from_arrays(spark: SparkSession, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[DataFrame, str]:
+    import pandas as pd
+
     if not len(i) == len(j) == len(v):
         raise ValueError("buffers differ in length")
     at = {"i": np.asarray(i, np.int64), "j": np.asarray(j, np.int64)}
