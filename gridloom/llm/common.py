@@ -72,13 +72,13 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterato
         at = to
 
 
-def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """f over runs of rows of bounded size; it returns a batch in the order of schema."""
+def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
+    """f over runs of rows of about most bytes of text; it returns a batch in the order of schema."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, most):
                 if (out := f(part)) is not None and out.num_rows:
                     yield out
 
@@ -252,6 +252,10 @@ class Table:
     def __len__(self) -> int:
         return self._used
 
+    def clear(self) -> None:
+        """Without keys, but as large as it has become."""
+        self._keys[:], self._used = 0, 0
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number under each key, -1 if it isn't there."""
         out, last = np.full(len(keys), -1, np.int64), len(self._keys) - 1
@@ -291,18 +295,19 @@ class Lookup:
     A string's first 16 bytes are held as two words, which for most strings are all there is to hash and compare."""
 
     def __init__(self, kind: np.dtype, most: int):
-        self.kind, self.most = np.dtype(kind), most
+        self.kind, self.most, self._table = np.dtype(kind), most, Table()
+        self._start, self._size, self._at, self._bytes = (np.zeros(1 << 10, np.int32) for _ in range(4))
+        self._low, self._high = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.uint64)
+        self._ids, self._text = np.zeros(1 << 16, self.kind), np.zeros(1 << 16, np.uint8)
         self.clear()
 
     def clear(self) -> None:
-        self._table, self.known = Table(), 0
-        self._start, self._size, self._at, self._bytes = (np.zeros(1 << 10, np.int64) for _ in range(4))
-        self._low, self._high = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.uint64)
-        self._ids, self._n_ids, self._text, self._n_text = np.zeros(1 << 16, self.kind), 0, np.zeros(1 << 16, np.uint8), 0
+        self._table.clear()
+        self.known = self._n_ids = self._n_text = 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a) // 2, n - len(a)), a.dtype)])
 
     @staticmethod
     def _words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +328,7 @@ class Lookup:
         long = np.flatnonzero((sizes > 16) & ~out)
         if len(long):
             rest = sizes[long] - 16
-            differ = data[ranges(starts[long] + 16, rest)] != self._text[ranges(self._at[at[long]], rest)]
+            differ = data[ranges(starts[long] + 16, rest)] != self._text[ranges(self._at[at[long]].astype(np.int64), rest)]
             out[long[np.repeat(np.arange(len(long)), rest)[differ]]] = True
         return out
 
@@ -343,10 +348,10 @@ class Lookup:
         self._n_ids, self._n_text, self.known = self._n_ids + len(ids), self._n_text + len(text), k + n
 
     def counts(self, at: np.ndarray) -> np.ndarray:
-        return self._size[at]
+        return self._size[at].astype(np.int64)
 
     def ids(self, at: np.ndarray) -> np.ndarray:
-        return self._ids[ranges(self._start[at], self._size[at])]
+        return self._ids[ranges(self._start[at].astype(np.int64), self.counts(at))]
 
     def learned(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, encode: Callable) -> np.ndarray:
         """The number of each string once encode, which gives counts and ids of the strings at some places, has been

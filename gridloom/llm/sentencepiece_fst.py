@@ -39,9 +39,13 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts that are looked up, and the longest (in bytes) that is.
-CACHED, LONGEST = 500_000, 160
+CACHED, LONGEST = 250_000, 160
+#: Pairs of pieces whose answer is kept.
+PAIRS = 400_000
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 18
 #: States (parts times positions) that are composed at once.
-STATES = 1 << 20
+STATES = 1 << 18
 _INF = float("inf")
 
 
@@ -273,12 +277,16 @@ class Transducer:
         """apart for arrays of pieces; p below 0 admits every q. Pairs that were met before are looked up."""
         out = p < 0
         at = np.flatnonzero(~out)
-        number = p[at] * len(self.strings) + q[at]
+        number = p[at].astype(np.int64) * len(self.strings) + q[at]
         keys = c.mix(number.astype(np.uint64) + np.uint64(1))
         got = self._pairs.find(keys)
         if (got < 0).any():
             new, one = np.unique(keys[got < 0], return_index=True)
             pairs = number[got < 0][one].tolist()
+            if len(self._pairs) + len(pairs) > PAIRS:
+                self._pairs.clear()
+                new, one = np.unique(keys, return_index=True)
+                pairs = number[one].tolist()
             self._pairs.add(new, np.array([self.apart(*divmod(x, len(self.strings))) for x in pairs], np.int32))
             got = self._pairs.find(keys)
         out[at] = got == 1
@@ -331,7 +339,7 @@ class Transducer:
         order = np.argsort(start[at], kind="stable")
         at, length, piece = at[order], length[order], piece[order]
         edges = np.searchsorted(start[at], np.arange(most + 1))
-        best, last, back = np.full((n, most + 1), _INF), np.full((n, most + 1), -2), np.zeros((n, most + 1), np.int32)
+        best, last, back = np.full((n, most + 1), _INF), np.full((n, most + 1), -2, np.int32), np.zeros((n, most + 1), np.int32)
         best[:, 0], last[:, 0] = 0.0, -1
         for i in range(most):
             own = slice(edges[i], edges[i + 1])
@@ -517,7 +525,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(same, mask=null)], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return c.map_text(df, run, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
+    return c.map_text(df, run, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean", most=TEXT_BYTES)
 
 
 def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
