@@ -37,8 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 SEQ, PER_SHARD, ROUNDS = 256, 1 << 16, 6
-#: Parts that are looked up at most.
-MOST = 500_000
+#: Parts that are looked up at most, and bytes of text that are encoded at once: what a worker holds stays small.
+MOST, TEXT_BYTES = 200_000, 1 << 18
 MANIFEST, COMPLETE = "manifest.json", "complete"
 
 
@@ -177,7 +177,7 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer(ranks)
-        n = sum(int((tokens.counts(part.column(1)) // seq + 1).sum()) for batch in batches for part in c.pieces(batch, "text"))
+        n = sum(int((tokens.counts(part.column(1)) // seq + 1).sum()) for batch in batches for part in c.pieces(batch, "text", TEXT_BYTES))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
     counted = df.mapInArrow(count, "p int, n long").toArrow()  # a row a partition
@@ -201,7 +201,7 @@ def write_shards(docs: DataFrame, folder: str, ranks: bytes, id_col: str = "doc_
         tokens = tokenizer(ranks)
         p, end = TaskContext.get().partitionId(), END.to_bytes(2, "little")
         at, stop = numbers.value[p : p + 2].tolist() if p + 1 < len(numbers.value) else (0, 0)
-        for batch in (part for batch in batches for part in c.pieces(batch, "text")):
+        for batch in (part for batch in batches for part in c.pieces(batch, "text", TEXT_BYTES)):
             ids = batch.column(0)
             rows: list[int] = []
             parts: list[int] = []
