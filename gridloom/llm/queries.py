@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as c
 from . import sql
-from . import sentencepiece_fst, token_shards
+from . import sentencepiece_fst, token_alignment, token_shards
 from .decontaminate import find_leaks
 from .html_blocks import extract
 from .line_dedup import line_dedup
@@ -72,10 +72,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return family_trie(c.table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = (sentencepiece_fst.read_model(x) for x in (token_alignment.BYTE_LEVEL, token_alignment.PIECES))
+    return token_alignment.alignment(c.table(spark, sf_dir, "documents"), *models)
+
+
 QUERIES = (
     op1_line_dedup, op2_html_blocks, op3_lm_scoring, op4_sentencepiece, op5_decontaminate,
     op6_url_filter, op7_token_shards, op8_quality_qda, op9_quality_rules, op10_simhash_dedup,
-    op11_prefix_trie,
+    op11_prefix_trie, op12_token_alignment,
 )
 
 
