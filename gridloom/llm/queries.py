@@ -14,6 +14,7 @@ from .decontaminate import find_leaks
 from .html_blocks import extract
 from .line_dedup import line_dedup
 from .lm_scoring import lm_score
+from .minhash_dedup import near_duplicates as near_copies
 from .prefix_trie import family_trie
 from .quality_qda import quality
 from .quality_rules import quality_rules
@@ -77,10 +78,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(c.table(spark, sf_dir, "documents"), *models)
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(c.table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_line_dedup, op2_html_blocks, op3_lm_scoring, op4_sentencepiece, op5_decontaminate,
     op6_url_filter, op7_token_shards, op8_quality_qda, op9_quality_rules, op10_simhash_dedup,
-    op11_prefix_trie, op12_token_alignment,
+    op11_prefix_trie, op12_token_alignment, op13_minhash_dedup,
 )
 
 
@@ -89,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": sql.OP1, "op6_url_filter": sql.OP6, "op9_quality_rules": sql.OP9, "op11_prefix_trie": sql.OP11}
+    return {"op1_line_dedup": sql.OP1, "op6_url_filter": sql.OP6, "op9_quality_rules": sql.OP9, "op11_prefix_trie": sql.OP11, "op13_minhash_dedup": sql.OP13}

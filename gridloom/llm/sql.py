@@ -75,3 +75,17 @@ ends AS (SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_
 SELECT x.conv_id, x.depth, above.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
 FROM full_node x JOIN below USING (depth, k) LEFT JOIN ends USING (depth, k) LEFT JOIN node above ON above.depth = x.d0 AND above.k = x.k0
 """
+
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN w ELSE [] END) AS own FROM d),
+sets AS (SELECT list_sort(own) AS own, len(own) AS n, min(doc_id) AS node FROM s WHERE len(own) > 0 GROUP BY own),
+sh AS MATERIALIZED (SELECT node, n, unnest(own) AS g FROM sets),
+link AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM sh a JOIN sh b ON a.g = b.g AND a.node <> b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+         GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(node, top) AS (SELECT node, node FROM sets UNION SELECT link.b, reach.top FROM reach JOIN link ON link.a = reach.node WHERE reach.top < link.b),
+least_of AS (SELECT node, min(top) AS component_id FROM reach GROUP BY node),
+named AS (SELECT own, component_id FROM sets JOIN least_of USING (node))
+SELECT doc_id, CAST(len(s.own) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM s LEFT JOIN named ON list_sort(s.own) = named.own
+"""
