@@ -2,13 +2,15 @@
 
 from ..operators.functional import dot, vdot
 from . import preconditioners
+from .blocks import BlockTriangular
 from .direct import FactorizedSolve, SparseCholesky, SparseLU, TriangularAnalysis, analyze_triangular, cholesky, diagonal_positions, factorized, solve_many, sparse_cholesky, sparse_lu, splu, spsolve, spsolve_triangular, triangular_levels
 from .info import SolverInfo
 from .interface import LinearOperator, aslinearoperator
 from .iterative import bicgstab, cg, gmres, minres
 from .spectral import arnoldi, eigs, eigsh, lanczos, normal_lanczos, svds
+from .tsqr import TallQR, WideQR, least_squares
 
 __all__ = [
-    "FactorizedSolve", "LinearOperator", "SolverInfo", "SparseCholesky", "SparseLU", "TriangularAnalysis", "analyze_triangular", "arnoldi", "aslinearoperator", "bicgstab", "cg", "cholesky", "diagonal_positions", "dot", "eigs", "eigsh",
-    "factorized", "gmres", "lanczos", "minres", "normal_lanczos", "preconditioners", "solve_many", "sparse_cholesky", "sparse_lu", "splu", "spsolve", "spsolve_triangular", "svds", "triangular_levels", "vdot",
+    "BlockTriangular", "FactorizedSolve", "LinearOperator", "SolverInfo", "SparseCholesky", "SparseLU", "TallQR", "TriangularAnalysis", "WideQR", "analyze_triangular", "arnoldi", "aslinearoperator", "bicgstab", "cg", "cholesky", "diagonal_positions", "dot", "eigs", "eigsh",
+    "factorized", "gmres", "lanczos", "least_squares", "minres", "normal_lanczos", "preconditioners", "solve_many", "sparse_cholesky", "sparse_lu", "splu", "spsolve", "spsolve_triangular", "svds", "triangular_levels", "vdot",
 ]

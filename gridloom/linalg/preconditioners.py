@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..config import config
 from ..operators.dense import Dense, dense
 from ..operators.matrix import SparseMatrix
-from ..plans.lineage import cut
+from ..plans.lineage import cut, release
 from . import spaces
+from .blocks import BlockTriangular
+from .incomplete import Incomplete
 
 EPS = np.finfo(float).eps
 
@@ -131,6 +133,24 @@ class IC0Preconditioner(_Triangles):
     pass
 
 
+class FixedPointPreconditioner(Preconditioner):
+    """Incomplete factors as relations, made by sweeps; an application is two solves by blocks of rows."""
+
+    def __init__(self, found: Incomplete, kind: str, **setup: object):
+        super().__init__(found.shape, sweeps=found.sweeps, change=found.change, **setup)
+        self.kind, self.L, self.U = kind, found.L, found.U
+        self._lower, self._upper = BlockTriangular(self.L, unit_diagonal=True), BlockTriangular(self.U, lower=False)
+
+    def apply(self, s, r):
+        half = self._lower.solve(r)
+        x = self._upper.solve(half)
+        if not isinstance(r, Dense):
+            return x.collect()
+        kept = Dense(cut(x.df), x.shape)
+        release(half.df)
+        return kept
+
+
 class ChebyshevPreconditioner(Preconditioner):
     """A polynomial in A: degree - 1 products each time."""
 
@@ -247,10 +267,14 @@ def _split(rows: list[dict[int, float]], like: _Triangles | None = None) -> tupl
     return part(0), part(1), np.array([r[i] for i, r in enumerate(rows)])
 
 
-def ilu0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True, reuse_analysis: ILU0Preconditioner | None = None) -> ILU0Preconditioner:
-    """LU on the pattern of A, in natural order; for matrices that fit one machine.
+def ilu0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True, reuse_analysis: ILU0Preconditioner | None = None, distributed: bool | None = None) -> ILU0Preconditioner | FixedPointPreconditioner:
+    """LU on the pattern of A, in natural order: row by row where the matrix fits one machine, otherwise by sweeps over all cells.
 
-    reuse_analysis: the preconditioner of a matrix with the same pattern, whose row structure is taken over."""
+    reuse_analysis: the preconditioner of a matrix with the same pattern, whose row structure is taken over (on one machine)."""
+    if not spaces.fits(a) if distributed is None else distributed:
+        if reuse_analysis is not None:
+            raise ValueError("an analysis is of one machine; a distributed factorisation has none to take over")
+        return FixedPointPreconditioner(Incomplete(a, shift=shift), "ilu0", shift=shift)
     rows = _rows(a, shift)
     if reuse_analysis is not None and reuse_analysis.pattern != [tuple(sorted(r)) for r in rows]:
         raise ValueError("the analysis is of another pattern")
@@ -266,10 +290,26 @@ def ilu0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True, reuse_analy
     return ILU0Preconditioner(len(rows), *_split(rows, reuse_analysis), True, "ilu0", shift=shift)
 
 
-def ichol0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True) -> IC0Preconditioner:
-    """Cholesky on the pattern of A's lower triangle."""
+def _symmetric(a: SparseMatrix) -> bool:
+    """Whether each cell equals its mirror image, to eight digits; the cells are summed at both places, so no cell is looked up."""
+    cells = a.canonicalize().df
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    sign = F.when(F.col("i") > F.col("j"), 1.0).otherwise(-1.0)
+    apart = cells.filter("i != j").groupBy(low.alias("i"), high.alias("j")).agg(F.sum(sign * F.col("v")).alias("d"), F.max(F.abs("v")).alias("m"), F.count("*").alias("n"))
+    return apart.filter((F.abs("d") > 1e-8 * F.greatest(F.lit(1.0), F.col("m"))) | (F.col("n") < 2)).isEmpty()
+
+
+def ichol0(a: SparseMatrix, *, shift: float = 0.0, check: bool = True, distributed: bool | None = None) -> IC0Preconditioner | FixedPointPreconditioner:
+    """Cholesky on the pattern of A's lower triangle. By sweeps it comes as L D L.T, whose pivots D must be positive."""
     if shift < 0:
         raise ValueError("shift must not be negative")
+    if not spaces.fits(a) if distributed is None else distributed:
+        if check and not _symmetric(a):
+            raise ValueError("the matrix is not symmetric")
+        found = Incomplete(a, shift=shift)
+        if found.least is not None and found.least <= 0:
+            raise RuntimeError("a pivot is not positive")
+        return FixedPointPreconditioner(found, "ichol0", shift=shift)
     rows = _rows(a, shift)
     if check and any(abs(rows[j].get(i, np.inf) - v) > 1e-8 * max(1.0, abs(v)) for i, r in enumerate(rows) for j, v in r.items()):
         raise ValueError("the matrix is not symmetric")
