@@ -218,15 +218,9 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return made.select("doc_id", "n_shingles", "s1", "s2"), c.cut(of.join(least, "root").select("s1", "s2", "component_id"), "sets")
 
 
-def _joined(stars: DataFrame, roots: DataFrame, named: DataFrame, with_text, k: int, percent: int, most: int) -> DataFrame | None:
-    """(node, root) of the components (named by their nodes) that links between members of one leader join; None if no leader has members that are apart."""
-    distance = 1 - F.col("shared") / F.col("total")
-    rooted = stars.select("leader", "node", distance.alias("distance")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("leader")
-    rows = c.cut(rooted.join(apart, "leader").join(named.select("node", "n_shingles"), "node"), "apart")
-    if rows.isEmpty():
-        return None
-    sizes = rows.groupBy("leader", "root").agg(F.sum("n_shingles").alias("n"), F.count("*").alias("rows"))
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """(node, task, root, distance, side) from rows (leader, node, root, distance, n_shingles): the tasks that a leader's members are compared in."""
+    sizes = rows.groupBy("leader", "root").agg(F.sum("n_shingles").alias("n"))
     split = sizes.groupBy("leader").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select(
         "leader", F.col("top.root").alias("big"), F.when(F.col("all") <= most, 0).otherwise(F.ceil(F.col("top.n") / most)).cast("int").alias("p"),
         F.when(F.col("all") <= most, 1).otherwise(F.ceil((F.col("all") - F.col("top.n")) / most)).cast("int").alias("r"))
@@ -236,8 +230,18 @@ def _joined(stars: DataFrame, roots: DataFrame, named: DataFrame, with_text, k:
     met = met.withColumn("own", F.when(big, F.pmod("h", "p")).otherwise(F.col("p") + F.pmod("h", "r")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.when(big, F.col("p")).otherwise(0), F.col("p") + F.col("r") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    tasks = met.select("node", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "root", "distance", side.alias("side"))
-    texts = with_text(tasks, "task", "root", "distance", "side").repartition("task").sortWithinPartitions("task", "distance")
+    return met.select("node", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "root", "distance", side.alias("side"))
+
+
+def _joined(stars: DataFrame, roots: DataFrame, named: DataFrame, with_text, k: int, percent: int, most: int) -> DataFrame | None:
+    """(node, root) of the components (named by their nodes) that links between members of one leader join; None if no leader has members that are apart."""
+    distance = 1 - F.col("shared") / F.col("total")
+    rooted = stars.select("leader", "node", distance.alias("distance")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("leader")
+    rows = c.cut(rooted.join(apart, "leader").join(named.select("node", "n_shingles"), "node"), "apart")
+    if rows.isEmpty():
+        return None
+    texts = with_text(dealt(rows, most), "task", "root", "distance", "side").repartition("task").sortWithinPartitions("task", "distance")
     edges = texts.select("task", "root", "distance", "side", "text").mapInArrow(_groups(k, percent), "a long, b long")
     return components(edges)
 
