@@ -47,6 +47,7 @@ OPTIONS = (
     Option("local_cells", 2_000_000, "cells of a matrix whose solvers run on the driver", 0),
     Option("local_rows", 200_000, "rows and columns of such a matrix", 0),
     Option("factor_rows", 3_000, "rows of a matrix that is factorised on one machine", 0),
+    Option("front_rows", 6_000, "rows of a front, which one task eliminates as a dense array", 1),
     Option("panel_columns", 1_024, "columns of a tall matrix (rows of a wide one) whose triangular factor one machine holds", 1),
     Option("cpu_threads", 200, "partitions of a shuffle", setting=_THREADS),
     Option("spgemm_threads", 200, "partitions of a sparse product", setting=_THREADS),

@@ -7,10 +7,11 @@ from .direct import FactorizedSolve, SparseCholesky, SparseLU, TriangularAnalysi
 from .info import SolverInfo
 from .interface import LinearOperator, aslinearoperator
 from .iterative import bicgstab, cg, gmres, minres
+from .multifrontal import FrontalCholesky, FrontalLU
 from .spectral import arnoldi, eigs, eigsh, lanczos, normal_lanczos, svds
 from .tsqr import TallQR, WideQR, least_squares
 
 __all__ = [
-    "BlockTriangular", "FactorizedSolve", "LinearOperator", "SolverInfo", "SparseCholesky", "SparseLU", "TallQR", "TriangularAnalysis", "WideQR", "analyze_triangular", "arnoldi", "aslinearoperator", "bicgstab", "cg", "cholesky", "diagonal_positions", "dot", "eigs", "eigsh",
+    "BlockTriangular", "FrontalCholesky", "FrontalLU", "FactorizedSolve", "LinearOperator", "SolverInfo", "SparseCholesky", "SparseLU", "TallQR", "TriangularAnalysis", "WideQR", "analyze_triangular", "arnoldi", "aslinearoperator", "bicgstab", "cg", "cholesky", "diagonal_positions", "dot", "eigs", "eigsh",
     "factorized", "gmres", "lanczos", "least_squares", "minres", "normal_lanczos", "preconditioners", "solve_many", "sparse_cholesky", "sparse_lu", "splu", "spsolve", "spsolve_triangular", "svds", "triangular_levels", "vdot",
 ]

@@ -97,8 +97,9 @@ class ExactFactorPreconditioner(Preconditioner):
 
     def apply(self, s, r):
         if isinstance(r, Dense):
-            return dense(r.df.sparkSession, self.solver.solve_array(r.collect()))
-        return self.solver.solve_array(r)
+            frames = getattr(self.solver, "distributed", not hasattr(self.solver, "solve_array"))
+            return self.solver.solve(r) if frames else dense(r.df.sparkSession, self.solver.solve_array(r.collect()))
+        return self.solver.solve_array(r) if hasattr(self.solver, "solve_array") else self.solver.solve(r).collect()
 
 
 class _Triangles(Preconditioner):

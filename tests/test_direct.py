@@ -207,3 +207,70 @@ def test_solvers_with_sweeps_as_frames_only(spark):
         m = from_dense(spark, s)
         got, info = L.cg(m, dense(spark, s @ x[:40]), rtol=1e-10, M=L.preconditioners.ichol0(m), return_info=True)
         assert info.converged and np.allclose(got.collect(), x[:40])
+
+
+# --- factors by fronts
+
+
+def arrow_of_bands(n, symmetric=True):
+    """Bands, far cells and a heavy last row: chains, leaves and a root in the tree of blocks."""
+    rng = np.random.default_rng(n)
+    a = np.zeros((n, n))
+    for k in (1, 2):
+        a += np.diag(rng.standard_normal(n - k), -k)
+    a[n - 1, : n - 1] = rng.standard_normal(n - 1) * (rng.random(n - 1) < 0.4)
+    a[n // 2, 0] = a[n // 3, 1] = 1.0
+    a = a + a.T if symmetric else a + np.triu(rng.standard_normal((n, n)) * (rng.random((n, n)) < 0.05), 1)
+    return a + np.diag(abs(a).sum(0) + abs(a).sum(1) + 1)
+
+
+@pytest.mark.parametrize("n,block", [(30, 4), (41, 7), (12, 50)])
+def test_fronts_give_cholesky(spark, n, block):
+    a = arrow_of_bands(n)
+    f = L.FrontalCholesky(from_dense(spark, np.tril(a)), block=block)
+    assert np.allclose(f.L.todense().collect(), np.linalg.cholesky(a))
+    b = np.arange(float(n))
+    assert np.allclose(f.solve(b).collect(), np.linalg.solve(a, b))
+
+
+@pytest.mark.parametrize("n,block", [(30, 4), (25, 9)])
+def test_fronts_give_lu(spark, n, block):
+    a = arrow_of_bands(n, symmetric=False)
+    a[0:4:2] = a[[1, 0, 3, 2]][0:4:2] * 1.0 + a[0:4:2] * 1e-3  # inside a block the rows must change places
+    f = L.FrontalLU(from_dense(spark, a), block=block)
+    low, up, perm = f.L.todense().collect(), f.U.todense().collect(), f.perm
+    assert np.allclose(low, np.tril(low)) and np.allclose(np.diag(low), 1) and np.allclose(up, np.triu(up))
+    assert sorted(perm.tolist()) == list(range(n)) and np.allclose(low @ up, a[perm])
+    b = np.arange(float(n))
+    assert np.allclose(f.solve(b).collect(), np.linalg.solve(a, b))
+
+
+def test_tree_of_blocks():
+    from gridloom.linalg.multifrontal import _Tree
+
+    # 0 and 1 are leaves of 2, 3 stands alone, 2 reaches 4 by way of 0
+    tree = _Tree(5, {(0, 0), (2, 0), (4, 0), (2, 1), (3, 3), (4, 4)}, 10)
+    assert tree.parent == [2, 2, 4, -1, -1] and tree.level == [0, 0, 1, 0, 2]
+    assert tree.rounds == 3 and tree.tiles == 3 + 2 + 2 + 1 + 1 and tree.largest == 30
+
+
+def test_fronts_beyond_one_machine(spark):
+    a = arrow_of_bands(30)
+    x = np.arange(30.0) - 7
+    with config_context(factor_rows=4, local_rows=4, local_cells=4):
+        m = from_dense(spark, a)
+        assert isinstance(L.cholesky(m), L.FrontalCholesky) and isinstance(L.splu(m), L.FrontalLU)
+        assert np.allclose(L.spsolve(m, dense(spark, a @ x)).collect(), x)
+        got, info = L.gmres(m, dense(spark, a @ x), rtol=1e-9, M=L.preconditioners.exact(m, method="cholesky"), return_info=True)
+        assert info.converged and np.allclose(got.collect(), x)
+
+
+def test_fronts_refuse(spark):
+    with pytest.raises(RuntimeError, match="positive"):
+        L.FrontalCholesky(from_dense(spark, np.diag([1.0, 2, -3, 4])), block=2)
+    with pytest.raises(RuntimeError, match="singular"):
+        L.FrontalLU(from_dense(spark, np.array([[1.0, 1, 0], [1, 1, 0], [0, 0, 1]])), block=3)
+    with pytest.raises(ValueError, match="square"):
+        L.FrontalLU(from_dense(spark, np.ones((2, 3))))
+    with config_context(front_rows=3), pytest.raises(ValueError, match="front_rows"):
+        L.FrontalCholesky(from_dense(spark, np.ones((8, 8)) + 9 * np.eye(8)), block=2)
