@@ -651,3 +651,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import queries_large  # noqa: E402, F401 - registers its own; needs the matrices above
