@@ -1,4 +1,9 @@
-"""Lanczos and Arnoldi, and the eigenvalues and singular values read from them."""
+"""Lanczos and Arnoldi, and the eigenvalues and singular values read from them.
+
+Without tol and maxiter, values are those of one run of ncv steps. With either, runs are restarted until each wanted
+pair's residual is below tol times its value: a restart keeps the wanted directions (an invariant subspace of the small
+matrix, turned into as many vectors) and one more vector, in which the small matrix is coupled to the rest. For symmetric
+matrices that is thick-restart Lanczos, for others Krylov-Schur; what is kept in vectors never exceeds ncv + 1."""
 
 from __future__ import annotations
 
@@ -137,42 +142,133 @@ def _size(n: int, k: int, ncv: int | None) -> int:
     return size
 
 
-def eigsh(a, k: int = 6, *, which: str = "LM", v0: object = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, return_eigenvectors: bool = True, distributed: bool | None = None):
-    """Eigenpairs of a symmetric matrix from one Lanczos run of ncv steps."""
+#: Restarts if none are given, and the least relative residual that can be asked for.
+RESTARTS, FINEST = 300, 1e-12
+
+
+def _directions(h: np.ndarray, order: np.ndarray, values: np.ndarray, y: np.ndarray, p: int, symmetric: bool) -> np.ndarray:
+    """Orthonormal columns that span the first p eigenvectors, conjugate pairs together."""
+    if symmetric:
+        return y[:, order[:p]]
+    cols, seen = [], set()
+    for t in order:
+        if len(cols) >= p:
+            break
+        if t in seen:
+            continue
+        if abs(values[t].imag) > 1e-14 * max(abs(values[t]), 1e-300):
+            seen.add(int(np.argmin(abs(values - values[t].conj()))))
+            cols += [y[:, t].real, y[:, t].imag]
+        else:
+            cols.append(y[:, t].real)
+        seen.add(int(t))
+    return np.linalg.qr(np.stack(cols, 1))[0]
+
+
+def _restarted(s, op, n: int, k: int, ncv: int, which: str, v0: object, symmetric: bool, tol: float, maxiter: int | None) -> tuple[np.ndarray, np.ndarray, list]:
+    """(values, small vectors, basis) of k wanted eigenpairs, all of them with a residual of at most tol times the value."""
+    m = min(n, max(ncv, k + 2))
+    tol = max(tol, FINEST)
+    q = s.vector(np.ones(n) if v0 is None else v0, n)
+    size = s.norm(q)
+    if not np.isfinite(size) or size <= 0:
+        raise ValueError("the start vector must be finite and not zero")
+    basis, h, fresh, before = [s.combine((1 / size, q))], np.zeros((m, m)), 0, None
+    for _ in range(RESTARTS if maxiter is None else maxiter):
+        beta, w = 0.0, None
+        for j in range(len(basis) - 1, m):
+            w = op(basis[j])
+            scale = s.norm(w)
+            col = np.zeros(j + 1)
+            for _ in range(2):
+                c = s.dots(basis, w)
+                col += c
+                w = s.combine((1.0, w), *((-float(x), u) for x, u in zip(c, basis, strict=True)))
+            h[: j + 1, j] = col
+            beta = s.norm(w)
+            closed = beta <= 100 * EPS * max(scale, abs(h).max(), 1e-300)
+            if closed and len(basis) < n:  # the space is invariant: a vector outside goes on, with nothing to couple it
+                beta = 0.0
+                for fresh in range(fresh + 1, fresh + 7):
+                    w = s.vector(_seeded(n, fresh), n)
+                    for _ in range(2):
+                        c = s.dots(basis, w)
+                        w = s.combine((1.0, w), *((-float(x), u) for x, u in zip(c, basis, strict=True)))
+                    if (length := s.norm(w)) > 1e-8:
+                        break
+                w = s.combine((1 / length, w))
+            elif not closed:
+                w = s.combine((1 / beta, w))
+            else:
+                beta, w = 0.0, None
+            if j + 1 < m and w is not None:
+                h[j + 1, j] = beta
+                basis.append(w)
+            elif w is None:
+                break
+        size = len(basis)
+        small = h[:size, :size].copy()
+        if symmetric:
+            small = (small + small.T) / 2
+        values, y = (np.linalg.eigh if symmetric else np.linalg.eig)(small)
+        order = _chosen(values, size, which)
+        at = order[:k]
+        if (beta * abs(y[-1, at]) <= tol * np.maximum(abs(values[at]), EPS * abs(values).max(initial=0.0))).all():
+            # a space that closed may lack copies of a value: one more round, from outside it, must find the same ones
+            if not fresh or size == n or before is not None and np.allclose(before, values[at], rtol=max(tol, 1e-9)):
+                return values[at], y[:, at], basis
+            before = values[at]
+        turn = _directions(small, order, values, y, min(size - 2, k + (size - k) // 2), symmetric)  # a conjugate pair may add one
+        p = turn.shape[1]
+        kept = [s.combine(*((float(x), u) for x, u in zip(col, basis, strict=True))) for col in turn.T]
+        h[:] = 0
+        h[:p, :p] = turn.T @ small @ turn
+        h[p, :p] = beta * turn[-1]
+        old, basis = basis, [*kept, w]
+        s.retire(tuple(old), tuple(basis))
+    raise RuntimeError(f"{k} pairs have not settled to {tol:.1e} in {RESTARTS if maxiter is None else maxiter} restarts of {m} vectors")
+
+
+def _pairs(s, op, n: int, k: int, ncv: int | None, which: str, v0: object, symmetric: bool, tol: float, maxiter: int | None) -> tuple[np.ndarray, np.ndarray, Basis]:
+    """Values, small vectors and the basis that they combine."""
+    if maxiter is not None and maxiter < 1 or tol < 0:
+        raise ValueError("tol must not be negative and maxiter must be 1 or more")
     if tol or maxiter is not None:
-        raise NotImplementedError("one run is made: tol and maxiter have no meaning")
-    _square(a)
-    s = space(a, distributed)
-    got = _krylov(s, s.matvec, a.shape[0], _size(a.shape[0], k, ncv), v0, True)
-    values, y = np.linalg.eigh(got.small)
+        size = _size(n, k, ncv) if ncv is not None else min(n, max(2 * k + 1, 20))
+        values, y, vectors = _restarted(s, op, n, k, size, which, v0, symmetric, tol, maxiter)
+        return values, y, Basis(np.zeros((0, 0)), np.zeros(0), vectors, s)
+    got = _krylov(s, op, n, _size(n, k, ncv), v0, symmetric)
+    values, y = (np.linalg.eigh if symmetric else np.linalg.eig)(got.small)
     if len(values) < k:
         raise RuntimeError(f"only {len(values)} eigenvalues were found")
     at = _chosen(values, k, which)
-    return (values[at], _columns(s, got.combined(y[:, at]))) if return_eigenvectors else values[at]
+    return values[at], y[:, at], got
+
+
+def eigsh(a, k: int = 6, *, which: str = "LM", v0: object = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, return_eigenvectors: bool = True, distributed: bool | None = None):
+    """Eigenpairs of a symmetric matrix, from one Lanczos run of ncv steps or, with tol or maxiter, from restarted ones."""
+    _square(a)
+    s = space(a, distributed)
+    values, y, got = _pairs(s, s.matvec, a.shape[0], k, ncv, which, v0, True, tol, maxiter)
+    return (values, _columns(s, got.combined(y))) if return_eigenvectors else values
 
 
 def eigs(a, k: int = 6, *, which: str = "LM", v0: object = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, return_eigenvectors: bool = True, distributed: bool | None = None):
-    """Eigenpairs of a general matrix from one Arnoldi run; values and vectors may be complex (numpy arrays)."""
-    if tol or maxiter is not None:
-        raise NotImplementedError("one run is made: tol and maxiter have no meaning")
+    """Eigenpairs of a general matrix, from one Arnoldi run or restarted ones; values and vectors may be complex (numpy arrays)."""
     _square(a)
     s = space(a, distributed)
-    got = _krylov(s, s.matvec, a.shape[0], _size(a.shape[0], k, ncv), v0, False)
-    values, y = np.linalg.eig(got.small)
-    at = _chosen(values, k, which)
+    values, y, got = _pairs(s, s.matvec, a.shape[0], k, ncv, which, v0, False, tol, maxiter)
     if not return_eigenvectors:
-        return values[at]
+        return values
     if a.shape[0] * k > DENSE_CELLS:
         raise ValueError(f"{k} vectors of {a.shape[0]} are more than {DENSE_CELLS} values for the driver; ask for the values alone")
-    real, imag = (got.combined(part[:, at]) for part in (y.real, y.imag))
+    real, imag = (got.combined(part) for part in (y.real, y.imag))
     as_array = lambda v: v if isinstance(v, np.ndarray) else v.collect()
-    return values[at], np.stack([as_array(p) + 1j * as_array(q) for p, q in zip(real, imag, strict=True)], 1)
+    return values, np.stack([as_array(p) + 1j * as_array(q) for p, q in zip(real, imag, strict=True)], 1)
 
 
 def svds(a, k: int = 6, *, which: str = "LM", v0: object = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, return_singular_vectors: bool | str = True, distributed: bool | None = None):
-    """Singular values and vectors from Lanczos on A.T A, whose product is never formed."""
-    if tol or maxiter is not None:
-        raise NotImplementedError("one run is made: tol and maxiter have no meaning")
+    """Singular values and vectors from Lanczos on A.T A, whose product is never formed; with tol or maxiter, restarted."""
     if which not in ("LM", "SM"):
         raise ValueError("which must be 'LM' or 'SM'")
     if return_singular_vectors not in (True, False, "u", "vh"):
@@ -180,13 +276,11 @@ def svds(a, k: int = 6, *, which: str = "LM", v0: object = None, ncv: int | None
     s, n = space(a, distributed), a.shape[1]
     if not 0 < k <= min(a.shape):
         raise ValueError(f"k must be between 1 and {min(a.shape)}")
-    got = _krylov(s, lambda x: s.rmatvec(s.matvec(x)), n, _size(n, k, ncv), v0, True)
-    values, y = np.linalg.eigh(got.small)
-    at = _chosen(values, k, which)
-    sigma = np.sqrt(np.maximum(values[at], 0))
+    values, y, got = _pairs(s, lambda x: s.rmatvec(s.matvec(x)), n, k, ncv, which, v0, True, tol, maxiter)
+    sigma = np.sqrt(np.maximum(values, 0))
     if return_singular_vectors is False:
         return sigma
-    v = got.combined(y[:, at])
+    v = got.combined(y)
     u = []
     if return_singular_vectors != "vh":
         for x, sg in zip(v, sigma, strict=True):

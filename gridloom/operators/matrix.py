@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..plans import sizes
 from ..plans.lineage import BROADCAST_BYTES, cut, release, small
+from . import products
 from .dense import Dense, dense
 
 #: Cells of a dense result that todense makes at most, unless told otherwise.
@@ -23,6 +25,8 @@ DENSE_CELLS = 50_000_000
 WIDE = 64
 #: Products of one contracted index that one task makes.
 TASK_PRODUCTS = 10_000_000
+#: How many times, on average, a product may send each cell before the result's size is estimated.
+SENT = 6
 #: Rows of one block when counts become running sums.
 BLOCK = 1 << 16
 
@@ -346,11 +350,14 @@ class SparseMatrix:
             raise ValueError(f"dimension mismatch: {self.shape} @ {other.shape}")
         if self.dtype != other.dtype:
             raise TypeError(f"value types differ: {self.dtype} and {other.dtype}")
+        most = other.n_rows * other.n_cols if other._stored is None else min(other._stored, other.n_rows * other.n_cols)
+        small_right = most * 24 <= BROADCAST_BYTES
+        if self.dtype != V.COMPLEX and (self._written and other._written or not small_right):
+            return self._tiled(other)
         # cells that share a place are summed before the join, which would otherwise repeat them for every partner
         a = self.canonicalize().df.select("i", F.col("j").alias("m"), F.col("v").alias("a"))
         b = other.canonicalize().df.select(F.col("i").alias("n"), "j", F.col("v").alias("b"))
-        most = other.n_rows * other.n_cols if other._stored is None else min(other._stored, other.n_rows * other.n_cols)
-        if most * 24 <= BROADCAST_BYTES:
+        if small_right:
             # a task has a range of A's cells by row, so it sums nearly all of a row's products before they are shuffled
             met = a.repartitionByRange("i", "m").join(F.broadcast(b), F.col("m") == F.col("n"))
         else:
@@ -358,6 +365,26 @@ class SparseMatrix:
         out = met.groupBy("i", "j").agg(V.total(self.dtype, V.mul(self.dtype, F.col("a"), F.col("b"))).alias("v"))
         return self._like(out.filter(V.nonzero(self.dtype, F.col("v"))), (self.n_rows, other.n_cols), canonical=True)
 
+    @property
+    def _written(self) -> bool:
+        """Whether the cells are summed and counted, so that reading them twice costs little."""
+        return self.canonical and self._stored is not None
+
+    def _tiled(self, other: SparseMatrix) -> SparseMatrix:
+        """The product on a grid of tiles that fits the sizes of both sides and, where that matters, of the result."""
+        a, b = (m if m._written else m.canonicalize().persist() for m in (self, other))
+        cores = self.spark.sparkContext.defaultParallelism
+        bound = a._stored * min(b._stored, b.n_cols)
+        if bound <= products.PRODUCTS and a._stored + b._stored <= products.CELLS:  # small however the cells lie
+            g = products.Grid(max(1, min(cores, a.n_rows, bound // 250_000)))
+        else:
+            facts = sizes.facts(a.df, b.df, a.n_rows, b.n_cols)
+            g = products.grid(facts, cores)
+            # cells sent often may cost more than parts of the result; how many these are is worth an estimate then
+            if g.slabs == 1 and a._stored * g.cols + b._stored * g.rows > SENT * (a._stored + b._stored):
+                g = products.grid(facts, cores, sizes.product_cells(a.df, b.df))
+        return self._like(products.tiled(a.df, b.df, g), (self.n_rows, other.n_cols), canonical=True)
+
     @staticmethod
     def _split_join(a: DataFrame, b: DataFrame) -> DataFrame:
         """a and b joined on m = n. An index with more than TASK_PRODUCTS products is split: a's cells by a hash of their row, b's to each part."""

@@ -18,7 +18,7 @@ from .linalg import preconditioners as P
 from .operators.assembly import add, vstack
 from .operators.dense import Dense
 from .operators.matrix import SparseMatrix
-from .queries import Q, _m, _rounded, _size, _t, part_x, q, qd
+from .queries import A, Q, _m, _rounded, _size, _t, a25, part_x, q, qd
 from .sources.construct import coo_array, identity
 
 #: Far below every matrix here, so that none of them may be collected or factorised on one machine.
@@ -158,3 +158,73 @@ def _chain(s: SparkSession, d: str) -> DataFrame:
 _CHAIN = """WITH RECURSIVE B AS (SELECT p_partkey AS i, COALESCE(y, 0.0) AS b FROM part LEFT JOIN (SELECT l_partkey, SUM(l_quantity) AS y FROM lineitem GROUP BY 1) t ON l_partkey = p_partkey),
 C AS (SELECT CAST(0 AS BIGINT) AS i, b AS x FROM B WHERE i = 0 UNION ALL SELECT B.i, B.b - 0.5 * C.x FROM C JOIN B ON B.i = C.i + 1) SELECT i, ROUND(x, 6) AS x FROM C"""
 q("triangular_chain", limited(_chain), _CHAIN)
+
+# --- spectra: the leading value is held against power iteration in SQL, every pair by its residual
+
+
+def _power(matrix: str, steps: int, symmetric: bool = True) -> str:
+    """The leading eigenvalue of the table of that name, by so many products."""
+    xs = [f"X0 AS MATERIALIZED (SELECT DISTINCT i, CAST(1.0 AS DOUBLE) AS x FROM {matrix})"]
+    xs += [f"X{t} AS MATERIALIZED (SELECT m.i, SUM(m.v * p.x) / 1e6 AS x FROM {matrix} m JOIN X{t - 1} p ON m.j = p.i GROUP BY m.i)" for t in range(1, steps + 1)]
+    a, b = f"X{steps - 1}", f"X{steps}"
+    ratio = f"(SELECT SUM(a.x * b.x) / SUM(a.x * a.x) FROM {a} a JOIN {b} b ON a.i = b.i)" if symmetric else f"(SELECT SUM(x) FROM {b}) / (SELECT SUM(x) FROM {a})"
+    return ", ".join(xs) + f", L AS (SELECT 1e6 * {ratio} AS lead)"
+
+
+def _spectrum(s: SparkSession, values: np.ndarray, off: float, most: float = 1e-6) -> DataFrame:
+    """The first value, to eight digits of its size, how many there are, and whether all residuals are small."""
+    lead = float(np.real(values[0]))
+    digits = 8 - int(np.ceil(np.log10(abs(lead))))
+    return s.createDataFrame([(round(lead, digits), len(values), bool(off < most))], "lead double, n long, settled boolean")
+
+
+_ROUNDED = "ROUND(lead, CAST(8 - CEIL(LOG10(lead)) AS INTEGER)) AS lead"
+
+
+def _quantities(s: SparkSession, d: str) -> SparseMatrix:
+    return qd(s, d).canonicalize().persist()
+
+
+def _eigsh(s: SparkSession, d: str) -> DataFrame:
+    g = qd(s, d).gram().persist()
+    k = min(4, g.n_rows - 1)
+    values, vectors = L.eigsh(g, k, ncv=min(g.n_rows, 10), tol=1e-9)
+    v = vectors.collect()  # suppliers by four
+    off = np.abs(g.matmul(v).collect() - v * values).max() / values[0]
+    return _spectrum(s, values, off)
+
+
+def _eigsh_frames(s: SparkSession, d: str) -> DataFrame:
+    values = L.eigsh(qd(s, d).gram().persist(), 1, ncv=5, tol=1e-8, return_eigenvectors=False, distributed=True)
+    return _spectrum(s, values, 0.0)
+
+
+def _svds(s: SparkSession, d: str, sampled: bool) -> DataFrame:
+    a = _quantities(s, d)
+    if sampled:
+        got = L.sampled_svds(a, min(4, a.n_rows - 1), power=2)
+        left, sigma, right = got.left, got.values, got.right
+    else:
+        left, sigma, right = L.svds(a, min(4, a.n_rows - 1), ncv=min(a.n_rows, 10), tol=1e-9)
+    # the leading triple, as frames: A v - sigma u
+    of = lambda x: Dense(x.df.filter("k = 0").select("i", "x"), x.shape[:1])
+    rest = a.matvec(of(right)).df.select("i", "x").union(of(left).df.select("i", F.lit(-float(sigma[0])) * F.col("x"))).groupBy("i").agg(F.sum("x").alias("x"))
+    return _spectrum(s, sigma, rest.agg(F.max(F.abs("x"))).first()[0] / sigma[0], 1e-3 if sampled else 1e-6)
+
+
+def _eigs(s: SparkSession, d: str) -> DataFrame:
+    a = a25(s, d).persist()
+    values, vectors = L.eigs(a, 2, ncv=9, tol=1e-9)
+    off = np.abs(a.matmul(vectors.real).collect() + 1j * a.matmul(vectors.imag).collect() - vectors * values).max() / abs(values[0])
+    return _spectrum(s, values, off)
+
+
+_FOUR = "(SELECT LEAST(4, COUNT(*) - 1) FROM supplier) AS n, true AS settled FROM L"
+_G = "G AS MATERIALIZED (SELECT a.i, b.i AS j, SUM(a.v * b.v) AS v FROM Q a JOIN Q b ON a.j = b.j GROUP BY a.i, b.i)"
+_LEADING = f"WITH {Q}, {_G}, {_power('G', 12)} SELECT {_ROUNDED}, "
+_SINGULAR = f"WITH {Q}, {_G}, {_power('G', 12).replace('SELECT 1e6 *', 'SELECT SQRT(1e6 *').replace('AS lead)', ') AS lead)')} SELECT {_ROUNDED}, "
+q("eigsh_restarted", _eigsh, _LEADING + _FOUR)
+q("eigsh_frames", limited(_eigsh_frames), _LEADING + "CAST(1 AS BIGINT) AS n, true AS settled FROM L")
+q("svds_restarted", lambda s, d: _svds(s, d, False), _SINGULAR + _FOUR)
+q("svds_sampled", limited(lambda s, d: _svds(s, d, True)), _SINGULAR + _FOUR)
+q("eigs_restarted", _eigs, f"WITH {A}, {_power('A', 30, symmetric=False)} SELECT {_ROUNDED}, CAST(2 AS BIGINT) AS n, true AS settled FROM L")

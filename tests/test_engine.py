@@ -414,8 +414,12 @@ def test_products_of_heavy_indices(spark, monkeypatch):
     monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(M, "TASK_PRODUCTS", 50)
     x, y = g.fromdense(spark, a), g.fromdense(spark, b)
+    assert np.allclose(x.matmat(y).todense().collect(), a @ b) and np.allclose(x.gram().todense().collect(), a @ a.T)
+    # complex cells are joined, with heavy indices split
+    x, y = g.fromdense(spark, a + 1j * a), g.fromdense(spark, b - 2j * b)
     plan = x.matmat(y).df._jdf.queryExecution().toString()
-    assert "xxhash64" in plan and np.allclose(x.matmat(y).todense().collect(), a @ b) and np.allclose(x.gram().todense().collect(), a @ a.T)
+    assert "xxhash64" in plan and np.allclose(x.matmat(y).todense().collect(), (a + 1j * a) @ (b - 2j * b))
+
 
 
 def test_triangular_levels_solve(spark):
