@@ -202,7 +202,7 @@ def _eigsh_frames(s: SparkSession, d: str) -> DataFrame:
 def _svds(s: SparkSession, d: str, sampled: bool) -> DataFrame:
     a = _quantities(s, d)
     if sampled:
-        got = L.sampled_svds(a, min(4, a.n_rows - 1), power=2)
+        got = L.sampled_svds(a, min(4, a.n_rows - 1), power=3)
         left, sigma, right = got.left, got.values, got.right
     else:
         left, sigma, right = L.svds(a, min(4, a.n_rows - 1), ncv=min(a.n_rows, 10), tol=1e-9)
