@@ -1,14 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. A block has its word count and link density, those of the blocks
-before and after it, and what its place says: whether a boilerplate element (nav, footer, aside) or an article holds it,
-and how much the names (class, id) of what holds it speak of boilerplate. A name decides nothing by itself: with it go
-the share of the page's or article's words that the named element holds and the share that stands before it, so that a
-wrapper called "has-sidebar" and a sidebar differ; names outside an article don't count inside it. A decision tree, grown
+before and after it, how many blocks of links stand in a row there, and what its place says: whether a boilerplate element
+(nav, footer, aside) or the page's article holds it, and how much the names (class, id) of what holds it speak of
+boilerplate. Which element is the article is decided by text: article and main elements are candidates, and one that holds
+the page's heading or enough of its unlinked words is taken; teaser cards and comments in article elements are not. A name
+decides nothing by itself: with it goes the share of the page's or article's words that the named element holds, so that
+a wrapper called "has-sidebar" and a sidebar differ; names outside an article don't count inside it. A decision tree, grown
 from the small labelled table below, says which blocks are main text; those are joined by line feeds in page order.
 
 Null or empty html gives an empty text; unclosed tags, comments and scripts run to the page's end as in HTML, and a link
-to its end tag or the next link, over blocks; blocks that repeat stay; a page of any length is one unit, held by one
+to its end tag or the next link, over blocks; blocks that repeat stay; of candidates that tie the first is the article; a page of any length is one unit, held by one
 task, and read once from start to end; rows with null or equal ids stay rows; extra columns are ignored; an empty table
 gives an empty result.
 """
@@ -39,7 +41,7 @@ BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog search".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside rail widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations more pagination pager tags copyright legal disclaimer skip toolbar contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside rail widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations more pagination pager tags copyright legal disclaimer skip toolbar contentinfo complementary dfp slot teaser teasers partner partners promoted taboola outbrain".split()
 )
 ARTICLE_WORDS = frozenset("article content main post entry story body text page".split())
 
@@ -56,7 +58,7 @@ _IMPLIED = {"li": frozenset(["li"]), "p": frozenset(["p"]), "dt": frozenset(["dt
 
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "boilerplate_tag", "article_tag", "article_on_page", "boilerplate_name", "share_of_named", "share_before_named", "article_name", "heading", "paragraph",
+    "boilerplate_tag", "article_tag", "article_on_page", "boilerplate_name", "share_of_named", "linked_run", "article_name", "heading", "paragraph",
 )
 
 
@@ -91,58 +93,71 @@ def _is_link(attrs: str) -> bool:
 
 
 class Block:
-    """A flat block: its text, words, words in links, and its place."""
+    """A flat block: its text, words, words in links, and its place; top is whether it is a heading of the first level."""
 
-    __slots__ = ("text", "words", "linked", "boilerplate", "scope", "region", "good", "heading", "paragraph")
+    __slots__ = ("text", "words", "linked", "boilerplate", "region", "good", "heading", "paragraph", "top")
 
 
-class Page:
-    """A page's blocks, the regions that named elements are, and the scopes: the page itself (0) and its outermost articles.
+class Region:
+    """What an element holds: the blocks from first to end. named is the share of boilerplate words in its names; around
+    the number of the region around it; order counts elements as they open; candidate is None or whether it may be the article."""
+
+    __slots__ = ("named", "first", "end", "around", "order", "parent", "candidate", "main")
+
+    def __init__(self, named: float, first: int, around: int, order: int, parent: int, candidate: bool | None, main: bool):
+        self.named, self.first, self.end, self.around, self.order, self.parent, self.candidate, self.main = named, first, first, around, order, parent, candidate, main
+
+    def holds(self, other: Region) -> bool:
+        return self.order < other.order and self.first <= other.first and other.end <= self.end
+
+
+#: Of the page's unlinked words, the share that makes a candidate the article: if it alone has a heading of the first level
+#: (or is the only candidate, not mostly links, and no one has such a heading), if no one has, if another place has one.
+ENOUGH = {"own": 0.0, "none": 0.25, "other": 0.5}
+#: Of a candidate's unlinked words, what a candidate in it must hold to be taken in its place, and one beside it to be taken too.
+WITHIN, BESIDE = 0.6, 0.5
+
 
-    A region is [share of boilerplate words, first block, end block, the region around it in its scope, whether it holds the
-    page's first article, its scope]; a scope is [first block, end block]."""
+class Page:
+    """A page's blocks, the regions that named elements and candidates for the article are, and the article: some regions, or none."""
 
     def __init__(self, page: str | None):
         self.blocks: list[Block] = []
-        self.regions: list[list] = []
-        self.scopes: list[list[int]] = [[0, 0]]
+        self.regions: list[Region] = []
         if page:
             self._read(page)
-        for x in (*self.scopes, *(r[1:3] for r in self.regions)):
-            assert x[1] <= len(self.blocks)
+        self.article = self._chosen()
 
     def _read(self, page: str) -> None:
         text: list[str] = []
         linked: list[str] = []
-        # of each open element: tag, boilerplate, scope before, region before, article name before, hidden, its own scope and region
+        # of each open element: tag, boilerplate, region before, article name before, hidden, its own region, whether it is a candidate, its number
         stack: list[tuple] = []
         opened: Counter[str] = Counter()
-        boilerplate = hidden = links = heading = paragraph = scope = 0
+        boilerplate = hidden = links = heading = paragraph = top = articles = order = 0
         region, good = -1, False
 
         def close() -> None:
-            nonlocal heading, paragraph
+            nonlocal heading, paragraph, top
             if text:
                 joined = " ".join(entities.unescape("".join(text)).split())
                 if joined and not hidden:
                     b = Block()
                     b.text, b.words = joined, joined.count(" ") + 1
                     b.linked = min(b.words, len(entities.unescape("".join(linked)).split())) if linked else 0
-                    b.boilerplate, b.scope, b.region, b.good, b.heading, b.paragraph = boilerplate > 0, scope, region, good, heading, paragraph
+                    b.boilerplate, b.region, b.good, b.heading, b.paragraph, b.top = boilerplate > 0, region, good, heading, paragraph, top
                     self.blocks.append(b)
                 text.clear()
                 linked.clear()
-            heading = paragraph = 0
+            heading = paragraph = top = 0
 
         def leave() -> str:
-            nonlocal boilerplate, scope, region, good, hidden
-            tag, bad, before, around, was_good, was_hidden, own_scope, own_region = stack.pop()
+            nonlocal boilerplate, region, good, hidden, articles
+            tag, bad, around, was_good, was_hidden, own_region, was_article, _ = stack.pop()
             opened[tag] -= 1
-            if own_scope:
-                self.scopes[own_scope][1] = len(self.blocks)
             if own_region >= 0:
-                self.regions[own_region][2] = len(self.blocks)
-            boilerplate, scope, region, good, hidden = boilerplate - bad, before, around, was_good, hidden - was_hidden
+                self.regions[own_region].end = len(self.blocks)
+            boilerplate, region, good, hidden, articles = boilerplate - bad, around, was_good, hidden - was_hidden, articles - was_article
             return tag
 
         at, size = 0, len(page)
@@ -198,35 +213,57 @@ class Page:
             while stack and (stack[-1][0] in _IMPLIED.get(tag, ()) or stack[-1][0] == "p"):
                 leave()
             if tag not in VOID and not attrs.endswith("/"):
-                bad, article, named, article_name, hide = _says(tag, attrs, scope > 0)
-                bad = bad or tag == "header" and not scope
+                bad, article, named, article_name, hide = _says(tag, attrs, articles > 0)
+                bad = bad or tag == "header" and not articles
                 hide = hide or tag in SKIPPED
-                own_scope, own_region = 0, -1
-                before = (scope, region, good)
-                plain = any(x[-1] >= 0 and self.regions[x[-1]][0] == 1.0 for x in stack) if article and not scope else False
-                if article and not scope and not boilerplate and not bad and not plain:  # names outside don't count inside
-                    if len(self.scopes) == 1:
-                        for *_, open_region in stack:
-                            if open_region >= 0:
-                                self.regions[open_region][4] = True
-                    own_scope = scope = len(self.scopes)
-                    self.scopes.append([len(self.blocks), len(self.blocks)])
-                    region, good = -1, False
-                elif named and tag not in ("body", "html"):
+                order += 1
+                own_region, before = -1, (region, good)
+                candidate = article and not boilerplate and not bad
+                if candidate or named and tag not in ("body", "html"):
                     own_region = len(self.regions)
-                    self.regions.append([named, len(self.blocks), len(self.blocks), region, False, scope])
-                    region, good = own_region, False
+                    self.regions.append(Region(named, len(self.blocks), region, order, stack[-1][-1] if stack else 0, candidate or None, tag == "main"))
+                    region = own_region
+                if candidate:
+                    good = False
+                elif named:
+                    good = False
                 elif article_name:
                     good = True
-                stack.append((tag, bad, *before, hide, own_scope, own_region))
+                stack.append((tag, bad, *before, hide, own_region, candidate, order))
                 opened[tag] += 1
-                boilerplate, hidden = boilerplate + bad, hidden + hide
+                boilerplate, hidden, articles = boilerplate + bad, hidden + hide, articles + candidate
             heading = int(len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
+            top = int(tag == "h1")
             paragraph = int(tag in ("p", "blockquote", "pre"))
         close()
         while stack:
             leave()
-        self.scopes[0][1] = len(self.blocks)
+
+    def _chosen(self) -> list[Region]:
+        """The regions that are the article: decided by headings and unlinked words."""
+        if not any(r.candidate for r in self.regions):
+            return []
+        free = np.array([0 if b.boilerplate else b.words - b.linked for b in self.blocks] or [0])
+        tops = np.array([b.top and not b.boilerplate for b in self.blocks] or [0])
+        upto, heads = np.concatenate([[0], np.cumsum(free)]), np.concatenate([[0], np.cumsum(tops)])
+        held = lambda r, of=upto: int(of[r.end] - of[r.first])
+        # a candidate in something that is called boilerplate and nothing else is a comment or a card
+        fully = {k for k, r in enumerate(self.regions) if r.named == 1.0 and (held(r) < WITHIN * upto[-1] or r.candidate is not None)}
+        for k, r in enumerate(self.regions):
+            if r.around in fully:
+                fully.add(k)
+        known = [r for k, r in enumerate(self.regions) if r.candidate and k not in fully]
+        if not known:
+            return []
+        best = max(known, key=lambda r: (r.main, held(r, heads) > 0, held(r), -r.order))
+        where = "own" if held(best, heads) == heads[-1] > 0 else "other" if heads[-1] else "none"
+        if where == "none" and len(known) == 1 and 2 * held(best) > sum(b.words for b in self.blocks[best.first : best.end] if not b.boilerplate):
+            where = "own"
+        if best.first == best.end or held(best) < ENOUGH[where] * upto[-1]:
+            return []
+        while inner := [r for r in known if best.holds(r) and held(r) >= WITHIN * held(best) and held(r, heads) == held(best, heads)]:
+            best = max(inner, key=lambda r: (held(r), -r.order))
+        return [r for r in known if r is best or r.parent == best.parent and held(r) >= BESIDE * held(best) > 0]
 
     def features(self) -> np.ndarray:
         """A row of FEATURES for each block."""
@@ -240,28 +277,44 @@ class Page:
         x[:, 0], x[:, 1] = words, density
         x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
+        place = np.array([2 * b.region + b.boilerplate for b in found])
+        links = density > 0.9
+        edges = np.flatnonzero(np.concatenate([[True], (links[1:] != links[:-1]) | (place[1:] != place[:-1]), [True]]))
+        for s, e in zip(edges, edges[1:], strict=False):  # of one place: a menu after a linked line is no part of it
+            x[s:e, 11] = (e - s) * links[s]
         upto = np.concatenate([[0.0], np.cumsum(words)])
-        # of the regions around a block in its scope the one that says most: a plain name, and not around everything; one
-        # around the page's first article is only its wrapper
-        most: list[tuple[float, int, float, float]] = []
-        for k, (named, first, end, around, wraps, scope) in enumerate(self.regions):
-            lo, hi = self.scopes[scope]
-            whole = max(upto[hi] - upto[lo], 1.0)
-            share, before = (upto[end] - upto[first]) / whole, (upto[first] - upto[lo]) / whole
-            own = (-1.0, -1, 1.0, 0.0) if wraps else (named * (1 - share), k, share, before)
-            most.append(max(own, most[around]) if around >= 0 else own)
+        # the article (or None: the page) that each region is in; what is around an article says nothing of its inside
+        inside: list[Region | None] = []
+        for r in self.regions:
+            inside.append(r if any(r is y for y in self.article) else inside[r.around] if r.around >= 0 else None)
+        whole = lambda of, sums: max(sums[of.end] - sums[of.first] if of is not None else sums[-1], 1.0)
+        # words that are boilerplate by element or by a plain name make nothing else's share smaller
+        counts = words * np.array([not b.boilerplate for b in found])
+        for r, of in zip(self.regions, inside, strict=True):
+            if r.named > 0.9 and upto[r.end] - upto[r.first] < WITHIN * whole(of, upto):
+                counts[r.first : r.end] = 0
+        known = np.concatenate([[0.0], np.cumsum(counts)])
+        # of the regions around a block inside its article the one that says most: a plain name, and not around everything
+        most: list[tuple[float, int, float]] = []
+        for k, (r, of) in enumerate(zip(self.regions, inside, strict=True)):
+            sums = upto if r.named > 0.9 else known
+            share = min(1.0, (sums[r.end] - sums[r.first]) / whole(of, sums))
+            own = (0.0, -1, 1.0) if not r.named or r is of or any(r.holds(y) for y in self.article) else (r.named * (1 - share), k, share)
+            around = most[r.around] if r.around >= 0 and r is not of else (-1.0, -1, 1.0)
+            most.append(max(own, around))
         for i, b in enumerate(found):
-            x[i, 6], x[i, 7], x[i, 12], x[i, 13], x[i, 14] = b.boilerplate, b.scope > 0 and not b.boilerplate, b.good, b.heading, b.paragraph
-            _, k, x[i, 10], x[i, 11] = most[b.region] if b.region >= 0 else (0, -1, 1.0, 0.0)
-            x[i, 9] = self.regions[k][0] if k >= 0 else 0.0
-        x[:, 8] = len(self.scopes) > 1
+            at = inside[b.region] if b.region >= 0 else None
+            x[i, 6], x[i, 7], x[i, 12], x[i, 13], x[i, 14] = b.boilerplate, at is not None and not b.boilerplate, b.good, b.heading, b.paragraph
+            _, k, x[i, 10] = most[b.region] if b.region >= 0 else (0, -1, 1.0)
+            x[i, 9] = self.regions[k].named if k >= 0 else 0.0
+        x[:, 8] = bool(self.article)
         return x
 
 
 # --- the tree ------------------------------------------------------------------------------------------
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 5) -> tuple:
     """A tree by Gini impurity: (feature, threshold, lower branch, upper branch), or (share of main text,) for a leaf."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -296,8 +349,12 @@ def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-_S = "The river rose again in the night, and the people of the lower town carried what they could up the hill."
-_L = " ".join([_S, "No one had thought that the old wall would hold, but it did, and by noon the water began to fall.", _S])
+#: Places of the labelled table that are filled with words: a long paragraph, a sentence or two, a phrase.
+_L, _S, _P = "{long}", "{some}", "{few}"
+_LENGTHS = {"long": (30, 90), "some": (8, 30), "few": (1, 7)}
+_WORDS = "the river rose again in that night and people of a lower town carried what they could up hill no one had thought old wall would hold but it did by noon water began to fall".split()
+
+
 # The labelled table. Elements with the attribute data-main are main text, all others are not.
 #: Main text, with what may stand among it.
 BODIES = (
@@ -326,17 +383,19 @@ SHORT_BODIES = (
 PLAIN = (
     "<div><a>Home</a> <a>World</a> <a>Sport</a></div>",
     "<div>Menu</div>",
-    "<div><a>Home</a></div><div><a>World news</a></div><div><a>Sport and games</a></div>",
-    "<ul><li><a>One story of many more</a></li><li><a>Two stories of many more</a></li><li><a>Three stories of many more</a></li></ul>",
+    "<div><a>Home</a></div><div><a>{few}</a></div><div><a>{few}</a></div>",
+    "<ul><li><a>{few}</a></li><li><a>{few}</a></li><li><a>{few}</a></li></ul>",
     "<div>Welcome to the paper</div><div>Search</div>",
     "<div>Imprint</div><div><a>Terms of use of this paper</a></div>",
-    "<table><tr><td><a>Front page</a></td><td><a>Letters to the editors</a></td></tr></table>",
+    "<table><tr><td><a>Front page</a></td><td><a>{few}</a></td></tr></table>",
     "<div><a>Terms</a> <a>Privacy</a></div><div>All rights reserved.</div>",
-    "<h3>Links</h3><ul><li><a>C</a></li><li><a>D</a></li></ul><h3>Partners</h3><ul><li><a>E of the upper town</a></li></ul>",
+    "<h3>Links</h3><ul><li><a>C</a></li><li><a>D</a></li></ul><h3>Partners</h3><ul><li><a>{few}</a></li></ul>",
     "<div>Made with care in the lower town</div>",
     "<a><div>Ten more stories that you may want to read after this one</div></a>",
     "<div><a>News</a></div><div><a>Shop</a></div>",
-    "<ul><li><a>Weather</a></li><li><a>Jobs today</a></li></ul>",
+    "<h2>Also</h2><div><a>{few}</a></div>",
+    "<h3>What others read</h3><ul><li><a>Bread</a></li><li><a>{few}</a></li></ul>",
+    "<ul><li><a>Weather</a></li><li><a>{few}</a></li></ul>",
 )
 #: The same, told by its element or name, whatever it says.
 NAMED = (
@@ -374,7 +433,29 @@ INNER = (
     "<div class='jp-block sd-sharing'><a>Share on paper</a></div>",
     f"<div class='list-of related-posts wide'><p>{_S}</p><p><a>{_S}</a></p></div>",
     f"<div class='box newsletter-box wide'><p>{_S}</p></div>",
+    "<div class=dfp-slot>Buy two shoes today, and pay for one of them a year from now.</div>",
+    "<ul><li><a>{few}</a></li><li><a>{few}</a></li><li><a>{few}</a></li></ul>",
+    "<div><a>Bread</a></div><div><a>{few}</a></div><div><a>Candles</a></div><div><a>The old wall</a></div>",
+    "<div class=social-share><a>Send it</a> <a>Print it</a></div>",
+    f"<div class=ad><p>{_S}</p></div>",
+    f"<div class='mail newsletter'><p>{_S}</p></div>",
+    f"<div class='box newsletter-box'><p>{_S}</p></div>",
+    f"<section class='latest related'><p>{_S}</p><p>{_S}</p></section>",
+    f"<div class='box tall wide promo-box two'><p>{_S}</p></div>",
+    f"<div class='social-links share'><p>{_S}</p></div>",
+    f"<div class='block one-of sponsored'><p>{_S}</p><p><a>{_S}</a></p></div>",
 )
+#: Cards and comments in article elements outside the article.
+CARDS = (
+    "<section><h2>Read next</h2><article><a>{few}</a></article><article><a>{few}</a></article></section>",
+    "<div><article><a>{few}</a></article></div>",
+    "<div><h2>Next</h2><article><a>{few}</a></article></div>",
+    "<section><h3>From the paper of today</h3><article><a>Bread</a></article><article><a>{few}</a></article></section>",
+    "<section><article><h3><a>{few}</a></h3><p>What came of the old wall in the end.</p></article><article><h3><a>{few}</a></h3><p>Bread is dear again.</p></article></section>",
+    f"<ol><li><article><p>{_S}</p></article></li><li><article><p>I was there too.</p></article></li></ol>",
+)
+#: Pages of each frame and body.
+REPEATS = 6
 #: How pages are put together. Wrappers have names that speak of what else is on the page.
 ARTICLE_FRAMES = (
     "{top}<article>{body}</article>{end}",
@@ -388,6 +469,15 @@ ARTICLE_FRAMES = (
     "<form id=all>{top}<article>{body}</article>{end}</form>",
     "{top}<article><div class='text with-ads'>{body}</div>{inner}</article>{side}",
     "{top}<section><article>{body}</article><div class=discussion>{side}</div></section>{end}",
+    "{top}<article>{inner}{body}</article>{end}",
+    "{top}<main>{body}</main>{cards}{end}",
+    "<article><div class='text more'>{body}</div></article>{end}",
+    "{top}<article><div class='text wide left more'>{body}</div>{inner}</article>{end}",
+    "{top}<article><div class='tall wide left text more'>{body}</div>{inner}</article>{side}",
+    "{top}<article><div class='share related text'>{body}</div>{inner}</article>{side}",
+    "{top}<article><div class='one-of two with-ads'>{body}</div>{inner}</article>{end}",
+    "{top}<article><h1 data-main>Low water</h1><div class='text more'>{body}</div>{inner}</article>{side}",
+    "{top}<article><h1 data-main>To the editors</h1><div class=form-letter>{body}</div></article>{cards}",
 )
 NAME_FRAMES = (
     "{top}<div class=content>{body}</div>{side}{end}",
@@ -400,17 +490,28 @@ NAME_FRAMES = (
     "{top}<section>{body}{inner}</section>{side}",
     "{top}{body}{end}",
     "{body}{inner}",
+    "{top}<div id=content><h1 data-main>Bridge</h1>{body}</div>{cards}{end}",
+    "<div id=content>{body}</div>{cards}",
+    "{top}<div class='text more'>{body}</div>{cards}{side}",
+    "{top}<div class='text wide left more'>{body}{inner}</div>{side}",
+    "{top}<div class='share related text'>{body}</div>{cards}{end}",
 )
 PLAIN_FRAMES = ("{top}{body}{end}", "<div>{top}</div><div>{body}</div><div>{end}</div>", "<table><tr><td>{top}</td><td>{body}</td></tr></table>{end}", "{body}{end}", "{top}{body}", "{body}")
 
 
 def labelled_pages() -> list[str]:
-    """The table's pages: each frame with each body four times, and in turn all that may stand around them."""
-    pages, k = [], 0
+    """The table's pages: each frame with each body REPEATS times, and around them parts, and lengths of text, that a fixed seed draws."""
+    rng, pages = np.random.default_rng(5), []
+    one = lambda parts: parts[int(rng.integers(len(parts)))]
+
+    def words(m: re.Match) -> str:
+        low, high = _LENGTHS[m[1]]
+        return " ".join(rng.choice(_WORDS, int(rng.integers(low, high)))).capitalize() + "." * (m[1] != "few")
+
     for frames, bodies, around in ((ARTICLE_FRAMES, (*BODIES, *SHORT_BODIES), (*PLAIN, *NAMED)), (NAME_FRAMES, BODIES, (*PLAIN, *NAMED)), (PLAIN_FRAMES, BODIES, PLAIN)):
-        for frame, body, _ in product(frames, bodies, range(4)):
-            k += 1
-            pages.append(frame.format(top=around[7 * k % len(around)], body=body, inner=INNER[k % len(INNER)], side=NAMED[5 * k % len(NAMED)], end=around[3 * k % len(around)]))
+        for frame, body, _ in product(frames, bodies, range(REPEATS)):
+            page = frame.format(top=one(around) + one(("", one(around))), body=body, inner=one(INNER), side=one(NAMED), cards=one(CARDS), end=one(around) + one(("", one(around))))
+            pages.append(re.sub(r"\{(long|some|few)\}", words, page))
     return pages
 
 
