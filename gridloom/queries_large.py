@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from . import linalg as L
 from .config import config_context
 from .linalg import preconditioners as P
+from .operators import tape
 from .operators.assembly import add, vstack
 from .operators.dense import Dense
 from .operators.matrix import SparseMatrix
-from .queries import A, Q, _m, _rounded, _size, _t, a25, part_x, q, qd
+from .queries import A, Q, X, _m, _rounded, _size, _t, a25, part_x, q, qd
 from .sources.construct import coo_array, identity
 
 #: Far below every matrix here, so that none of them may be collected or factorised on one machine.
@@ -228,3 +229,30 @@ q("eigsh_frames", limited(_eigsh_frames), _LEADING + "CAST(1 AS BIGINT) AS n, tr
 q("svds_restarted", lambda s, d: _svds(s, d, False), _SINGULAR + _FOUR)
 q("svds_sampled", limited(lambda s, d: _svds(s, d, True)), _SINGULAR + _FOUR)
 q("eigs_restarted", _eigs, f"WITH {A}, {_power('A', 30, symmetric=False)} SELECT {_ROUNDED}, CAST(2 AS BIGINT) AS n, true AS settled FROM L")
+
+# --- gradients of composed expressions
+
+
+def _tape_norm(s: SparkSession, d: str) -> DataFrame:
+    """|Q.T (Q x)|^2 by Q, which stands in both products, at its stored places."""
+    a = tape.variable(_quantities(s, d))
+    x = tape.variable(part_x(s, a.shape[1]))
+    (g,) = tape.gradients((a.T @ (a @ x)).square(), [a])
+    return _m(g)
+
+
+_FORWARD = f"{Q}, {X}, Y AS MATERIALIZED (SELECT i, SUM(v * x) AS y FROM Q JOIN X USING (j) GROUP BY i), Z AS MATERIALIZED (SELECT j, 2 * SUM(v * y) AS z FROM Q JOIN Y USING (i) GROUP BY j), W AS MATERIALIZED (SELECT i, SUM(v * z) AS w FROM Q JOIN Z USING (j) GROUP BY i)"
+q("tape_norm", _tape_norm, f"WITH {_FORWARD} SELECT i, j, y * z + w * x AS v FROM Q JOIN X USING (j) JOIN Y USING (i) JOIN Z USING (j) JOIN W USING (i)")
+
+
+def _tape_stack(s: SparkSession, d: str) -> DataFrame:
+    """The squares of A and A.T below each other times x, by x."""
+    a = tape.variable(a25(s, d).persist())
+    x = tape.variable(part_x(s, 25))
+    (g,) = tape.gradients((tape.vstack([a, a.T]) @ x).square(), [x])
+    return g.df.select("i", "x")
+
+
+_N = "X25 AS (SELECT CAST(n_nationkey AS BIGINT) AS j, CAST(n_nationkey % 7 + 1 AS DOUBLE) AS x FROM nation)"
+q("tape_stack", _tape_stack, f"""WITH {A}, {_N}, M AS (SELECT i, j, v FROM A UNION ALL SELECT j + 25, i, v FROM A), Y AS (SELECT i, 2 * SUM(v * x) AS y FROM M JOIN X25 USING (j) GROUP BY i),
+G AS (SELECT j, SUM(v * y) AS g FROM M JOIN Y USING (i) GROUP BY j) SELECT X25.j AS i, COALESCE(g, 0.0) AS x FROM X25 LEFT JOIN G USING (j)""")
