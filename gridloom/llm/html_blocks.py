@@ -20,8 +20,9 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import product
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -243,10 +244,8 @@ class Page:
         """The regions that are the article: decided by headings and unlinked words."""
         if not any(r.candidate for r in self.regions):
             return []
-        free = np.array([0 if b.boilerplate else b.words - b.linked for b in self.blocks] or [0])
-        tops = np.array([b.top and not b.boilerplate for b in self.blocks] or [0])
-        upto, heads = np.concatenate([[0], np.cumsum(free)]), np.concatenate([[0], np.cumsum(tops)])
-        held = lambda r, of=upto: int(of[r.end] - of[r.first])
+        upto, heads = _sums(0 if b.boilerplate else b.words - b.linked for b in self.blocks), _sums(int(b.top and not b.boilerplate) for b in self.blocks)
+        held = lambda r, of=upto: of[r.end] - of[r.first]
         # a candidate in something that is called boilerplate and nothing else is a comment or a card
         fully = {k for k, r in enumerate(self.regions) if r.named == 1.0 and (held(r) < WITHIN * upto[-1] or r.candidate is not None)}
         for k, r in enumerate(self.regions):
@@ -265,50 +264,67 @@ class Page:
             best = max(inner, key=lambda r: (held(r), -r.order))
         return [r for r in known if r is best or r.parent == best.parent and held(r) >= BESIDE * held(best) > 0]
 
-    def features(self) -> np.ndarray:
-        """A row of FEATURES for each block."""
+    def features(self) -> list[list[float]]:
+        """A row of FEATURES for each block. Pages are short, so this is plain Python; rows of many pages are classified together."""
         found = self.blocks
-        n = len(found)
-        x = np.zeros((n, len(FEATURES)))
-        if not n:
-            return x
-        words = np.array([b.words for b in found], float)
-        density = np.array([b.linked for b in found]) / words
-        x[:, 0], x[:, 1] = words, density
-        x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
-        x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-        place = np.array([2 * b.region + b.boilerplate for b in found])
-        links = density > 0.9
-        edges = np.flatnonzero(np.concatenate([[True], (links[1:] != links[:-1]) | (place[1:] != place[:-1]), [True]]))
-        for s, e in zip(edges, edges[1:], strict=False):  # of one place: a menu after a linked line is no part of it
-            x[s:e, 11] = (e - s) * links[s]
-        upto = np.concatenate([[0.0], np.cumsum(words)])
-        # the article (or None: the page) that each region is in; what is around an article says nothing of its inside
+        if not found:
+            return []
+        words = [b.words for b in found]
+        density = [b.linked / b.words for b in found]
+        runs = [0] * len(found)
+        at = 0
+        while at < len(found):  # blocks of links in a row, of one place: a menu after a linked line is no part of it
+            to = at + 1
+            if density[at] > 0.9:
+                while to < len(found) and density[to] > 0.9 and found[to].region == found[at].region and found[to].boilerplate == found[at].boilerplate:
+                    to += 1
+                runs[at:to] = [to - at] * (to - at)
+            at = to
+        inside, most = self._named(words)
+        rows, any_article = [], bool(self.article)
+        before, before_density = 0, 0.0
+        for i, b in enumerate(found):
+            last = i + 1 == len(found)
+            named, share = most[b.region] if b.region >= 0 else (0.0, 1.0)
+            article = b.region >= 0 and inside[b.region] is not None and not b.boilerplate
+            rows.append([
+                words[i], density[i], before, before_density, 0 if last else words[i + 1], 0.0 if last else density[i + 1],
+                b.boilerplate, article, any_article, named, share, runs[i], b.good, b.heading, b.paragraph,
+            ])
+            before, before_density = words[i], density[i]
+        return rows
+
+    def _named(self, words: list[int]) -> tuple[list[Region | None], list[tuple[float, float]]]:
+        """Of each region the article (or None: the page) that it is in, and the share of boilerplate words and of the article's
+        words of the region around it (or itself) that says most: a plain name, and not around everything.
+
+        What is around an article says nothing of its inside; words that are boilerplate by element or by a plain name make
+        nothing else's share smaller."""
         inside: list[Region | None] = []
         for r in self.regions:
             inside.append(r if any(r is y for y in self.article) else inside[r.around] if r.around >= 0 else None)
-        whole = lambda of, sums: max(sums[of.end] - sums[of.first] if of is not None else sums[-1], 1.0)
-        # words that are boilerplate by element or by a plain name make nothing else's share smaller
-        counts = words * np.array([not b.boilerplate for b in found])
+        if not any(r.named for r in self.regions):
+            return inside, [(0.0, 1.0)] * len(inside)
+        upto = _sums(words)
+        whole = lambda of, sums: max(sums[of.end] - sums[of.first] if of is not None else sums[-1], 1)
+        counts = [0 if b.boilerplate else b.words for b in self.blocks]
         for r, of in zip(self.regions, inside, strict=True):
             if r.named > 0.9 and upto[r.end] - upto[r.first] < WITHIN * whole(of, upto):
-                counts[r.first : r.end] = 0
-        known = np.concatenate([[0.0], np.cumsum(counts)])
-        # of the regions around a block inside its article the one that says most: a plain name, and not around everything
+                counts[r.first : r.end] = [0] * (r.end - r.first)
+        known = _sums(counts)
         most: list[tuple[float, int, float]] = []
         for k, (r, of) in enumerate(zip(self.regions, inside, strict=True)):
-            sums = upto if r.named > 0.9 else known
-            share = min(1.0, (sums[r.end] - sums[r.first]) / whole(of, sums))
-            own = (0.0, -1, 1.0) if not r.named or r is of or any(r.holds(y) for y in self.article) else (r.named * (1 - share), k, share)
-            around = most[r.around] if r.around >= 0 and r is not of else (-1.0, -1, 1.0)
-            most.append(max(own, around))
-        for i, b in enumerate(found):
-            at = inside[b.region] if b.region >= 0 else None
-            x[i, 6], x[i, 7], x[i, 12], x[i, 13], x[i, 14] = b.boilerplate, at is not None and not b.boilerplate, b.good, b.heading, b.paragraph
-            _, k, x[i, 10] = most[b.region] if b.region >= 0 else (0, -1, 1.0)
-            x[i, 9] = self.regions[k].named if k >= 0 else 0.0
-        x[:, 8] = bool(self.article)
-        return x
+            own = (0.0, -1, 1.0)
+            if r.named and r is not of and not any(r.holds(y) for y in self.article):
+                sums = upto if r.named > 0.9 else known
+                share = min(1.0, (sums[r.end] - sums[r.first]) / whole(of, sums))
+                own = (r.named * (1 - share), k, share)
+            most.append(max(own, most[r.around]) if r.around >= 0 and r is not of else own)
+        return inside, [(self.regions[k].named if k >= 0 else 0.0, share) for _, k, share in most]
+
+
+def _sums(values: Iterable[int]) -> list[int]:
+    return [0, *accumulate(values)]
 
 
 # --- the tree ------------------------------------------------------------------------------------------
@@ -523,7 +539,7 @@ def marked(page: str) -> tuple[np.ndarray, np.ndarray]:
     for b, yes in zip(found.blocks, main, strict=True):
         b.words -= int(yes)
         b.linked = min(b.linked, b.words)
-    return found.features(), main
+    return np.array(found.features(), float).reshape(-1, len(FEATURES)), main
 
 
 @lru_cache(1)
@@ -533,22 +549,21 @@ def trained() -> tuple:
 
 
 def main_text(page: str | None) -> str:
-    return _main(Page(page), trained())
+    return main_texts([Page(page)], trained())[0]
 
 
-def _main(page: Page, tree: tuple) -> str:
-    return "\n".join(b.text for b, main in zip(page.blocks, classify(tree, page.features()), strict=True) if main)
+def main_texts(pages: list[Page], tree: tuple) -> list[str]:
+    rows = [row for p in pages for row in p.features()]
+    main = iter(classify(tree, np.array(rows, float)).tolist() if rows else ())
+    return ["\n".join([b.text for b in p.blocks if next(main)]) for p in pages]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row per page: page_id, url, text, n_chars, n_blocks."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, counts = [], []
-        for html in batch.column(2).to_pylist():
-            page = Page(html)
-            texts.append(_main(page, tree))
-            counts.append(len(page.blocks))
+        found = [Page(html) for html in batch.column(2).to_pylist()]
+        texts, counts = main_texts(found, tree), [len(p.blocks) for p in found]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
     tree = trained()

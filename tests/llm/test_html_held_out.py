@@ -52,7 +52,7 @@ def test_word_and_link_features_decide():
     """Without the blocks' and neighbours' words and link density, answers on these pages are others."""
     tree, changed = hb.trained(), 0
     for page in PAGES.values():
-        x = hb.Page(page).features()
+        x = np.array(hb.Page(page).features())
         y = x.copy()
         y[:, :6], y[:, 11] = 0, 0  # linked_run is the link density of neighbours, too
         changed += int((hb.classify(tree, x) != hb.classify(tree, y)).any())
@@ -62,7 +62,7 @@ def test_word_and_link_features_decide():
 def test_only_the_six_dealt_features_decide_plain_pages():
     tree, changed = hb.trained(), 0
     for name in ("no element and no name", "old tables", "cards below a named wrapper", "one card"):
-        x = hb.Page(PAGES[name]).features()
+        x = np.array(hb.Page(PAGES[name]).features())
         y = x.copy()
         y[:, :6] = 0
         changed += int((hb.classify(tree, x) != hb.classify(tree, y)).sum())
