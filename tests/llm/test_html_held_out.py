@@ -1,4 +1,7 @@
-"""Main text on pages that were written and labelled by hand, with no part of them in the table that the tree is grown from."""
+"""Main text on pages that were written and labelled by hand, with no part of them in the table that the tree is grown from.
+
+The tree's settings and the kinds of parts in its table were chosen while looking at PAGES, which are therefore no estimate
+of what it gets wrong elsewhere. FRESH were written afterwards and run once: nine of the ten came out right, and nothing was changed for the tenth."""
 
 import re
 
@@ -39,6 +42,24 @@ PAGES = {
 }
 
 
+FA = "Every spring the council counts the toads that cross the lane, and every spring someone proposes a tunnel for them."
+FB = "Last year four hundred and six were carried over in buckets by children from the school, wearing vests that glowed."
+FC = "Drivers are asked to take the upper road after dark, although few of them do, since it adds ten minutes to the way home."
+
+FRESH = {
+    "blog": f"<div id=wrap><div id=masthead><h2><a href=/>Lane notes</a></h2></div><div id=nav><a href=/a>About</a><a href=/b>Archive</a></div><div class=entry><h1>*Toads</h1><p>*{FA}</p><p>*{FB}</p><p>*{FC}</p></div><div id=footer>Powered by tea</div></div>",
+    "main and aside": f"<header><a href=/>Gazette</a></header><main><article><h1>*Toads</h1><p class=lead>*{FA}</p><figure><figcaption>*A toad in a bucket</figcaption></figure><p>*{FB}</p></article><aside><h2>Popular</h2><p>{FC}</p></aside></main><footer>Imprint</footer>",
+    "forum-like replies": f"<article class=thread><h1>*Toads</h1><p>*{FA}</p></article><div class=replies><div class=reply><p>{FB}</p></div><div class=reply><p>{FC}</p></div></div>",
+    "promo within": f"<article><h1>*Toads</h1><p>*{FA}</p><div class='inline-promo'><p>Get our calendar of toads for the coming year now.</p></div><p>*{FB}</p></article>",
+    "cookie bar": f"<div class='cc-window cookie-bar'><p>We store small files on your machine so that we know you again.</p><button>Fine</button></div><div class=text><h1>*Toads</h1><p>*{FA}</p><p>*{FC}</p></div>",
+    "author box": f"<article><h1>*Toads</h1><p>*{FA}</p><p>*{FB}</p><div class='social share-links'><a href=#>Send</a></div></article><section><h3>Read on</h3><article><h4><a href=/1>Frogs of the pond</a></h4><p>They are louder than ever.</p></article><article><h4><a href=/2>Newts</a></h4><p>Nobody counts them yet.</p></article></section>",
+    "tags and pager": f"<main><h1>*Toads</h1><p>*{FC}</p><p>*{FA}</p><ul class=tags><li><a href=/t1>toads</a></li><li><a href=/t2>lane</a></li></ul><div class=pagination><a href=/p>Previous</a> <a href=/n>Next</a></div></main>",
+    "notice on top": f"<div class='alert alert-warning'><p>This page will move to another address in the coming month.</p></div><main><h1>*Toads</h1><p>*{FA}</p><p>*{FB}</p></main>",
+    "plain divs": f"<div><a href=/>Start</a></div><div>*{FA} {FC}</div><div>*{FB}</div><div><a href=/x>Contact</a> <a href=/y>Help</a></div>",
+    "skip link and search": f"<a href=#c>Skip to content</a><form role=search><label>Search</label><input></form><article id=c><h1>*Toads</h1><p>*{FA}</p><blockquote>*{FB}</blockquote></article><div class=newsletter-signup><p>Write your address here for a letter each week.</p></div>",
+}
+
+
 def expected(page):
     return [b.text for b in hb.Page(page).blocks if b.text.startswith("*")]
 
@@ -77,3 +98,8 @@ def test_the_article_is_chosen_by_text():
     tied = hb.Page(f"<div><article>{A}</article></div><div><article>{A}</article></div>")
     assert [r.first for r in tied.article] == [0]
     assert np.isfinite(tied.features()).all()
+
+
+def test_pages_that_nothing_was_fitted_to():
+    right = [name for name, page in FRESH.items() if hb.main_text(page).split("\n") == expected(page)]
+    assert len(right) >= 9
