@@ -34,8 +34,7 @@ def cut(df: DataFrame, what: str = "matrix") -> DataFrame:
     """df written to the shared folder and read again: later stages don't repeat it, and survive lost executors."""
     spark = df.sparkSession
     path = f"{cuts_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if not _cleared:
-        _cleared.append(atexit.register(_at_exit))
+    cut_at_exit()
     kept = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # what the write shuffled is of no use once it is done
     try:
@@ -47,21 +46,27 @@ def cut(df: DataFrame, what: str = "matrix") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def cut_at_exit() -> None:
+    """Whatever stands in the folder of cuts is deleted when the driver ends."""
+    if not _cleared:
+        _cleared.append(atexit.register(_at_exit))
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes what cut wrote for these frames; no plan may read them any more. Other frames are left alone."""
     for df in frames:
         if path := vars(df).pop("cut_path", None):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes every cut of this application; results that were not written elsewhere are gone."""
-    _delete(spark, cuts_dir(spark))
+    delete(spark, cuts_dir(spark))
 
 
 _cleared: list = []

@@ -21,6 +21,7 @@ from .operators.dense import Dense
 from .operators.matrix import SparseMatrix
 from .queries import A, Q, X, _m, _rounded, _size, _t, a25, part_x, q, qd
 from .sources.construct import coo_array, identity
+from .sources.row_blocks import RowBlocks
 
 #: Far below every matrix here, so that none of them may be collected or factorised on one machine.
 LIMITS = {"local_rows": 4, "local_cells": 4, "factor_rows": 4}
@@ -256,3 +257,17 @@ def _tape_stack(s: SparkSession, d: str) -> DataFrame:
 _N = "X25 AS (SELECT CAST(n_nationkey AS BIGINT) AS j, CAST(n_nationkey % 7 + 1 AS DOUBLE) AS x FROM nation)"
 q("tape_stack", _tape_stack, f"""WITH {A}, {_N}, M AS (SELECT i, j, v FROM A UNION ALL SELECT j + 25, i, v FROM A), Y AS (SELECT i, 2 * SUM(v * x) AS y FROM M JOIN X25 USING (j) GROUP BY i),
 G AS (SELECT j, SUM(v * y) AS g FROM M JOIN Y USING (i) GROUP BY j) SELECT X25.j AS i, COALESCE(g, 0.0) AS x FROM X25 LEFT JOIN G USING (j)""")
+
+# --- blocks of rows: the second product of each, whose plan sends no cell
+_ROW_SQL = f"WITH {Q}, {X}, Y AS (SELECT i, SUM(v * x) AS y FROM Q JOIN X USING (j) GROUP BY i) SELECT s_suppkey AS i, COALESCE(y, 0.0) AS x FROM supplier LEFT JOIN Y ON s_suppkey = i"
+
+
+def _row_blocks(s: SparkSession, d: str, broadcast: bool) -> DataFrame:
+    m = RowBlocks(_quantities(s, d), cells=4096)
+    x = part_x(s, m.shape[1])
+    m.matvec(x, broadcast=broadcast).df.count()
+    return m.matvec(x, broadcast=broadcast).df.select("i", "x")
+
+
+q("row_blocks_matvec", limited(lambda s, d: _row_blocks(s, d, True)), _ROW_SQL)
+q("row_blocks_matvec_halo", limited(lambda s, d: _row_blocks(s, d, False)), _ROW_SQL)
