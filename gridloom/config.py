@@ -7,6 +7,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -64,6 +65,11 @@ class ConfigManager:
     values: dict[str, object] = field(default_factory=dict)
     hooks: dict[str | None, list[Callable]] = field(default_factory=dict)
     locked: bool = False
+    #: Values of the blocks that the running thread is in; other threads don't see them.
+    patched: ContextVar[dict[str, object] | None] = field(default_factory=lambda: ContextVar("patched", default=None))
+
+    def _inside(self) -> dict[str, object]:
+        return self.patched.get() or {}
 
     def _spark(self) -> SparkSession:
         return SparkSession.builder.getOrCreate()
@@ -83,8 +89,9 @@ class ConfigManager:
         option = self.option(name)
         if option.setting:
             return int(self._spark().conf.get(option.setting))
-        if name in self.values:
-            return self.values[name]
+        for own in (self._inside(), self.values):
+            if name in own:
+                return own[name]
         given = os.environ.get(PREFIX + name.upper())
         return option.default if given is None else option.parse(given)
 
@@ -92,7 +99,7 @@ class ConfigManager:
         """Where the value comes from: session, set, environment or default."""
         if self.option(name).setting:
             return "session"
-        return "set" if name in self.values else "environment" if PREFIX + name.upper() in os.environ else "default"
+        return "set" if name in self.values or name in self._inside() else "environment" if PREFIX + name.upper() in os.environ else "default"
 
     def set(self, name: str, value: object) -> None:
         option = self.option(name)
@@ -102,7 +109,7 @@ class ConfigManager:
         if option.setting:
             self._spark().conf.set(option.setting, str(value))
         else:
-            self.values[name] = value
+            (self._inside() if name in self._inside() else self.values)[name] = value
         self._tell(name, old)
 
     def reset(self, name: str) -> None:
@@ -154,15 +161,26 @@ class ConfigManager:
 
     @contextmanager
     def patch(self, **values: object) -> Iterator[ConfigManager]:
-        """Options for the time of a block."""
-        before = {n: (self.get(n), n in self.values or self.option(n).setting) for n in values}
+        """Options for the time of a block, in the thread that runs it; those that stand for a session's setting change for all of it."""
+        before = {n: self.get(n) for n in values}
+        settings = {n: self.option(n).setting for n in values}
+        if self.locked and any(self.option(n).startup for n in values):
+            raise RuntimeError("startup options are fixed since the manager was locked")
+        parsed = {n: self.option(n).parse(v) for n, v in values.items()}
+        token = self.patched.set({**self._inside(), **{n: v for n, v in parsed.items() if not settings[n]}})
         try:
-            for n, v in values.items():
-                self.set(n, v)
+            for n, v in parsed.items():
+                if settings[n]:
+                    self._spark().conf.set(settings[n], str(v))
+                self._tell(n, before[n])
             yield self
         finally:
-            for n, (v, own) in before.items():
-                self.set(n, v) if own else self.reset(n)
+            now = {n: self.get(n) for n in values}
+            self.patched.reset(token)
+            for n in values:
+                if settings[n]:
+                    self._spark().conf.set(settings[n], str(before[n]))
+                self._tell(n, now[n])
 
 
 config = ConfigManager()

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linalg as L
-from .config import config_context
+from .config import ConfigManager, config, config_context, runtime, set_config, use_device, use_gpu
 from .linalg import preconditioners as P
 from .operators import tape
 from .operators.assembly import add, vstack
 from .operators.dense import Dense
 from .operators.matrix import SparseMatrix
-from .queries import A, Q, X, _m, _rounded, _size, _t, a25, part_x, q, qd
+from .queries import A, Q, X, _m, _rounded, _size, _t, a25, general, part_x, q, qd
 from .sources.construct import coo_array, identity
 from .sources.row_blocks import RowBlocks
 
@@ -271,3 +271,25 @@ def _row_blocks(s: SparkSession, d: str, broadcast: bool) -> DataFrame:
 
 q("row_blocks_matvec", limited(lambda s, d: _row_blocks(s, d, True)), _ROW_SQL)
 q("row_blocks_matvec_halo", limited(lambda s, d: _row_blocks(s, d, False)), _ROW_SQL)
+
+
+def _configured(s: SparkSession, d: str) -> DataFrame:
+    """One system factorised on one machine and by fronts, as options say, and what devices there are."""
+    a = general(s, d)
+    use_device("cpu")
+    try:
+        use_gpu()
+        gpu = True
+    except RuntimeError:
+        gpu = False
+    with runtime.context(factor_rows=1_000):
+        near = L.splu(a)
+        set_config("factor_rows", 4)
+        far = L.splu(a)
+        patched = config.get("factor_rows")
+    x = far.solve(a.matvec(part_x(s, 25)))
+    facts = {"near": isinstance(near, L.SparseLU), "far": isinstance(far, L.FrontalLU), "gpu": gpu, "patched": patched == 4, "restored": config.get("factor_rows") == ConfigManager().get("factor_rows")}
+    return _rounded(x).select("i", "x", *(F.lit(v).alias(n) for n, v in facts.items()))
+
+
+q("configured_solve", _configured, f"SELECT *, true AS near, true AS far, false AS gpu, true AS patched, true AS restored FROM ({_KNOWN_P})")

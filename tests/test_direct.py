@@ -274,3 +274,29 @@ def test_fronts_refuse(spark):
         L.FrontalLU(from_dense(spark, np.ones((2, 3))))
     with config_context(front_rows=3), pytest.raises(ValueError, match="front_rows"):
         L.FrontalCholesky(from_dense(spark, np.ones((8, 8)) + 9 * np.eye(8)), block=2)
+
+
+# --- options of a block
+
+
+def test_a_block_of_options_is_one_threads():
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from gridloom.config import get_config, set_config
+
+    inside, before = Barrier(2), get_config("front_rows")
+
+    def run(n):
+        with config_context(front_rows=n):
+            inside.wait(10)
+            got = get_config("front_rows")
+            with config_context(front_rows=n + 1):
+                set_config("front_rows", n + 2)
+                more = get_config("front_rows")
+            inside.wait(10)
+            return got, more, get_config("front_rows")
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, (10, 20))) == [(10, 12, 10), (20, 22, 20)]
+    assert get_config("front_rows") == before
