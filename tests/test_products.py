@@ -58,6 +58,40 @@ def test_what_is_shuffled_is_bounded_by_the_grid(spark):
     assert [s.n for s in sent] == [np.count_nonzero(a)] * 2 and [s.strips for s in sent] == [3, 4]
 
 
+@pytest.mark.parametrize("r", [T.Route(1, 1, 1), T.Route(3, 4, 2), T.Route(3, 4, 5, 30, 40), T.Route(7, 2, 1, 30, 0)])
+def test_routes_give_one_product(spark, monkeypatch, r):
+    monkeypatch.setattr(T, "AT_ONCE", 50)
+    rng = np.random.default_rng(2)
+    a, b = sparse_array(rng, 30, 25, 0.3), sparse_array(rng, 25, 40, 0.3)
+    a[:, 4], b[4, :], a[7, :], a[:, 9] = 1, 2, 3, 0
+    out = T.routed(from_dense(spark, a).df, from_dense(spark, b).df, r, 3).toPandas()
+    assert not out.duplicated(["i", "j"]).any() and (out.v != 0).all()
+    got = np.zeros((30, 40))
+    got[out.i, out.j] = out.v
+    assert np.allclose(got, a @ b)
+
+
+def test_cells_of_blocks_go_to_few_tiles(spark, monkeypatch):
+    """Of a matrix of 12 blocks on the diagonal, a grid sends each cell to all strips of the other side; the route to about one."""
+    rng = np.random.default_rng(6)
+    a = np.kron(np.eye(12), np.ones((5, 6))) * rng.integers(1, 9, (60, 72))
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(T, "CELLS", 60)
+    monkeypatch.setattr(T, "PRODUCTS", 200)
+    monkeypatch.setattr(T, "tiled", None)
+    m = from_dense(spark, a).canonicalize().persist()
+    facts = sizes.facts(m.df, m.T.df, 60, 60)
+    assert facts.longest_inner == 10 and facts.a == 360
+    r, sent = T.route(m.df, m.T.df, facts, 4)
+    assert r.rows == r.cols == 12 and (r.n_rows, r.n_cols) == (60, 60) and sent == 720
+    monkeypatch.setattr(M, "SENT", 2)
+    assert np.allclose((m @ m.T).todense().collect(), a @ a.T)
+    one = a * 0
+    one[3] = 1  # all cells in one row: no ranges
+    m = from_dense(spark, one).prune().canonicalize().persist()
+    assert T.route(m.df, m.T.df, sizes.facts(m.df, m.T.df, 60, 60), 4)[0].n_cols == 0
+
+
 def test_grid_follows_sizes():
     facts = lambda **x: sizes.Facts(**({"a": 10**7, "b": 10**7, "products": 10**9, "longest_row": 100, "longest_col": 100, "rows": 10**6, "cols": 10**6} | x))
     even = T.grid(facts(), 8)
