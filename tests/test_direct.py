@@ -7,6 +7,7 @@ from gridloom import linalg as L
 from gridloom.config import config_context
 from gridloom.linalg import tsqr
 from gridloom.operators.dense import dense
+from gridloom.operators.matrix import SparseMatrix
 from gridloom.sources.construct import from_dense
 
 
@@ -294,3 +295,18 @@ def test_a_block_of_options_is_one_threads():
     with ThreadPoolExecutor(2) as pool:
         assert list(pool.map(run, (10, 20))) == [(10, 12, 10), (20, 22, 20)]
     assert get_config("front_rows") == before
+
+
+def test_a_tall_gram_sends_cells_once(spark, monkeypatch):
+    """A.T A of few columns is summed by tasks: no sparse product, whose tiles would send each cell for every strip."""
+    monkeypatch.setattr(SparseMatrix, "matmat", None)
+    monkeypatch.setattr(tsqr, "FAN", 2)
+    monkeypatch.setattr(tsqr, "BLOCK_VALUES", 20)
+    rng = np.random.default_rng(8)
+    a = sparse_array(rng, 301, 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # rows go on over batches
+    try:
+        assert np.allclose(tsqr.gram(from_dense(spark, a).df, 6), a.T @ a)
+        assert np.allclose(tsqr.TallQR(from_dense(spark, a), normal=True).R, np.linalg.cholesky(a.T @ a).T)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
