@@ -524,3 +524,17 @@ def test_distributed_steps_keep_what_they_need(spark, solver):
     for M in (None, P.jacobi(a)):
         x, info = getattr(L, solver)(a, b, rtol=1e-8, M=M, distributed=True, return_info=True)
         assert info.converged and np.allclose(x.collect(), [1, 2, 3], atol=1e-5)
+
+
+def test_places_of_random_cells_are_counted_without_a_shuffle(spark):
+    from gridloom.sources.random import numbers, permuted, random_array, runs
+
+    for n in (1, 2, 37, 1000):
+        assert (numbers(permuted(np.arange(n), n, 11), n, 11) == np.arange(n)).all()
+    a = random_array(spark, (70, 90), density=0.5, rng=11)
+    got = runs(a, 11).toPandas().sort_values("first")
+    assert len(got) <= spark.sparkContext.defaultParallelism and (got["first"].to_numpy()[1:] > got["last"].to_numpy()[:-1]).all()
+    assert got.n.sum() == got.distinct.sum() == 3150 and got.i.max() < 70 and got.least.min() >= 0
+    assert "Exchange" not in runs(a, 11)._jdf.queryExecution().executedPlan().toString()
+    twice = runs(a._like(a.df.coalesce(1).union(a.df.coalesce(1))), 11).toPandas()  # each place twice: runs overlap
+    assert len(twice) == 2 and twice.n.sum() == 6300 and (twice["first"] == 0).all()
