@@ -310,3 +310,14 @@ def test_a_tall_gram_sends_cells_once(spark, monkeypatch):
         assert np.allclose(tsqr.TallQR(from_dense(spark, a), normal=True).R, np.linalg.cholesky(a.T @ a).T)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_small_blocks_in_a_chain_are_taken_together(spark):
+    """Blocks of 3 rows that each need the one before: not a round for each."""
+    n = 120
+    a = np.tril(np.full((n, n), 0.01)) + np.eye(n)
+    solver = L.BlockTriangular(from_dense(spark, a), block=3)
+    assert solver.rounds <= 16 and solver.block % 3 == 0
+    assert np.allclose(solver.solve(np.arange(n)).collect(), np.linalg.solve(a, np.arange(n)))
+    own = L.BlockTriangular(from_dense(spark, np.eye(n)), block=3)  # side by side, they stay as they are
+    assert own.rounds == 1 and own.block == 3
