@@ -321,3 +321,16 @@ def test_small_blocks_in_a_chain_are_taken_together(spark):
     assert np.allclose(solver.solve(np.arange(n)).collect(), np.linalg.solve(a, np.arange(n)))
     own = L.BlockTriangular(from_dense(spark, np.eye(n)), block=3)  # side by side, they stay as they are
     assert own.rounds == 1 and own.block == 3
+
+
+def test_a_round_reads_only_what_is_sent_to_it(spark):
+    """In a chain each round reads the update before it, not the tables of all rounds; and a chain is few rounds."""
+    from gridloom.linalg.multifrontal import _Tree
+
+    tree = _Tree(40, {(p, p + 1) for p in range(39)}, 10)
+    assert [tree.senders(t) for t in range(40)] == [[], *([t] for t in range(39))]
+    a = np.diag(np.full(1200, 4.0)) + np.diag(np.ones(1199), 1) + np.diag(np.ones(1199), -1)
+    f = L.FrontalCholesky(from_dense(spark, a).prune())
+    assert f.tree.rounds <= 16
+    low = f.L.todense().collect()
+    assert np.allclose(low @ low.T, a)
