@@ -77,3 +77,51 @@ def test_sampled_singular_values(spark):
             L.sampled_svds(from_dense(spark, a), **wrong)
     with pytest.raises(RuntimeError):
         L.sampled_svds(from_dense(spark, np.zeros((3, 3))), 1)
+
+
+def test_restarted_runs_of_a_matrix_too_large_for_the_driver_take_blocks(spark, monkeypatch):
+    """Steps are passes for a block of vectors, and a value of three equal blocks on the diagonal is found three times."""
+    from gridloom.config import config_context
+    from gridloom.linalg import spectral
+
+    monkeypatch.setattr(spectral, "_restarted", None)  # a vector at a time, which takes jobs a step
+    rng = np.random.default_rng(5)
+    one = np.where(rng.random((10, 14)) < 0.5, rng.standard_normal((10, 14)), 0.0)
+    one[3] = 0
+    a = np.kron(np.eye(3), one)
+    with config_context(local_cells=4):
+        for m in (a, a.T):
+            u, sigma, v = L.svds(from_dense(spark, m), 4, ncv=6, tol=1e-10)
+            assert np.allclose(sigma, np.linalg.svd(a)[1][:4]) and np.isclose(sigma[0], sigma[2])
+            u, v = u.collect(), v.collect()
+            assert np.allclose(m @ v, u * sigma, atol=1e-7) and np.allclose(u.T @ u, np.eye(4)) and np.allclose(v.T @ v, np.eye(4))
+        s = symmetric(70)  # six blocks of eight are not the whole space
+        values, vectors = L.eigsh(from_dense(spark, s), 2, which="LA", ncv=8, tol=1e-9)
+        assert np.allclose(values, np.linalg.eigvalsh(s)[::-1][:2]) and np.allclose(s @ vectors.collect(), vectors.collect() * values, atol=1e-6)
+
+
+def test_the_gram_operator_forms_no_product(spark, monkeypatch):
+    from gridloom.linalg import spectral
+    from gridloom.operators.matrix import SparseMatrix
+
+    monkeypatch.setattr(SparseMatrix, "matmat", None)
+    a = np.random.default_rng(6).standard_normal((12, 30))
+    x = np.arange(12.0)
+    for fits in (True, False):
+        monkeypatch.setattr(spectral, "passable", lambda *_, fits=fits: fits)
+        assert np.allclose(L.gram_operator(from_dense(spark, a)).matvec(spectral.dense(spark, x)).collect(), a @ a.T @ x)
+
+
+def test_a_pass_does_not_depend_on_how_files_are_cut(spark, monkeypatch):
+    """Files read several at once, or in parts, once split a column's cells, or left them unsorted."""
+    from gridloom.operators import passes
+
+    a = np.where(np.random.default_rng(7).random((300, 50)) < 0.5, 1.5, 0.0)
+    x = np.random.default_rng(8).standard_normal((300, 2))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(passes, "TASK_CELLS", 500)
+    for most in ("2k", "64k", kept):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        by = passes.Passes(from_dense(spark, a), "j")
+        assert np.allclose(by.times(x), a.T @ x) and np.allclose(by.normal(x), a @ (a.T @ x))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
