@@ -183,6 +183,22 @@ def test_sweeps_give_incomplete_cholesky(spark):
         L.preconditioners.ichol0(from_dense(spark, -a), distributed=True)
 
 
+@pytest.mark.parametrize("sent", [1e9, 0])
+def test_sweeps_over_tiles_and_by_products(spark, monkeypatch, sent):
+    """Several tiles, dense and sparse ones; a table of all products, cubic in a dense block, is not made on either way."""
+    from gridloom.linalg import incomplete
+
+    monkeypatch.setattr(incomplete, "SENT", sent)
+    monkeypatch.setattr(incomplete.SparseMatrix, "_split_join", None)
+    monkeypatch.setattr(incomplete._Tiles.__init__, "__defaults__", (8,))
+    a = heavy(np.random.default_rng(11), 30, 0.2)
+    a[:12, :12] += np.random.default_rng(12).random((12, 12))
+    a += np.diag(np.sign(np.diag(a)) * abs(a).sum(1))
+    found = incomplete.Incomplete(from_dense(spark, a))
+    low, up = plain_ilu0(a)
+    assert np.allclose(found.L.todense().collect(), low) and np.allclose(found.U.todense().collect(), up)
+
+
 def test_sweeps_that_do_not_settle(spark):
     light = np.array([[1.0, 5, 5], [5, 1, 5], [5, 5, 1]])
     full = L.preconditioners.ilu0(from_dense(spark, light), distributed=True)  # three rows are exact after a few sweeps
