@@ -4,7 +4,10 @@ A times a few random columns spans, but for a small rest, what A's leading singu
 made orthonormal by a tall QR (reduction trees, linalg.tsqr), A.T times them is reduced to a small triangle the same way,
 and the triangle's singular values are A's. Each pass over A is one product with a block of columns, so the number of jobs
 doesn't depend on the matrix; more passes (power) separate values that lie close together. The rest is measured by what
-the orthonormal columns miss of A times other random columns, which bounds the error with a stated probability."""
+the orthonormal columns miss of A times other random columns, which bounds the error with a stated probability.
+
+Where one side is short enough for its columns to be sent to tasks, a product with A and A.T is one pass over records of the
+cells, none of which is sent (operators.passes); only A.T Q, or A Q, of the longer side is a frame."""
 
 from __future__ import annotations
 
@@ -15,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..operators.dense import Dense, dense
 from ..operators.matrix import COOArray, SparseMatrix
+from ..operators.passes import Passes, passable
 from ..plans.lineage import cut, release
+from .spaces import BASIS_VALUES
 from .tsqr import substituted, triangle
 
 #: Columns besides those that are asked for, and columns that measure the rest: the bound fails with a chance of 10 ** -PROBES.
@@ -75,6 +80,8 @@ def sampled_svds(a: SparseMatrix, k: int = 6, *, power: int = 2, more: int = MOR
         raise ValueError("power and more must not be negative")
     a = a if a._written else a.canonicalize().persist()
     columns = min(k + more, *a.shape)
+    if passable(min(a.shape), columns):
+        return _passed(a, k, columns, power, seed)
     q = _orthonormal(a.matmul(_normal(a, a.n_cols, columns, seed)), not power)
     for t in range(power):
         z = _orthonormal(a.matmul_transpose(q), False)
@@ -95,3 +102,44 @@ def sampled_svds(a: SparseMatrix, k: int = 6, *, power: int = 2, more: int = MOR
     missed = y.df.select("i", "k", "x").union(seen.df.select("i", "k", -F.col("x"))).groupBy("i", "k").agg(F.sum("x").alias("x")).groupBy("k").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
     bound = 10 * np.sqrt(2 / np.pi) * float(np.sqrt(missed.agg(F.max("s")).first()[0] or 0.0))
     return Sampled(values[:some], left, right, bound)
+
+
+def _passed(a: SparseMatrix, k: int, columns: int, power: int, seed: int) -> Sampled:
+    """The same with the columns of the shorter side as an array, which is sent to tasks."""
+    left_short, n, long = a.n_rows <= a.n_cols, min(a.shape), max(a.shape)
+    passes = Passes(a, "j" if left_short else "i")
+
+    def orthonormal(x: np.ndarray) -> np.ndarray:
+        u, sv, _ = np.linalg.svd(x, full_matrices=False)
+        if not sv.max(initial=0.0) > 0:
+            raise RuntimeError("the matrix has no cells that are not zero")
+        return u[:, sv > 1e-13 * sv.max()]
+
+    q = orthonormal(passes.random(columns, seed))
+    if power and n * columns * (power + 1) <= BASIS_VALUES:
+        # the best columns of what all passes give, not of the last one alone: where a value comes often, columns share it with more of the rest
+        v, av = q, passes.normal(q)
+        for _ in range(power):
+            z = av[:, -q.shape[1] :]
+            w = z - v @ (v.T @ z)
+            u, sv, _ = np.linalg.svd(w, full_matrices=False)
+            q = u[:, sv > 1e-10 * np.linalg.norm(z)]
+            if not q.shape[1]:
+                break
+            q = np.linalg.qr(q - v @ (v.T @ q))[0]
+            v, av = np.hstack([v, q]), np.hstack([av, passes.normal(q)])
+        small = v.T @ av
+        q = orthonormal(v @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :columns])
+    else:
+        for _ in range(power):
+            q = orthonormal(passes.normal(q))
+    b = Dense(passes.frame(q), (long, q.shape[1]))
+    u, values, _ = np.linalg.svd(triangle(_block(b).df, b.shape[1]).T)  # as above
+    some = min(k, len(values))
+    near = dense(a.spark, q @ u[:, :some])
+    far = _block(b).matmul(dense(a.spark, u[:, :some] / np.where(values[:some] > 0, values[:some], 1.0)))
+    y = passes.random(PROBES, seed + 1)
+    missed = y - q @ (q.T @ y)
+    passes.release()
+    bound = 10 * np.sqrt(2 / np.pi) * float(np.sqrt((missed**2).sum(0).max(initial=0.0)))
+    return Sampled(values[:some], near if left_short else far, far if left_short else near, bound)

@@ -125,3 +125,32 @@ def test_a_pass_does_not_depend_on_how_files_are_cut(spark, monkeypatch):
         by = passes.Passes(from_dense(spark, a), "j")
         assert np.allclose(by.times(x), a.T @ x) and np.allclose(by.normal(x), a @ (a.T @ x))
     spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_sampled_values_send_no_cells(spark, monkeypatch, wide):
+    """The same by passes as by joins, which sent every cell with its columns for each product."""
+    from gridloom.linalg import sampled
+    from gridloom.operators import passes
+
+    rng = np.random.default_rng(10)
+    a = rng.standard_normal((12, 3)) @ np.diag([9, 4, 1.0]) @ rng.standard_normal((3, 20)) + 0.01 * rng.standard_normal((12, 20))
+    a = a if wide else a.T
+    joins = []
+    kept = sampled.SparseMatrix.matmul_transpose
+    monkeypatch.setattr(sampled.SparseMatrix, "matmul_transpose", lambda *x: joins.append(x) or kept(*x))
+    u, s, vt = np.linalg.svd(a)
+    got = L.sampled_svds(from_dense(spark, a), 2, more=4)
+    assert not joins and np.allclose(got.values, s[:2], rtol=1e-6) and s[6] / 10 < got.bound < 20 * s[6] * np.sqrt(20)
+    x, y = got.left.collect(), got.right.collect()
+    assert np.allclose(x.T @ x, np.eye(2)) and np.allclose(x * got.values @ y.T, u[:, :2] * s[:2] @ vt[:2], atol=1e-3)
+    z = passes.drawn(np.arange(50_000), 2, 3)
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z.T)[0, 1]) < 0.02
+
+
+def test_sampled_values_that_come_often(spark):
+    """Blocks on the diagonal: more copies of the leading value than columns, and a long rest; eight digits."""
+    one = np.ones((10, 10)) + 2 * np.random.default_rng(13).random((10, 10))
+    a = np.kron(np.eye(40), one)
+    got = L.sampled_svds(from_dense(spark, a), 2, more=4, power=2)
+    assert np.allclose(got.values, np.linalg.svd(one)[1][0], rtol=2e-8)
