@@ -350,3 +350,9 @@ def test_a_round_reads_only_what_is_sent_to_it(spark):
     assert f.tree.rounds <= 16
     low = f.L.todense().collect()
     assert np.allclose(low @ low.T, a)
+
+
+def test_blocks_of_a_tall_matrix_are_small():
+    """What a task of a reduction tree holds, whatever the number of rows: an eighth of what it held."""
+    for width in (1, 25, 200, 1024):
+        assert 2 * width <= tsqr._rows(width) and tsqr._rows(width) * width <= max(1 << 18, 2 * width * width)
