@@ -142,3 +142,33 @@ def test_chain_order_sees_skew(spark, monkeypatch):
     assert chain.order() == (0, (1, 2)) and chain._counted()[0, 0, 1] == n * n
     assert (chain.evaluate().todense().collect() == a @ b @ c).all()
     assert (g.lazy(from_dense(spark, a)) @ from_dense(spark, b)).order() == (0, 1)
+
+
+@pytest.mark.parametrize("x", [[], [5], [-3, 2**40], [-(2**63), 2**63 - 1], [2**62, -(2**62) - 1], [0.1, 2.0], [0.5, -0.25], [1e300, 1.0], [np.nan, np.inf], [-(2.0**53), 2.0**52], [-7.0, 300.0]])
+def test_narrow_values_come_back(x):
+    x = np.array(x, float if any(isinstance(y, float) for y in x) else np.int64)
+    out = T.widened(T.narrow(x), x.dtype.type)
+    assert out.dtype == x.dtype and np.array_equal(out, x, equal_nan=x.dtype == float)
+
+
+def test_routed_cells_are_few_bytes():
+    """Of far indices and small whole values, a cell that goes to a tile takes some bytes, not three numbers of eight."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    at, m = np.divmod(rng.choice(900 * 400, 40_000, replace=False), 400)
+    at, m, v = at + 5_000_000, m * 37 + 9_000_000, rng.integers(1, 51, len(at)) * 1.0
+    cells = pa.RecordBatch.from_arrays([pa.array(x) for x in (at, m, v)], names=["at", "m", "v"])
+    r = T.Route(3, 3, 1)
+    met = [b for side in (0, 1) for b in T._met(side, r.slabs)(iter([cells]))]
+    sent = list(T._sent(r)(iter(met)))
+    size = sum(len(x) for b in sent for name in ("at", "m", "v") for x in b.column(name).to_pylist())
+    assert size < 2 * 3 * len(at) * 8
+    by_tile = sorted((b for b in sent), key=lambda b: b.column("tile")[0].as_py())
+    got = np.zeros((900, 900))
+    for b in T._tiles(iter(by_tile), sent=True):
+        i, j, x = (c.to_numpy() for c in b.columns)
+        got[i - 5_000_000, j - 5_000_000] += x
+    a = np.zeros((900, 400))
+    a[at - 5_000_000, (m - 9_000_000) // 37] = v
+    assert (got == a @ a.T).all()
