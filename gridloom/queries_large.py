@@ -19,6 +19,7 @@ from .operators import tape
 from .operators.assembly import add, vstack
 from .operators.dense import Dense
 from .operators.matrix import SparseMatrix
+from .plans.lineage import cut, release
 from .queries import A, Q, X, _m, _rounded, _size, _t, a25, general, part_x, q, qd
 from .sources.construct import coo_array, identity
 from .sources.row_blocks import RowBlocks
@@ -268,10 +269,14 @@ _ROW_SQL = f"WITH {Q}, {X}, Y AS (SELECT i, SUM(v * x) AS y FROM Q JOIN X USING
 
 
 def _row_blocks(s: SparkSession, d: str, broadcast: bool) -> DataFrame:
-    m = RowBlocks(_quantities(s, d), cells=4096)
+    a = _quantities(s, d)
+    m = RowBlocks(a, cells=4096)
+    release(a.df)  # the blocks hold it
     x = part_x(s, m.shape[1])
     m.matvec(x, broadcast=broadcast).df.count()
-    return m.matvec(x, broadcast=broadcast).df.select("i", "x")
+    out = cut(m.matvec(x, broadcast=broadcast).df.select("i", "x"), "result")
+    m.drop()
+    return out
 
 
 q("row_blocks_matvec", limited(lambda s, d: _row_blocks(s, d, True)), _ROW_SQL)

@@ -75,3 +75,46 @@ def test_odd_matrices(spark, warehouse):
     assert (m.matvec(np.ones(3)).collect() == 0).all()
     with pytest.raises(TypeError):
         RowBlocks(from_dense(spark, np.ones((2, 2)) * 1j))
+
+
+def test_a_block_with_most_cells_is_several_records(spark, warehouse):
+    rng = np.random.default_rng(4)
+    a = np.zeros((100, 1500))
+    a[:10] = rng.integers(1, 9, (10, 1500))
+    m = warehouse(from_dense(spark, a), cells=2000, buckets=2)
+    assert not m.split and spark.table(m.name).selectExpr("max(size(vals))").first()[0] < 15_000
+    x = rng.integers(0, 5, 1500) * 1.0
+    for broadcast in (True, False):
+        assert (m.matvec(x, broadcast=broadcast).collect() == a @ x).all()
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_records_hold_all_cells_in_order(size):
+    import pyarrow as pa
+
+    from gridloom.sources.row_blocks import _packed
+
+    b = np.repeat([-5, 0, 1, 4], [1, 9, 20, 3])
+    i = np.where(b < 0, 70, b * 10 + np.arange(len(b)) % 9)
+    i = np.concatenate([np.sort(i[b == k]) for k in np.unique(b)])
+    j, v = np.arange(len(b)) * 3, [None if k == 5 else k / 4 for k in range(len(b))]
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (b, i, j)] + [pa.array(v, pa.float64())], names=["b", "i", "j", "v"])
+    batches = [whole.slice(0, 0), *(whole.slice(s, size) for s in range(0, len(b), size))]
+    rows = [row for batch in _packed(8)(iter(batches)) for row in batch.to_pylist()]
+    assert [x for row in rows for x in row["vals"]] == v and [x for row in rows for x in row["cols"]] == j.tolist()
+    assert [row["first"] + x for row in rows for x in row["rows"]] == i.tolist() and [row["b"] for row in rows for _ in row["rows"]] == b.tolist()
+    assert max(len(row["rows"]) for row in rows) < 8 + size
+
+
+@pytest.mark.parametrize("name", ["row_blocks_matvec", "row_blocks_matvec_halo"])
+def test_the_queries_leave_no_tables(spark, name):
+    import os
+
+    from gridloom import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    before = tables()
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert tables() == before
