@@ -172,3 +172,46 @@ def test_routed_cells_are_few_bytes():
     a = np.zeros((900, 400))
     a[at - 5_000_000, (m - 9_000_000) // 37] = v
     assert (got == a @ a.T).all()
+
+
+def shuffled(spark):
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+
+@pytest.mark.parametrize("cells,sent", [(1 << 21, 6), (90, 100), (90, 1)])
+def test_a_gram_matrix_of_duplicates_and_odd_rows(spark, monkeypatch, cells, sent):
+    """One tile, many of them, and sums of records; duplicates, rows and columns with all cells, empty ones, and exact zeros."""
+    monkeypatch.setattr(T, "CELLS", cells)
+    monkeypatch.setattr(T, "RECORD", 16)
+    monkeypatch.setattr(M, "SENT", sent)
+    a = sparse_array(np.random.default_rng(8), 45, 30, 0.2)
+    a[:, 4], a[7, :20], a[9], a[11] = 1, 2, 0, 0
+    a[9, 4], a[11, 4], a[9, 28], a[11, 29] = 1, 1, 0, 0
+    df = from_dense(spark, a).df
+    twice = g.coo_array(df.selectExpr("i", "j", "v / 4 AS v").union(df.selectExpr("i", "j", "v * 3 / 4 AS v")), a.shape)
+    for out in (twice.gram().df, twice.gram(written=True).df, (twice @ twice.T).df, (twice.tocsc() @ twice.tocsc().T).df):
+        out = out.toPandas()
+        assert not out.duplicated(["i", "j"]).any() and (out.v != 0).all()
+        got = np.zeros((45, 45))
+        got[out.i, out.j] = out.v
+        assert np.allclose(got, a @ a.T)
+    back = (twice.T @ twice).todense().collect()
+    assert np.allclose(back, a.T @ a)
+
+
+def test_a_gram_matrix_of_blocks_sends_cells_once(spark):
+    """A's cells are shuffled once to be summed and about once to tiles, in few bytes, and counts are not left on disk."""
+    df = spark.range(500 * 600).selectExpr("id div 600 * 20 + id % 20 AS i", "id div 600 * 40 + id % 600 div 15 AS j", "cast(id % 50 + 1 AS double) AS v")
+    a = g.coo_array(df, (10_000, 20_000))
+    before = shuffled(spark)
+    out = a.gram(written=True)
+    assert shuffled(spark) - before < 10 * 500 * 600
+    assert out.df.selectExpr("sum(v)").first()[0] == df.groupBy("j").sum("v").selectExpr("sum(`sum(v)` * `sum(v)`)").first()[0]
+
+
+def test_a_column_with_very_many_cells_is_not_one_tasks(spark, monkeypatch):
+    monkeypatch.setattr(T, "CELLS", 20)
+    a = np.ones((60, 2))
+    assert T.recorded(from_dense(spark, a).df) is None
+    assert np.allclose(from_dense(spark, a).gram().todense().collect(), a @ a.T)
