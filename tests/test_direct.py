@@ -356,3 +356,24 @@ def test_blocks_of_a_tall_matrix_are_small():
     """What a task of a reduction tree holds, whatever the number of rows: an eighth of what it held."""
     for width in (1, 25, 200, 1024):
         assert 2 * width <= tsqr._rows(width) and tsqr._rows(width) * width <= max(1 << 18, 2 * width * width)
+
+
+def test_fronts_are_sent_in_few_bytes():
+    """A cell of the matrix in at most eight bytes, an update of a symmetric matrix as its lower triangle."""
+    from gridloom.linalg import multifrontal as MF
+
+    n = 64
+    a = np.arange(n * n).reshape(n, n) % 50 + 1.0
+    a = np.tril(a) + np.tril(a, -1).T + 2000 * np.eye(n)
+    i, j = (x.astype(np.int64) for x in np.nonzero(np.tril(a)))
+    row = MF._row(0, 0, 0, i, j, a[i, j])
+    assert sum(len(x) for x in row[3:]) <= 8 * len(i) and all((MF.widened(x, float) == y).all() for x, y in zip(row[3:], (i, j, a[i, j]), strict=True))
+    out = [r for b in MF._fronts(32, n, [1, -1], [0, 1], True)(iter([MF._batch([row]).select(["p", "kind", "rows", "cols", "vals"])])) for r in b.to_pylist()]
+    updates = [r for r in out if r["kind"] == 1]
+    assert updates and all(len(MF.widened(r["cols"], int)) == MF.widened(r["rows"], int)[-1] - 31 for r in updates)
+    low = np.linalg.cholesky(a)
+    got = np.zeros((n, 32))
+    for r in out:
+        if r["kind"] == 2:
+            got[MF.widened(r["rows"], int), MF.widened(r["cols"], int)] = MF.widened(r["vals"], float)
+    assert np.allclose(got, low[:, :32])
