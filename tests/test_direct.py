@@ -8,6 +8,7 @@ from gridloom.config import config_context
 from gridloom.linalg import tsqr
 from gridloom.operators.dense import dense
 from gridloom.operators.matrix import SparseMatrix
+from gridloom.plans.lineage import cut
 from gridloom.sources.construct import from_dense
 
 
@@ -377,3 +378,22 @@ def test_fronts_are_sent_in_few_bytes():
         if r["kind"] == 2:
             got[MF.widened(r["rows"], int), MF.widened(r["cols"], int)] = MF.widened(r["vals"], float)
     assert np.allclose(got, low[:, :32])
+
+
+def test_a_sweep_does_not_send_a_tile_to_itself(spark):
+    """A tile on the diagonal needs no other, and a dense tile's places take next to nothing."""
+    from gridloom.linalg import incomplete as I
+
+    a = np.kron(np.eye(3), np.arange(64.0).reshape(8, 8) + 300 * np.eye(8))
+    a[0, 9] = a[9, 0] = 1.0
+    way = I._Tiles(from_dense(spark, a).df.selectExpr("i", "j", "v AS a"), 24, size=8)
+    now = way.start()
+    assert {tuple(r) for r in way.sends.select("fp", "fq", "p", "q").collect() if r.fp == r.p and r.fq == r.q} == set()
+    assert max(len(r.at) for r in now.select("at").collect()) <= 9 + 64
+    for _ in range(12):
+        now = cut(way.sweep(now))
+    got = np.zeros((24, 24))
+    for i, j, f in way.values(now).collect():
+        got[i, j] = f
+    low, up = np.tril(got, -1) + np.eye(24), np.triu(got)
+    assert np.allclose(np.where(a != 0, low @ up, 0), a)
