@@ -201,7 +201,7 @@ def test_a_gram_matrix_of_duplicates_and_odd_rows(spark, monkeypatch, cells, sen
 
 
 def test_a_gram_matrix_of_blocks_sends_cells_once(spark):
-    """A's cells are shuffled once to be summed and about once to tiles, in few bytes, and counts are not left on disk."""
+    """A's cells are shuffled once to be summed and about once to tiles, in few bytes."""
     df = spark.range(500 * 600).selectExpr("id div 600 * 20 + id % 20 AS i", "id div 600 * 40 + id % 600 div 15 AS j", "cast(id % 50 + 1 AS double) AS v")
     a = g.coo_array(df, (10_000, 20_000))
     before = shuffled(spark)
